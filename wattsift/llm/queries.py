@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .simhash_dedup import simhash_components
+from .token_blocks import read_token_blocks, write_token_blocks
+from .token_counts import count_tokens
+
+
+def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_blocks(write_token_blocks(table(spark, sf_dir, "documents")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +24,20 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_token_blocks": op2_token_blocks,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_packing": op8_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
