@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .main_text import extract_main_text
 from .packing import pack
+from .secrets import find_secrets
 from .simhash_dedup import simhash_components
 from .token_blocks import read_token_blocks, write_token_blocks
 from .token_counts import count_tokens
@@ -18,10 +20,18 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_blocks(write_token_blocks(table(spark, sf_dir, "documents")))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +54,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_blocks": op2_token_blocks,
+    "op3_secrets": op3_secrets,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_main_text": op5_main_text,
     "op6_decontamination": op6_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_packing": op8_packing,
