@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .lm_score import lm_scores
 from .main_text import extract_main_text
 from .packing import pack
 from .secrets import find_secrets
@@ -16,6 +17,10 @@ from .token_counts import count_tokens
 from .toxicity import toxicity
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_blocks(write_token_blocks(table(spark, sf_dir, "documents")))
 
@@ -53,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_token_blocks": op2_token_blocks,
     "op3_secrets": op3_secrets,
     "op4_exact_dedup": op4_exact_dedup,
