@@ -219,3 +219,94 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component = least.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = least.join(component, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies of a given similarity.  At a similarity of 0.8 two 64-bit
+# fingerprints differ in some ten bits, where a trie over all documents prunes
+# almost nothing.  So the trie join runs within blocks: documents that share one
+# of a few min-wise shingles.
+
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Error budget of the trie join within blocks; texts at a similarity of 0.8 differ in 10 bits, deviation 3.
+SIMILAR_RADIUS = 18
+#: Min-wise shingles of a document; two documents at similarity s share none with probability (1 - s) ** BANDS.
+BANDS = 6
+#: Least shingle hashes kept of a document, by which the similarity of two is estimated.
+SKETCH = 64
+#: Distinct fingerprints of a block from which on its documents must share a second min-wise shingle.
+BLOCK = 2048
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)  # fixed odd multipliers
+
+
+def _profiles(words: int):
+    """fp, min-wise shingles and the least distinct hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh64_intdigest
+        for b in slices(batches):
+            fps, keys, sketches = [], [], []
+            for text in b.column("text").to_pylist():
+                w = text.encode().lower().split()
+                grams = zip(*(w[i:] for i in range(words))) if len(w) > words else [w]
+                x = np.array([h(g, SEED) for g in map(b" ".join, grams)], np.uint64)
+                ones = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                fps.append(np.packbits(ones * 2 > len(x)).view(">u8")[0])
+                x = np.unique(x)
+                mixed = [(x ^ (x >> np.uint64(29))) * m for m in _MIX[:BANDS]]
+                keys.append(np.array([(m ^ (m >> np.uint64(32))).min() ^ np.uint64(k) for k, m in enumerate(mixed)], np.uint64).view(np.int64))
+                sketches.append(x[:SKETCH].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "keys", "sketch"])
+
+    return run
+
+
+def estimated_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets from their least hashes; exact if the sets are no larger than the sketches."""
+    both = np.union1d(a, b)
+    if len(a) >= SKETCH or len(b) >= SKETCH:
+        both = both[:SKETCH]
+    return np.isin(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).sum() / max(1, len(both))
+
+
+def _similar_task(radius: int, least: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("u", ignore_index=True)
+        fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(fp, kind="stable")
+        sketches = [np.frombuffer(rows["sketch"].iat[i], "<u8") for i in order]
+        ids, sets = rows["u"].to_numpy(np.int64)[order], _Sets(len(order))
+        root = sets.root
+        for i, j in linked_pairs(fp[order], fp[order], True, radius):
+            for x, y in zip(i.tolist(), j.tolist()):
+                if root[x] != root[y] and estimated_similarity(sketches[x], sketches[y]) >= least:
+                    sets.join(np.array([x]), np.array([y]))
+        moved = np.flatnonzero(root != np.arange(len(order)))
+        return pd.DataFrame({"x": ids[root[moved]], "y": ids[moved]})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, block: int = BLOCK) -> DataFrame:
+    """Groups of near copies: doc_id, group_id (the smallest doc_id of the group); ids without a near copy are left out.
+
+    Texts without words are one text; two rows of one doc_id are one document; rows without doc_id are left out.
+    Two texts are linked if their fingerprints (over ``words``-word shingles) are
+    within ``radius`` bits and their estimated similarity is not clearly below
+    ``similarity``.  Groups are the components of the links.
+    """
+    rows = materialize(documents(docs, id_col, text_col).filter(F.col("doc_id").isNotNull()).mapInArrow(_profiles(words), "doc_id long, fp long, keys array<long>, sketch binary"), "profiles")
+    # one row for each distinct (fingerprint, sketch), named by its smallest doc_id
+    texts = rows.groupBy("fp", F.xxhash64("sketch").alias("s")).agg(F.min("doc_id").alias("u"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"))
+    texts = materialize(texts, "distinct-profiles")
+    keyed = texts.select("u", "keys", F.explode("keys").alias("key"))
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block-sizes")
+    once = keyed.join(sizes, "key")
+    fine = once.filter(F.col("n") > block).select("u", F.col("key").alias("key1"), F.explode("keys").alias("key2")).filter("key1 != key2").select("u", F.xxhash64("key1", "key2").alias("key"))
+    member = once.filter(F.col("n") <= block).select("u", "key").union(fine)
+    links = member.join(texts.select("u", "fp", "sketch"), "u").groupBy("key").applyInPandas(_similar_task(radius, similarity - 0.1), "x long, y long")
+    links = materialize(links.distinct(), "similar-links")
+    roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    copies = rows.select("doc_id", "fp", F.xxhash64("sketch").alias("s")).join(texts.select("fp", F.xxhash64("sketch").alias("s"), "u"), ["fp", "s"])
+    grouped = copies.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").select("doc_id", F.coalesce("root", "u").alias("group_id"), F.col("root").isNotNull().alias("linked"))
+    return grouped.filter(F.col("linked") | (F.col("doc_id") != F.col("group_id"))).select("doc_id", "group_id")

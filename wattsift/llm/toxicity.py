@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,6 +155,16 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     return documents(docs, id_col, text_col).mapInArrow(_score(model, reject_at), "doc_id long, severity double, p_toxic double, grade int, rejected boolean")
 
 
+def rejection(model: OrdinalModel, reject_at: float = REJECT_AT):
+    """A function of a text column: true where the text is toxic; null is not."""
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: bool(model.above(t)[0] >= reject_at))
+
+    return rejected
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reject_at: float = REJECT_AT, **training) -> DataFrame:
     """Train on the labelled documents and score all."""
     model = train(documents(docs, id_col, text_col), labels, **training)
