@@ -17,8 +17,8 @@ Jobs.  (1) Tasks count distinct bigrams of some two million tokens at a time and
 send them, packed, to the shard of the second word; (2) a shard adds up and
 writes its trie; (3) sums over shards give N, V, the frequent contexts and their
 successors; (4) tasks send the bigrams of all documents, packed with document
-numbers, to the same shards, which look them up and return one partial sum for
-each document; (5) partial sums are added.  Since the score is a sum of terms
+numbers, to the same shards, which look them up and return packed partial sums;
+(5) the partial sums of each chunk of documents are added.  Since the score is a sum of terms
 that each need one shard, texts are never shuffled.  Shards that get far more
 tokens than the mean are copied and share their requests.  All of the training
 counts are kept: what is gathered grows with the corpus.
@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from .common import documents, materialize, slices
 from .elias_fano import Trie
@@ -242,12 +243,12 @@ def train(docs: DataFrame, shards: int, head_share: float = HEAD_SHARE, weight:
     return model, Statistics(tokens, words, contexts, counts[at], weights, weight)
 
 
-_REQUEST = "shard long, copy long, docs binary, words binary, runs binary, contexts binary, numbers binary"
+_REQUEST = "chunk long, shard long, copy long, docs binary, words binary, runs binary, contexts binary, numbers binary"
 
 
 def _ask(shards: int, copies: dict[int, int], chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
+        number = TaskContext.get().partitionId() << 32
         for ids, words, contexts, docs in _chunks(batches, chunk, 65_535):
             order = np.argsort((words & np.uint64(0xFFFFFFFF00000000)) | contexts.astype(np.uint64))
             c, d = contexts[order], docs[order]
@@ -255,13 +256,16 @@ def _ask(shards: int, copies: dict[int, int], chunk: int):
             for shard, at, distinct, runs in _pieces(words, order, shards):
                 present, numbers = np.unique(d[at], return_inverse=True)
                 blobs = (names[present].tobytes(), distinct.tobytes(), _planes(runs), c[at].tobytes(), _planes(numbers.astype("<u2")))
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([number % copies.get(shard, 1)], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], ["shard", "copy", "docs", "words", "runs", "contexts", "numbers"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, shard, number % copies.get(shard, 1))] + [pa.array([x], pa.binary()) for x in blobs], ["chunk", "shard", "copy", "docs", "words", "runs", "contexts", "numbers"])
             number += 1
 
     return run
 
 
-_PARTIAL = "doc_id long, n_tokens long, n_known long, base double, score double"
+#: Sums of one shard for the documents of one chunk, packed as (doc_id, tokens, known, base, score).
+_PARTIAL = "chunk long, sums binary"
+_SUMS = np.dtype([("doc_id", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+_SCORED = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
 def _answer(stats: Statistics) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -284,13 +288,23 @@ def _answer(stats: Statistics) -> Callable[[pa.Table, pa.Table], pa.Table]:
             joint = np.where(np.isnan(ratio), 0.0, 10.0 ** np.nan_to_num(ratio) * z)  # c(vw) / p1(w)
             score = np.log10(p1[each] * (joint + stats.smoothing(contexts))) + held[each]
             n = len(ids)
-            out.append((ids, np.bincount(numbers, minlength=n), np.bincount(numbers, (count > 0)[each], n), np.bincount(numbers, np.log10(p1)[each], n), np.bincount(numbers, score, n)))
-        ids, tokens, known, base, score = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64),) * 5
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == -1 << 63), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "base": pa.array(base.astype(float)), "score": pa.array(score.astype(float))})
+            sums = np.zeros(n, _SUMS)
+            sums["doc_id"], sums["n_tokens"], sums["n_known"] = ids, np.bincount(numbers, minlength=n), np.bincount(numbers, (count > 0)[each], n)
+            sums["base"], sums["score"] = np.bincount(numbers, np.log10(p1)[each], n), np.bincount(numbers, score, n)
+            out.append(sums.tobytes())
+        return pa.table({"chunk": requests.column("chunk"), "sums": pa.array(out, pa.binary())})
 
     return run
 
 
+def _total(parts: pa.Table) -> pa.Table:
+    """The sums of a chunk's documents over all shards."""
+    rows = np.concatenate([np.frombuffer(x.as_buffer(), _SUMS) for x in parts.column("sums")])
+    ids, at = np.unique(rows["doc_id"], return_inverse=True)
+    total = {k: np.bincount(at, rows[k], len(ids)) for k in ("n_tokens", "n_known", "base", "score")}
+    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == -1 << 63), **{k: pa.array(v.astype(np.int64) if k[0] == "n" else v) for k, v in total.items()}})
+
+
 def score(docs: DataFrame, model: DataFrame, stats: Statistics, shards: int, chunk: int = CHUNK_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each doc_id of (doc_id, text)."""
     mean = max(1, stats.tokens // shards)
@@ -309,7 +323,8 @@ def score(docs: DataFrame, model: DataFrame, stats: Statistics, shards: int, chu
     start = np.flatnonzero(stats.contexts == context_of(np.array([_START]))[0])
     # each document begins with the start context once
     begin = float(np.log10(stats.counts[start[0]] + stats.weights[start[0]])) if len(start) else 0.0
-    return parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), (F.sum("score") - begin).alias("score"))
+    whole = parts.groupBy("chunk").applyInArrow(_total, _SCORED)
+    return whole.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), (F.sum("score") - begin).alias("score"))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, shard_chars: int = SHARD_CHARS, **training) -> DataFrame:
