@@ -1,5 +1,606 @@
-"""Registry of the library's queries."""
+"""Registry of the library's queries over the benchmark tables, with DuckDB text where SQL can say the same."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = None
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wattsift import constants as K
+from wattsift.functions import scalar
+from wattsift.operators import duplicates, features, forest, imports, process, ranking, rules, scoring, sinks, validation
+from wattsift.plans import sql
+from wattsift.plans.sql import BASE, query
+from wattsift.sources import json_import, synthetic, tables, wide_csv
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def registered(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def r(*names: str) -> str:
+    """SQL: columns rounded like ``rounded``."""
+    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+
+
+def _history(spark: SparkSession, d: str, sparse: bool = False) -> DataFrame:
+    return features.history_features(tables.consumption(spark, d, sparse))
+
+
+def _vectors(spark: SparkSession, d: str, sparse: bool = True) -> DataFrame:
+    return process.vectors(tables.consumption(spark, d, sparse), tables.supplies(spark, d))
+
+
+def _scored(spark: SparkSession, d: str, reasons: bool = False) -> DataFrame:
+    return process.scored(_vectors(spark, d), reasons=reasons)
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.consumption(spark, d)
+    known = tables.supplies(spark, d).select("suministro", "categoria")
+    deleted = spark.createDataFrame([(tables.DELETED_CATEGORY,)], "categoria string")
+    return validation.validation_rows(rows.join(known, "suministro"), tables.readings(rows), deleted)
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches with declared numbers, wrong for some months and zero for others."""
+    n = tables.consumption(spark, d).groupBy("lote").agg(F.count(F.lit(1)).alias("n"))
+    month = F.substring("lote", 11, 2).cast("int")
+    return n.select("lote", F.when(month % 5 == 0, F.col("n") + 3).when(month % 7 == 0, F.lit(0)).otherwise(F.col("n")).cast("long").alias("declarados"))
+
+
+_BATCHES = """
+bat AS (SELECT lote, CAST(CASE WHEN CAST(substr(lote, 11, 2) AS INTEGER) % 5 = 0 THEN count(*) + 3 WHEN CAST(substr(lote, 11, 2) AS INTEGER) % 7 = 0 THEN 0 ELSE count(*) END AS BIGINT) AS declarados,
+               count(*) AS activos FROM cons GROUP BY lote)"""
+
+
+# --- consumption and features -------------------------------------------------
+
+
+@registered(query([BASE["dense"]], "SELECT suministro, lote, inicio, fin, dias, kwh FROM cons"))
+def monthly_consumption(spark, d):
+    return tables.consumption(spark, d).select("suministro", "lote", "inicio", "fin", "dias", "kwh")
+
+
+@registered(query([BASE["dense"]], "SELECT lote, count(*) AS cantidad, sum(kwh) AS kwh FROM cons GROUP BY lote"))
+def batch_counts(spark, d):
+    return tables.consumption(spark, d).groupBy("lote").agg(F.count(F.lit(1)).alias("cantidad"), F.sum("kwh").alias("kwh"))
+
+
+@registered(query(sql.FEATURE_PLAN, f"SELECT suministro, inicio, {r('avg_consumption', 'max_consumption', 'min_consumption', 'stddev_consumption', 'moving_avg_12m')}, is_cold_start FROM feat"))
+def feature_window_12m(spark, d):
+    return rounded(_history(spark, d).select("suministro", "inicio", "avg_consumption", "max_consumption", "min_consumption", "stddev_consumption", "moving_avg_12m", "is_cold_start"))
+
+
+@registered(query(sql.FEATURE_PLAN, f"SELECT suministro, inicio, {r('pct_change_prev_period', 'pct_change_yoy', 'seasonality_index')} FROM feat"))
+def feature_changes(spark, d):
+    return rounded(_history(spark, d).select("suministro", "inicio", "pct_change_prev_period", "pct_change_yoy", "seasonality_index"))
+
+
+@registered(query([BASE["sparse"], sql.FEATURES], "SELECT suministro, inicio, kwh, zero_consumption_streak FROM feat"))
+def feature_zero_streak(spark, d):
+    return features.history_features(tables.consumption(spark, d, sparse=True)).select("suministro", "inicio", "kwh", "zero_consumption_streak")
+
+
+@registered(query(sql.FEATURE_PLAN, f"SELECT suministro, inicio, {r('moving_avg_6m', 'trend_slope')} FROM feat"))
+def feature_trend(spark, d):
+    return rounded(_history(spark, d).select("suministro", "inicio", "moving_avg_6m", "trend_slope"))
+
+
+@registered(query(sql.FEATURE_PLAN, f"SELECT suministro, inicio, {r('deviation_from_baseline', 'zscore_self')} FROM feat"))
+def feature_self_zscore(spark, d):
+    return rounded(_history(spark, d).select("suministro", "inicio", "deviation_from_baseline", "zscore_self"))
+
+
+@registered(query(sql.STATIC_PLAN, "SELECT suministro, inicio, supply_age_days, billed_days, categoria AS categoria_tarifaria FROM stat"))
+def feature_static(spark, d):
+    rows = features.static_features(tables.consumption(spark, d), tables.supplies(spark, d))
+    return rows.select("suministro", "inicio", F.col("supply_age_days").cast("long").alias("supply_age_days"), "billed_days", "categoria_tarifaria")
+
+
+@registered(query([BASE["dense"]], "SELECT suministro, lote, inicio, kwh FROM (SELECT *, row_number() OVER (PARTITION BY suministro, year(inicio) ORDER BY inicio DESC) AS k FROM cons) WHERE k = 1"))
+def current_period(spark, d):
+    rows = tables.consumption(spark, d)
+    yearly = features.current_period(rows.withColumns({"mes": F.col("lote"), "lote": F.year("inicio")}))
+    return yearly.select("suministro", F.col("mes").alias("lote"), "inicio", "kwh")
+
+
+@registered(query(sql.VECTOR_PLAN, f"SELECT suministro, lote, {r('peer_ratio', 'percentile_peer')}, cohort_size FROM vec"))
+def cohort_percentile(spark, d):
+    return rounded(_vectors(spark, d, sparse=False).select("suministro", "lote", "peer_ratio", "percentile_peer", "cohort_size"))
+
+
+@registered(query(sql.VECTOR_PLAN, "SELECT suministro, lote, iqr_outlier_flag FROM vec"))
+def cohort_iqr_loo(spark, d):
+    return _vectors(spark, d, sparse=False).select("suministro", "lote", "iqr_outlier_flag")
+
+
+@registered(query(sql.VECTOR_PLAN, """SELECT lote, count(*) AS vectores, count(*) FILTER (is_cold_start) AS cold_starts, count(*) FILTER (abs(zscore_self) >= 3) AS z_altos,
+  count(*) FILTER (iqr_outlier_flag) AS outliers_iqr, count(*) FILTER (percentile_peer >= 0.99) AS percentiles_altos FROM vec GROUP BY lote"""))
+def features_summary(spark, d):
+    return features.features_summary(_vectors(spark, d, sparse=False))
+
+
+# --- rules --------------------------------------------------------------------
+
+
+@registered(query(sql.SPARSE_VECTORS, """SELECT suministro, lote, h.regla AS regla, h.tipo AS tipo, h.severidad AS severidad FROM (
+  SELECT suministro, lote, unnest([
+    CASE WHEN r1 THEN {'regla': 'R1', 'tipo': 'Persistencia Anómala', 'severidad': 'Alta'} END, CASE WHEN r2 THEN {'regla': 'R2', 'tipo': 'Caída Brusca', 'severidad': 'Alta'} END,
+    CASE WHEN r3 THEN {'regla': 'R3', 'tipo': 'Incremento Brusco', 'severidad': 'Media'} END, CASE WHEN r4 THEN {'regla': 'R4', 'tipo': 'Consumo Muy Bajo', 'severidad': 'Media'} END,
+    CASE WHEN r5 THEN {'regla': 'R5', 'tipo': 'Consumo Muy Alto', 'severidad': 'Media'} END, CASE WHEN r6 THEN {'regla': 'R6', 'tipo': 'Desvío Estadístico', 'severidad': 'Media'} END]) AS h
+  FROM ruled) WHERE h IS NOT NULL"""))
+def rules_hits(spark, d):
+    return rules.rule_hits(_vectors(spark, d)).drop("descripcion")
+
+
+@registered(query(sql.SPARSE_VECTORS, """SELECT lote, count(*) FILTER (r1) AS r1, count(*) FILTER (r2) AS r2, count(*) FILTER (r3) AS r3, count(*) FILTER (r4) AS r4, count(*) FILTER (r5) AS r5,
+  count(*) FILTER (r6) AS r6, count(*) FILTER (n_reglas > 0) AS con_hits FROM counted GROUP BY lote"""))
+def rules_summary(spark, d):
+    return rules.rules_summary(_vectors(spark, d))
+
+
+@registered(query(sql.SPARSE_VECTORS, "SELECT suministro, lote, CAST(prior_anomaly_count AS BIGINT) AS prior_anomaly_count FROM prior"))
+def prior_anomalies(spark, d):
+    return rules.prior_anomalies(_vectors(spark, d)).select("suministro", "lote", "prior_anomaly_count")
+
+
+# --- validation -----------------------------------------------------------------
+
+
+@registered(query(sql.CHECK_PLAN, "SELECT suministro, lote, inicio, chequeo FROM found"))
+def integrity_findings(spark, d):
+    return validation.findings(_checked(spark, d))
+
+
+def _integrity(check: str):
+    def f(spark, d):
+        return validation.findings(_checked(spark, d)).filter(F.col("chequeo") == check).select("suministro", "lote", "inicio")
+
+    f.__name__ = f"integrity_{check.lower()}"
+    return registered(query(sql.CHECK_PLAN, f"SELECT suministro, lote, inicio FROM found WHERE chequeo = '{check}'"))(f)
+
+
+for _check in ("V1", "V2", "V3", "V4", "V5", "V6", "V7"):
+    _integrity(_check)
+
+
+@registered(query([BASE["peri"]], """SELECT periodo, suministro, chequeo FROM (SELECT *, unnest([CASE WHEN inicio > p + 1 THEN 'V4' END, CASE WHEN inicio <= p THEN 'V5' END]) AS chequeo
+  FROM (SELECT *, lag(fin) OVER (PARTITION BY suministro ORDER BY inicio, fin, periodo) AS p FROM peri)) WHERE chequeo IS NOT NULL"""))
+def contiguity_of_contracts(spark, d):
+    from pyspark.sql import Window as W
+
+    prev = F.lag("fin").over(W.partitionBy("suministro").orderBy("inicio", "fin", "periodo"))
+    rows = tables.contract_periods(spark, d).withColumn("prev_fin", prev)
+    checks = {v: c for v, c in validation.check_conditions() if v in ("V4", "V5")}
+    failed = F.filter(F.array(*(F.when(c, F.lit(v)) for v, c in checks.items())), lambda v: v.isNotNull())
+    return rows.select("periodo", "suministro", F.explode(failed).alias("chequeo"))
+
+
+@registered(query(sql.CHECK_PLAN, "SELECT lote, suministro, array_to_string(list_sort(list(DISTINCT chequeo)), ',') AS motivos FROM found WHERE chequeo <> 'V1' GROUP BY ALL"))
+def exclusions(spark, d):
+    return validation.exclusions(validation.findings(_checked(spark, d))).select("lote", "suministro", F.array_join("motivos", ",").alias("motivos"))
+
+
+@registered(query(sql.CHECK_PLAN, """SELECT lote, suministros, excluidos, round(1 - excluidos / suministros, 6) AS fraccion_valida, (suministros - excluidos) * 100 >= suministros * 95 AS cumple FROM (
+  SELECT chk.lote, count(DISTINCT chk.suministro) AS suministros, count(DISTINCT found.suministro) AS excluidos
+  FROM chk LEFT JOIN found ON found.lote = chk.lote AND found.suministro = chk.suministro AND chequeo <> 'V1' GROUP BY chk.lote)"""))
+def validation_report(spark, d):
+    rows = _checked(spark, d)
+    return rounded(validation.validation_report(rows, validation.findings(rows)))
+
+
+@registered(query([BASE["dense"], _BATCHES], """SELECT lote, declarados, activos, declarados > 0 AND declarados = activos AS completo,
+  CASE WHEN declarados <= 0 THEN 'sin registros declarados' WHEN declarados <> activos THEN 'declarados ' || declarados || ', activos ' || activos END AS motivo FROM bat"""))
+def completeness_gate(spark, d):
+    return validation.completeness(_batches(spark, d), tables.consumption(spark, d))
+
+
+# --- duplicates -----------------------------------------------------------------
+
+
+@registered(query([BASE["peri"]], "SELECT a.suministro, a.periodo, b.periodo AS otro FROM peri a JOIN peri b ON a.suministro = b.suministro AND a.inicio <= b.fin AND b.inicio <= a.fin AND a.periodo <> b.periodo"))
+def overlap_pairs(spark, d):
+    return duplicates.overlap_pairs(tables.contract_periods(spark, d))
+
+
+@registered(query([BASE["evlec"]], """SELECT a.suministro, a.lectura, b.lectura AS anterior, CAST(date_diff('day', b.fecha, a.fecha) AS INTEGER) AS dias_entre FROM evlec a JOIN evlec b
+  ON a.suministro = b.suministro AND a.tipo = b.tipo AND a.valor = b.valor AND date_diff('day', b.fecha, a.fecha) BETWEEN 0 AND 3 AND (a.fecha > b.fecha OR a.lectura > b.lectura)"""))
+def near_duplicates(spark, d):
+    return duplicates.near_duplicate_readings(tables.event_readings(spark, d))
+
+
+@registered(query([BASE["dense"], _BATCHES], "SELECT lote, declarados, activos, activos - declarados AS diferencia FROM bat WHERE declarados <> 0 AND activos <> declarados"))
+def lote_drift(spark, d):
+    return duplicates.drift(_batches(spark, d), tables.consumption(spark, d))
+
+
+@registered(query([BASE["dense"]], "SELECT DISTINCT lote FROM cons WHERE lote <> 'LOTE-1994-06' AND suministro IN (SELECT suministro FROM cons WHERE lote = 'LOTE-1994-06')"))
+def related_batches(spark, d):
+    return duplicates.related_batches(tables.consumption(spark, d), "LOTE-1994-06")
+
+
+@registered(query([BASE["peri"]], """SELECT periodo, suministro, inicio, fin FROM peri WHERE periodo NOT IN (
+  SELECT a.periodo FROM peri a JOIN peri b ON a.suministro = b.suministro AND a.inicio <= b.fin AND b.inicio <= a.fin AND a.periodo <> b.periodo)"""))
+def unconflicted_history(spark, d):
+    rows = tables.contract_periods(spark, d)
+    return features.without_conflicts(rows, duplicates.overlap_pairs(rows)).select("periodo", "suministro", "inicio", "fin")
+
+
+# --- scores ----------------------------------------------------------------------
+
+
+@registered(query(sql.SCORE_PLAN, f"SELECT suministro, lote, {r('iee')} FROM impact"))
+def iee_estimate(spark, d):
+    return rounded(scoring.with_iee(_vectors(spark, d)).select("suministro", "lote", "iee"))
+
+
+@registered(query(sql.SCORE_PLAN, f"SELECT suministro, lote, {r('iee_norm')} FROM norms"))
+def iee_normalized(spark, d):
+    return rounded(scoring.batch_scales(scoring.with_iee(_vectors(spark, d))).select("suministro", "lote", "iee_norm"))
+
+
+@registered(query(sql.SCORE_PLAN, f"SELECT suministro, lote, {r('avg_norm')} FROM norms"))
+def exposure_normalized(spark, d):
+    return rounded(scoring.batch_scales(scoring.with_iee(_vectors(spark, d))).select("suministro", "lote", "avg_norm"))
+
+
+@registered(query(sql.FEATURE_PLAN, """SELECT suministro, lote, round(CASE WHEN count(*) OVER (PARTITION BY lote) = 1 THEN 50.0 ELSE percent_rank() OVER (PARTITION BY lote ORDER BY avg_consumption) * 100 END, 6) AS avg_percentil FROM feat"""))
+def exposure_percentile(spark, d):
+    return rounded(scoring.exposure_percentile(_history(spark, d)).select("suministro", "lote", "avg_percentil"))
+
+
+@registered(query(sql.SCORE_PLAN, f"SELECT suministro, numero, lote, {r('ire_crudo')}, ire, nivel, clasificacion FROM res"))
+def risk_index_no_ml(spark, d):
+    return rounded(_scored(spark, d).select("suministro", "numero", "lote", "ire_crudo", "ire", "nivel", "clasificacion"))
+
+
+@registered(query(sql.SCORE_PLAN, """SELECT suministro, lote, factor, round(v, 4) AS contribution FROM (
+  SELECT suministro, lote, 'historial_consumos' AS factor, v_hist * 15 / 92 AS v FROM facs UNION ALL SELECT suministro, lote, 'persistencia_anomalias', v_pers * 15 / 92 FROM facs
+  UNION ALL SELECT suministro, lote, 'variacion_porcentual', v_var * 15 / 92 FROM facs UNION ALL SELECT suministro, lote, 'impacto_economico', iee_norm * 10 / 92 FROM facs
+  UNION ALL SELECT suministro, lote, 'consumo_promedio', avg_norm * 4 / 92 FROM facs UNION ALL SELECT suministro, lote, 'categoria_tarifaria', CAST(v_cat AS DOUBLE) * 3 / 92 FROM facs) WHERE v > 0"""))
+def factor_rows(spark, d):
+    return rounded(scoring.factor_rows(_scored(spark, d)).select("suministro", "lote", "factor", "contribution"), 4)
+
+
+@registered()
+def factor_explanations(spark, d):
+    return scoring.factors_json(_scored(spark, d, reasons=True))
+
+
+@registered()
+def factors_read_back(spark, d):
+    return scoring.factor_rows(scoring.read_factors(scoring.factors_json(_scored(spark, d, reasons=True))))
+
+
+@registered(query(sql.SCORE_PLAN, f"SELECT * FROM (SELECT suministro, numero, lote, ire, nivel, clasificacion, {r('iee')}, n_anomalias FROM res ORDER BY ire DESC, numero, lote LIMIT 50 OFFSET 50)"))
+def ranking_page(spark, d):
+    return rounded(ranking.ranking_page(_scored(spark, d).select("suministro", "numero", "lote", "ire", "nivel", "clasificacion", "iee", "n_anomalias"), limit=50, offset=50))
+
+
+@registered(query(sql.SCORE_PLAN, "SELECT * FROM (SELECT suministro, numero, lote, ire FROM res WHERE nivel = 'Medio' AND clasificacion = 'Alto Riesgo' ORDER BY ire DESC, numero, lote LIMIT 200)"))
+def ranking_filtered(spark, d):
+    return ranking.ranking_page(_scored(spark, d), 200, 0, "Medio", "Alto Riesgo").select("suministro", "numero", "lote", "ire")
+
+
+@registered(query(sql.SCORE_PLAN, "SELECT lote, count(*) AS total FROM res WHERE nivel = 'Medio' GROUP BY lote"))
+def ranking_total(spark, d):
+    return ranking.ranked(_scored(spark, d), "Medio").groupBy("lote").agg(F.count(F.lit(1)).alias("total"))
+
+
+@registered(query(sql.SCORE_PLAN, "SELECT lote, count(*) AS total, " + ", ".join(f"count(*) FILTER (nivel = '{n}') AS nivel_{i}" for i, (_, n) in enumerate(K.LEVELS)) + ", " + ", ".join(f"count(*) FILTER (clasificacion = '{n}') AS clase_{i}" for i, (_, n) in enumerate(K.CLASSES)) + ", count(*) FILTER (n_anomalias > 0) AS con_anomalias, round(coalesce(sum(iee), 0.0), 4) + 0.0 AS suma_iee FROM res GROUP BY lote"))
+def ranking_summary(spark, d):
+    return rounded(ranking.ranking_summary(_scored(spark, d)), 4)
+
+
+@registered(query(sql.SCORE_PLAN, """SELECT localidad, barrio, count(*) AS total_medidores, CAST(floor(avg(ire) + 0.5) AS INTEGER) AS ire_promedio, max(ire) AS ire_maximo, count(*) FILTER (n_anomalias > 0) AS con_anomalias,
+  round(avg(latitud), 6) AS latitud, round(avg(longitud), 6) AS longitud, CASE WHEN max(ire) <= 20 THEN 'Muy Bajo' WHEN max(ire) <= 40 THEN 'Bajo' WHEN max(ire) <= 60 THEN 'Medio' WHEN max(ire) <= 80 THEN 'Alto' ELSE 'Crítico' END AS nivel,
+  round(least(10 + 4 * sqrt(count(*)), 40.0), 6) AS radio FROM res GROUP BY localidad, barrio"""))
+def neighbourhood_risk(spark, d):
+    return rounded(ranking.neighbourhood_risk(_scored(spark, d)))
+
+
+@registered(query(sql.SCORE_PLAN, "SELECT coalesce(localidad, 'Sin localidad') AS localidad, max(ire) AS ire_maximo FROM res GROUP BY 1"))
+def localities(spark, d):
+    return ranking.localities(_scored(spark, d))
+
+
+@registered(query(sql.SCORE_PLAN, "SELECT suministro, lote, latitud AS lat, longitud AS lon, round(least(greatest(ire, 0), 100) / CAST(100 AS DOUBLE), 6) AS peso FROM res WHERE latitud IS NOT NULL AND longitud IS NOT NULL"))
+def heat_points(spark, d):
+    return ranking.heat_points(_scored(spark, d))
+
+
+@registered(query(sql.SCORE_PLAN, f"SELECT lote, {', '.join(f'round({e}, 6) AS {n}' for e, n in (('CAST(min(ire) AS DOUBLE)', 'minimo'), ('quantile_cont(ire, 0.5)', 'p50'), ('quantile_cont(ire, 0.95)', 'p95'), ('CAST(max(ire) AS DOUBLE)', 'maximo')))} FROM res GROUP BY lote"))
+def score_distribution(spark, d):
+    return rounded(ranking.score_distribution(_scored(spark, d), "ire"))
+
+
+@registered(query(sql.SCORE_PLAN, f"SELECT suministro, numero, lote, {r('iee')} FROM (SELECT * FROM impact WHERE iee IS NOT NULL ORDER BY round(iee, 6) DESC, numero, lote LIMIT 5)"))
+def top_iee(spark, d):
+    rows = rounded(scoring.with_iee(_vectors(spark, d)).select("suministro", "numero", "lote", "iee"))
+    return ranking.top(rows, "iee", 5)
+
+
+@registered(query(sql.SCORE_PLAN, "SELECT suministro, numero, lote, ire FROM (SELECT * FROM res ORDER BY ire DESC, numero, lote LIMIT 10)"))
+def top_risk(spark, d):
+    return ranking.top(_scored(spark, d), "ire", 10).select("suministro", "numero", "lote", "ire")
+
+
+@registered()
+def top_risk_factors(spark, d):
+    rows = ranking.top(ranking.top_factors(_scored(spark, d)), "ire", 10)
+    return rows.select("suministro", "numero", "lote", "ire", F.to_json("principales").alias("principales"))
+
+
+@registered(query(sql.SCORE_PLAN, f"SELECT lote, round(coalesce(sum(iee), 0.0), 4) + 0.0 AS total_kwh, count(*) FILTER (iee > 0) AS con_iee FROM impact GROUP BY lote"))
+def iee_report(spark, d):
+    return rounded(ranking.iee_report(scoring.with_iee(_vectors(spark, d))), 4)
+
+
+@registered(query(sql.SPARSE_VECTORS, "SELECT lote, " + ", ".join(f"count(*) FILTER (r{i + 1}) AS tipo_{i}" for i in range(6)) + ", CAST(0 AS BIGINT) AS tipo_6 FROM ruled GROUP BY lote HAVING bool_or(n_reglas_x)".replace("n_reglas_x", "r1 OR r2 OR r3 OR r4 OR r5 OR r6")))
+def anomalies_by_type(spark, d):
+    return ranking.anomalies_by_type(rules.rule_hits(_vectors(spark, d)))
+
+
+@registered(query(sql.SCORE_PLAN, """SELECT suministro, lote, ire, concat_ws(', ', CASE WHEN r2 THEN 'Caída Brusca' END, CASE WHEN r5 THEN 'Consumo Muy Alto' END, CASE WHEN r4 THEN 'Consumo Muy Bajo' END,
+  CASE WHEN r6 THEN 'Desvío Estadístico' END, CASE WHEN r3 THEN 'Incremento Brusco' END, CASE WHEN r1 THEN 'Persistencia Anómala' END) AS anomalias FROM res"""))
+def results_with_anomalies(spark, d):
+    scored = _scored(spark, d)
+    out = ranking.with_anomaly_lists(scored, rules.rule_hits(scored))
+    return out.select("suministro", "lote", "ire", F.array_join(F.transform("anomalias", lambda a: a["tipo"]), ", ").alias("anomalias"))
+
+
+# --- lists and lookups -------------------------------------------------------------
+
+
+@registered("SELECT * FROM (SELECT c_name AS numero_cliente, c_mktsegment AS segmento FROM customer WHERE c_acctbal >= 0 ORDER BY c_name LIMIT 50 OFFSET 100)")
+def list_clients(spark, d):
+    active = tables.table(spark, d, "customer").filter("c_acctbal >= 0").select(F.col("c_name").alias("numero_cliente"), F.col("c_mktsegment").alias("segmento"))
+    return ranking.page(active, [F.asc("numero_cliente")], 50, 100)
+
+
+@registered(query([BASE["sumin"]], "SELECT * FROM (SELECT suministro, numero, estado, localidad FROM sumin WHERE categoria = 'Industrial' ORDER BY numero LIMIT 50)"))
+def list_supplies(spark, d):
+    rows = tables.supplies(spark, d).filter("categoria = 'Industrial'").select("suministro", "numero", "estado", "localidad")
+    return ranking.page(rows, [F.asc("numero")])
+
+
+@registered(query([BASE["dense"]], "SELECT * FROM (SELECT suministro, lote, inicio, kwh FROM cons WHERE suministro = 7 ORDER BY inicio DESC, lote LIMIT 20 OFFSET 10)"))
+def list_consumption(spark, d):
+    return ranking.page(tables.consumption(spark, d).filter("suministro = 7").select("suministro", "lote", "inicio", "kwh"), [F.desc("inicio"), F.asc("lote")], 20, 10)
+
+
+@registered(query([BASE["dense"], BASE["lect"]], "SELECT * FROM (SELECT suministro, inicio, lectura_anterior, lectura_actual, lectura_dias FROM lect WHERE suministro = 3 ORDER BY inicio, suministro LIMIT 50)"))
+def list_readings(spark, d):
+    return ranking.page(tables.readings(tables.consumption(spark, d)).filter("suministro = 3"), [F.asc("inicio"), F.asc("suministro")])
+
+
+@registered(query([BASE["dense"], _BATCHES], "SELECT * FROM (SELECT lote, declarados FROM bat ORDER BY lote DESC LIMIT 50)"))
+def list_batches(spark, d):
+    return ranking.page(_batches(spark, d), [F.desc("lote")])
+
+
+@registered("""SELECT o_custkey, o_orderkey AS ultimo_eliminado, CAST(o_orderdate AS DATE) AS eliminado FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus = 'P') WHERE k = 1""")
+def latest_deleted(spark, d):
+    rows = tables.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate")).alias("deleted_at"))
+    return imports.latest_deleted(rows, "o_custkey", "deleted_at", "o_orderkey").select("o_custkey", F.col("o_orderkey").alias("ultimo_eliminado"), F.col("deleted_at").cast("date").alias("eliminado"))
+
+
+@registered("SELECT c_custkey, n_name AS pais, CASE WHEN n_nationkey IS NULL THEN 'categoría no encontrada' END AS motivo FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) n ON c_nationkey = n_nationkey")
+def key_lookup_rejects(spark, d):
+    directory = tables.table(spark, d, "nation").filter("n_regionkey <> 2").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("id"))
+    out = imports.look_up(tables.table(spark, d, "customer").select("c_custkey", "c_nationkey"), directory, "c_nationkey", "pais", "categoría no encontrada")
+    return out.select("c_custkey", "pais", "motivo")
+
+
+# --- imports and mutations ------------------------------------------------------------
+
+
+def _client_import(spark, d):
+    c = tables.table(spark, d, "customer")
+    k = F.col("c_custkey")
+    estado = F.when(F.col("c_acctbal") < 0, "Inactivo").otherwise("Activo")
+    stored = c.filter(k % 3 != 0).select(F.col("c_name").alias("numero_cliente"), F.col("c_mktsegment").alias("nombre"), estado.alias("estado"), (k % 7 == 0).alias("eliminado"))
+    base = c.filter(k % 2 == 0).select(F.col("c_name").alias("numero_cliente"), F.when(k % 41 == 0, " ").when(k % 5 == 0, F.concat(F.col("c_mktsegment"), F.lit(" S.A."))).otherwise(F.col("c_mktsegment")).alias("nombre"), estado.alias("estado"), k.alias("posicion"))
+    again = c.filter(k % 10 == 0).select(F.col("c_name").alias("numero_cliente"), F.concat(F.col("c_mktsegment"), F.when(k % 20 == 0, " S.A.").otherwise(" S.R.L.")).alias("nombre"), estado.alias("estado"), (k + 1_000_000_000).alias("posicion"))
+    incoming = base.unionByName(again)
+    why = imports.reasons(imports.blank(F.col("nombre"), "nombre"), imports.too_long(F.col("nombre"), 150, "nombre"), imports.not_one_of(F.col("estado"), ["Activo", "Inactivo"], "estado"))
+    return stored, incoming.withColumn("motivos", why)
+
+
+_CLIENT_IMPORT = """
+stored AS (SELECT c_name AS numero_cliente, c_mktsegment AS nombre, CASE WHEN c_acctbal < 0 THEN 'Inactivo' ELSE 'Activo' END AS estado, c_custkey % 7 = 0 AS eliminado FROM customer WHERE c_custkey % 3 <> 0),
+incoming AS (
+  SELECT c_name AS numero_cliente, CASE WHEN c_custkey % 41 = 0 THEN ' ' WHEN c_custkey % 5 = 0 THEN c_mktsegment || ' S.A.' ELSE c_mktsegment END AS nombre, CASE WHEN c_acctbal < 0 THEN 'Inactivo' ELSE 'Activo' END AS estado, c_custkey AS posicion FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT c_name, c_mktsegment || CASE WHEN c_custkey % 20 = 0 THEN ' S.A.' ELSE ' S.R.L.' END, CASE WHEN c_acctbal < 0 THEN 'Inactivo' ELSE 'Activo' END, c_custkey + 1000000000 FROM customer WHERE c_custkey % 10 = 0),
+seq AS (
+  SELECT *, lag(eliminado) OVER w AS was_gone, lag(nombre) OVER w AS pn, lag(estado) OVER w AS pe FROM (
+    SELECT numero_cliente, -1 AS posicion, nombre, estado, eliminado FROM stored UNION ALL SELECT numero_cliente, posicion, nombre, estado, false FROM incoming WHERE trim(nombre) <> '')
+  WINDOW w AS (PARTITION BY numero_cliente ORDER BY posicion)),
+outc AS (
+  SELECT numero_cliente, posicion, CASE WHEN was_gone IS NULL THEN 'created' WHEN was_gone THEN 'restored' WHEN nombre IS NOT DISTINCT FROM pn AND estado IS NOT DISTINCT FROM pe THEN 'unchanged' ELSE 'updated' END AS outcome FROM seq WHERE posicion >= 0
+  UNION ALL SELECT numero_cliente, posicion, 'rejected' FROM incoming WHERE trim(nombre) = '')"""
+
+
+@registered(query([_CLIENT_IMPORT], "SELECT numero_cliente, posicion, outcome FROM outc"))
+def merge_clients(spark, d):
+    return imports.merge_outcomes(*_client_import(spark, d), "numero_cliente", ["nombre", "estado"]).select("numero_cliente", "posicion", "outcome")
+
+
+@registered(query([_CLIENT_IMPORT], "SELECT " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in imports.OUTCOMES) + " FROM outc"))
+def merge_client_counts(spark, d):
+    return imports.import_counts(imports.merge_outcomes(*_client_import(spark, d), "numero_cliente", ["nombre", "estado"]))
+
+
+@registered(query([_CLIENT_IMPORT], """SELECT coalesce(s.numero_cliente, n.numero_cliente) AS numero_cliente, CASE WHEN n.numero_cliente IS NOT NULL THEN n.nombre ELSE s.nombre END AS nombre,
+  CASE WHEN n.numero_cliente IS NOT NULL THEN n.estado ELSE s.estado END AS estado, n.numero_cliente IS NULL AND coalesce(s.eliminado, false) AS eliminado
+  FROM stored s FULL JOIN (SELECT numero_cliente, arg_max(nombre, posicion) AS nombre, arg_max(estado, posicion) AS estado FROM incoming WHERE trim(nombre) <> '' GROUP BY 1) n ON s.numero_cliente = n.numero_cliente"""))
+def merge_clients_table(spark, d):
+    stored, incoming = _client_import(spark, d)
+    return imports.merged(stored, imports.merge_outcomes(stored, incoming, "numero_cliente", ["nombre", "estado"]), "numero_cliente", ["nombre", "estado"])
+
+
+def _consumption_import(spark, d):
+    rows = tables.consumption(spark, d)
+    code = F.col("suministro") + scalar.month_index(F.col("inicio"))
+    key = F.concat_ws("|", F.col("suministro").cast("string"), F.col("inicio").cast("string"))
+    mean = scalar.daily_mean(F.col("kwh"), F.col("dias")).cast("string")
+    stored = rows.filter(code % 4 != 0).select(key.alias("clave"), F.col("kwh").cast("string").alias("kwh"), mean.alias("media"), (code % 9 == 0).alias("eliminado"))
+    kwh = F.when(code % 6 == 0, F.col("kwh") + 1).otherwise(F.col("kwh"))
+    incoming = rows.filter(code % 2 == 0).select(key.alias("clave"), F.when(code % 22 == 0, "-1").otherwise(kwh.cast("string")).alias("kwh"), scalar.daily_mean(kwh, F.col("dias")).cast("string").alias("media"), code.cast("long").alias("posicion"))
+    return stored, incoming.withColumn("motivos", imports.reasons(scalar.numeric_reason(F.col("kwh"), "kwh")))
+
+
+@registered(query([BASE["dense"]], """, x AS (SELECT *, suministro + year(inicio) * 12 + month(inicio) AS code FROM cons)
+  SELECT count(*) FILTER (code % 22 <> 0 AND code % 4 = 0) AS created, count(*) FILTER (code % 22 <> 0 AND code % 4 <> 0 AND code % 9 <> 0 AND code % 6 = 0) AS updated,
+         count(*) FILTER (code % 22 <> 0 AND code % 4 <> 0 AND code % 9 <> 0 AND code % 6 <> 0) AS unchanged, count(*) FILTER (code % 22 <> 0 AND code % 4 <> 0 AND code % 9 = 0) AS restored,
+         count(*) FILTER (code % 22 = 0) AS rejected FROM x WHERE code % 2 = 0""").replace("\n, x AS", ", x AS"))
+def merge_consumption(spark, d):
+    return imports.import_counts(imports.merge_outcomes(*_consumption_import(spark, d), "clave", ["kwh", "media"]))
+
+
+@registered(query([BASE["dense"]], "SELECT suministro, inicio, CAST(round(CAST(kwh AS DECIMAL(12,3)) / dias, 3) AS DOUBLE) AS media FROM cons"))
+def daily_mean(spark, d):
+    return tables.consumption(spark, d).select("suministro", "inicio", scalar.daily_mean(F.col("kwh"), F.col("dias")).cast("double").alias("media"))
+
+
+@registered("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'N' ELSE o_orderstatus END AS estado FROM (SELECT DISTINCT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)
+  UNION ALL SELECT o_orderkey, 'N' FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0)""")
+def sink_upsert(spark, d):
+    rows = tables.table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("estado")).distinct()
+    return sinks.upsert(rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("N").alias("estado")).distinct(), ["o_orderkey"])
+
+
+@registered(query([BASE["dense"]], """SELECT suministro, lote, kwh, lote IN ('LOTE-1995-01', 'LOTE-1995-02') AS eliminado FROM cons
+  UNION ALL SELECT suministro, lote, kwh * 2, false FROM cons WHERE lote = 'LOTE-1995-01'"""))
+def sink_replace_batch(spark, d):
+    rows = tables.consumption(spark, d).select("suministro", "lote", "kwh")
+    batches = spark.createDataFrame([("LOTE-1995-01",), ("LOTE-1995-02",)], "lote string")
+    old = rows.withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    new = rows.filter("lote = 'LOTE-1995-01'").withColumn("kwh", F.col("kwh") * 2)
+    return sinks.replace_batch(old, new, batches, F.lit("2024-01-01").cast("timestamp")).select("suministro", "lote", "kwh", F.col("deleted_at").isNotNull().alias("eliminado"))
+
+
+@registered("SELECT o_orderkey, o_orderstatus = 'P' OR o_totalprice > 300000 AS eliminado FROM orders")
+def sink_soft_delete(spark, d):
+    rows = tables.table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate")).alias("deleted_at"))
+    return sinks.soft_delete(rows, F.col("o_totalprice") > 300000, F.lit("2024-01-01").cast("timestamp_ntz")).select("o_orderkey", F.col("deleted_at").isNotNull().alias("eliminado"))
+
+
+@registered(query([BASE["dense"], BASE["sumin"]], """SELECT nombre, version, CASE WHEN k = 1 THEN 'Activo' ELSE 'Obsoleto' END AS estado FROM (
+  SELECT nombre, version, row_number() OVER (PARTITION BY nombre ORDER BY lote DESC) AS k FROM (
+    SELECT DISTINCT 'isolation-forest-' || categoria AS nombre, lote, 'v1-' || substr(lote, 1, 16) || '-' || substr(sha256(lote), 1, 8) AS version FROM cons JOIN sumin USING (suministro)))"""))
+def model_registry(spark, d):
+    fits = tables.consumption(spark, d).join(tables.supplies(spark, d), "suministro").select("categoria", "lote").distinct()
+    return sinks.register_models(fits.select(scalar.model_name(F.col("categoria")).alias("nombre"), scalar.model_version(F.col("lote")).alias("version"), F.col("lote").alias("orden"))).drop("orden")
+
+
+@registered()
+def feature_vectors_json(spark, d):
+    return sinks.feature_vectors(_vectors(spark, d))
+
+
+# --- model ------------------------------------------------------------------------------
+
+
+def _matrix(spark, d):
+    return forest.numeric(forest.with_scope(rules.prior_anomalies(_vectors(spark, d))))
+
+
+_MATRIX = "m AS (SELECT suministro, lote, 'global' AS alcance, kwh, deviation_from_baseline, pct_change_prev_period, pct_change_yoy, stddev_consumption, CAST(prior_anomaly_count AS DOUBLE) AS prior_anomaly_count, supply_age_days FROM prior)"
+_IMPUTED = ", ".join(f"round(coalesce({c}, quantile_cont({c}, 0.5) OVER (PARTITION BY lote), 0.0), 6) + 0.0 AS {c}" for c in ("deviation_from_baseline", "pct_change_prev_period", "pct_change_yoy", "stddev_consumption"))
+
+
+@registered(query([*sql.SPARSE_VECTORS, _MATRIX], f"SELECT suministro, lote, alcance, {_IMPUTED} FROM m"))
+def impute_matrix(spark, d):
+    return rounded(forest.imputed(_matrix(spark, d)).select("suministro", "lote", "alcance", "deviation_from_baseline", "pct_change_prev_period", "pct_change_yoy", "stddev_consumption"))
+
+
+@registered(query([*sql.SPARSE_VECTORS, _MATRIX], """SELECT suministro, lote, round((prior_anomaly_count - q[2]) / CASE WHEN q[3] = q[1] THEN 1.0 ELSE q[3] - q[1] END, 6) + 0.0 AS prior_anomaly_count FROM (
+  SELECT *, quantile_cont(prior_anomaly_count, [0.25, 0.5, 0.75]) OVER (PARTITION BY lote) AS q FROM m)"""))
+def robust_scaled(spark, d):
+    return rounded(forest.robust_scaled(forest.imputed(_matrix(spark, d))).select("suministro", "lote", "prior_anomaly_count"))
+
+
+@registered()
+def forest_scores(spark, d):
+    vectors = rules.prior_anomalies(_vectors(spark, d))
+    return forest.ml_scores(vectors)
+
+
+@registered()
+def risk_index(spark, d):
+    vectors = rules.prior_anomalies(_vectors(spark, d))
+    return process.scored(vectors, forest.ml_scores(vectors), reasons=True).select("suministro", "numero", "lote", "ml_score", "iee", "ire", "nivel", "clasificacion", "n_anomalias", F.to_json("factores").alias("observaciones"))
+
+
+# --- sources ------------------------------------------------------------------------------
+
+
+@registered("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_scalar(spark, d):
+    return tables.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+
+
+@registered("SELECT event_id AS posicion, 'L' || event_id AS codigo_lote, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN CAST(event_id AS VARCHAR) END AS cantidad_registros, event_id % 5 <> 0 AND event_id % 7 <> 0 AS cantidad_registros_present, CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN 'campos desconocidos: sobra' END AS motivo FROM events WHERE event_id % 11 <> 0")
+def json_import_batches(spark, d):
+    e = tables.table(spark, d, "events").filter("event_id % 11 <> 0")
+    text = F.when(F.col("event_id") % 7 == 0, F.to_json(F.struct(F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("codigo_lote"))))
+    text = text.when(F.col("event_id") % 5 == 0, F.to_json(F.struct(F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("codigo_lote"), F.col("event_id").alias("sobra"))))
+    text = text.otherwise(F.to_json(F.struct(F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("codigo_lote"), F.col("event_id").alias("cantidad_registros"))))
+    return json_import.parse(e.select(F.col("event_id").alias("posicion"), text.alias("registro")), "lotes").select("posicion", "codigo_lote", "cantidad_registros", "cantidad_registros_present", "motivo")
+
+
+def _wide(spark, d):
+    """Suppliers as rows of the wide CSV."""
+    s = tables.table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    cell = lambda m, b: F.when(k % m == 0, "").otherwise((k * b % 97).cast("string"))
+    return s.select(
+        F.col("s_name").alias("SUMINISTRO"), F.concat(F.lit("M"), k.cast("string")).alias("MEDIDOR"), F.col("s_name").alias("TITULAR"), F.when(k % 3 == 0, F.concat(F.lit("20-"), (k % 10).cast("string"))).alias("CUIT"),
+        F.lit("Norte").alias("LOCALIDAD_RUTA"), F.concat(F.lit("B  Zona "), (k % 4).cast("string")).alias("BARRIO_RUTA"), F.lit("-34,5").alias("DMCLATITUD"), F.lit("").alias("DMCLONGITUD"),
+        cell(2, 3).alias("C_P2023B6"), cell(5, 7).alias("C_P2024B1"), cell(3, 11).alias("C_P2024B2"),
+    )
+
+
+@registered("""SELECT numero, lote, inicio, CAST(fin AS DATE) AS fin, CAST(date_diff('day', inicio, fin) + 1 AS INTEGER) AS dias, kwh FROM (
+  SELECT s_name AS numero, 'REAL-2023-B6' AS lote, DATE '2023-11-01' AS inicio, DATE '2023-12-31' AS fin, CAST(s_suppkey * 3 % 97 AS DOUBLE) AS kwh FROM supplier WHERE s_suppkey % 2 <> 0
+  UNION ALL SELECT s_name, 'REAL-2024-B1', DATE '2024-01-01', DATE '2024-02-29', CAST(s_suppkey * 7 % 97 AS DOUBLE) FROM supplier WHERE s_suppkey % 5 <> 0
+  UNION ALL SELECT s_name, 'REAL-2024-B2', DATE '2024-03-01', DATE '2024-04-30', CAST(s_suppkey * 11 % 97 AS DOUBLE) FROM supplier WHERE s_suppkey % 3 <> 0)""")
+def unpivot_periods(spark, d):
+    return wide_csv.consumption(wide_csv.meters(_wide(spark, d)))
+
+
+@registered("""SELECT CASE WHEN s_suppkey % 3 = 0 THEN '20-' || s_suppkey % 10 ELSE 'S-' || s_name END AS numero_cliente, min(s_name) AS titular, 'Norte' AS localidad, arg_min('Zona ' || s_suppkey % 4, s_name) AS barrio FROM supplier GROUP BY 1""")
+def wide_csv_clients(spark, d):
+    return wide_csv.entities(wide_csv.meters(_wide(spark, d)))["clientes"]
+
+
+@registered("""SELECT s_name AS numero, CASE WHEN s_suppkey % 3 = 0 THEN '20-' || s_suppkey % 10 ELSE 'S-' || s_name END AS numero_cliente, 'M' || s_suppkey AS medidor, 'Norte' AS localidad, 'Zona ' || s_suppkey % 4 AS barrio,
+  CAST(-34.5 AS DOUBLE) AS latitud, CASE WHEN s_suppkey % 2 <> 0 THEN DATE '2023-11-01' WHEN s_suppkey % 5 <> 0 THEN DATE '2024-01-01' ELSE DATE '2024-03-01' END AS fecha_alta
+  FROM supplier WHERE s_suppkey % 2 <> 0 OR s_suppkey % 5 <> 0 OR s_suppkey % 3 <> 0""")
+def wide_csv_supplies(spark, d):
+    return wide_csv.entities(wide_csv.meters(_wide(spark, d)))["suministros"].drop("longitud")
+
+
+@registered()
+def synthetic_consumption(spark, d):
+    n, months = synthetic.SCALES["small"]
+    return synthetic.consumption(synthetic.supplies(spark, n, months), months)
+
+
+FLAGSHIP = risk_index_no_ml

@@ -1,0 +1,5 @@
+"""The billing engine is a batch engine by design: it has no streaming operators.
+
+A stream of consumption rows can feed it with ``foreachBatch`` and the partition
+overwrite of ``operators.sinks``; nothing here pretends to more.
+"""
