@@ -180,7 +180,7 @@ def test_synthetic_data_is_the_same_under_any_partitioning(spark):
 
 
 def test_process_batches(spark, sf_dir, tmp_path):
-    rows = tables.consumption(spark, sf_dir, sparse=True).filter("inicio < '1993-01-01'") if False else tables.consumption(spark, sf_dir, sparse=True)
+    rows = tables.consumption(spark, sf_dir, sparse=True)
     names = sorted(r.lote for r in rows.select("lote").distinct().collect())[10:12]
     vectors = process.vectors(rows, tables.supplies(spark, sf_dir)).filter(F.col("lote").isin(names)).persist()
     path = str(tmp_path / "out")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from wattsift import constants as K
 from wattsift.functions.scalar import risk_class
+from wattsift.sources.shared import cut
 
 #: The model's columns, in order.
 COLUMNS = sorted((
@@ -153,6 +154,7 @@ def forest_scores(matrix: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -
 
     key = ["lote", "alcance", "part"]
     scored = dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(score, T.StructType([*(matrix.schema[c] for c in ("suministro", "lote", "alcance")), T.StructField("score", T.DoubleType())]))
+    scored = cut(scored, "forest-scores")  # it is read twice, and its plan holds the training
     offset = scored.groupBy("lote", "alcance").agg(F.percentile("score", K.CONTAMINATION).alias("__o"))
     return scored.join(offset, ["lote", "alcance"]).select("suministro", "lote", "alcance", (F.col("score") - F.col("__o")).alias("decision"))
 
@@ -161,6 +163,7 @@ def ml_scores(vectors: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -> D
     """(suministro, lote, alcance, decision, ml_score, clasificacion_ml): 0 to 100 within the batch."""
     from wattsift.operators.scoring import inverted_min_max
 
-    matrix = robust_scaled(imputed(numeric(with_scope(vectors))))
+    filled = cut(imputed(cut(numeric(with_scope(vectors)), "matrix")), "imputed")
+    matrix = cut(robust_scaled(filled), "scaled")
     out = inverted_min_max(forest_scores(matrix, trees, seed), "decision", "__s").withColumn("ml_score", F.col("__s") * 100).drop("__s")
     return out.withColumn("clasificacion_ml", risk_class(F.col("ml_score")))

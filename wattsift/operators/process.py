@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wattsift import constants as K
 from wattsift.operators import cohort, features, forest, rules, scoring, sinks
+from wattsift.sources.shared import cut
 
 PENDING, RUNNING, DONE, FAILED = "Pendiente", "Procesando", "Procesado", "Error"
 #: Allowed changes of a batch's state.
@@ -85,15 +86,13 @@ def process_batches(vector_rows: DataFrame, batches: list[str], path: str, state
                 raise
             known = spark.createDataFrame([], shape)
         prior = known.groupBy("suministro").agg(F.count(F.lit(1)).alias("prior_anomaly_count"))
-        rows = vector_rows.filter(F.col("lote") == batch).join(prior, "suministro", "left").withColumn("prior_anomaly_count", F.coalesce("prior_anomaly_count", F.lit(0))).persist()
-        result = scored(rows, forest.ml_scores(rows, trees), reasons=True).persist()
-        found = anomalies(result).persist()
-        found.count()  # read what is known before its partition is replaced
+        rows = vector_rows.filter(F.col("lote") == batch).join(prior, "suministro", "left").withColumn("prior_anomaly_count", F.coalesce("prior_anomaly_count", F.lit(0)))
+        rows = cut(rows, "batch")  # what is known is read before its partition is replaced
+        result = cut(scored(rows, forest.ml_scores(rows, trees), reasons=True), "scored")
+        found = anomalies(result)
         kept = result.select("suministro", "lote", "numero", "localidad", "barrio", "categoria", "latitud", "longitud", "ml_score", "iee", "ire", "nivel", "clasificacion", "n_anomalias", F.to_json("factores").alias("observaciones"))
         sinks.write_batches(kept, f"{path}/resultados", "lote")
         sinks.write_batches(found, f"{path}/anomalias", "lote")
-        for frame in (found, result, rows):
-            frame.unpersist()
         out[batch] = change_state(RUNNING, DONE if (valid or {}).get(batch, True) else FAILED)
     return out
 

@@ -11,6 +11,7 @@ from wattsift.operators import duplicates, features, forest, imports, process, r
 from wattsift.plans import sql
 from wattsift.plans.sql import BASE, query
 from wattsift.sources import json_import, synthetic, tables, wide_csv
+from wattsift.sources.shared import cut
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -39,7 +40,8 @@ def _history(spark: SparkSession, d: str, sparse: bool = False) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str, sparse: bool = True) -> DataFrame:
-    return process.vectors(tables.consumption(spark, d, sparse), tables.supplies(spark, d))
+    """The vector table, written once: the plans below branch from it many times."""
+    return cut(process.vectors(tables.consumption(spark, d, sparse), tables.supplies(spark, d)), "vectors")
 
 
 def _scored(spark: SparkSession, d: str, reasons: bool = False) -> DataFrame:
