@@ -30,7 +30,7 @@ from .common import ASCII_SPACE, documents, materialize
 #: Distinct digests in a segment of the index, on average.
 SEGMENT = 8192
 
-_LAST = (1 << 63) - 1
+_LAST = (1 << 63) - 1  # in place of a null doc_id: pandas would turn a column with nulls into floats
 _INDEX = "seg long, n long, pilots binary, digests binary, winner_id binary, winner_chars binary, copies binary"
 _VERDICT = "digest binary, keep_id long, group_size long"
 
@@ -86,7 +86,7 @@ def _build_segment(group: pd.DataFrame) -> pd.DataFrame:
     keys = _words(group["digest"].tolist())
     pilots, slots = build_perfect_hash(keys)
     at = np.argsort(slots)
-    column = lambda name: group[name].fillna(_LAST).to_numpy(np.int64)[at].tobytes()
+    column = lambda name: group[name].to_numpy(np.int64)[at].tobytes()
     return pd.DataFrame([{
         "seg": group["seg"].iloc[0], "n": len(group), "pilots": pilots.tobytes(), "digests": keys[at].tobytes(),
         "winner_id": column("winner_id"), "winner_chars": column("winner_chars"), "copies": column("copies"),
@@ -105,12 +105,12 @@ def _look_up(incoming: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
             slot = find_slots(keys, np.frombuffer(row["pilots"], np.int32))
             new = ~(digests[slot] == keys).all(axis=1)
             s, own = slot[~new], incoming[~new]
-            i, n = own["winner_id"].fillna(_LAST).to_numpy(np.int64), own["winner_chars"].to_numpy(np.int64)
+            i, n = own["winner_id"].to_numpy(np.int64), own["winner_chars"].to_numpy(np.int64)
             wins = (n > chars[s]) | ((n == chars[s]) & (i < ids[s]))
             ids[s], copies[s] = np.where(wins, i, ids[s]), copies[s] + own["copies"].to_numpy(np.int64)
         out.append(pd.DataFrame({"digest": [x.tobytes() for x in digests], "keep_id": ids, "group_size": copies}))
     rest = incoming[new]
-    out.append(pd.DataFrame({"digest": rest["digest"], "keep_id": rest["winner_id"].fillna(_LAST).to_numpy(np.int64), "group_size": rest["copies"]}))
+    out.append(pd.DataFrame({"digest": rest["digest"], "keep_id": rest["winner_id"].to_numpy(np.int64), "group_size": rest["copies"]}))
     found = pd.concat(out, ignore_index=True)
     found["keep_id"] = found["keep_id"].astype("Int64").mask(found["keep_id"] == _LAST)
     return found
@@ -130,7 +130,7 @@ def groups(rows: DataFrame, segments: int) -> DataFrame:
     """A row for each distinct digest, with its winner and its copies."""
     best = F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
     return rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).select(
-        F.pmod(F.xxhash64("digest"), F.lit(segments)).alias("seg"), "digest", F.col("best.id").alias("winner_id"), (-F.col("best.less")).alias("winner_chars"), "copies"
+        F.pmod(F.xxhash64("digest"), F.lit(segments)).alias("seg"), "digest", F.coalesce("best.id", F.lit(_LAST)).alias("winner_id"), (-F.col("best.less")).alias("winner_chars"), "copies"
     )
 
 
