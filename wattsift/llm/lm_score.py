@@ -270,6 +270,8 @@ _SCORED = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 def _answer(stats: Statistics) -> Callable[[pa.Table, pa.Table], pa.Table]:
     z = stats.tokens + stats.words + 1
+    start = np.flatnonzero(stats.contexts == context_of(np.array([_START]))[0])
+    begin = float(np.log10(stats.counts[start[0]] + stats.weights[start[0]])) if len(start) else 0.0
 
     def run(requests: pa.Table, model: pa.Table) -> pa.Table:
         trie = Trie(model.column("trie")[0].as_buffer()) if model.num_rows else None
@@ -280,8 +282,8 @@ def _answer(stats: Statistics) -> Callable[[pa.Table, pa.Table], pa.Table]:
             ids = np.frombuffer(docs.as_buffer(), "<i8")
             rank = trie.rank(words) if trie else np.full(len(words), -1)
             count = np.where(rank >= 0, trie.counts[rank.clip(0)], 0) if trie else np.zeros(len(words), np.int64)
-            # a word's own terms: as a token, and (but for the end) as the context of the next
-            held = np.where(words == _END, 0.0, -np.log10(count + stats.smoothing(context_of(words))))
+            # a word's own terms: as a token, and as the context of the next; for each end there is one start of a document
+            held = np.where(words == _END, -begin, -np.log10(count + stats.smoothing(context_of(words))))
             p1 = (count + 1) / z
             each = np.repeat(np.arange(len(words)), runs)
             ratio = trie.value(rank[each], contexts) if trie else np.full(len(each), np.nan)
@@ -320,11 +322,8 @@ def score(docs: DataFrame, model: DataFrame, stats: Statistics, shards: int, chu
     copied = copied.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("copy"), "trie")
     asked = docs.mapInArrow(_ask(shards, copies, chunk), _REQUEST)
     parts = asked.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(_answer(stats), _PARTIAL)
-    start = np.flatnonzero(stats.contexts == context_of(np.array([_START]))[0])
-    # each document begins with the start context once
-    begin = float(np.log10(stats.counts[start[0]] + stats.weights[start[0]])) if len(start) else 0.0
     whole = parts.groupBy("chunk").applyInArrow(_total, _SCORED)
-    return whole.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), (F.sum("score") - begin).alias("score"))
+    return whole.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, shard_chars: int = SHARD_CHARS, **training) -> DataFrame:
