@@ -60,6 +60,8 @@ class OrdinalModel:
     def above(self, text: str) -> np.ndarray:
         """P(grade > 0), P(grade > 1); the same features as ``features_of``, without those that have no weight."""
         words = set(_WORD.findall(text.lower()))
+        if not words:
+            return np.zeros(2)
         known = self.begins
         begins = Counter(b for w in words for b in (w[:4], w[:5], w[:6], w[:7]) if b in known and len(b) < len(w))
         # a short word repeats in its own slices, but those are no shorter than it
@@ -149,7 +151,7 @@ def _score(model: OrdinalModel, reject_at: float):
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
     """One row for each document: doc_id, severity (expected grade), p_toxic, grade, rejected.
 
-    Null and empty texts have no features and are clean; repeated rows are
+    Null and empty texts, and others without a word, are clean; repeated rows are
     scored each; an empty input gives an empty result; other columns are ignored.
     """
     return documents(docs, id_col, text_col).mapInArrow(_score(model, reject_at), "doc_id long, severity double, p_toxic double, grade int, rejected boolean")
