@@ -1,9 +1,11 @@
 """Byte-pair encoding of whole texts with the tokenizers library.
 
 Both vocabularies cut a text at its spaces before any merge, so the ids of a
-text are the ids of its space-separated words, joined.  ``WordCachedEncoder``
-asks the library for each distinct word once and joins remembered ids; texts
-with white space that this rule does not cover go to the library whole.
+text are the ids of its space-separated words, joined; and both cut a word
+between its letters and the punctuation that ends it.  ``WordCachedEncoder``
+asks the library for the letters of each distinct word once and joins remembered
+ids; texts with white space that this rule does not cover go to the library
+whole.
 """
 
 from __future__ import annotations
@@ -24,6 +26,19 @@ _UNEVEN = re.compile(r"\s(?:\s|\Z)|\A\s|[\x1c-\x1f\x85]")
 #: Strings one of which is in every text that _UNEVEN finds; looking for them is much faster.
 _SIGNS = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 _MARK = "\x01"
+#: Punctuation that may be cut off the end of a word of letters, up to so many characters; no apostrophe, with which contractions begin.
+_TAIL, _TAIL_CHARS = ",.;:!?&$", 3
+#: Letters below this are letters in every version of Unicode.
+_SURE = "\u0250"
+
+
+def _lowered(text: str) -> str:
+    """Lower case for a vocabulary that folds case itself, where every version of Unicode folds alike."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def vocabulary(name: str) -> str:
@@ -45,6 +60,7 @@ class WordCachedEncoder:
         self.byte_level, self.cache_words = byte_level, cache_words
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.separator = self._ids(["\n" if byte_level else _MARK])[0]
         self.cut = np.frombuffer(self.separator, "<u4")
 
@@ -79,18 +95,39 @@ class WordCachedEncoder:
             rest = [w for w in words if w[:1] != "\n"]
             for w, ids in zip(first, self._joined(first, "")):
                 known["\n" + w] = self.separator + ids
-            known.update(zip(rest, self._joined(rest, " ")))
+            self._learn_plain(rest, " ")
         else:
             odd = [w for w in words if _MARK in w]
-            plain = [w for w in words if _MARK not in w]
             known.update(zip(odd, self._ids(odd)))
-            known.update(zip(plain, self._joined(plain, "")))
+            self._learn_plain([w for w in words if _MARK not in w], "")
+
+    def _learn_plain(self, words: list[str], prefix: str) -> None:
+        """Words of letters with punctuation behind are put together from the ids of both parts."""
+        known, older, tails = self.known, self.older, self.tails
+        asked, parts = set(), []
+        for w in words:
+            core = w.rstrip(_TAIL)
+            tail = w[len(core) :]
+            if not tail or len(tail) > _TAIL_CHARS or not core.isalpha() or not (core.isascii() or max(core) < _SURE):
+                asked.add(w)
+                continue
+            parts.append((w, core, tail))
+            if core not in known:
+                if (ids := older.pop(core, None)) is not None:
+                    known[core] = ids
+                else:
+                    asked.add(core)
+            if tail not in tails:
+                tails[tail] = self._ids([tail])[0]
+        known.update(zip(asked, self._joined(list(asked), prefix)))
+        for w, core, tail in parts:
+            known[w] = known[core] + tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, whole = [], []
         for i, text in enumerate(texts):
             if not self.byte_level:
-                cut.append((i, text.replace("\n", " ").split(" ")))
+                cut.append((i, _lowered(text).replace("\n", " ").split(" ")))
             elif self._uneven(text):
                 whole.append(i)
             else:
