@@ -82,14 +82,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = F.least("m", "n")
     low = F.greatest(F.lit(0), F.col("pos") - size + 1)
     high = F.least(F.col("n"), F.col("pos") + size)
-    near = hits.select("doc_id", "item_id", "m", "item", size.alias("size"), low.alias("low"), F.slice("shingles", low + 1, high - low).alias("near"))
+    near = hits.select("doc_id", "n", "item_id", "m", "item", size.alias("size"), low.alias("low"), F.slice("shingles", low + 1, high - low).alias("near"))
     # windows with enough of the item's shingles, from running counts
     counts = near.select("*", F.expr("aggregate(near, array(0), (c, h) -> array_append(c, element_at(c, -1) + if(array_contains(item, h), 1, 0)))").alias("c"))
     need = F.ceil((F.col("m") + F.col("size")) * (threshold / (1 + threshold)) - 1e-9)
     starts = F.filter(F.sequence(F.lit(0), F.size("near") - F.col("size")), lambda s: F.get("c", s + F.col("size")) - F.get("c", s) >= need)
-    windows = counts.select("doc_id", "low", "size", "near", F.explode(starts).alias("s"))
-    windows = windows.select("doc_id", (F.col("low") + F.col("s")).alias("start"), "size", F.slice("near", F.col("s") + 1, F.col("size")).alias("__w"))
-    windows = windows.dropDuplicates(["doc_id", "start", "size", "__w"])
+    windows = counts.select("doc_id", "n", "low", "size", "near", F.explode(starts).alias("s"))
+    windows = windows.select("doc_id", "n", (F.col("low") + F.col("s")).alias("start"), "size", F.slice("near", F.col("s") + 1, F.col("size")).alias("__w"))
+    windows = windows.dropDuplicates(["doc_id", "n", "start", "size", "__w"])
     marked = windows.select("*", simhash().alias("fp"))
 
     spread = _flips(64 // BLOCKS, radius // BLOCKS)
@@ -97,10 +97,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prints = items.select("item_id", "item", "m", F.col("item").alias("__w")).select("item_id", "item", "m", simhash().alias("fp"))
     index = prints.select("item_id", "item", "m", F.col("fp").alias("item_fp"), block.alias("block", "v"))
     index = index.select("item_id", "item", "m", "item_fp", "block", F.explode(F.array(*(F.col("v").bitwiseXOR(F.lit(x)) for x in spread))).alias("value"))
-    asked = marked.select("doc_id", "start", "size", "__w", "fp", block.alias("block", "value"))
-    # a short document is one window of its own size, for items of any greater size
-    fits = (F.col("size") == F.col("m")) | (F.col("size") < F.col("m")) & (F.col("start") == 0)
-    pairs = asked.join(small(index) if total * len(spread) * BLOCKS <= 16 * broadcast_shingles else index, ["block", "value"]).filter(fits)
+    # a short document is one window of its own size, also for greater items: up to those of which it could hold enough
+    sizes = F.sequence("size", F.when(F.col("size") == F.col("n"), F.floor(F.col("size") / threshold + 1e-9).cast("int")).otherwise(F.col("size")))
+    asked = marked.select("doc_id", "start", "__w", "fp", F.explode(sizes).alias("m")).select("doc_id", "start", "__w", "fp", "m", block.alias("block", "value"))
+    pairs = asked.join(small(index) if total * len(spread) * BLOCKS <= 16 * broadcast_shingles else index, ["m", "block", "value"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = pairs.select("doc_id", "item_id", "start", "__w", "item", distance.alias("distance")).filter(F.col("distance") <= radius)
     pairs = pairs.dropDuplicates(["doc_id", "item_id", "start", "__w"])
