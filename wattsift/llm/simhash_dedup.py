@@ -18,7 +18,7 @@ Copies share a fingerprint and are one entry, so their number does not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,12 +71,13 @@ def _children(values: np.ndarray, bit: int, lo: np.ndarray, hi: np.ndarray) -> n
     return hi - (ones[hi] - ones[lo])
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, radius: int, depth: int = 0, small: int = 8, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, radius: int, depth: int = 0, small: int = 8, frontier: int = FRONTIER, known: Callable[..., np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) with a[i] and b[j] within ``radius`` bits, by going down both tries together.
 
     a and b are sorted and each agrees in its first ``depth`` bits.  With
     ``same`` they are one array, and only i < j are given.  Pairs of nodes with
-    few members are compared directly.
+    few members are compared directly.  ``known`` may mark pairs of nodes
+    (ranges al:ah of a and bl:bh of b) that need not be compared any more.
     """
     if not len(a) or not len(b):
         return
@@ -89,6 +90,8 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, radius: int, depth: i
             half = len(al) // 2
             stack += [(d, *(x[:half] for x in (al, ah, bl, bh, err))), (d, *(x[half:] for x in (al, ah, bl, bh, err)))]
             continue
+        if known is not None and len(al):
+            al, ah, bl, bh, err = (x[keep] for keep in [~known(al, ah, bl, bh)] for x in (al, ah, bl, bh, err))
         few = ((ah - al) * (bh - bl) <= small * small) if d < 64 else np.ones(len(al), bool)
         if few.any():
             n, m = (ah - al)[few], (bh - bl)[few]
@@ -234,7 +237,11 @@ BANDS = 6
 #: Least shingle hashes kept of a document, by which the similarity of two is estimated.
 SKETCH = 64
 #: Distinct fingerprints of a block from which on its documents must share a second min-wise shingle.
-BLOCK = 2048
+BLOCK = 16_384
+#: Texts of a block that are compared with all others before the trie join, and pairs compared at once.
+PIVOTS, PAIRS = 16, 4096
+#: Fills up the sketches of short texts.
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)  # fixed odd multipliers
 
@@ -261,27 +268,63 @@ def _profiles(words: int):
     return run
 
 
-def estimated_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets from their least hashes; exact if the sets are no larger than the sketches."""
-    both = np.union1d(a, b)
-    if len(a) >= SKETCH or len(b) >= SKETCH:
-        both = both[:SKETCH]
-    return np.isin(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).sum() / max(1, len(both))
+def estimated_similarities(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the sets of each pair of rows from their least hashes; exact if no set is larger than a sketch.
+
+    A row holds a sketch in rising order, filled up with ``_NONE``.
+    """
+    both = np.sort(np.concatenate([sketches[i], sketches[j]], axis=1), axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = both[:, 1:] == both[:, :-1]
+    real = both != _NONE
+    full = (sketches[i, -1] != _NONE) | (sketches[j, -1] != _NONE)
+    counted = real & (np.cumsum(real & ~again, axis=1) <= np.where(full, SKETCH, 2 * SKETCH)[:, None])
+    return (counted & again).sum(axis=1) / np.maximum(1, (counted & ~again).sum(axis=1))
 
 
 def _similar_task(radius: int, least: float):
+    """Links within a block, at most one for each text.
+
+    A few texts are compared with all others first.  In a large group of near
+    copies that joins nearly all; the trie join then passes over pairs of nodes
+    whose texts are of one component already.
+    """
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("u", ignore_index=True)
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(fp, kind="stable")
-        sketches = [np.frombuffer(rows["sketch"].iat[i], "<u8") for i in order]
-        ids, sets = rows["u"].to_numpy(np.int64)[order], _Sets(len(order))
+        fp, ids, n = fp[order], rows["u"].to_numpy(np.int64)[order], len(order)
+        sketches = np.full((n, SKETCH), _NONE)
+        for k, i in enumerate(order):
+            own = np.frombuffer(rows["sketch"].iat[i], "<u8")
+            sketches[k, : len(own)] = own
+        sets = _Sets(n)
         root = sets.root
-        for i, j in linked_pairs(fp[order], fp[order], True, radius):
-            for x, y in zip(i.tolist(), j.tolist()):
-                if root[x] != root[y] and estimated_similarity(sketches[x], sketches[y]) >= least:
-                    sets.join(np.array([x]), np.array([y]))
-        moved = np.flatnonzero(root != np.arange(len(order)))
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            for at in range(0, len(i), PAIRS):
+                x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+                open_ = root[x] != root[y]
+                x, y = x[open_], y[open_]
+                like = estimated_similarities(sketches, x, y) >= least
+                sets.join(x[like], y[like])
+
+        def known(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> np.ndarray:
+            changes = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+            return (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (root[al] == root[bl]) & ((al != bl) | (ah - al > 1))
+
+        tried = np.zeros(n, bool)
+        for _ in range(PIVOTS if n > PIVOTS else 0):
+            alone = np.flatnonzero((root == np.arange(n)) & (np.bincount(root, minlength=n) == 1) & ~tried)
+            if not len(alone):
+                break
+            tried[alone[0]] = True
+            near = np.flatnonzero(np.bitwise_count(fp ^ fp[alone[0]]) <= radius)
+            link(np.full(len(near), alone[0]), near)
+        for i, j in linked_pairs(fp, fp, True, radius, frontier=1 << 15, known=known):
+            link(i, j)
+        moved = np.flatnonzero(root != np.arange(n))
         return pd.DataFrame({"x": ids[root[moved]], "y": ids[moved]})
 
     return run
