@@ -123,3 +123,31 @@ def test_similar_groups_when_all_share_passages(spark):
     found = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
     assert {1000 + i: i for i in range(20)}.items() <= found.items()
     assert not set(range(20, 60)) & found.keys()
+
+
+def test_similar_groups_in_parts(spark, monkeypatch, tmp_path):
+    """Blocks far above the size of a part: no task holds more than two parts and the pivots, and no near copy is lost."""
+    import wattsift.llm.simhash_dedup as module
+
+    task, seen = module._similar_task, str(tmp_path / "sizes")
+
+    def watched(radius, least):
+        run = task(radius, least)
+
+        def counted(rows):
+            with open(seen, "a") as f:
+                f.write(f"{len(rows)}\n")
+            return run(rows)
+
+        return counted
+
+    monkeypatch.setattr(module, "_similar_task", watched)
+    base = [f"b{k}" for k in range(120)]
+    copies = [(i, " ".join([*base[: 2 * i], f"e{i}", *base[2 * i + 1 :]])) for i in range(60)]
+    passage = " ".join(f"c{k}" for k in range(40))
+    unlike = [(1000 + i, passage + " " + " ".join(f"d{i}x{k}" for k in range(80))) for i in range(200)]
+    near = [(5000 + i, t + " tail") for i, t in unlike]
+    found = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.createDataFrame(copies + unlike + near, "doc_id long, text string"), block=16).collect()}
+    assert {k: v for k, v in found.items() if k != v} == {i: 0 for i in range(1, 60)} | {6000 + i: 1000 + i for i in range(200)}
+    with open(seen) as f:
+        assert 16 < max(map(int, f)) < 100

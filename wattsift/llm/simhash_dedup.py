@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, slices
@@ -228,6 +228,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # fingerprints differ in some ten bits, where a trie over all documents prunes
 # almost nothing.  So the trie join runs within blocks: documents that share one
 # of a few min-wise shingles.
+#
+# No task holds a whole block that is large.  First such a block is dealt into
+# slices; each is compared within itself and with a few pivots of the block, which
+# joins most of a large group of near copies.  Then all pairs of parts of the block
+# are compared, each pair as its own task; only parts that are known to be of one
+# component, or whose texts differ too much in size, are passed over.
 
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: Error budget of the trie join within blocks; texts at a similarity of 0.8 differ in 10 bits, deviation 3.
@@ -236,8 +242,8 @@ SIMILAR_RADIUS = 18
 BANDS = 6
 #: Least shingle hashes kept of a document, by which the similarity of two is estimated.
 SKETCH = 64
-#: Distinct fingerprints of a block from which on its documents must share a second min-wise shingle.
-BLOCK = 16_384
+#: Texts of a block that one task takes whole, and of a part of a larger block (about).
+BLOCK = 4096
 #: Texts of a block that are compared with all others before the trie join, and pairs compared at once.
 PIVOTS, PAIRS = 16, 4096
 #: Fills up the sketches of short texts.
@@ -247,12 +253,12 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 def _profiles(words: int):
-    """fp, min-wise shingles and the least distinct hashes of each text."""
+    """fp, min-wise shingles, number of distinct shingles and the least hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
         for b in slices(batches):
-            fps, keys, sketches = [], [], []
+            fps, keys, sketches, sizes = [], [], [], []
             for text in b.column("text").to_pylist():
                 w = text.encode().lower().split()
                 grams = zip(*(w[i:] for i in range(words))) if len(w) > words else [w]
@@ -263,7 +269,8 @@ def _profiles(words: int):
                 mixed = [(x ^ (x >> np.uint64(29))) * m for m in _MIX[:BANDS]]
                 keys.append(np.array([(m ^ (m >> np.uint64(32))).min() ^ np.uint64(k) for k, m in enumerate(mixed)], np.uint64).view(np.int64))
                 sketches.append(x[:SKETCH].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "keys", "sketch"])
+                sizes.append(len(x))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int32())], ["doc_id", "fp", "keys", "sketch", "size"])
 
     return run
 
@@ -283,24 +290,29 @@ def estimated_similarities(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -
 
 
 def _similar_task(radius: int, least: float):
-    """Links within a block, at most one for each text.
+    """Links within a part of a block, or between two parts if some rows are ``right``; at most one for each text.
 
-    A few texts are compared with all others first.  In a large group of near
-    copies that joins nearly all; the trie join then passes over pairs of nodes
-    whose texts are of one component already.
+    Texts of one ``root`` are known to be of one component.  A few texts are
+    compared with all others first.  In a large group of near copies that joins
+    nearly all; the trie join then passes over pairs of nodes whose texts are of
+    one component already.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("u", ignore_index=True)
-        fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(fp, kind="stable")
+        fp, right = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["right"].to_numpy(bool)
+        order = np.lexsort((fp, right))
         fp, ids, n = fp[order], rows["u"].to_numpy(np.int64)[order], len(order)
+        same, shift = not right.any(), 0 if not right.any() else int((~right).sum())
         sketches = np.full((n, SKETCH), _NONE)
         for k, i in enumerate(order):
             own = np.frombuffer(rows["sketch"].iat[i], "<u8")
             sketches[k, : len(own)] = own
         sets = _Sets(n)
         root = sets.root
+        _, first, place = np.unique(rows["root"].to_numpy(np.int64)[order], return_index=True, return_inverse=True)
+        root[:] = first[place]
+        start = root.copy()
 
         def link(i: np.ndarray, j: np.ndarray) -> None:
             for at in range(0, len(i), PAIRS):
@@ -311,6 +323,7 @@ def _similar_task(radius: int, least: float):
                 sets.join(x[like], y[like])
 
         def known(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> np.ndarray:
+            bl, bh = bl + shift, bh + shift
             changes = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
             return (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (root[al] == root[bl]) & ((al != bl) | (ah - al > 1))
 
@@ -322,33 +335,75 @@ def _similar_task(radius: int, least: float):
             tried[alone[0]] = True
             near = np.flatnonzero(np.bitwise_count(fp ^ fp[alone[0]]) <= radius)
             link(np.full(len(near), alone[0]), near)
-        for i, j in linked_pairs(fp, fp, True, radius, frontier=1 << 15, known=known):
-            link(i, j)
-        moved = np.flatnonzero(root != np.arange(n))
+        a, b = (fp, fp) if same else (fp[:shift], fp[shift:])
+        for i, j in linked_pairs(a, b, same, radius, frontier=1 << 15, known=known):
+            link(i, j + shift)
+        moved = np.flatnonzero((root != start) & (start == np.arange(n)))
         return pd.DataFrame({"x": ids[root[moved]], "y": ids[moved]})
 
     return run
 
 
+def _slice(n: str, block: int) -> Column:
+    """The slice of a text when n of them are dealt into slices of about ``block``."""
+    return F.pmod(F.xxhash64("u", "key"), F.ceil(F.col(n) / block)).cast("int")
+
+
+def block_slices(large: DataFrame, block: int) -> DataFrame:
+    """(u, key, slice) of large blocks, with some pivots of a block in each of its slices."""
+    pivots = large.groupBy("key", "n", F.pmod(F.xxhash64("u"), F.lit(PIVOTS)).alias("p")).agg(F.min("u").alias("u"))
+    pivots = pivots.select("u", "key", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))).alias("slice"))
+    return large.select("u", "key", _slice("n", block).alias("slice")).union(pivots)
+
+
+def part_pairs(large: DataFrame, roots: DataFrame, block: int, similarity: float) -> DataFrame:
+    """(pair, right, u, root): the texts of each pair of parts of the blocks in (u, key, size) that can hold a new link.
+
+    A part is of one component, if enough of the block's texts are, or of the rest
+    of the block; and of one class of sizes.  The sizes of two texts of the
+    similarity differ at most by that factor, so their classes are the same or neighbours.
+    """
+    level = F.floor(F.log(F.col("size")) / -np.log(similarity - 1e-9)).cast("int")
+    texts = large.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").select("u", "key", F.coalesce("root", "u").alias("root"), level.alias("level"))
+    grown = texts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > block).select("key", "root", F.col("root").alias("of"))
+    texts = texts.join(F.broadcast(grown), ["key", "root"], "left").select("u", "key", "root", "of", "level", F.xxhash64("of", "level").alias("g"))
+    sizes = texts.groupBy("key", "g").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"), F.first("level").alias("level"))
+    texts = materialize(texts.join(F.broadcast(sizes.select("key", "g", "n")), ["key", "g"]).select("u", "key", "root", "of", "level", F.xxhash64("g", _slice("n", block)).alias("part")), "block-parts")
+    parts = texts.groupBy("key", "part").agg(F.first("of").alias("of"), F.first("level").alias("level"))
+    other = parts.select("key", *(F.col(c).alias(f"{c}2") for c in ("part", "of", "level")))
+    pairs = parts.join(other, "key").filter((F.col("part") <= F.col("part2")) & (F.abs(F.col("level") - F.col("level2")) <= 1) & ~F.coalesce(F.col("of") == F.col("of2"), F.lit(False)))
+    pairs = materialize(pairs.select("key", "part", "part2", F.xxhash64("key", "part", "part2").alias("pair")), "part-pairs")
+    left = texts.join(pairs, ["key", "part"]).select("pair", F.lit(False).alias("right"), "u", "root")
+    right = texts.join(pairs.filter("part < part2").select("key", F.col("part2").alias("part"), "pair"), ["key", "part"]).select("pair", F.lit(True).alias("right"), "u", "root")
+    return left.union(right)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, block: int = BLOCK) -> DataFrame:
     """Groups of near copies: doc_id, group_id (the smallest doc_id of the group); ids without a near copy are left out.
 
     Texts without words are one text; two rows of one doc_id are one document; rows without doc_id are left out.
     Two texts are linked if their fingerprints (over ``words``-word shingles) are
     within ``radius`` bits and their estimated similarity is not clearly below
-    ``similarity``.  Groups are the components of the links.
+    ``similarity``.  Groups are the components of the links.  A task holds about
+    two times ``block`` texts at most.
     """
-    rows = materialize(documents(docs, id_col, text_col).filter(F.col("doc_id").isNotNull()).mapInArrow(_profiles(words), "doc_id long, fp long, keys array<long>, sketch binary"), "profiles")
+    rows = materialize(documents(docs, id_col, text_col).filter(F.col("doc_id").isNotNull()).mapInArrow(_profiles(words), "doc_id long, fp long, keys array<long>, sketch binary, size int"), "profiles")
     # one row for each distinct (fingerprint, sketch), named by its smallest doc_id
-    texts = rows.groupBy("fp", F.xxhash64("sketch").alias("s")).agg(F.min("doc_id").alias("u"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"))
+    texts = rows.groupBy("fp", F.xxhash64("sketch").alias("s")).agg(F.min("doc_id").alias("u"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"), F.min("size").alias("size"))
     texts = materialize(texts, "distinct-profiles")
-    keyed = texts.select("u", "keys", F.explode("keys").alias("key"))
+    keyed = texts.select("u", "size", F.explode("keys").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block-sizes")
-    once = keyed.join(sizes, "key")
-    fine = once.filter(F.col("n") > block).select("u", F.col("key").alias("key1"), F.explode("keys").alias("key2")).filter("key1 != key2").select("u", F.xxhash64("key1", "key2").alias("key"))
-    member = once.filter(F.col("n") <= block).select("u", "key").union(fine)
-    links = member.join(texts.select("u", "fp", "sketch"), "u").groupBy("key").applyInPandas(_similar_task(radius, similarity - 0.1), "x long, y long")
-    links = materialize(links.distinct(), "similar-links")
+    member = materialize(keyed.join(sizes, "key").select("u", "size", "key", "n"), "block-members")
+    content = texts.select("u", "fp", "sketch")
+    task = _similar_task(radius, similarity - 0.1)
+    large = member.filter(F.col("n") > block)
+    first = member.filter(F.col("n") <= block).select("u", "key", F.lit(0).alias("slice")).union(block_slices(large, block))
+    first = first.select("*", F.col("u").alias("root"), F.lit(False).alias("right")).join(content, "u")
+    links = materialize(first.groupBy("key", "slice").applyInPandas(task, "x long, y long").distinct(), "similar-links")
+    if sizes.filter(F.col("n") > block).limit(1).count():
+        roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        rest = part_pairs(large, roots, block, similarity).join(content, "u").groupBy("pair").applyInPandas(task, "x long, y long")
+        links = links.union(materialize(rest.distinct(), "similar-links-of-parts"))
     roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     copies = rows.select("doc_id", "fp", F.xxhash64("sketch").alias("s")).join(texts.select("fp", F.xxhash64("sketch").alias("s"), "u"), ["fp", "s"])
     grouped = copies.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").select("doc_id", F.coalesce("root", "u").alias("group_id"), F.col("root").isNotNull().alias("linked"))
