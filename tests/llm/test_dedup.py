@@ -151,3 +151,19 @@ def test_similar_groups_in_parts(spark, monkeypatch, tmp_path):
     assert {k: v for k, v in found.items() if k != v} == {i: 0 for i in range(1, 60)} | {6000 + i: 1000 + i for i in range(200)}
     with open(seen) as f:
         assert 16 < max(map(int, f)) < 100
+
+
+def test_similar_groups_are_of_exact_similarity(spark):
+    """Pairs from 0.8 on are linked and those just below are not, for short and long texts."""
+    rows, want = [], {}
+    for n, size in enumerate([45, 60, 200, 400] * 5):
+        for near in (False, True):
+            # the tail replaces so many words that the similarity is the least from 0.8 on, or the greatest below
+            cut = max(c for c in range(size) if (size - 4 - c) / (size - 4 + c) >= 0.8) + (not near)
+            i = 10 * (2 * n + near)
+            words = [f"w{i}x{k}" for k in range(size)]
+            rows += [(i, " ".join(words)), (i + 1, " ".join(words[: size - cut] + [f"v{i}x{k}" for k in range(cut)]))]
+            if near:
+                want[i + 1] = i
+    found = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), radius=64).collect()}
+    assert {k: v for k, v in found.items() if k != v} == want

@@ -240,8 +240,9 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 SIMILAR_RADIUS = 18
 #: Min-wise shingles of a document; two documents at similarity s share none with probability (1 - s) ** BANDS.
 BANDS = 6
-#: Least shingle hashes kept of a document, by which the similarity of two is estimated.
-SKETCH = 64
+#: Least shingle hashes of a document by which pairs clearly below the similarity are passed over, and how far below the
+#: estimate may be (six deviations at 0.8); the full shingle sets decide on the others.
+SKETCH, SLACK = 64, 0.3
 #: Texts of a block that one task takes whole, and of a part of a larger block (about).
 BLOCK = 4096
 #: Texts of a block that are compared with all others before the trie join, and pairs compared at once.
@@ -252,25 +253,45 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)  # fixed odd multipliers
 
 
+def _shingles(text: str, words: int) -> np.ndarray:
+    """Hashes of all word shingles, repeats included."""
+    w = text.encode().lower().split()
+    grams = zip(*(w[i:] for i in range(words))) if len(w) > words else [w]
+    h = xxhash.xxh64_intdigest
+    return np.array([h(g, SEED) for g in map(b" ".join, grams)], np.uint64)
+
+
+def _digest(distinct: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED), np.uint64).view(np.int64))
+
+
 def _profiles(words: int):
-    """fp, min-wise shingles, number of distinct shingles and the least hashes of each text."""
+    """fp, digest of the set of shingles, their number, and the min-wise ones of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh64_intdigest
         for b in slices(batches):
-            fps, keys, sketches, sizes = [], [], [], []
+            fps, digests, keys, sizes = [], [], [], []
             for text in b.column("text").to_pylist():
-                w = text.encode().lower().split()
-                grams = zip(*(w[i:] for i in range(words))) if len(w) > words else [w]
-                x = np.array([h(g, SEED) for g in map(b" ".join, grams)], np.uint64)
+                x = _shingles(text, words)
                 ones = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
                 fps.append(np.packbits(ones * 2 > len(x)).view(">u8")[0])
                 x = np.unique(x)
+                digests.append(_digest(x))
                 mixed = [(x ^ (x >> np.uint64(29))) * m for m in _MIX[:BANDS]]
                 keys.append(np.array([(m ^ (m >> np.uint64(32))).min() ^ np.uint64(k) for k, m in enumerate(mixed)], np.uint64).view(np.int64))
-                sketches.append(x[:SKETCH].astype("<u8").tobytes())
                 sizes.append(len(x))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int32())], ["doc_id", "fp", "keys", "sketch", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "fp", "s", "keys", "size"])
+
+    return run
+
+
+def _sets_of(words: int):
+    """The distinct shingle hashes of each text, in rising order, and their digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [np.unique(_shingles(text, words)) for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(_digest, found), pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], ["u", "s", "shingles"])
 
     return run
 
@@ -289,7 +310,7 @@ def estimated_similarities(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return (counted & again).sum(axis=1) / np.maximum(1, (counted & ~again).sum(axis=1))
 
 
-def _similar_task(radius: int, least: float):
+def _similar_task(radius: int, similarity: float):
     """Links within a part of a block, or between two parts if some rows are ``right``; at most one for each text.
 
     Texts of one ``root`` are known to be of one component.  A few texts are
@@ -298,6 +319,13 @@ def _similar_task(radius: int, least: float):
     one component already.
     """
 
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        least, most = sorted((len(a), len(b)))
+        if least < similarity * most - 1e-9:
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("u", ignore_index=True)
         fp, right = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["right"].to_numpy(bool)
@@ -305,9 +333,9 @@ def _similar_task(radius: int, least: float):
         fp, ids, n = fp[order], rows["u"].to_numpy(np.int64)[order], len(order)
         same, shift = not right.any(), 0 if not right.any() else int((~right).sum())
         sketches = np.full((n, SKETCH), _NONE)
-        for k, i in enumerate(order):
-            own = np.frombuffer(rows["sketch"].iat[i], "<u8")
-            sketches[k, : len(own)] = own
+        shingles = [np.frombuffer(rows["shingles"].iat[i], "<u8") for i in order]
+        for k, own in enumerate(shingles):
+            sketches[k, : min(SKETCH, len(own))] = own[:SKETCH]
         sets = _Sets(n)
         root = sets.root
         _, first, place = np.unique(rows["root"].to_numpy(np.int64)[order], return_index=True, return_inverse=True)
@@ -319,8 +347,10 @@ def _similar_task(radius: int, least: float):
                 x, y = i[at : at + PAIRS], j[at : at + PAIRS]
                 open_ = root[x] != root[y]
                 x, y = x[open_], y[open_]
-                like = estimated_similarities(sketches, x, y) >= least
-                sets.join(x[like], y[like])
+                like = estimated_similarities(sketches, x, y) >= similarity - SLACK
+                for k in np.flatnonzero(like):
+                    if root[x[k]] != root[y[k]] and similar(shingles[x[k]], shingles[y[k]]):
+                        sets.join(x[k : k + 1], y[k : k + 1])
 
         def known(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> np.ndarray:
             bl, bh = bl + shift, bh + shift
@@ -383,19 +413,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts without words are one text; two rows of one doc_id are one document; rows without doc_id are left out.
     Two texts are linked if their fingerprints (over ``words``-word shingles) are
-    within ``radius`` bits and their estimated similarity is not clearly below
-    ``similarity``.  Groups are the components of the links.  A task holds about
+    within ``radius`` bits and the Jaccard similarity of their shingle sets is at
+    least ``similarity``.  Groups are the components of the links.  A task holds about
     two times ``block`` texts at most.
     """
-    rows = materialize(documents(docs, id_col, text_col).filter(F.col("doc_id").isNotNull()).mapInArrow(_profiles(words), "doc_id long, fp long, keys array<long>, sketch binary, size int"), "profiles")
-    # one row for each distinct (fingerprint, sketch), named by its smallest doc_id
-    texts = rows.groupBy("fp", F.xxhash64("sketch").alias("s")).agg(F.min("doc_id").alias("u"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"), F.min("size").alias("size"))
+    given = documents(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
+    rows = materialize(given.mapInArrow(_profiles(words), "doc_id long, fp long, s long, keys array<long>, size int"), "profiles")
+    # one row for each distinct set of shingles with its fingerprint, named by its smallest doc_id
+    texts = rows.groupBy("fp", "s").agg(F.min("doc_id").alias("u"), F.min("keys").alias("keys"), F.min("size").alias("size"))
     texts = materialize(texts, "distinct-profiles")
     keyed = texts.select("u", "size", F.explode("keys").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block-sizes")
     member = materialize(keyed.join(sizes, "key").select("u", "size", "key", "n"), "block-members")
-    content = texts.select("u", "fp", "sketch")
-    task = _similar_task(radius, similarity - 0.1)
+    # the full sets of the texts in blocks only
+    needed = texts.join(member.select("u").distinct(), "u", "left_semi").select("u", "s", "fp")
+    full = given.join(needed.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets_of(words), "u long, s long, shingles binary")
+    content = materialize(full.join(needed, ["u", "s"]).dropDuplicates(["u", "s", "fp"]).select("u", "fp", "shingles"), "shingle-sets")
+    task = _similar_task(radius, similarity)
     large = member.filter(F.col("n") > block)
     first = member.filter(F.col("n") <= block).select("u", "key", F.lit(0).alias("slice")).union(block_slices(large, block))
     first = first.select("*", F.col("u").alias("root"), F.lit(False).alias("right")).join(content, "u")
@@ -405,6 +439,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rest = part_pairs(large, roots, block, similarity).join(content, "u").groupBy("pair").applyInPandas(task, "x long, y long")
         links = links.union(materialize(rest.distinct(), "similar-links-of-parts"))
     roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    copies = rows.select("doc_id", "fp", F.xxhash64("sketch").alias("s")).join(texts.select("fp", F.xxhash64("sketch").alias("s"), "u"), ["fp", "s"])
+    copies = rows.select("doc_id", "fp", "s").join(texts.select("fp", "s", "u"), ["fp", "s"])
     grouped = copies.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").select("doc_id", F.coalesce("root", "u").alias("group_id"), F.col("root").isNotNull().alias("linked"))
     return grouped.filter(F.col("linked") | (F.col("doc_id") != F.col("group_id"))).select("doc_id", "group_id")
