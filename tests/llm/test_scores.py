@@ -197,3 +197,10 @@ def test_contamination_all_documents(spark, docs, doc_rows, sf_dir):
 def test_contamination_empty(spark, edge, empty):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert contamination(empty, items).count() == contamination(edge, items.limit(0)).count() == 0
+
+
+def test_main_text_behind_letters_that_grow_in_lower_case():
+    body = "<article><p>A first paragraph of some length, with words enough.</p><script>x = 1</SCRIPT><p>And a second one behind the script, as long.</p></article>"
+    want = "A first paragraph of some length, with words enough. And a second one behind the script, as long."
+    assert main_text(f"<html><head><title>İstanbul'da İKİ gün</title></head><body>{body}</body></html>") == want
+    assert main_text(f"<html><body>{body.replace('A first', 'İ first')}</body></html>") == want.replace("A first", "İ first")

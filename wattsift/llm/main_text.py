@@ -46,6 +46,7 @@ _WORDS = re.compile(
     re.I,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
@@ -74,7 +75,6 @@ def parse(page: str) -> Node:
     """A tree that forgives: unknown end tags are passed over, and open paragraphs, items and cells end where HTML ends them."""
     root = Node("html", None, False)
     node, at = root, 0
-    low = None
     articles = 0
 
     def close_to(target: Node) -> Node:
@@ -123,9 +123,8 @@ def parse(page: str) -> Node:
         child = Node(tag, node, node.skip or _left_out(tag, m[3], articles > 0))
         node.children.append(child)
         if tag in RAW:
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{tag}", at)
-            end = len(page) if end < 0 or len(low) != len(page) and not page[end : end + 2] == "</" else end
+            stop = _ENDS[tag].search(page, at)
+            end = stop.start() if stop else len(page)
             child.children.append(page[at:end])
             close = page.find(">", end)
             at = len(page) if close < 0 else close + 1
