@@ -204,3 +204,12 @@ def test_main_text_behind_letters_that_grow_in_lower_case():
     want = "A first paragraph of some length, with words enough. And a second one behind the script, as long."
     assert main_text(f"<html><head><title>İstanbul'da İKİ gün</title></head><body>{body}</body></html>") == want
     assert main_text(f"<html><body>{body.replace('A first', 'İ first')}</body></html>") == want.replace("A first", "İ first")
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "page with-header", "post-header", "menu-open", "social-article", "widget", "related"])
+def test_main_text_in_containers_with_layout_classes(name):
+    text = "A first paragraph of some length, with words enough. And a second one, as long as the first."
+    paragraphs = text.replace("enough. ", "enough.</p><p>")
+    page = f'<html><body><ul class="menu"><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul><div class="{name}"><p>{paragraphs}</p><div class="ad">Buy now</div></div></body></html>'
+    assert main_text(page) == text
+    assert main_text(page.replace("class", "id")) == text

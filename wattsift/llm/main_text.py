@@ -7,9 +7,10 @@ the greatest sum of densities is the main block.  The least density on the path
 from it up to the body is the threshold: wherever a node reaches it, the best
 subtree below that node counts as main text too.
 
-Elements that are never article text (scripts, forms, navigation, adverts,
-comments of readers and so on) are left out of the tree by tag, role and by words
-in class and id.
+Elements that are never article text (scripts, forms, navigation and so on) are
+left out of the tree by tag and role.  Elements that a whole class or id names so
+(adverts, side bars, comments of readers) are left out too, unless they hold a
+large share of the page's text: then the densities decide.
 """
 
 from __future__ import annotations
@@ -40,9 +41,11 @@ CLOSES = {
 }
 _P_STOPS = frozenset("html body table td th caption button object article section main div li ul ol dd dl blockquote aside nav header footer form fieldset figure details".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
+#: Share of the page's text from which on an element is not left out for its class or id.
+LARGE = 0.2
 _WORDS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|"
-    r"newsletter|subscri\w*|sign-?up|log-?in|comments?|comment-?list|disqus\w*|respond|replies|reply|discussion|social|share|sharing|related|recommend\w*|widget\w*|pagination|pager|toolbar|skip-?link)(?:$|[-_\s])",
+    r"(?<!\S)(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|"
+    r"newsletter|subscri\w*|sign-?up|log-?in|comments?|comment-?list|disqus\w*|respond|replies|reply|discussion|social|share|sharing|related|recommend\w*|widget\w*|pagination|pager|toolbar|skip-?link)(?!\S)",
     re.I,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
@@ -51,10 +54,10 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "skip")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "skip", "named")
 
-    def __init__(self, tag: str, parent: "Node | None", skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: "Node | None", skip: bool, named: bool = False):
+        self.tag, self.parent, self.skip, self.named = tag, parent, skip, named
         self.children: list = []  # nodes, and texts as strings
 
 
@@ -65,10 +68,20 @@ def _left_out(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes or tag in CONTENT:
         return False
-    found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in _ROLES or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    return tag not in HEADINGS and any(_WORDS.search(found[k]) for k in ("class", "id") if k in found)
+    found = _attributes(attributes)
+    return "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in _ROLES or "display:none" in found.get("style", "").replace(" ", "").lower()
+
+
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a whole class, or the id, names something other than article text."""
+    if not attributes or tag in CONTENT or tag in HEADINGS:
+        return False
+    found = _attributes(attributes)
+    return any(_WORDS.search(found[k]) for k in ("class", "id") if k in found)
+
+
+def _attributes(attributes: str) -> dict[str, str]:
+    return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
 
 
 def parse(page: str) -> Node:
@@ -120,7 +133,7 @@ def parse(page: str) -> Node:
                     node = close_to(n)
                     break
                 n = n.parent
-        child = Node(tag, node, node.skip or _left_out(tag, m[3], articles > 0))
+        child = Node(tag, node, node.skip or _left_out(tag, m[3], articles > 0), _named(tag, m[3]))
         node.children.append(child)
         if tag in RAW:
             stop = _ENDS[tag].search(page, at)
@@ -140,8 +153,26 @@ def _chars(text: str) -> int:
     return len("".join(html.unescape(text).split())) if text and not text.isspace() else 0
 
 
+def leave_out_named(root: Node) -> None:
+    """Skip the elements named as no article text that hold less than a large share of the page's text."""
+    order, stack, named = [], [root], []
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [c for c in n.children if not isinstance(c, str) and not c.skip]
+        if n.named:
+            named.append(n)
+    if not named:
+        return
+    for n in reversed(order):
+        n.chars = sum(_chars(c) if isinstance(c, str) else 0 if c.skip else c.chars for c in n.children)
+    for n in named:
+        n.skip = n.chars < LARGE * root.chars
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in counts, densities and density sums; the kept nodes, children before parents."""
+    leave_out_named(root)
     order, stack = [], [root]
     while stack:
         n = stack.pop()
