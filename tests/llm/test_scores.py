@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -13,7 +15,7 @@ from wattsift.llm.decontaminate import contamination
 from wattsift.llm.elias_fano import EliasFano, Trie
 from wattsift.llm.lm_score import HEAD_SHARE, WEIGHT, lm_scores
 from wattsift.llm.main_text import extract_main_text, main_text
-from wattsift.llm.secrets import find_secrets
+from wattsift.llm.secrets import base_spans, find_secrets, novel_spans
 from wattsift.llm.toxicity import score, toxicity, train
 
 
@@ -213,3 +215,18 @@ def test_main_text_in_containers_with_layout_classes(name):
     page = f'<html><body><ul class="menu"><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul><div class="{name}"><p>{paragraphs}</p><div class="ad">Buy now</div></div></body></html>'
     assert main_text(page) == text
     assert main_text(page.replace("class", "id")) == text
+
+
+def test_every_string_near_a_sensitive_word_is_measured():
+    def found(text):
+        return [text[s:e] for s, _, e in novel_spans(text, base_spans(text))]
+
+    r = random.Random(5)
+    key = "kJ8s9Qz2LpX7vB4nTtY1mW6e"
+    lines = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(64)) for _ in range(20)]
+    assert found(f'secret for AuthenticationManager "{key}"') == [key]
+    assert found(f"private key:\n{key}") == [key]
+    assert found(f"auth header, {'and other words ' * 8}{key}") == [key]
+    assert found(f"{key} is the secret") == [key]
+    assert found("-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----") == lines
+    assert found(f"secret {'and other words ' * 30}{key}") == []

@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and strings that a primed compressor finds new.
 
 Patterns (kinds ``assign``, ``access``, ``hex``) give the base spans.  The method
-adds kind ``novel``: behind a sensitive word, a string of key characters is a
-candidate.  Zstandard, primed with a dictionary of code and identifiers, packs
+adds kind ``novel``: near a sensitive word, each string of key characters with
+letters and digits is a candidate, on other lines too; strings that follow one
+another with only white space between, as in a PEM body, are near if one is.  Zstandard, primed with a dictionary of code and identifiers, packs
 the code around the candidate with and without it; the difference is the
 candidate's marginal size.  Names, paths and words in use nearby cost little;
 random keys cost nearly all of their bytes, and are reported.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,12 +34,13 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 8, 16, 32
 
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")  # the greedy matches of HEX that are kept
 _ASSIGN_SIGNS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_SENSITIVE = re.compile(r"(?ai:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|bearer|private[_-]?key|signature)[^\n]{0,48}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})")
+_SENSITIVE = re.compile(r"(?ai:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|bearer|private[_-]?key|private key|signature)")
+_KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _SENSITIVE_SIGNS = ("passw", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "signature")
 
-#: Characters of code on each side of a candidate that count as its surroundings.
+#: Characters of code on each side of a candidate that count as its surroundings; a sensitive word must be as near.
 AROUND = 256
-#: Least marginal bytes per byte of a reported candidate.
+#: Least marginal bytes of a reported candidate, for each that a random string takes.
 NOVELTY = 0.85
 #: What the compressor knows beforehand: words of code and of configuration.
 DICTIONARY = (
@@ -57,11 +60,27 @@ def _compressor(dictionary: str) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False)
 
 
+def random_like(candidate: str) -> str:
+    """A string of the same length and kinds of characters, drawn from the candidate's SHA-512."""
+    kinds = ("0123456789abcdef",) if not candidate.strip("0123456789abcdef") else ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    draws = hashlib.shake_256(candidate.encode()).digest(2 * len(candidate))
+    out = []
+    for k, c in enumerate(candidate):
+        kind = next((x for x in kinds if c in x), c)
+        out.append(kind[int.from_bytes(draws[2 * k : 2 * k + 2]) % len(kind)])
+    return "".join(out)
+
+
 def novelty(before: str, candidate: str, after: str, dictionary: str = DICTIONARY) -> float:
-    """Marginal compressed bytes of the candidate in its surroundings, for each of its bytes."""
+    """Marginal compressed bytes of the candidate in its surroundings, for each byte that a random string of its kind takes there (at most its own bytes).
+
+    In long surroundings the compressor packs any letters into some six bits, random ones too.
+    """
     packed = _compressor(dictionary).compress
     around = (before + "\n" + after + "\n").encode()
-    return (len(packed(around + candidate.encode())) - len(packed(around))) / max(1, len(candidate.encode()))
+    least = len(packed(around))
+    of = lambda x: len(packed(around + x.encode())) - least
+    return of(candidate) / max(1, min(len(candidate.encode()), of(random_like(candidate))))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -75,14 +94,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def near_runs(text: str, signs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Strings of key characters within ``AROUND`` of one of the sorted signs, and those that adjoin such a string."""
+    runs = [m.span() for m in _KEY_RUN.finditer(text)]
+    ends, near = [e for _, e in signs], []
+    for s, e in runs:
+        k = bisect_left(ends, s - AROUND)
+        near.append(k < len(signs) and signs[k][0] <= e + AROUND)
+    for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+        step = order.step
+        for k in order:
+            a, b = sorted((k, k - step))
+            if near[k - step] and not near[k] and text[runs[a][1] : runs[b][0]].isspace():
+                near[k] = True
+    return [r for r, ok in zip(runs, near) if ok]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: str = DICTIONARY, least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Candidates behind a sensitive word that the primed compressor cannot shorten and no base span touches."""
+    """Candidates near a sensitive word that the primed compressor cannot shorten and no base span touches."""
     low, out = text.lower(), []
     if not any(s in low for s in _SENSITIVE_SIGNS):
         return out
-    for m in _SENSITIVE.finditer(text):
-        s, e = m.span(1)
-        word = m[1]
+    signs = [m.span() for m in _SENSITIVE.finditer(text)]
+    if not signs:
+        return out
+    for s, e in near_runs(text, signs):
+        word = text[s:e]
         mixed = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
         if mixed and not any(s < x[2] and x[0] < e for x in base) and novelty(text[max(0, s - AROUND) : s], word, text[e : e + AROUND], dictionary) >= least:
             out.append((s, 3, e))
