@@ -8,15 +8,14 @@ from conftest import crc
 
 from wattsift.llm.packing import best_fit_decreasing, pack, padded_length
 from wattsift.llm.token_blocks import encode_segment, read_range, read_token_blocks, write_token_blocks
-from wattsift.llm.token_counts import count_tokens, document_lengths, flat_files
-from wattsift.llm.tokens import BYTE_BPE, WORD_BPE, WordCachedEncoder, vocabulary
+from wattsift.llm.token_counts import count_tokens, document_lengths, flat_files, id_type
+from wattsift.llm.tokens import BYTE_BPE, WORD_BPE, CachedEncoder, vocabulary
 
 
 def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -24,7 +23,7 @@ def library(name):
 def test_cached_encoder_is_the_library(name, byte_level, doc_rows, rows):
     odd = ["Don't, STOP.. é, É! ÀB, x&&&& y&& 3,5. a., 'S, ß. Σας. İx, <|endoftext|>.", "a\n\nb,\n c.", "\x01 a", "ªº. ²a, é, e̸= .,. ,a, $.", " a", "a ", " x  y"]
     texts, encode = odd + [t for _, t in doc_rows + rows], library(name)
-    encoder = WordCachedEncoder(vocabulary(name), byte_level, cache_words=3000)
+    encoder = CachedEncoder(vocabulary(name), byte_level, cache_words=3000)
     got = [x for i in range(0, len(texts), 40) for x in encoder.encode(texts[i : i + 40])]
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encode(t) for t in texts]
 
@@ -47,8 +46,9 @@ def test_outliers_are_exceptions():
     assert len(encode_segment(ids)) < 1280
 
 
-@pytest.mark.parametrize("segment_ids", [7, 1 << 18])
-def test_token_blocks(edge, rows, segment_ids):
+@pytest.mark.parametrize("segment_ids, table", [(7, "edge"), (1 << 18, "edge"), (5000, "documents")])
+def test_token_blocks(edge, rows, docs, doc_rows, segment_ids, table):
+    edge, rows = (edge, rows) if table == "edge" else (docs, doc_rows)
     encode, at, want = library(WORD_BPE), 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         ids = [*encode(t), 1]
@@ -62,12 +62,13 @@ def test_empty_tables(empty):
     assert read_token_blocks(write_token_blocks(empty)).count() == pack(empty).count() == count_tokens(empty).count() == 0
 
 
-@pytest.mark.parametrize("group", [3, 16_384])
-def test_packing(edge, rows, group):
+@pytest.mark.parametrize("group, table", [(3, "edge"), (16_384, "edge"), (64, "documents")])
+def test_packing(edge, rows, docs, doc_rows, group, table):
+    edge, rows = (edge, rows) if table == "edge" else (docs, doc_rows)
     encode = library(BYTE_BPE)
     pieces = pack(edge, group=group, with_ids=True).collect()
     want = sorted((repr(i), tuple([*encode(t), 0])) for i, t in rows)
-    if group > 3:
+    if group > 100:
         assert len({p["sequence_id"] for p in pieces}) <= sum(len(t) for _, t in want) // 1024 + 2
     sequences = defaultdict(list)
     for p in pieces:
@@ -97,17 +98,29 @@ def test_best_fit_takes_the_tightest_window():
     assert [padded_length(n) for n in (1, 3, 512, 700, 1024)] == [1, 1024, 512, 1024, 1024]
 
 
-@pytest.mark.parametrize("block_ids", [5, 1 << 18])
-def test_token_counts(edge, rows, block_ids):
+@pytest.mark.parametrize("block_ids, table", [(5, "edge"), (1 << 18, "edge"), (1000, "documents")])
+def test_token_counts(edge, rows, docs, doc_rows, block_ids, table):
+    edge, rows = (edge, rows) if table == "edge" else (docs, doc_rows)
     encode = library(BYTE_BPE)
     want = sorted((repr(i), len(encode(t)) + 1) for i, t in rows)
     assert sorted((repr(r["doc_id"]), r["n_tokens"]) for r in count_tokens(edge, block_ids=block_ids).collect()) == want
 
 
-def test_separator_scan_of_raw_files(spark, tmp_path):
+@pytest.mark.parametrize("end_id", [50_257, 70_000])
+def test_separator_scan_of_raw_files(spark, tmp_path, end_id):
     lengths = np.random.default_rng(5).integers(1, 300, 200)
-    ids = np.ones(lengths.sum(), "<u2")
-    ids[np.cumsum(lengths) - 1] = 50_256
+    ids = np.ones(lengths.sum(), id_type(end_id))
+    ids[np.cumsum(lengths) - 1] = end_id
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
-    found = document_lengths(flat_files(spark, f"file://{tmp_path}/*.bin", block_ids=37)).orderBy("ordinal").collect()
+    found = document_lengths(flat_files(spark, f"file://{tmp_path}/*.bin", end_id, block_ids=37), end_id).orderBy("ordinal").collect()
     assert [r["n_tokens"] for r in found] == lengths.tolist()
+
+
+def test_an_end_id_that_texts_have_is_refused(edge):
+    with pytest.raises(Exception, match="end id"):
+        count_tokens(edge, end_id=300)
+
+
+def test_token_counts_with_wide_ids(edge, rows):
+    encode = library(BYTE_BPE)
+    assert sorted(r["n_tokens"] for r in count_tokens(edge, end_id=1 << 20).collect()) == sorted(len(encode(t)) + 1 for _, t in rows)

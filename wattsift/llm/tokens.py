@@ -1,35 +1,49 @@
 """Byte-pair encoding of whole texts with the tokenizers library.
 
 Both vocabularies cut a text at its spaces before any merge, so the ids of a
-text are the ids of its space-separated words, joined; and both cut a word
-between its letters and the punctuation that ends it.  ``WordCachedEncoder``
-asks the library for the letters of each distinct word once and joins remembered
-ids; texts with white space that this rule does not cover go to the library
-whole.
+text are the ids of its space-separated words, joined; and both cut a word into
+runs of letters, of digits and of other signs.  ``CachedEncoder`` cuts words of
+ASCII and Latin letters by the same pattern, asks the library's model for each
+distinct run once, and remembers the ids of words.  All that this rule does not
+cover goes to the library whole: words with other signs, texts with white space
+about which patterns differ, and texts with a special token's string.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain, filterfalse
-
-import numpy as np
+from string import punctuation
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Remembered words per worker; beyond it the memory starts anew.
 CACHE_WORDS = 500_000
 
+#: With which the strings of special tokens begin.
+_SPECIAL = "<|"
 #: White space that the byte-level pattern may join across our cuts.
 _UNEVEN = re.compile(r"\s(?:\s|\Z)|\A\s|[\x1c-\x1f\x85]")
 #: Strings one of which is in every text that _UNEVEN finds; looking for them is much faster.
 _SIGNS = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
-_MARK = "\x01"
-#: Punctuation that may be cut off the end of a word of letters, up to so many characters; no apostrophe, with which contractions begin.
-_TAIL, _TAIL_CHARS = ",.;:!?&$", 3
-#: Letters below this are letters in every version of Unicode.
-_SURE = "\u0250"
+#: Letters beyond ASCII that are letters in every version of Unicode, in both cases.
+_LETTERS = "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha() and c.lower() < "\u0250")
+#: Words that are cut into runs here.
+_PLAIN = re.compile(f"[!-~{_LETTERS}]+")
+# How the vocabularies cut such words.
+_WORD_RUNS = re.compile(f"[a-z{_LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-z0-9{_LETTERS}]+")
+_BYTE_RUNS = re.compile(f" ?[A-Za-z{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^ A-Za-z0-9{_LETTERS}]+")
+
+
+def _byte_signs() -> str:
+    """The sign that stands for each byte in byte-level vocabularies: itself if it can be seen, else one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return "".join(chr(b if b in seen else next(hidden)) for b in range(256))
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 def _lowered(text: str) -> str:
@@ -48,107 +62,94 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordCachedEncoder:
-    """``encode(texts)`` gives, for each text, its ids as little-endian uint32 bytes."""
+def first_free_id(path: str) -> int:
+    """The first id behind a vocabulary: no text has it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
+class _Words(dict):
+    """Ids of words; on the byte level one that begins with a line feed follows it, and any other follows a space."""
+
+    def __init__(self, library, byte_level: bool):
+        super().__init__()
+        self.library, self.model, self.byte_level = library, library.model.tokenize, byte_level
+        self.space = _BYTE_SIGNS[32] if byte_level else ""
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.line = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self._learn(word)
+        self[word] = ids
+        return ids
+
+    def _run(self, signs: str) -> bytes:
+        return array("I", [t.id for t in self.model(signs)]).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        line = self.byte_level and word[:1] == "\n"
+        rest = word[1:] if line else word
+        letters = rest.rstrip(punctuation)
+        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
+            if tail := rest[len(letters) :]:  # signs behind letters are one run
+                if tail not in self.tails:
+                    self.tails[tail] = self._run(tail)
+                return self[word[: len(word) - len(tail)]] + self.tails[tail]
+            signs = letters if self.byte_level else letters.lower()
+            if not signs.isascii():
+                signs = signs.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            return self.line + self._run(signs) if line else self._run(self.space + signs)
+        if self.byte_level and not line:
+            rest = " " + rest
+        if not _PLAIN.fullmatch(rest, rest[:1] == " "):
+            ids = self.whole(rest)
+        else:
+            runs = _BYTE_RUNS.findall(rest) if self.byte_level else _WORD_RUNS.findall(rest.lower())
+            ids = b"".join(self._run(x.encode().decode("latin-1").translate(_BYTE_SIGNS)) for x in runs)
+        return self.line + ids if line else ids
+
+    def forget(self, most: int) -> None:
+        """Of two generations the older one goes when the newer one is full."""
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
+            self.tails.clear()
+
+
+class CachedEncoder:
+    """``encode(texts)`` gives, for each text, its ids as little-endian uint32 bytes: those of ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str, byte_level: bool, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.byte_level, self.cache_words = byte_level, cache_words
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.separator = self._ids(["\n" if byte_level else _MARK])[0]
-        self.cut = np.frombuffer(self.separator, "<u4")
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joined(self, words: list[str], prefix: str) -> list[bytes]:
-        """Ids of each of ``prefix + word``, from one text in which a separator stands between them."""
-        if not words:
-            return []
-        if len(self.cut) == 1:
-            glue = "\n" if self.byte_level else f" {_MARK} "
-            ids = np.frombuffer(self._ids([glue.join(prefix + w for w in words)])[0], "<u4")
-            at = np.flatnonzero(ids == self.cut[0])
-            if len(at) == len(words) - 1:
-                starts, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
-                return [ids[s:e].tobytes() for s, e in zip(starts, ends)]
-        return self._ids([prefix + w for w in words])
+        self.words = _Words(Tokenizer.from_file(path), byte_level)
 
     def _uneven(self, text: str) -> bool:
         return not text or text[-1] in " \n" or text[0] in " \n" or (any(x in text for x in _SIGNS) and bool(_UNEVEN.search(text)))
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember ids; of two generations the older one goes when the newer one is full."""
-        known, older = self.known, self.older
-        if old := words & older.keys():
-            for w in old:
-                known[w] = older.pop(w)
-            words = words - old
-        if self.byte_level:
-            first = [w[1:] for w in words if w[:1] == "\n"]
-            rest = [w for w in words if w[:1] != "\n"]
-            for w, ids in zip(first, self._joined(first, "")):
-                known["\n" + w] = self.separator + ids
-            self._learn_plain(rest, " ")
-        else:
-            odd = [w for w in words if _MARK in w]
-            known.update(zip(odd, self._ids(odd)))
-            self._learn_plain([w for w in words if _MARK not in w], "")
-
-    def _learn_plain(self, words: list[str], prefix: str) -> None:
-        """Words of letters with punctuation behind are put together from the ids of both parts."""
-        known, older, tails = self.known, self.older, self.tails
-        asked, parts = set(), []
-        for w in words:
-            core = w.rstrip(_TAIL)
-            tail = w[len(core) :]
-            if not tail or len(tail) > _TAIL_CHARS or not core.isalpha() or not (core.isascii() or max(core) < _SURE):
-                asked.add(w)
-                continue
-            parts.append((w, core, tail))
-            if core not in known:
-                if (ids := older.pop(core, None)) is not None:
-                    known[core] = ids
-                else:
-                    asked.add(core)
-            if tail not in tails:
-                tails[tail] = self._ids([tail])[0]
-        known.update(zip(asked, self._joined(list(asked), prefix)))
-        for w, core, tail in parts:
-            known[w] = known[core] + tails[tail]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, whole = [], []
-        for i, text in enumerate(texts):
-            if not self.byte_level:
-                cut.append((i, _lowered(text).replace("\n", " ").split(" ")))
-            elif self._uneven(text):
-                whole.append(i)
-            else:
-                cut.append((i, ("\n" + text).replace("\n", " \n")[1:].split(" ")))
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        skip = len(self.separator) if self.byte_level else 0
-        for a in range(0, len(cut), 64):
-            some = cut[a : a + 64]
-            if len(self.known) > self.cache_words:
-                self.known, self.older = {}, self.known
-            if new := set(filterfalse(self.known.__contains__, chain.from_iterable(w for _, w in some))):
-                self._learn(new)
-            get = self.known.__getitem__
-            for i, w in some:
-                out[i] = b"".join(map(get, w))[skip:]
-        return out
+        return list(map(self._encode, texts))
+
+    def _encode(self, text: str) -> bytes:
+        words = self.words
+        words.forget(self.cache_words)
+        if _SPECIAL in text or (self.byte_level and self._uneven(text)):
+            return words.whole(text)
+        if self.byte_level:  # as if a line feed stood before the text
+            return b"".join(map(words.__getitem__, ("\n" + text).replace("\n", " \n")[1:].split(" ")))[len(words.line) :]
+        return b"".join(map(words.__getitem__, _lowered(text).replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, byte_level: bool) -> WordCachedEncoder:
+def encoder(path: str, byte_level: bool) -> CachedEncoder:
     """One encoder per worker process, shared by the tasks that run in it."""
-    return WordCachedEncoder(path, byte_level)
+    return CachedEncoder(path, byte_level)
