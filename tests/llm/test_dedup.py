@@ -147,7 +147,7 @@ def test_similar_groups_in_parts(spark, monkeypatch, tmp_path):
     passage = " ".join(f"c{k}" for k in range(40))
     unlike = [(1000 + i, passage + " " + " ".join(f"d{i}x{k}" for k in range(80))) for i in range(200)]
     near = [(5000 + i, t + " tail") for i, t in unlike]
-    found = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.createDataFrame(copies + unlike + near, "doc_id long, text string"), block=16).collect()}
+    found = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.createDataFrame(copies + unlike + near, "doc_id long, text string"), block=16, dealt=16).collect()}
     assert {k: v for k, v in found.items() if k != v} == {i: 0 for i in range(1, 60)} | {6000 + i: 1000 + i for i in range(200)}
     with open(seen) as f:
         assert 16 < max(map(int, f)) < 100

@@ -19,6 +19,7 @@ Copies share a fingerprint and are one entry, so their number does not matter.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ from .common import documents, materialize, slices
 from .components import connected_components
 
 SEED, RADIUS, WORDS = 42, 2, 3
-#: Distinct fingerprints in a leaf of the distributed part of the trie, at most (but for depth 62).
-NODE_SIZE = 4096
+#: Distinct fingerprints in a leaf of the distributed part of the trie, at most: at depth 62 there are no more than 4.
+NODE_SIZE, DEEPEST = 4096, 62
 #: Node pairs that one step of a task holds at once.
 FRONTIER = 1 << 19
 
@@ -156,16 +157,30 @@ def _link_task(radius: int):
 
 
 def _leaves(fps: DataFrame, node_size: int, n: int) -> DataFrame:
-    """(fp, depth, node): the leaf of the trie's upper part in which each distinct fingerprint lies."""
+    """(fp, depth, node): the leaf of the trie's upper part in which each distinct fingerprint lies.
+
+    Some levels are tried at once; fingerprints whose node is too large at the last of them go on to the next levels.
+    """
     first = 0
     while n > node_size << first:
         first += 2
-    depths = list(range(first, min(62, first + 16) + 1, 2))
     prefix = lambda d: F.shiftrightunsigned("fp", 64 - d) if d else F.lit(0).cast("long")
-    at = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(d).alias("node")) for d in depths))).alias("n")).select("fp", "n.depth", "n.node")
-    counts = at.groupBy("depth", "node").agg(F.count(F.lit(1)).alias("size"))
-    fits = counts.filter((F.col("size") <= node_size) | (F.col("depth") == depths[-1])).select("depth", "node")
-    return at.join(fits, ["depth", "node"]).groupBy("fp").agg(F.min(F.struct("depth", "node")).alias("leaf")).select("fp", "leaf.depth", "leaf.node")
+    rest, found = fps, []
+    while True:
+        depths = list(range(first, min(DEEPEST, first + 8) + 1, 2))
+        at = rest.select("fp", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(d).alias("node")) for d in depths))).alias("n")).select("fp", "n.depth", "n.node")
+        counts = at.groupBy("depth", "node").agg(F.count(F.lit(1)).alias("size"))
+        fits = counts.filter((F.col("size") <= node_size) | (F.col("depth") == DEEPEST)).select("depth", "node")
+        found.append(at.join(fits, ["depth", "node"]).groupBy("fp").agg(F.min(F.struct("depth", "node")).alias("leaf")).select("fp", "leaf.depth", "leaf.node"))
+        last = depths[-1]
+        if last >= DEEPEST:
+            break
+        large = materialize(counts.filter((F.col("depth") == last) & (F.col("size") > node_size)).select("node"), "trie-large-nodes")
+        if not large.limit(1).count():
+            break
+        rest = materialize(rest.join(large, prefix(last) == F.col("node"), "left_semi"), "trie-rest")
+        first = last + 2
+    return reduce(DataFrame.union, found)
 
 
 def _flips(width: int, radius: int) -> list[int]:
@@ -226,8 +241,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # Near copies of a given similarity.  At a similarity of 0.8 two 64-bit
 # fingerprints differ in some ten bits, where a trie over all documents prunes
-# almost nothing.  So the trie join runs within blocks: documents that share one
-# of a few min-wise shingles.
+# almost nothing.  So the trie join runs within blocks: documents that share the
+# three min-wise shingles of one of 15 bands.
+#
+# The first bands are compared first.  They link nearly all that is similar, and
+# blocks of the other bands whose texts are all of one component then are passed
+# over.
 #
 # No task holds a whole block that is large.  First such a block is dealt into
 # slices; each is compared within itself and with a few pivots of the block, which
@@ -237,20 +256,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: Error budget of the trie join within blocks; texts at a similarity of 0.8 differ in 10 bits, deviation 3.
-SIMILAR_RADIUS = 18
-#: Min-wise shingles of a document; two documents at similarity s share none with probability (1 - s) ** BANDS.
-BANDS = 6
+SIMILAR_RADIUS = 22
+#: Bands of min-wise shingles, and shingles in each: at similarity s two texts share none with probability (1 - s ** ROWS) ** BANDS (2e-5 at 0.8).
+BANDS, ROWS = 15, 3
+#: Bands that are compared first.
+FIRST_BANDS = 4
 #: Least shingle hashes of a document by which pairs clearly below the similarity are passed over, and how far below the
 #: estimate may be (six deviations at 0.8); the full shingle sets decide on the others.
 SKETCH, SLACK = 64, 0.3
 #: Texts of a block that one task takes whole, and of a part of a larger block (about).
-BLOCK = 4096
+BLOCK = 2048
+#: Texts that one task takes from small blocks, about.
+DEALT = 1024
 #: Texts of a block that are compared with all others before the trie join, and pairs compared at once.
 PIVOTS, PAIRS = 16, 4096
+#: Shingles that are hashed for the bands at once.
+_AT_ONCE = 4096
 #: Fills up the sketches of short texts.
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)  # fixed odd multipliers
+_MIX = np.array([xxhash.xxh64_intdigest(f"band {k}") | 1 for k in range(BANDS * ROWS)], np.uint64)  # odd multipliers
 
 
 def _shingles(text: str, words: int) -> np.ndarray:
@@ -265,8 +290,19 @@ def _digest(distinct: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED), np.uint64).view(np.int64))
 
 
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of the min-wise shingles of its rows."""
+    least = np.full(len(_MIX), _NONE)
+    for start in range(0, len(distinct), _AT_ONCE):
+        x = distinct[start : start + _AT_ONCE]
+        mixed = (x ^ (x >> np.uint64(29)))[:, None] * _MIX
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    rows = least.astype("<u8").reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
 def _profiles(words: int):
-    """fp, digest of the set of shingles, their number, and the min-wise ones of each text."""
+    """fp, digest of the set of shingles, their number, and the keys of the bands of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -277,8 +313,7 @@ def _profiles(words: int):
                 fps.append(np.packbits(ones * 2 > len(x)).view(">u8")[0])
                 x = np.unique(x)
                 digests.append(_digest(x))
-                mixed = [(x ^ (x >> np.uint64(29))) * m for m in _MIX[:BANDS]]
-                keys.append(np.array([(m ^ (m >> np.uint64(32))).min() ^ np.uint64(k) for k, m in enumerate(mixed)], np.uint64).view(np.int64))
+                keys.append(band_keys(x))
                 sizes.append(len(x))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "fp", "s", "keys", "size"])
 
@@ -310,66 +345,97 @@ def estimated_similarities(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return (counted & again).sum(axis=1) / np.maximum(1, (counted & ~again).sum(axis=1))
 
 
-def _similar_task(radius: int, similarity: float):
-    """Links within a part of a block, or between two parts if some rows are ``right``; at most one for each text.
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets of hashes is at least so much."""
+    least, most = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
+    if least < similarity * most - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
-    Texts of one ``root`` are known to be of one component.  A few texts are
-    compared with all others first.  In a large group of near copies that joins
-    nearly all; the trie join then passes over pairs of nodes whose texts are of
-    one component already.
+
+def _link_few(fp: np.ndarray, root: np.ndarray, sets: list[np.ndarray], right: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Roots after all pairs of a few texts are compared."""
+    root = root.copy()
+    cross = right.any()
+    for j in range(1, len(fp)):
+        for i in range(j):
+            if root[i] != root[j] and (not cross or right[i] != right[j]) and int(fp[i] ^ fp[j]).bit_count() <= radius and similar(sets[i], sets[j], similarity):
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
+    return root
+
+
+def _link_many(fp: np.ndarray, root: np.ndarray, shingles: list[np.ndarray], right: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """The same for many texts, ordered by (right, fp), by the trie join.
+
+    A few texts are compared with all others first.  In a large group of near
+    copies that joins nearly all; the trie join then passes over pairs of nodes
+    whose texts are of one component already.
     """
+    n = len(fp)
+    same, shift = not right.any(), 0 if not right.any() else int((~right).sum())
+    sketches = np.full((n, SKETCH), _NONE)
+    for k, own in enumerate(shingles):
+        sketches[k, : min(SKETCH, len(own))] = own[:SKETCH]
+    sets = _Sets(n)
+    sets.root[:] = root
+    root = sets.root
+
+    def link(i: np.ndarray, j: np.ndarray) -> None:
+        for at in range(0, len(i), PAIRS):
+            x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+            open_ = root[x] != root[y]
+            x, y = x[open_], y[open_]
+            like = estimated_similarities(sketches, x, y) >= similarity - SLACK
+            for k in np.flatnonzero(like):
+                if root[x[k]] != root[y[k]] and similar(shingles[x[k]], shingles[y[k]], similarity):
+                    sets.join(x[k : k + 1], y[k : k + 1])
+
+    def known(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> np.ndarray:
+        bl, bh = bl + shift, bh + shift
+        changes = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+        return (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (root[al] == root[bl]) & ((al != bl) | (ah - al > 1))
+
+    tried = np.zeros(n, bool)
+    for _ in range(PIVOTS if n > PIVOTS else 0):
+        alone = np.flatnonzero((root == np.arange(n)) & (np.bincount(root, minlength=n) == 1) & ~tried)
+        if not len(alone):
+            break
+        tried[alone[0]] = True
+        near = np.flatnonzero(np.bitwise_count(fp ^ fp[alone[0]]) <= radius)
+        link(np.full(len(near), alone[0]), near)
+    a, b = (fp, fp) if same else (fp[:shift], fp[shift:])
+    for i, j in linked_pairs(a, b, same, radius, frontier=1 << 15, known=known):
+        link(i, j + shift)
+    return root
+
 
-    def similar(a: np.ndarray, b: np.ndarray) -> bool:
-        least, most = sorted((len(a), len(b)))
-        if least < similarity * most - 1e-9:
-            return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both >= similarity * (len(a) + len(b) - both) - 1e-9
+def _similar_task(radius: int, similarity: float):
+    """Links within each block of the rows, or between its two sides if some of its rows are ``right``; at most one for each text.
+
+    Texts of one ``root`` are known to be of one component.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("u", ignore_index=True)
-        fp, right = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["right"].to_numpy(bool)
-        order = np.lexsort((fp, right))
-        fp, ids, n = fp[order], rows["u"].to_numpy(np.int64)[order], len(order)
-        same, shift = not right.any(), 0 if not right.any() else int((~right).sum())
-        sketches = np.full((n, SKETCH), _NONE)
-        shingles = [np.frombuffer(rows["shingles"].iat[i], "<u8") for i in order]
-        for k, own in enumerate(shingles):
-            sketches[k, : min(SKETCH, len(own))] = own[:SKETCH]
-        sets = _Sets(n)
-        root = sets.root
-        _, first, place = np.unique(rows["root"].to_numpy(np.int64)[order], return_index=True, return_inverse=True)
-        root[:] = first[place]
-        start = root.copy()
-
-        def link(i: np.ndarray, j: np.ndarray) -> None:
-            for at in range(0, len(i), PAIRS):
-                x, y = i[at : at + PAIRS], j[at : at + PAIRS]
-                open_ = root[x] != root[y]
-                x, y = x[open_], y[open_]
-                like = estimated_similarities(sketches, x, y) >= similarity - SLACK
-                for k in np.flatnonzero(like):
-                    if root[x[k]] != root[y[k]] and similar(shingles[x[k]], shingles[y[k]]):
-                        sets.join(x[k : k + 1], y[k : k + 1])
-
-        def known(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> np.ndarray:
-            bl, bh = bl + shift, bh + shift
-            changes = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
-            return (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (root[al] == root[bl]) & ((al != bl) | (ah - al > 1))
-
-        tried = np.zeros(n, bool)
-        for _ in range(PIVOTS if n > PIVOTS else 0):
-            alone = np.flatnonzero((root == np.arange(n)) & (np.bincount(root, minlength=n) == 1) & ~tried)
-            if not len(alone):
-                break
-            tried[alone[0]] = True
-            near = np.flatnonzero(np.bitwise_count(fp ^ fp[alone[0]]) <= radius)
-            link(np.full(len(near), alone[0]), near)
-        a, b = (fp, fp) if same else (fp[:shift], fp[shift:])
-        for i, j in linked_pairs(a, b, same, radius, frontier=1 << 15, known=known):
-            link(i, j + shift)
-        moved = np.flatnonzero((root != start) & (start == np.arange(n)))
-        return pd.DataFrame({"x": ids[root[moved]], "y": ids[moved]})
+        fp, right, key = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["right"].to_numpy(bool), rows["block"].to_numpy(np.int64)
+        u, given, shingles = rows["u"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), rows["shingles"].to_numpy()
+        order = np.lexsort((u, fp, right, key))
+        ends = np.flatnonzero(np.r_[np.diff(key[order]) != 0, True]) + 1
+        x, y, start = [], [], 0
+        for end in ends.tolist():
+            own, start = order[start:end], end
+            _, first, place = np.unique(given[own], return_index=True, return_inverse=True)
+            if len(first) < 2:
+                continue
+            before = first[place]
+            link = _link_few if len(own) <= PIVOTS else _link_many
+            after = link(fp[own], before, [np.frombuffer(shingles[k], "<u8") for k in own], right[own], radius, similarity)
+            moved = np.flatnonzero((after != before) & (before == np.arange(len(own))))
+            x.append(u[own[after[moved]]])
+            y.append(u[own[moved]])
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"x": np.concatenate(x + none), "y": np.concatenate(y + none)})
 
     return run
 
@@ -380,10 +446,30 @@ def _slice(n: str, block: int) -> Column:
 
 
 def block_slices(large: DataFrame, block: int) -> DataFrame:
-    """(u, key, slice) of large blocks, with some pivots of a block in each of its slices."""
-    pivots = large.groupBy("key", "n", F.pmod(F.xxhash64("u"), F.lit(PIVOTS)).alias("p")).agg(F.min("u").alias("u"))
-    pivots = pivots.select("u", "key", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))).alias("slice"))
-    return large.select("u", "key", _slice("n", block).alias("slice")).union(pivots)
+    """(u, root, key, slice) of large blocks, with some pivots of a block in each of its slices."""
+    pivots = large.groupBy("key", "n", F.pmod(F.xxhash64("u"), F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct("u", "root")).alias("t"))
+    pivots = pivots.select("t.u", "t.root", "key", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))).alias("slice"))
+    return large.select("u", "root", "key", _slice("n", block).alias("slice")).union(pivots)
+
+
+def band_members(keyed: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(u, root, size, key, n): the texts in blocks of (u, size, key) that hold more than one component."""
+    if roots is None:
+        named = keyed.withColumn("root", F.col("u"))
+    else:
+        named = keyed.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n")
+    return materialize(named.join(sizes, "key").select("u", "root", "size", "key", "n"), "block-members")
+
+
+def band_links(member: DataFrame, content: DataFrame, task, block: int, dealt: int) -> DataFrame:
+    """Links within small blocks, many to a task, and within slices of large ones."""
+    small, large = member.filter(F.col("n") <= block), member.filter(F.col("n") > block)
+    tasks = max(1, -(-small.count() // dealt))
+    few = small.select("u", "root", F.col("key").alias("block"), F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("part"))
+    sliced = block_slices(large, block).select("u", "root", F.xxhash64("key", "slice").alias("block")).withColumn("part", F.col("block"))
+    rows = few.union(sliced).join(content, "u").withColumn("right", F.lit(False))
+    return materialize(rows.groupBy("part").applyInPandas(task, "x long, y long").distinct(), "similar-links")
 
 
 def part_pairs(large: DataFrame, roots: DataFrame, block: int, similarity: float) -> DataFrame:
@@ -395,10 +481,13 @@ def part_pairs(large: DataFrame, roots: DataFrame, block: int, similarity: float
     """
     level = F.floor(F.log(F.col("size")) / -np.log(similarity - 1e-9)).cast("int")
     texts = large.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").select("u", "key", F.coalesce("root", "u").alias("root"), level.alias("level"))
+    # blocks that are of one component by now have no new link
+    mixed = texts.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    texts = materialize(texts.join(mixed, "key"), "block-texts")
     grown = texts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > block).select("key", "root", F.col("root").alias("of"))
-    texts = texts.join(F.broadcast(grown), ["key", "root"], "left").select("u", "key", "root", "of", "level", F.xxhash64("of", "level").alias("g"))
+    texts = texts.join(grown, ["key", "root"], "left").select("u", "key", "root", "of", "level", F.xxhash64("of", "level").alias("g"))
     sizes = texts.groupBy("key", "g").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"), F.first("level").alias("level"))
-    texts = materialize(texts.join(F.broadcast(sizes.select("key", "g", "n")), ["key", "g"]).select("u", "key", "root", "of", "level", F.xxhash64("g", _slice("n", block)).alias("part")), "block-parts")
+    texts = materialize(texts.join(sizes.select("key", "g", "n"), ["key", "g"]).select("u", "key", "root", "of", "level", F.xxhash64("g", _slice("n", block)).alias("part")), "block-parts")
     parts = texts.groupBy("key", "part").agg(F.first("of").alias("of"), F.first("level").alias("level"))
     other = parts.select("key", *(F.col(c).alias(f"{c}2") for c in ("part", "of", "level")))
     pairs = parts.join(other, "key").filter((F.col("part") <= F.col("part2")) & (F.abs(F.col("level") - F.col("level2")) <= 1) & ~F.coalesce(F.col("of") == F.col("of2"), F.lit(False)))
@@ -408,7 +497,11 @@ def part_pairs(large: DataFrame, roots: DataFrame, block: int, similarity: float
     return left.union(right)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, block: int = BLOCK) -> DataFrame:
+def _roots(links: DataFrame) -> DataFrame:
+    return connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, block: int = BLOCK, dealt: int = DEALT) -> DataFrame:
     """Groups of near copies: doc_id, group_id (the smallest doc_id of the group); ids without a near copy are left out.
 
     Texts without words are one text; two rows of one doc_id are one document; rows without doc_id are left out.
@@ -422,23 +515,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # one row for each distinct set of shingles with its fingerprint, named by its smallest doc_id
     texts = rows.groupBy("fp", "s").agg(F.min("doc_id").alias("u"), F.min("keys").alias("keys"), F.min("size").alias("size"))
     texts = materialize(texts, "distinct-profiles")
-    keyed = texts.select("u", "size", F.explode("keys").alias("key"))
-    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block-sizes")
-    member = materialize(keyed.join(sizes, "key").select("u", "size", "key", "n"), "block-members")
-    # the full sets of the texts in blocks only
-    needed = texts.join(member.select("u").distinct(), "u", "left_semi").select("u", "s", "fp")
-    full = given.join(needed.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets_of(words), "u long, s long, shingles binary")
-    content = materialize(full.join(needed, ["u", "s"]).dropDuplicates(["u", "s", "fp"]).select("u", "fp", "shingles"), "shingle-sets")
     task = _similar_task(radius, similarity)
-    large = member.filter(F.col("n") > block)
-    first = member.filter(F.col("n") <= block).select("u", "key", F.lit(0).alias("slice")).union(block_slices(large, block))
-    first = first.select("*", F.col("u").alias("root"), F.lit(False).alias("right")).join(content, "u")
-    links = materialize(first.groupBy("key", "slice").applyInPandas(task, "x long, y long").distinct(), "similar-links")
-    if sizes.filter(F.col("n") > block).limit(1).count():
-        roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        rest = part_pairs(large, roots, block, similarity).join(content, "u").groupBy("pair").applyInPandas(task, "x long, y long")
-        links = links.union(materialize(rest.distinct(), "similar-links-of-parts"))
-    roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    bands = lambda a, b: texts.select("u", "size", F.explode(F.slice("keys", a + 1, b - a)).alias("key"))
+    # the full sets, of the texts that share a block only
+    shared = bands(0, BANDS).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    needed = texts.join(bands(0, BANDS).join(shared, "key").select("u").distinct(), "u", "left_semi").select("u", "s", "fp")
+    full = given.join(needed.select(F.col("u").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets_of(words), "u long, s long, shingles binary")
+    content = materialize(full.join(needed, ["u", "s"]).dropDuplicates(["u", "s", "fp"]).select("u", "fp", "shingles"), "shingle-sets")
+    member = band_members(bands(0, FIRST_BANDS), None)
+    links = band_links(member, content, task, block, dealt)
+    rest = band_members(bands(FIRST_BANDS, BANDS), _roots(links))
+    links = links.union(band_links(rest, content, task, block, dealt))
+    large = member.union(rest).filter(F.col("n") > block).select("u", "key", "size")
+    if large.limit(1).count():
+        pairs = part_pairs(large, _roots(links), block, similarity).join(content, "u")
+        found = pairs.select(F.col("pair").alias("part"), F.col("pair").alias("block"), "u", "root", "right", "fp", "shingles").groupBy("part").applyInPandas(task, "x long, y long")
+        links = links.union(materialize(found.distinct(), "similar-links-of-parts"))
+    roots = _roots(links)
     copies = rows.select("doc_id", "fp", "s").join(texts.select("fp", "s", "u"), ["fp", "s"])
     grouped = copies.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").select("doc_id", F.coalesce("root", "u").alias("group_id"), F.col("root").isNotNull().alias("linked"))
     return grouped.filter(F.col("linked") | (F.col("doc_id") != F.col("group_id"))).select("doc_id", "group_id")
