@@ -94,7 +94,7 @@ def test_bands(spark):
     rows = spark.createDataFrame([(v,) for v in (20, 21, 40, 41, 60, 61, 70, 71, 80, 81)], "v int").select(scalar.level(F.col("v")).alias("n"), scalar.risk_class(F.col("v")).alias("c")).collect()
     assert [r.n for r in rows] == ["Muy Bajo", "Bajo", "Bajo", "Medio", "Medio", "Alto", "Alto", "Alto", "Alto", "Crítico"]
     assert [r.c for r in rows] == ["Normal", "Atención", "Atención", "Alto Riesgo", "Alto Riesgo", "Alto Riesgo", "Alto Riesgo", "Crítico", "Crítico", "Crítico"]
-    assert {k: round(v, 3) for k, v in K.spread_weights({"a": 0.5, "b": 0.3, "c": 0.2}, ("c",)).items()} == {"a": 0.625, "b": 0.375, "c": 0.0}
+    assert {k: round(v, 3) for k, v in K.normalised({"a": 0.5, "b": 0.3, "c": 0.2}, ("c",)).items()} == {"a": 0.625, "b": 0.375, "c": 0.0}
 
 
 def test_factors_survive_json(spark):
@@ -120,7 +120,8 @@ def test_imputation(spark):
 
 
 def test_forest_does_not_depend_on_partitions(spark):
-    rows = spark.range(60).select(F.col("id").alias("suministro"), F.lit("L").alias("lote"), F.lit("C").alias("categoria"), (F.col("id") % 7).cast("double").alias("avg_consumption"), F.when(F.col("id") == 5, 1e6).otherwise(1.0).alias("kwh_x"))
+    own = {"avg_consumption": (F.col("id") % 7).cast("double"), "max_consumption": F.when(F.col("id") == 5, 1e6).otherwise(1.0)}
+    rows = spark.range(60).select(F.col("id").alias("suministro"), F.lit("L").alias("lote"), F.lit("C").alias("categoria"), *(own.get(c, F.lit(False) if c in forest.FLAGS else F.lit(None).cast("double")).alias(c) for c in forest.COLUMNS))
     run = lambda df: {r.suministro: round(r.ml_score, 9) for r in forest.ml_scores(df, trees=20).collect()}
     assert run(rows.repartition(1)) == run(rows.repartition(5))
 
@@ -186,11 +187,125 @@ def test_process_batches(spark, sf_dir, tmp_path):
     path = str(tmp_path / "out")
     states = process.process_batches(vectors, names, path, {n: process.PENDING for n in names}, {names[1]: False}, trees=20)
     assert states == {names[0]: process.DONE, names[1]: process.FAILED}
-    results = spark.read.parquet(f"{path}/resultados")
-    assert results.count() == vectors.count()
+    results = sinks.published(spark, path, "resultados")
+    assert results.count() == vectors.count() == sinks.published(spark, path, "vectores").count()
     with pytest.raises(process.BatchConflict):
         process.process_batches(vectors, names[:1], path, states)
     with pytest.raises(process.UnknownBatch):
         process.process_batches(vectors, ["?"], path, states)
     again = process.process_batches(vectors, names[1:], path, states, trees=20)
-    assert again[names[1]] == process.DONE and spark.read.parquet(f"{path}/resultados").count() == results.count()
+    assert again[names[1]] == process.DONE
+    assert sinks.published(spark, path, "resultados").count() == results.count() == vectors.count()  # who read before still can
+
+
+def test_the_gate_of_a_run(spark, tmp_path):
+    batches = spark.createDataFrame([("A", 3), ("B", 2)], "lote string, declarados long")
+    rows = spark.createDataFrame([("A",), ("B",), ("B",)], "lote string")
+    gate, none = validation.completeness(batches, rows), spark.createDataFrame([], "suministro long, lote string")
+    run = lambda b, **more: process.process_batches(none, [b], str(tmp_path / "out"), {"A": process.PENDING, "B": process.PENDING, "C": process.PENDING}, gate=gate, **more)
+    with pytest.raises(process.IncompleteBatch):
+        run("A")
+    with pytest.raises(process.UnknownBatch):
+        run("C")
+    with pytest.raises(process.BatchConflict):
+        run("B", recount=spark.createDataFrame([("B", 3)], "lote string, activos long"))
+
+
+def test_publication_is_of_whole_runs(spark, tmp_path):
+    path, shape = str(tmp_path / "p"), "v long, lote string"
+    assert sinks.published(spark, path, "a") is None
+    one = lambda *vs: spark.createDataFrame([(v, "L") for v in vs], shape)
+    sinks.publish(spark, path, "L", {"a": one(1, 2), "b": one(3)})
+    sinks.publish(spark, path, "M", {"a": one(7), "b": one()})
+    before = sinks.published(spark, path, "a")
+    one(9).write.parquet(f"{path}/a/corrida=99999999999999999999-x")  # a run that failed before its publication
+    assert sorted(r.v for r in sinks.published(spark, path, "a").collect()) == [1, 2, 7]
+    sinks.publish(spark, path, "L", {"a": one(), "b": one(4)})  # a table without rows replaces one with rows
+    assert [r.v for r in sinks.published(spark, path, "a").collect()] == [7] and [r.v for r in sinks.published(spark, path, "b").collect()] == [4]
+    assert before.count() == 3
+
+
+def test_conflicts_reject_one_record(spark):
+    old = spark.createDataFrame([(1, "x"), (2, "y")], "id long, codigo string")
+    new = spark.createDataFrame([(3, "x", 0), (2, "z", 1), (4, "w", 2), (5, "w", 3)], "id long, codigo string, posicion long")
+    kept, rejected = sinks.upsert_rejecting(old, new, "id", ["codigo"], "posicion")
+    assert sorted((r.id, r.codigo) for r in kept.collect()) == [(1, "x"), (2, "z"), (4, "w")]
+    assert sorted((r.id, r.codigo) for r in rejected.collect()) == [(3, "x"), (5, "w")]
+
+
+def clean(spark, rows, excluded=()):
+    consumption = spark.createDataFrame(rows, "suministro long, inicio date, fin date, dias int, kwh double, lote string")
+    supplies = spark.createDataFrame([(i, f"S{i}", "Activo", "Residencial", "Norte", D(2020, 1, 1)) for i in (1, 2)], "suministro long, numero string, estado string, categoria string, localidad string, fecha_alta date")
+    gone = spark.createDataFrame(list(excluded), "lote string, suministro long")
+    found = process.cleaned_vectors(consumption, supplies, gone, duplicates.conflicted_periods(consumption))
+    return {(r.suministro, r.lote): r for r in found.collect()}
+
+
+def test_conflicts_and_exclusions_in_vectors(spark):
+    """A conflicted period with consumption leaves the history but still breaks the streak of zeros."""
+    month = lambda s, m, kwh, last=28: (s, D(2024, m, 1), D(2024, m, last), last, kwh, f"L{m}")
+    rows = [month(1, 1, 5.0), month(1, 2, 0.0), month(1, 4, 0.0), (1, D(2024, 3, 1), D(2024, 3, 20), 20, 9.0, "L3"), (1, D(2024, 3, 10), D(2024, 3, 28), 19, 8.0, "X3"), month(2, 4, 7.0), month(2, 5, 7.0)]
+    found = clean(spark, rows, [("L5", 2)])
+    assert set(found) == {(1, "L1"), (1, "L2"), (1, "L4"), (2, "L4")}
+    assert (found[1, "L4"].zero_consumption_streak, found[1, "L4"].max_consumption, found[1, "L4"].has_conflicted_periods) == (1, 5.0, True)
+    assert not found[2, "L4"].has_conflicted_periods
+
+
+def test_order_statistics(spark):
+    g = np.random.default_rng(4)
+    values = {"a": [*g.integers(0, 9, 60).astype(float).tolist(), None], "b": [*g.normal(size=60).tolist(), None]}
+    rows = spark.createDataFrame([("k" if i % 3 else "m", values["a"][i], values["b"][i]) for i in range(61)], "g string, a double, b double")
+    found = {r.g: r for r in forest.order_statistics(rows, ["g"], ["a", "b"], {"p1": 0.03, "p2": 0.5, "p3": 1.0}).collect()}
+    for key in ("k", "m"):
+        for c in "ab":
+            own = [v for i, v in enumerate(values[c]) if v is not None and (i % 3 > 0) == (key == "k")]
+            assert [found[key][f"{c}_p{i}"] for i in (1, 2, 3)] == pytest.approx(np.quantile(own, [0.03, 0.5, 1.0]).tolist())
+
+
+def test_imports_of_readings_and_bills(spark):
+    supplies = spark.createDataFrame([("S1", 1), ("S2", 2)], "numero_suministro string, id long")
+    stored = spark.createDataFrame([(1, "2024-01-31", "0", "10", "31", False), (2, "2024-01-31", "0", "1", "31", True)], "suministro long, fecha_lectura string, lectura_anterior string, lectura_actual string, dias_facturados string, eliminado boolean")
+    records = [("S1", "2024-01-31", "0", "10", "31"), ("S1", "2024-01-31", "0", "11", "31"), ("S2", "2024-01-31", "0", "1", "31"), ("S9", "2024-01-31", "0", "1", "31"), ("S1", "2024-02-30", "0", "1", "31"), (" ", "2024-01-31", "0", "1", "31"), ("S1", "2024-02-29", "x", "-1", "0")]
+    incoming = spark.createDataFrame([(*r, i) for i, r in enumerate(records)], "numero_suministro string, fecha_lectura string, lectura_anterior string, lectura_actual string, dias_facturados string, posicion long")
+    out = imports.import_readings(stored, incoming, supplies).orderBy("posicion").collect()
+    assert [r.outcome for r in out] == ["unchanged", "updated", "restored", *["rejected"] * 4]
+    batches = spark.createDataFrame([("L", 7)], "codigo_lote string, id long")
+    readings = spark.createDataFrame([(1, "2024-01-31", 70), (2, "2024-01-31", 71)], "suministro long, fecha_lectura string, id long")
+    held = spark.createDataFrame([(1, "2024-01-01", "2024-01-31", 7, 70, "31", "62", "2.000", False)], "suministro long, fecha_inicio string, fecha_fin string, lote long, lectura long, dias_facturados string, kwh string, consumo_promedio_diario string, eliminado boolean")
+    bill = lambda s, kwh, fecha, present=True, lote="L", mean=None, has_mean=False: (s, lote, "2024-01-01", "2024-01-31", "31", kwh, mean, has_mean, fecha, present)
+    rows = [bill("S1", "62", None, False), bill("S1", "93", None, False), bill("S1", "93", None), bill("S1", "93", "2024-01-31"), bill("S1", "93", "2024-02-01"), bill("S2", "31", "2024-01-31"), bill("S2", "31", "2024-01-31", mean="9.000", has_mean=True), bill("S1", "1", None, lote="?"), bill("S1", "1", "soon")]
+    incoming = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "numero_suministro string, codigo_lote string, fecha_inicio string, fecha_fin string, dias_facturados string, kwh string, consumo_promedio_diario string, consumo_promedio_diario_present boolean, fecha_lectura string, fecha_lectura_present boolean, posicion long")
+    out = imports.import_consumption(held, incoming, supplies, batches, readings).orderBy("posicion").collect()
+    assert [r.outcome for r in out] == ["unchanged", "updated", "updated", "updated", "rejected", "created", "updated", "rejected", "rejected"]
+    assert [(r.lectura, r.consumo_promedio_diario) for r in out[:4]] == [(70, "2.000"), (70, "3.000"), (None, "3.000"), (70, "3.000")]
+    assert out[6].consumo_promedio_diario == "9.000"
+
+
+def test_imports_of_clients(spark):
+    shape = "numero_cliente string, nombre string, estado string, documento string, localidad string, barrio string, direccion struct<calle:string>"
+    stored = spark.createDataFrame([("a", "Ana", "Activo", None, None, None, ("x",), False)], shape + ", eliminado boolean")
+    rows = [(" a ", "Ana", "Activo", None, None, None, ("x",)), ("b", "Bo", "?", None, None, None, None), ("c", "Cy", "Activo", None, None, None, ("y" * 9000,)), ("d", "Di", "Activo", None, None, None, ("y" * 8000,)), (None, "E", "Activo", None, None, None, None)]
+    incoming = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], shape + ", posicion long")
+    assert [r.outcome for r in imports.import_clients(stored, incoming).orderBy("posicion").collect()] == ["unchanged", "rejected", "rejected", "created", "rejected"]
+
+
+def test_neighbourhoods_and_labels(spark):
+    shape = "localidad string, barrio string, ire_maximo int, primero int"
+    rows = spark.createDataFrame([("Sur", "B", 5, 3), (None, "A", 9, 2), ("Sur", "A", 9, 1)], shape)
+    assert [(r.localidad, r.barrio) for r in ranking.in_risk_order(rows).collect()] == [(None, "A"), ("Sur", "A"), ("Sur", "B")]
+    assert ranking.of_locality(rows, "Sin localidad").count() == 1 and ranking.of_locality(rows, "Sur").count() == 2
+    assert [r.localidad for r in ranking.localities_seen(rows, "primero").collect()] == ["Sur", "Sin localidad"]
+    factors = spark.createDataFrame([([("score_ia", 1.0), ("?", 2.0)],)], "factores array<struct<factor:string,contribution:double>>")
+    assert [f.factor for f in ranking.labelled_factors(factors).first().factores] == ["Score de IA (aproximación)", "?"]
+
+
+def test_top_scores(spark):
+    rows = spark.createDataFrame([("L", "global", f"S{i % 7}", float(i // 2)) for i in range(30)], "lote string, alcance string, numero string, ml_score double")
+    found = [(r.ml_score, r.numero) for r in forest.top_scores(rows, 5).orderBy("puesto").collect()]
+    assert found == sorted(((float(i // 2), f"S{i % 7}") for i in range(30)), key=lambda x: (-x[0], x[1]))[:5]
+
+
+def test_categories_are_inserted_once(spark):
+    stored = spark.createDataFrame([("Comercial",), ("Otra",)], "nombre string")
+    again = tables.insert_missing_categories(tables.insert_missing_categories(stored))
+    assert sorted(r.nombre for r in again.collect()) == sorted({*tables.CATEGORIES, "Otra"})

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline")
-NO_SQL = ["factor_explanations", "factors_read_back", "feature_vectors_json", "synthetic_consumption", "top_risk_factors"]
+NO_SQL = ["factor_explanations", "factors_read_back", "feature_vectors_json", "synthetic_consumption", "ml_report"]
 
 
 @pytest.fixture(scope="module")

@@ -58,10 +58,23 @@ CRITICALITY_DEFAULT = 50.0
 PAGE_DEFAULT, PAGE_MAX = 50, 200
 
 
-def spread_weights(weights: dict[str, float], zero: tuple[str, ...]) -> dict[str, float]:
-    """Weights with some set to zero and the rest scaled to keep the sum at one."""
-    rest = 1.0 - sum(weights[k] for k in zero)
-    return {k: 0.0 if k in zero else w / rest for k, w in weights.items()}
+def normalised(weights: dict[str, float], without: tuple[str, ...] = ()) -> dict[str, float]:
+    """Shares of the factors that are in use; those left out have none."""
+    used = [k for k in weights if k not in without]
+    total = sum(map(weights.__getitem__, used))
+    return dict.fromkeys(weights, 0.0) | {k: weights[k] / total for k in used}
 
 
-EFFECTIVE_WEIGHTS = spread_weights(WEIGHTS, ZERO_WEIGHT)
+EFFECTIVE_WEIGHTS = normalised(WEIGHTS, ZERO_WEIGHT)
+
+# Names of the factors for readers.
+FACTOR_LABELS = {
+    "score_ia": "Score de IA (aproximación)",
+    "historial_consumos": "Historial de consumos",
+    "persistencia_anomalias": "Persistencia de anomalías",
+    "variacion_porcentual": "Variación porcentual",
+    "impacto_economico": "Impacto económico",
+    "consumo_promedio": "Consumo promedio",
+    "categoria_tarifaria": "Categoría tarifaria",
+}
+ADDRESS_BYTES = 8192

@@ -110,6 +110,6 @@ def numeric_reason(x: Column, field: str) -> Column:
     )
 
 
-def positive_integer_reason(x: Column, field: str) -> Column:
+def positive_integer_reason(x: Column, field: str, least: int = 1) -> Column:
     value = x.try_cast("long")
-    return F.when(x.isNull(), f"{field}: falta").when(~x.rlike(r"^\s*\d+\s*$") | value.isNull(), f"{field}: no es un entero").when((value <= 0) | (value > 2147483647), f"{field}: fuera de rango")
+    return F.when(x.isNull(), f"{field}: falta").when(~x.rlike(r"^\s*\d+\s*$") | value.isNull(), f"{field}: no es un entero").when((value < least) | (value > 2147483647), f"{field}: fuera de rango")

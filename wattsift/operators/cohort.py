@@ -29,13 +29,13 @@ def _loo_quartiles(n: str, prefix: str) -> dict[float, tuple]:
 def _statistics(ranked: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """Size, median and the order statistics around both quartiles of each cohort."""
     n = f"{tag}_n"
-    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias(n), F.percentile("kwh", 0.5).alias(f"{tag}_median"))
-    wanted = []
+    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    wanted = [("low", F.floor((F.col(n) - 1) / 2)), ("high", F.floor(F.col(n) / 2))]
     for p, (f, c, _) in _loo_quartiles(n, tag).items():
         for name, at in (("f", f), ("f1", f + 1), ("c", c), ("c1", c + 1)):
             wanted.append((f"{tag}_{int(p * 100)}_{name}", at))
     at_rank = ranked.select(*keys, F.col(f"{tag}_r"), "kwh").join(sizes, keys)
-    return at_rank.groupBy(*keys).agg(F.first(n).alias(n), F.first(f"{tag}_median").alias(f"{tag}_median"), *(F.max(F.when(F.col(f"{tag}_r") == at, F.col("kwh"))).alias(name) for name, at in wanted))
+    return at_rank.groupBy(*keys).agg(F.first(n).alias(n), *(F.max(F.when(F.col(f"{tag}_r") == at, F.col("kwh"))).alias(name) for name, at in wanted)).withColumn(f"{tag}_median", (F.col("low") + F.col("high")) / 2).drop("low", "high")
 
 
 def _outlier(tag: str):

@@ -30,6 +30,12 @@ def overlap_pairs(periods: DataFrame, bucket_days: int = BUCKET_DAYS) -> DataFra
     return both.filter(once).select("suministro", "periodo", "otro")
 
 
+def conflicted_periods(consumption: DataFrame) -> DataFrame:
+    """(suministro, inicio, lote) of the billed periods that share a day with another of their supply."""
+    periods = consumption.select("suministro", F.struct("inicio", "lote").alias("periodo"), "inicio", "fin")
+    return overlap_pairs(periods).select("suministro", "periodo.inicio", "periodo.lote").distinct()
+
+
 def near_duplicate_readings(readings: DataFrame, days: int = K.NEAR_DUPLICATE_DAYS) -> DataFrame:
     """(suministro, lectura, anterior, dias_entre): a reading and an earlier one of equal value at most ``days`` days before.
 

@@ -63,9 +63,10 @@ def current_period(rows: DataFrame) -> DataFrame:
     return rows.select("*", rank.alias("__r")).filter("__r = 1").drop("__r")
 
 
-def without_conflicts(history: DataFrame, conflicted: DataFrame, key: str = "periodo") -> DataFrame:
+def without_conflicts(history: DataFrame, conflicted: DataFrame, *key: str) -> DataFrame:
     """History without the periods that a duplicate check marked."""
-    return history.join(conflicted.select(key).distinct(), key, "left_anti")
+    keys = list(key or ("periodo",))
+    return history.join(conflicted.select(*keys).distinct(), keys, "left_anti")
 
 
 def streak_of_all(unfiltered: DataFrame) -> DataFrame:
@@ -74,9 +75,10 @@ def streak_of_all(unfiltered: DataFrame) -> DataFrame:
 
 
 def features_summary(vectors: DataFrame) -> DataFrame:
-    """For each batch: vectors, cold starts, |z| of 3 or more, IQR outliers, percentiles of 0.99 or more."""
+    """For each batch: vectors, cold starts, supplies with conflicts, |z| of 3 or more, IQR outliers, percentiles of 0.99 or more."""
+    conflicted = F.col("has_conflicted_periods") if "has_conflicted_periods" in vectors.columns else F.lit(False)
     return vectors.groupBy("lote").agg(
-        F.count(F.lit(1)).alias("vectores"), F.count_if("is_cold_start").alias("cold_starts"),
+        F.count(F.lit(1)).alias("vectores"), F.count_if("is_cold_start").alias("cold_starts"), F.count_if(conflicted).alias("conflictivos"),
         F.count_if(F.abs("zscore_self") >= K.SUMMARY_Z).alias("z_altos"), F.count_if("iqr_outlier_flag").alias("outliers_iqr"),
         F.count_if(F.col("percentile_peer") >= K.SUMMARY_PERCENTILE).alias("percentiles_altos"),
     )

@@ -26,6 +26,7 @@ COLUMNS = sorted((
     "deviation_from_baseline", "zero_consumption_streak", "trend_slope", "seasonality_index", "peer_ratio", "supply_age_days", "prior_anomaly_count", "billed_days",
     "is_cold_start", "has_conflicted_periods", "zscore_self", "percentile_peer", "iqr_outlier_flag",
 ))
+FLAGS = ("is_cold_start", "has_conflicted_periods", "iqr_outlier_flag")
 #: Rows of a scope from which its trees draw their samples, at most, and rows that one task scores, about.
 POOL, SCORE_ROWS = 8192, 50_000
 
@@ -37,22 +38,40 @@ def with_scope(vectors: DataFrame) -> DataFrame:
 
 
 def numeric(vectors: DataFrame) -> DataFrame:
-    """The model's columns as doubles; flags are 0 and 1, columns that are missing altogether are 0."""
-    value = lambda c: (F.col(c).cast("int") if dict(vectors.dtypes).get(c) == "boolean" else F.col(c)).cast("double") if c in vectors.columns else F.lit(0.0)
+    """The model's columns as doubles; flags are 0 and 1.  A column that is missing is an error."""
+    value = lambda c: (F.col(c).cast("int") if c in FLAGS else F.col(c)).cast("double")
     return vectors.select("suministro", "lote", "alcance", *(value(c).alias(c) for c in COLUMNS))
 
 
+def order_statistics(rows: DataFrame, keys: list[str], columns: list[str], shares: dict[str, float]) -> DataFrame:
+    """For each key: (column_name) as in ``shares``, the value at that share of each column, interpolated as the exact percentile is.
+
+    Equal values are counted before any shuffle.  Ranks are running sums in a
+    window by key and column, which streams and spills; nothing is held whole.
+    """
+    cells = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*keys, "x.c", "x.v").filter("v IS NOT NULL")
+    counts = cells.groupBy(*keys, "c", "v").agg(F.count(F.lit(1)).alias("k"))
+    by = W.partitionBy(*keys, "c").orderBy("v")
+    ranked = counts.select(*keys, "c", "v", F.sum("k").over(by).alias("hi"), "k", F.sum("k").over(W.partitionBy(*keys, "c")).alias("n"))
+    at = {s: F.lit(p) * (F.col("n") - 1) for s, p in shares.items()}
+    pick = lambda i: F.max(F.when((F.col("hi") - F.col("k") <= i) & (i < F.col("hi")), F.col("v")))
+    found = ranked.groupBy(*keys, "c").agg(F.max("n").alias("n"), *(pick(f(x)).alias(f"{s}_{side}") for s, x in at.items() for side, f in (("low", F.floor), ("high", F.ceil))))
+    value = lambda s: F.col(f"{s}_low") + (F.col(f"{s}_high") - F.col(f"{s}_low")) * (at[s] - F.floor(at[s]))
+    found = found.select(*keys, "c", *(value(s).alias(s) for s in shares))
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("c") == c, F.col(s))).alias(f"{c}_{s}") for c in columns for s in shares))
+
+
 def imputed(matrix: DataFrame) -> DataFrame:
     """Nulls take the median of (batch, scope), or zero if the whole column is null."""
-    medians = matrix.groupBy("lote", "alcance").agg(*(F.percentile(c, 0.5).alias(f"__{c}") for c in COLUMNS))
-    return matrix.join(medians, ["lote", "alcance"]).select("suministro", "lote", "alcance", *(F.coalesce(c, f"__{c}", F.lit(0.0)).alias(c) for c in COLUMNS))
+    medians = order_statistics(matrix, ["lote", "alcance"], COLUMNS, {"_q2": 0.5})
+    return matrix.join(medians, ["lote", "alcance"], "left").select("suministro", "lote", "alcance", *(F.coalesce(c, f"{c}__q2", F.lit(0.0)).alias(c) for c in COLUMNS))
 
 
 def robust_scaled(matrix: DataFrame) -> DataFrame:
     """(x - median) / (q3 - q1) by (batch, scope); a range of zero counts as one."""
-    stats = matrix.groupBy("lote", "alcance").agg(*(F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"__{c}") for c in COLUMNS))
-    spread = lambda c: F.coalesce(F.nullif(F.col(f"__{c}")[2] - F.col(f"__{c}")[0], F.lit(0.0)), F.lit(1.0))
-    return matrix.join(stats, ["lote", "alcance"]).select("suministro", "lote", "alcance", *(((F.col(c) - F.col(f"__{c}")[1]) / spread(c)).alias(c) for c in COLUMNS))
+    stats = order_statistics(matrix, ["lote", "alcance"], COLUMNS, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    spread = lambda c: F.coalesce(F.nullif(F.col(f"{c}__q3") - F.col(f"{c}__q1"), F.lit(0.0)), F.lit(1.0))
+    return matrix.join(stats, ["lote", "alcance"]).select("suministro", "lote", "alcance", *(((F.col(c) - F.col(f"{c}__q2")) / spread(c)).alias(c) for c in COLUMNS))
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -136,7 +155,10 @@ def score_samples(forest: Forest, rows: np.ndarray) -> np.ndarray:
 def forest_scores(matrix: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -> DataFrame:
     """(suministro, lote, alcance, decision) from scaled columns without nulls; decision below zero marks the contaminated share."""
     order = F.xxhash64(F.lit(seed), "suministro")
-    pool = matrix.withColumn("__r", F.row_number().over(W.partitionBy("lote", "alcance").orderBy(order, "suministro"))).filter(F.col("__r") <= POOL)
+    sizes = matrix.groupBy("lote", "alcance").agg(F.count(F.lit(1)).alias("__n"))
+    # of a large scope only rows below a bound of the hash, about two pools, are put in order
+    drawn = matrix.join(sizes, ["lote", "alcance"]).filter((F.col("__n") <= 4 * POOL) | (order / float(1 << 64) + 0.5 < 2 * POOL / F.col("__n"))).drop("__n")
+    pool = drawn.withColumn("__r", F.row_number().over(W.partitionBy("lote", "alcance").orderBy(order, "suministro"))).filter(F.col("__r") <= POOL)
 
     def train(key, group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("__r")[COLUMNS].to_numpy(float)
@@ -155,7 +177,7 @@ def forest_scores(matrix: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -
     key = ["lote", "alcance", "part"]
     scored = dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(score, T.StructType([*(matrix.schema[c] for c in ("suministro", "lote", "alcance")), T.StructField("score", T.DoubleType())]))
     scored = cut(scored, "forest-scores")  # it is read twice, and its plan holds the training
-    offset = scored.groupBy("lote", "alcance").agg(F.percentile("score", K.CONTAMINATION).alias("__o"))
+    offset = order_statistics(scored, ["lote", "alcance"], ["score"], {"_o": K.CONTAMINATION}).withColumnRenamed("score__o", "__o")
     return scored.join(offset, ["lote", "alcance"]).select("suministro", "lote", "alcance", (F.col("score") - F.col("__o")).alias("decision"))
 
 
@@ -167,3 +189,9 @@ def ml_scores(vectors: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -> D
     matrix = cut(robust_scaled(filled), "scaled")
     out = inverted_min_max(forest_scores(matrix, trees, seed), "decision", "__s").withColumn("ml_score", F.col("__s") * 100).drop("__s")
     return out.withColumn("clasificacion_ml", risk_class(F.col("ml_score")))
+
+
+def top_scores(scores: DataFrame, n: int = 10) -> DataFrame:
+    """The n greatest scores of each batch of (lote, alcance, numero, ml_score, ...), ties by scope and number."""
+    place = F.row_number().over(W.partitionBy("lote").orderBy(F.desc("ml_score"), "alcance", "numero"))
+    return scores.withColumn("puesto", place).filter(F.col("puesto") <= n)

