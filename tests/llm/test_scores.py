@@ -1,10 +1,12 @@
 """Language-model scores, toxicity, secrets, main text and decontamination."""
 
 import hashlib
+import html
 import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -230,3 +232,76 @@ def test_every_string_near_a_sensitive_word_is_measured():
     assert found(f"{key} is the secret") == [key]
     assert found("-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----") == lines
     assert found(f"secret {'and other words ' * 30}{key}") == []
+
+
+def test_main_text_takes_time_in_proportion():
+    text = "<article><p>A first paragraph of some length, with words enough to be found.</p></article>"
+    for tail in ("<a " + '"' * 10_000, "<a data-x=" + "\"'" * 10_000, '<a x=">"' * 10_000, "<a " * 10_000, "<!" * 10_000, "<!-- " * 10_000, "<a x='" * 9_999, "</" * 10_000, "<p =" + "= " * 10_000):
+        began = time.perf_counter()
+        assert main_text(text + tail).startswith("A first paragraph")
+        assert time.perf_counter() - began < 2, tail[:20]
+
+
+ARTICLE = "".join(f"<p>Paragraph {k} of the article has some words, a comma, and an end that is not too near.</p>" for k in range(14))
+PLAIN = " ".join(f"Paragraph {k} of the article has some words, a comma, and an end that is not too near." for k in range(14))
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="site has-sidebar">{}</div>', '<div class="post comments-open">{}</div>', '<form id="aspnetForm" method="post"><input name="__V" value="x">{}</form>', '<form><div class="page">{}</div><button>Send</button></form>',
+    '<main>{}<ul><li><a href="/1">One more link here</a></li><li><a href="/2">Another link to read</a></li></ul></main>', '<article><div>{}</div><div><a href="/a">Read this next, please do</a> <a href="/b">and this</a></div></article>',
+    '<div>{}</div><div id="footer">All rights are kept by us</div><form><p>Your mail, please: we send news each week</p></form>', '<div>{}</div><aside><p>An aside of a few words, as asides are.</p></aside>', '<div role="main">{}</div><div role="contentinfo">Imprint</div>',
+])
+def test_main_text_of_layouts(page):
+    assert main_text("<html><body><nav><a href=/>Home</a></nav>" + page.format(ARTICLE) + "</body></html>") == PLAIN
+
+
+def test_densities_are_those_of_the_definition():
+    from wattsift.llm.main_text import Node, measure
+
+    r = random.Random(3)
+
+    def grow(node, depth):
+        for _ in range(r.randint(0, 4)):
+            if depth and r.random() < 0.6:
+                child = Node(r.choice(["div", "p", "a", "span"]), node, False)
+                node.children.append(child)
+                grow(child, depth - 1)
+            else:
+                node.children.append("x" * r.randint(1, 30))
+
+    def count(n, inside=False):
+        """characters, tags below, characters and tags in links below, by plain recursion"""
+        inside = inside or n.tag == "a"
+        c = t = lc = lt = 0
+        for k in n.children:
+            if isinstance(k, str):
+                c, lc = c + len(k), lc + len(k) * inside
+            else:
+                kc, kt, klc, klt = count(k, inside)
+                c, t, lc, lt = c + kc, t + kt + 1, lc + klc, lt + klt + (k.tag == "a" or inside)
+        return c, t, lc, lt
+
+    for _ in range(60):
+        root = Node("html", None, False)
+        grow(root, 4)
+        nodes = measure(root)
+        whole = count(root)
+        for n in nodes:
+            c, t, lc, lt = count(n)
+            want = 0.0
+            if c:
+                base = math.log(c / max(c - lc, 1) * lc + (whole[2] / whole[0]) * c + math.e)
+                want = c / max(t, 1) * max(0.0, math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / math.log(base) if base > 1.0000001 else math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)))
+            assert n.density == pytest.approx(want)
+            below = [k for k in n.children if not isinstance(k, str)]
+            assert n.total == pytest.approx(sum(k.density for k in below) if below else n.density)
+            assert n.best.total >= max([n.total, *(k.best.total for k in below)]) - 1e-9
+
+
+def test_main_text_of_all_pages(spark, sf_dir):
+    """The pages hold their article in one element: its words, and nothing else, are found."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    for r in rows:
+        body = re.search(r"<article>(.*)</article>", r["html"] or "", re.S)
+        want = html.unescape(re.sub("<[^>]*>", " ", body[1])).split() if body else []
+        assert main_text(r["html"] or "").split() == want, r["page_id"]

@@ -7,10 +7,14 @@ the greatest sum of densities is the main block.  The least density on the path
 from it up to the body is the threshold: wherever a node reaches it, the best
 subtree below that node counts as main text too.
 
-Elements that are never article text (scripts, forms, navigation and so on) are
-left out of the tree by tag and role.  Elements that a whole class or id names so
-(adverts, side bars, comments of readers) are left out too, unless they hold a
-large share of the page's text: then the densities decide.
+An ``article`` or ``main`` around the main block is taken with it if the block
+holds at least half of its characters.  Lists, tables and sections within the
+block that are mostly links, two or more, are left out.
+
+Elements that are never article text (scripts, navigation and so on) are left out
+of the tree by tag and role.  Forms, footers, side bars and the like, and elements
+that a whole class or id names so (adverts, comments of readers), are left out
+too, unless they hold a large share of the page's text: then the densities decide.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from .common import slices
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SKIPPED = frozenset("script style noscript template head title nav footer aside form button select option input textarea iframe svg canvas object embed applet menu dialog audio video map math".split())
+SKIPPED = frozenset("script style noscript template head title nav button select option input textarea iframe svg canvas object embed applet menu audio video map math".split())
+SOFT = frozenset("footer aside form dialog header".split())
 BLOCKS = frozenset("html body address article aside blockquote center details dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+LISTS = frozenset("ul ol dl div section table menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("html body article main".split())
 #: An opening tag closes an open element of these names, unless one of the second names stands between.
@@ -40,15 +46,17 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 _P_STOPS = frozenset("html body table td th caption button object article section main div li ul ol dd dl blockquote aside nav header footer form fieldset figure details".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
-#: Share of the page's text from which on an element is not left out for its class or id.
-LARGE = 0.2
+_ROLES = frozenset("navigation search alert menu menubar toolbar".split())
+_SOFT_ROLES = frozenset("banner contentinfo complementary dialog form".split())
+#: Share of the page's text from which on an element is not left out for its class or id, and for its tag or role.
+LARGE, MOST = 0.2, 0.5
 _WORDS = re.compile(
     r"(?<!\S)(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|"
     r"newsletter|subscri\w*|sign-?up|log-?in|comments?|comment-?list|disqus\w*|respond|replies|reply|discussion|social|share|sharing|related|recommend\w*|widget\w*|pagination|pager|toolbar|skip-?link)(?!\S)",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+#: Every alternative is possessive and ends at the page's end at the latest, so a page is read once whatever it holds.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)(?:>|\Z)", re.S)
 _ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
@@ -56,28 +64,29 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?
 class Node:
     __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "skip", "named")
 
-    def __init__(self, tag: str, parent: "Node | None", skip: bool, named: bool = False):
+    def __init__(self, tag: str, parent: "Node | None", skip: bool, named: float = 0.0):
         self.tag, self.parent, self.skip, self.named = tag, parent, skip, named
         self.children: list = []  # nodes, and texts as strings
 
 
-def _left_out(tag: str, attributes: str, inside: bool) -> bool:
+def _left_out(tag: str, attributes: str) -> bool:
     if tag in SKIPPED:
         return True
-    if tag == "header" and not inside:
-        return True
     if not attributes or tag in CONTENT:
         return False
     found = _attributes(attributes)
     return "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in _ROLES or "display:none" in found.get("style", "").replace(" ", "").lower()
 
 
-def _named(tag: str, attributes: str) -> bool:
-    """Whether a whole class, or the id, names something other than article text."""
+def _named(tag: str, attributes: str, inside: bool) -> float:
+    """The share of the page's text below which an element is left out: for its tag or role, or for a whole class, or its id, that names no article text."""
+    soft = MOST if tag in SOFT and not (tag == "header" and inside) else 0.0
     if not attributes or tag in CONTENT or tag in HEADINGS:
-        return False
+        return soft
     found = _attributes(attributes)
-    return any(_WORDS.search(found[k]) for k in ("class", "id") if k in found)
+    if any(_WORDS.search(found[k]) for k in ("class", "id") if k in found):
+        return max(soft, LARGE)
+    return MOST if found.get("role", "").lower() in _SOFT_ROLES else soft
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -133,7 +142,7 @@ def parse(page: str) -> Node:
                     node = close_to(n)
                     break
                 n = n.parent
-        child = Node(tag, node, node.skip or _left_out(tag, m[3], articles > 0), _named(tag, m[3]))
+        child = Node(tag, node, node.skip or _left_out(tag, m[3]), _named(tag, m[3], articles > 0))
         node.children.append(child)
         if tag in RAW:
             stop = _ENDS[tag].search(page, at)
@@ -154,7 +163,7 @@ def _chars(text: str) -> int:
 
 
 def leave_out_named(root: Node) -> None:
-    """Skip the elements named as no article text that hold less than a large share of the page's text."""
+    """Skip the elements named as no article text that hold less than a large share of the page's text, or stand beside its article."""
     order, stack, named = [], [root], []
     while stack:
         n = stack.pop()
@@ -166,8 +175,17 @@ def leave_out_named(root: Node) -> None:
         return
     for n in reversed(order):
         n.chars = sum(_chars(c) if isinstance(c, str) else 0 if c.skip else c.chars for c in n.children)
+    article = lambda n: n.tag in ("article", "main") and n.chars > 0
+    inside, around = set(), set()
+    for n in order:  # parents before children
+        if n.parent is not None and (article(n.parent) or id(n.parent) in inside):
+            inside.add(id(n))
+    for n in reversed(order):
+        if n.parent is not None and (article(n) or id(n) in around):
+            around.add(id(n.parent))
     for n in named:
-        n.skip = n.chars < LARGE * root.chars
+        beside = bool(around) and id(n) not in around and id(n) not in inside
+        n.skip = beside or n.chars < n.named * root.chars
 
 
 def measure(root: Node) -> list[Node]:
@@ -205,21 +223,28 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def _select(root: Node) -> set[int]:
-    """Nodes whose whole subtree is main text."""
+def _select(root: Node) -> tuple[set[int], set[int]]:
+    """(nodes whose subtree is main text, nodes within these that are not)."""
     body = next((c for c in root.children if not isinstance(c, str) and c.tag == "body"), root)
     top = body.best
-    n = top
-    while n is not None:
-        if n.tag in ("article", "main"):
-            top = n
+    block, links, n = top, set(), top
+    while n is not None and n is not body:
+        if n.tag in ("article", "main") and 2 * top.chars >= n.chars:
+            block = n
             break
         n = n.parent
+    stack = [block]
+    while stack:
+        n = stack.pop()
+        if n is not block and n.tag in LISTS and n.link_tags > 1 and 2 * n.link_chars > n.chars:
+            links.add(id(n))
+        else:
+            stack += [c for c in n.children if not isinstance(c, str) and c.tag in BLOCKS]
     threshold, n = top.density, top
     while n is not None and n is not body:
         n = n.parent
         threshold = min(threshold, n.density) if n is not None else threshold
-    chosen, stack = {id(top)}, [body]
+    chosen, stack = {id(block)}, [body]
     while stack:
         n = stack.pop()
         if id(n) in chosen or not n.chars:
@@ -229,7 +254,7 @@ def _select(root: Node) -> set[int]:
             if n.best is n:
                 continue
         stack += [c for c in n.children if not isinstance(c, str)]
-    return chosen
+    return chosen, links
 
 
 def main_text(page: str) -> str:
@@ -240,7 +265,7 @@ def main_text(page: str) -> str:
     measure(root)
     if not root.chars:
         return ""
-    chosen, out = _select(root), []
+    (chosen, links), out = _select(root), []
     stack: list = [(root, False)]
     while stack:
         n, on = stack.pop()
@@ -248,6 +273,8 @@ def main_text(page: str) -> str:
             if on:
                 out.append(html.unescape(n) if "&" in n else n)
             continue
+        if id(n) in links:
+            continue
         on = on or id(n) in chosen
         gap = on and (n.tag in BLOCKS or n.tag == "br") or id(n) in chosen
         if gap:
