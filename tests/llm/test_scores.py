@@ -185,17 +185,53 @@ def test_contamination(spark, bound):
         (8, word("a", 500) + " " + word("z", 57)), (9, "la " * 10), (9, "la " * 10), (10, "la " * 400), (None, word("z", 60)), (11, word("z", 60).replace("zad", "other")), (12, word("z", 30) + " mid " + word("z", 60).split("zbd ")[1]),
     ]
     docs = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in texts], "doc_id long, text string, item_id string, m int, h int")
-    found = contamination(docs, spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, doc_id string"), broadcast_shingles=bound)
+    found = contamination(docs, spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, doc_id string"), broadcast_numbers=bound)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == brute_contamination([(i, t or "") for i, t in texts], [(i, t or "") for i, t in items])
 
 
 def test_contamination_all_documents(spark, docs, doc_rows, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    items = [(r["item_id"], r["text"] or "") for r in benchmark.select("item_id", "text").limit(40).collect()]
-    small = spark.createDataFrame(items, "item_id long, text string")
-    texts = [(i, t) for i, t in doc_rows if len(t) < 4000]
-    found = contamination(docs.filter("length(text) < 4000"), small).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == brute_contamination(texts, items)
+    items = [(r["item_id"], r["text"] or "") for r in benchmark.select("item_id", "text").collect()]
+    for bound in (0, 4_000_000):
+        found = contamination(docs, benchmark, broadcast_numbers=bound).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == quick_contamination(doc_rows, items)
+
+
+def quick_contamination(rows, items, threshold=0.8):
+    """The same as ``brute_contamination``, with counts that slide along the text."""
+    found, wanted = set(), [(k, Counter(b), len(b)) for k, b in ((k, shingles(b)) for k, b in items) if b]
+    for i, t in rows:
+        d = shingles(t)
+        have = set(d)
+        for k, y, m in wanted:
+            if len(have & y.keys()) < threshold * len(y) / 2 / max(y.values()) or not d:
+                continue
+            size = min(m, len(d))
+            x, both = Counter(), 0
+            for s, g in enumerate(d):
+                x[g] += 1
+                both += x[g] <= y[g]
+                if s >= size:
+                    old = d[s - size]
+                    both -= x[old] <= y[old]
+                    x[old] -= 1
+                if s + 1 >= size and both >= threshold * (m + size - both) - 1e-9:
+                    found.add((i, k))
+                    break
+    return found
+
+
+def test_quick_contamination_is_the_definition(doc_rows, spark, sf_dir):
+    items = [(r["item_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(15).collect()]
+    texts = [(i, t) for i, t in doc_rows if len(t) < 3000]
+    assert quick_contamination(texts, items) == brute_contamination(texts, items)
+
+
+def test_contamination_in_very_long_texts(spark):
+    word = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    docs = spark.createDataFrame([(1, word("x", 30_000) + " " + word("q", 500) + " " + word("y", 20_000)), (2, word("x", 30_000))], "doc_id long, text string")
+    found = contamination(docs, spark.createDataFrame([(7, word("q", 500)), (7, word("z", 40))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in found] == [(1, 7, 1.0)]
 
 
 def test_contamination_empty(spark, edge, empty):

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of
 
 SHINGLE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 23, 8
-#: The benchmark's index is broadcast up to this many shingles (32 bytes each, under 64 MB); beyond it, joins shuffle.
-BROADCAST_SHINGLES = 2_000_000
+#: Tables of the benchmark are broadcast up to this many numbers of 8 bytes (32 MB, about twice that in memory); beyond it, joins shuffle.
+BROADCAST_NUMBERS = 4_000_000
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -62,7 +62,7 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     return items.select("item_id", "item", F.size("item").alias("m"), (F.size("item") - F.ceil(F.size("item") * threshold - 1e-9) + 1).cast("int").alias("prefix"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """Contaminated documents: doc_id, item_id, similarity (the best window's), start (its first shingle), distance.
 
     A row for each (document, item) at or above the threshold.  Texts that are
@@ -71,40 +71,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     empty side gives an empty result; other columns are ignored.
     """
     items = materialize(benchmark_items(benchmark, shingle=shingle, threshold=threshold), "benchmark-items")
-    total = items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    small = (lambda df: F.broadcast(df)) if total <= broadcast_shingles else (lambda df: df)
-    first = items.select("item_id", "m", "item", F.explode(F.array_distinct(F.slice("item", 1, F.col("prefix")))).alias("h"))
+    n_items, total, prefixes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("prefix"), F.lit(0))).first()
+    small = lambda df, numbers: F.broadcast(df) if numbers <= broadcast_numbers else df
+    items = items.withColumn("i", F.xxhash64("item_id", "item"))  # two items of one id are told apart
+    first = items.select("i", "m", F.explode(F.array_distinct(F.slice("item", 1, F.col("prefix")))).alias("h"))
+    texts = small(items.select("i", "item"), total + n_items)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), shingle_hashes(text_of(f"`{text_col}`"), shingle).alias("shingles"))
     places = rows.select("doc_id", "shingles", F.posexplode("shingles").alias("pos", "h"))
-    hits = places.join(small(first), "h").select("doc_id", "item_id", "m", "item", "pos", F.size("shingles").alias("n"), "shingles")
+    hits = places.join(small(first, 3 * prefixes), "h").select("doc_id", "i", "m", "pos", F.size("shingles").alias("n"), "shingles")
     # shingles around the hit: all windows of the item's size that hold it
     size = F.least("m", "n")
     low = F.greatest(F.lit(0), F.col("pos") - size + 1)
     high = F.least(F.col("n"), F.col("pos") + size)
-    near = hits.select("doc_id", "n", "item_id", "m", "item", size.alias("size"), low.alias("low"), F.slice("shingles", low + 1, high - low).alias("near"))
-    # windows with enough of the item's shingles, from running counts
-    counts = near.select("*", F.expr("aggregate(near, array(0), (c, h) -> array_append(c, element_at(c, -1) + if(array_contains(item, h), 1, 0)))").alias("c"))
+    near = hits.select("doc_id", "n", "i", "m", size.alias("size"), low.alias("low"), F.slice("shingles", low + 1, high - low).alias("near")).dropDuplicates(["doc_id", "n", "i", "low", "near"])
+    # windows with enough of the item's shingles: their number slides along, and only starts of such windows are kept
     need = F.ceil((F.col("m") + F.col("size")) * (threshold / (1 + threshold)) - 1e-9)
-    starts = F.filter(F.sequence(F.lit(0), F.size("near") - F.col("size")), lambda s: F.get("c", s + F.col("size")) - F.get("c", s) >= need)
-    windows = counts.select("doc_id", "n", "low", "size", "near", F.explode(starts).alias("s"))
+    counts = near.join(texts, "i").select("doc_id", "n", "low", "size", "near", need.alias("need"), F.transform("near", lambda h: F.array_contains("item", h).cast("int")).alias("f"))
+    slide = """aggregate(sequence(0, size(near) - 1), named_struct('c', 0, 's', cast(array() as array<int>)), (a, k) -> named_struct(
+        'c', a.c + get(f, k) - if(k >= size, get(f, k - size), 0),
+        's', if(k + 1 >= size and a.c + get(f, k) - if(k >= size, get(f, k - size), 0) >= need, array_append(a.s, k + 1 - size), a.s))).s"""
+    windows = counts.select("doc_id", "n", "low", "size", "near", F.explode(F.expr(slide)).alias("s"))
     windows = windows.select("doc_id", "n", (F.col("low") + F.col("s")).alias("start"), "size", F.slice("near", F.col("s") + 1, F.col("size")).alias("__w"))
     windows = windows.dropDuplicates(["doc_id", "n", "start", "size", "__w"])
     marked = windows.select("*", simhash().alias("fp"))
 
     spread = _flips(64 // BLOCKS, radius // BLOCKS)
     block = F.posexplode(F.array(*(F.shiftrightunsigned("fp", 64 // BLOCKS * k).bitwiseAND(F.lit((1 << 64 // BLOCKS) - 1)) for k in range(BLOCKS))))
-    prints = items.select("item_id", "item", "m", F.col("item").alias("__w")).select("item_id", "item", "m", simhash().alias("fp"))
-    index = prints.select("item_id", "item", "m", F.col("fp").alias("item_fp"), block.alias("block", "v"))
-    index = index.select("item_id", "item", "m", "item_fp", "block", F.explode(F.array(*(F.col("v").bitwiseXOR(F.lit(x)) for x in spread))).alias("value"))
+    prints = items.select("i", "item_id", "m", F.col("item").alias("__w")).select("i", "item_id", "m", simhash().alias("fp"))
+    index = prints.select("i", "item_id", "m", F.col("fp").alias("item_fp"), block.alias("block", "v"))
+    index = index.select("i", "item_id", "m", "item_fp", "block", F.explode(F.array(*(F.col("v").bitwiseXOR(F.lit(x)) for x in spread))).alias("value"))
     # a short document is one window of its own size, also for greater items: up to those of which it could hold enough
     sizes = F.sequence("size", F.when(F.col("size") == F.col("n"), F.floor(F.col("size") / threshold + 1e-9).cast("int")).otherwise(F.col("size")))
     asked = marked.select("doc_id", "start", "__w", "fp", F.explode(sizes).alias("m")).select("doc_id", "start", "__w", "fp", "m", block.alias("block", "value"))
-    pairs = asked.join(small(index) if total * len(spread) * BLOCKS <= 16 * broadcast_shingles else index, ["m", "block", "value"])
+    pairs = asked.join(small(index, 6 * n_items * len(spread) * BLOCKS), ["m", "block", "value"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    pairs = pairs.select("doc_id", "item_id", "start", "__w", "item", distance.alias("distance")).filter(F.col("distance") <= radius)
-    pairs = pairs.dropDuplicates(["doc_id", "item_id", "start", "__w"])
-    exact = pairs.select("doc_id", "item_id", "start", "distance", weighted_jaccard("__w", "item").alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
+    pairs = pairs.select("doc_id", "i", "item_id", "start", "__w", distance.alias("distance")).filter(F.col("distance") <= radius)
+    pairs = pairs.dropDuplicates(["doc_id", "i", "start", "__w"])
+    exact = pairs.join(texts, "i").select("doc_id", "item_id", "start", "distance", weighted_jaccard("__w", "item").alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("first"), (-F.col("distance")).alias("close")))
     return exact.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.first")).alias("start"), (-F.col("b.close")).alias("distance"))
 
