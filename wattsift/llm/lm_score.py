@@ -38,8 +38,9 @@ from pyspark.taskcontext import TaskContext
 from .common import documents, materialize, slices
 from .elias_fano import Trie
 
-#: Characters of text for each shard of the model, about 1.3 million tokens.
-SHARD_CHARS = 8_000_000
+#: Characters of text for each shard of the model, about 1.3 million tokens; in large corpora up to so many times more,
+#: as every chunk of text sends a row to every shard.
+SHARD_CHARS, SHARD_GROWTH, SHARDS = 8_000_000, 16, 2048
 #: Tokens that a task packs at once.
 CHUNK_TOKENS = 2_000_000
 #: Shards from which on the pieces of a shard are added up in two steps.
@@ -130,9 +131,15 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, most: int) -> Iterato
 _COUNTED = "shard long, part long, words binary, runs binary, contexts binary, counts binary"
 
 
-def _counted_row(shard: int, part: int, words, runs, contexts, counts) -> pa.RecordBatch:
-    blobs = [pa.array([x], pa.binary()) for x in (words.tobytes(), _planes(runs), contexts.tobytes(), _planes(counts.astype("<u8")))]
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([part], pa.int64()), *blobs], ["shard", "part", "words", "runs", "contexts", "counts"])
+def _counted_row(shard: int, words, runs, contexts, counts) -> tuple:
+    return shard, 0, words.tobytes(), _planes(runs), contexts.tobytes(), _planes(counts.astype("<u8"))
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """One batch of rows of longs and byte strings."""
+    names, kinds = zip(*(f.split(" ") for f in schema.split(", ")))
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.binary()) for c, k in zip(columns, kinds)], list(names))
 
 
 def _count(shards: int, chunk: int):
@@ -143,8 +150,7 @@ def _count(shards: int, chunk: int):
             first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
             times = np.diff(np.r_[first, len(w)])
             w, c = w[first], c[first]
-            for shard, at, distinct, runs in _pieces(w, np.arange(len(w)), shards):
-                yield _counted_row(shard, 0, distinct, runs, c[at], times[at])
+            yield _batch([_counted_row(shard, distinct, runs, c[at], times[at]) for shard, at, distinct, runs in _pieces(w, np.arange(len(w)), shards)], _COUNTED)
 
     return run
 
@@ -166,7 +172,7 @@ def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _merge(table: pa.Table) -> pa.Table:
     w, c, n = _added(table)
     first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-    return pa.Table.from_batches([_counted_row(table.column("shard")[0].as_py(), 0, w[first], np.diff(np.r_[first, len(w)]).astype("<u4"), c, n)])
+    return pa.Table.from_batches([_batch([_counted_row(table.column("shard")[0].as_py(), w[first], np.diff(np.r_[first, len(w)]).astype("<u4"), c, n)], _COUNTED)])
 
 
 _MODEL = "shard long, tokens long, words long, head_words binary, head_counts binary, trie binary"
@@ -243,7 +249,7 @@ def train(docs: DataFrame, shards: int, head_share: float = HEAD_SHARE, weight:
     return model, Statistics(tokens, words, contexts, counts[at], weights, weight)
 
 
-_REQUEST = "chunk long, shard long, copy long, docs binary, words binary, runs binary, contexts binary, numbers binary"
+_REQUEST = "chunk long, shard long, copy long, places binary, docs binary, words binary, runs binary, contexts binary, numbers binary"
 
 
 def _ask(shards: int, copies: dict[int, int], chunk: int):
@@ -253,19 +259,21 @@ def _ask(shards: int, copies: dict[int, int], chunk: int):
             order = np.argsort((words & np.uint64(0xFFFFFFFF00000000)) | contexts.astype(np.uint64))
             c, d = contexts[order], docs[order]
             names = np.array([(-1 << 63) if i is None else i for i in ids], "<i8")
+            rows = []
             for shard, at, distinct, runs in _pieces(words, order, shards):
                 present, numbers = np.unique(d[at], return_inverse=True)
-                blobs = (names[present].tobytes(), distinct.tobytes(), _planes(runs), c[at].tobytes(), _planes(numbers.astype("<u2")))
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, shard, number % copies.get(shard, 1))] + [pa.array([x], pa.binary()) for x in blobs], ["chunk", "shard", "copy", "docs", "words", "runs", "contexts", "numbers"])
+                blobs = (present.astype("<u2").tobytes(), names[present].tobytes(), distinct.tobytes(), _planes(runs), c[at].tobytes(), _planes(numbers.astype("<u2")))
+                rows.append((number, shard, number % copies.get(shard, 1), *blobs))
+            yield _batch(rows, _REQUEST)
             number += 1
 
     return run
 
 
-#: Sums of one shard for the documents of one chunk, packed as (doc_id, tokens, known, base, score).
+#: Sums of one shard for the documents of one chunk, packed; a document is told by its place in the chunk, so rows that share a doc_id stay apart.
 _PARTIAL = "chunk long, sums binary"
-_SUMS = np.dtype([("doc_id", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
-_SCORED = "doc_id long, n_tokens long, n_known long, base double, score double"
+_SUMS = np.dtype([("place", "<u2"), ("doc_id", "<i8"), ("n_tokens", "<u4"), ("n_known", "<u4"), ("base", "<f8"), ("score", "<f8")])
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _answer(stats: Statistics) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -276,7 +284,7 @@ def _answer(stats: Statistics) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(requests: pa.Table, model: pa.Table) -> pa.Table:
         trie = Trie(model.column("trie")[0].as_buffer()) if model.num_rows else None
         out = []
-        for docs, w, r, c, k in zip(*(requests.column(x) for x in ("docs", "words", "runs", "contexts", "numbers"))):
+        for places, docs, w, r, c, k in zip(*(requests.column(x) for x in ("places", "docs", "words", "runs", "contexts", "numbers"))):
             words, runs = np.frombuffer(w.as_buffer(), "<u8"), _unplanes(r.as_buffer(), "<u4")
             contexts, numbers = np.frombuffer(c.as_buffer(), "<u4"), _unplanes(k.as_buffer(), "<u2").astype(np.int64)
             ids = np.frombuffer(docs.as_buffer(), "<i8")
@@ -291,6 +299,7 @@ def _answer(stats: Statistics) -> Callable[[pa.Table, pa.Table], pa.Table]:
             score = np.log10(p1[each] * (joint + stats.smoothing(contexts))) + held[each]
             n = len(ids)
             sums = np.zeros(n, _SUMS)
+            sums["place"] = np.frombuffer(places.as_buffer(), "<u2")
             sums["doc_id"], sums["n_tokens"], sums["n_known"] = ids, np.bincount(numbers, minlength=n), np.bincount(numbers, (count > 0)[each], n)
             sums["base"], sums["score"] = np.bincount(numbers, np.log10(p1)[each], n), np.bincount(numbers, score, n)
             out.append(sums.tobytes())
@@ -302,13 +311,14 @@ def _answer(stats: Statistics) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def _total(parts: pa.Table) -> pa.Table:
     """The sums of a chunk's documents over all shards."""
     rows = np.concatenate([np.frombuffer(x.as_buffer(), _SUMS) for x in parts.column("sums")])
-    ids, at = np.unique(rows["doc_id"], return_inverse=True)
+    _, first, at = np.unique(rows["place"], return_index=True, return_inverse=True)
+    ids = rows["doc_id"][first]
     total = {k: np.bincount(at, rows[k], len(ids)) for k in ("n_tokens", "n_known", "base", "score")}
-    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == -1 << 63), **{k: pa.array(v.astype(np.int64) if k[0] == "n" else v) for k, v in total.items()}})
+    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == -1 << 63), **{("base_score" if k == "base" else k): pa.array(v.astype(np.int64) if k[0] == "n" else v) for k, v in total.items()}})
 
 
 def score(docs: DataFrame, model: DataFrame, stats: Statistics, shards: int, chunk: int = CHUNK_TOKENS) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each doc_id of (doc_id, text)."""
+    """(doc_id, n_tokens, n_known, base_score, score) of each row of (doc_id, text)."""
     mean = max(1, stats.tokens // shards)
     hot = model.filter(F.col("tokens") > 4 * mean).select("shard", "tokens").orderBy(F.desc("tokens")).limit(HOT_SHARDS).collect()
     copies = {r["shard"]: -(-r["tokens"] // (2 * mean)) for r in hot}
@@ -322,24 +332,24 @@ def score(docs: DataFrame, model: DataFrame, stats: Statistics, shards: int, chu
     copied = copied.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("copy"), "trie")
     asked = docs.mapInArrow(_ask(shards, copies, chunk), _REQUEST)
     parts = asked.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(_answer(stats), _PARTIAL)
-    whole = parts.groupBy("chunk").applyInArrow(_total, _SCORED)
-    return whole.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return parts.groupBy("chunk").applyInArrow(_total, _SCORED)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, shard_chars: int = SHARD_CHARS, **training) -> DataFrame:
-    """One row for each doc_id: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from documents that are not held out (default: crc32 of
     doc_id as text, mod 7, is 2) and scores all.  Null and empty texts are the
-    end token; rows that share a doc_id are scored as one row, their sums added;
-    an empty input gives an empty result, and without training documents all
-    words are unknown; other columns are ignored.
+    end token; rows that share a doc_id are scored each; an empty input gives an empty result, and without training documents all
+    words are unknown; other columns are ignored.  The rows of a task must be the
+    same when it runs again, as they are when ``docs`` reads files: write the
+    result of a shuffle first.
     """
     rows = documents(docs, id_col, text_col)
     held = held_out if held_out is not None else F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     held = F.coalesce(held, F.lit(False))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-chars // shard_chars))
+    shards = max(1, -(-chars // (shard_chars * SHARD_GROWTH)), min(-(-chars // shard_chars), SHARDS))
     model, stats = train(rows.filter(~held), shards, **training)
     scored = score(rows, model, stats, shards, training.get("chunk", CHUNK_TOKENS))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
