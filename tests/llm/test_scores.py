@@ -341,3 +341,36 @@ def test_main_text_of_all_pages(spark, sf_dir):
         body = re.search(r"<article>(.*)</article>", r["html"] or "", re.S)
         want = html.unescape(re.sub("<[^>]*>", " ", body[1])).split() if body else []
         assert main_text(r["html"] or "").split() == want, r["page_id"]
+
+
+def test_planted_keys_are_found_in_documents(spark, docs, doc_rows):
+    """Keys beside sensitive words, in forms that no pattern knows, and identifiers of the documents' own words, in real texts."""
+    r = random.Random(11)
+    kinds = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/"]
+    texts, keys, names = [], {}, {}
+    parts = ["user", "Session", "Manager", "request", "Handler", "config", "Value", "service", "Factory", "response"]
+    for i, (_, t) in enumerate(x for x in doc_rows if 400 < len(x[1]) < 4000):
+        at = t.index(" ", r.randint(0, len(t) - 100)) + 1
+        key = "".join(r.choice(kinds[i % 4]) for _ in range(r.choice((20, 24, 32, 40, 64))))
+        if not (any(c.isdigit() for c in key) and any(c.isalpha() for c in key)):
+            continue
+        name = "_".join(r.sample(parts, 3)) + str(r.randint(1, 9))
+        word = r.choice(("the access key is {}, ", "bearer {} ", "credential for it: {} ", "auth {}; "))
+        use = key if i % 2 else name
+        texts.append((i, t[:at] + word.format(use) + t[at:]))
+        (keys if i % 2 else names)[i] = use
+    found = find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id", "spans").collect()
+    words = {r["doc_id"]: {texts_by[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",") if s.startswith("novel")} for texts_by in [dict(texts)] for r in found}
+    assert len(keys) > 40 and len(names) > 40
+    missed = [k for i, k in keys.items() if k not in words[i]]
+    assert len(missed) <= 0.05 * len(keys), missed
+    assert sum(k in words[i] for i, k in keys.items()) >= 0.95 * len(keys)
+    assert sum(n in words[i] for i, n in names.items()) <= 0.05 * len(names)
+
+
+def test_parts_joined_by_dots_are_one_string():
+    r = random.Random(6)
+    part = lambda n: "".join(r.choice(string.ascii_letters + string.digits + "_-") for _ in range(n))
+    token = f"eyJ{part(33)}.eyJ{part(80)}.{part(43)}"
+    text = f"Authorization header, bearer {token} end"
+    assert [text[s:e] for s, _, e in novel_spans(text, base_spans(text))] == [token]

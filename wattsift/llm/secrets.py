@@ -3,9 +3,12 @@
 Patterns (kinds ``assign``, ``access``, ``hex``) give the base spans.  The method
 adds kind ``novel``: near a sensitive word, each string of key characters with
 letters and digits is a candidate, on other lines too; strings that follow one
-another with only white space between, as in a PEM body, are near if one is.  Zstandard, primed with a dictionary of code and identifiers, packs
-the code around the candidate with and without it; the difference is the
-candidate's marginal size.  Names, paths and words in use nearby cost little;
+another with only white space between, as in a PEM body, are near if one is, and
+parts joined by dots are one string.  Zstandard, primed with a dictionary of code
+and identifiers, packs the code around the candidate with and without it; the
+difference is the candidate's marginal size.  The dictionary holds the words of
+which identifiers near sensitive words are made, the most frequent of all
+documents, besides a fixed beginning.  Names, paths and words in use nearby cost little;
 random keys cost nearly all of their bytes, and are reported.
 
 Spans are in code points, the end exclusive.
@@ -16,12 +19,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import documents, slices
 
@@ -34,14 +39,18 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 8, 16, 32
 
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")  # the greedy matches of HEX that are kept
 _ASSIGN_SIGNS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_SENSITIVE = re.compile(r"(?ai:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|bearer|private[_-]?key|private key|signature)")
-_KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_SENSITIVE = re.compile(r"(?ai:passw(?:or)?d|passwd|pwd|secret|token|(?:api|access|private|signing|encryption)[ _-]?key|auth(?:orization)?|credential|bearer|signature)")
+_KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}(?:\.[A-Za-z0-9+/_=-]{16,})*")
+#: The words of identifiers: no longer than a candidate, so no key becomes known by its copies.
+_IDENTIFIER_WORD = re.compile(r"[A-Z]?[a-z]{3,14}|[A-Z]{4,15}")
 _SENSITIVE_SIGNS = ("passw", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "signature")
 
 #: Characters of code on each side of a candidate that count as its surroundings; a sensitive word must be as near.
 AROUND = 256
 #: Least marginal bytes of a reported candidate, for each that a random string takes.
-NOVELTY = 0.85
+NOVELTY = 0.9
+#: Words of identifiers that the dictionary takes from the documents.
+DICTIONARY_WORDS = 4096
 #: What the compressor knows beforehand: words of code and of configuration.
 DICTIONARY = (
     "import from return class public private static final void function const export default module require include "
@@ -126,6 +135,41 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: str = D
     return out
 
 
+def identifier_words(text: str) -> Counter:
+    """Words of identifiers around the sensitive words of a text, each counted once for the text."""
+    low = text.lower()
+    if not any(s in low for s in _SENSITIVE_SIGNS):
+        return Counter()
+    found, end = set(), 0
+    for m in _SENSITIVE.finditer(text):
+        start = max(end, m.start() - AROUND)
+        end = max(end, m.end() + AROUND)
+        found.update(_IDENTIFIER_WORD.findall(text, start, end))
+    return Counter(found)
+
+
+def corpus_dictionary(rows: DataFrame, words: int = DICTIONARY_WORDS, first: str = DICTIONARY) -> str:
+    """``first`` and the words that are near sensitive words in most of (doc_id, text), at most ``words``, the most frequent last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+        for b in slices(batches):
+            for text in b.column("text").to_pylist():
+                counts.update(identifier_words(text))
+            if len(counts) > 100_000:
+                yield batch()
+                counts.clear()
+        yield batch()
+
+    counts = rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    best = counts.orderBy(F.desc("n"), "word").limit(words).collect()
+    return " ".join([first, *(r["word"] for r in reversed(best))])
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -144,10 +188,12 @@ def _scan(dictionary: str, least: float):
     return run
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: str = DICTIONARY, least: float = NOVELTY) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: str | None = None, least: float = NOVELTY) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel.
 
     Null and empty texts have no spans; repeated rows are scanned each; an empty
-    input gives an empty result; other columns are ignored.
+    input gives an empty result; other columns are ignored.  Without ``dictionary``
+    it is made from the documents.
     """
-    return documents(docs, id_col, text_col).mapInArrow(_scan(dictionary, least), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
+    rows = documents(docs, id_col, text_col)
+    return rows.mapInArrow(_scan(corpus_dictionary(rows) if dictionary is None else dictionary, least), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
