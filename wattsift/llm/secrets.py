@@ -49,6 +49,8 @@ _SENSITIVE_SIGNS = ("passw", "pwd", "secret", "token", "key", "auth", "credentia
 AROUND = 256
 #: Least marginal bytes of a reported candidate, for each that a random string takes.
 NOVELTY = 0.9
+#: Random strings whose mean size a candidate is held against.
+DRAWS = 5
 #: Words of identifiers that the dictionary takes from the documents.
 DICTIONARY_WORDS = 4096
 #: What the compressor knows beforehand: words of code and of configuration.
@@ -69,10 +71,10 @@ def _compressor(dictionary: str) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False)
 
 
-def random_like(candidate: str) -> str:
-    """A string of the same length and kinds of characters, drawn from the candidate's SHA-512."""
+def random_like(candidate: str, draw: int = 0) -> str:
+    """A string of the same length and kinds of characters, drawn from a hash of the candidate."""
     kinds = ("0123456789abcdef",) if not candidate.strip("0123456789abcdef") else ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    draws = hashlib.shake_256(candidate.encode()).digest(2 * len(candidate))
+    draws = hashlib.shake_256(f"{draw} {candidate}".encode()).digest(2 * len(candidate))
     out = []
     for k, c in enumerate(candidate):
         kind = next((x for x in kinds if c in x), c)
@@ -89,7 +91,8 @@ def novelty(before: str, candidate: str, after: str, dictionary: str = DICTIONAR
     around = (before + "\n" + after + "\n").encode()
     least = len(packed(around))
     of = lambda x: len(packed(around + x.encode())) - least
-    return of(candidate) / max(1, min(len(candidate.encode()), of(random_like(candidate))))
+    usual = sum(of(random_like(candidate, k)) for k in range(DRAWS)) / DRAWS
+    return of(candidate) / max(1, min(len(candidate.encode()), usual))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
