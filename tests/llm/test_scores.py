@@ -18,7 +18,7 @@ from wattsift.llm.elias_fano import EliasFano, Trie
 from wattsift.llm.lm_score import HEAD_SHARE, WEIGHT, lm_scores
 from wattsift.llm.main_text import extract_main_text, main_text
 from wattsift.llm.secrets import base_spans, find_secrets, novel_spans
-from wattsift.llm.toxicity import score, toxicity, train
+from wattsift.llm.toxicity import fit_cumulative_link, loss_and_gradient, score, toxicity, train
 
 
 def tokens(text):
@@ -99,6 +99,37 @@ def test_toxicity_on_held_out_documents(spark):
     assert model.thresholds[0] < model.thresholds[1] and all(0 <= r["severity"] <= 2 for r in found)
 
 
+def test_gradient_of_the_ordinal_model():
+    g = np.random.default_rng(9)
+    rows = [g.choice(12, g.integers(0, 6), replace=False) for _ in range(80)]
+    doc, feat, grades = np.repeat(np.arange(80), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64), g.integers(0, 3, 80)
+    w, t = g.normal(size=12), np.array([0.7, 1.3])
+    _, gradient = loss_and_gradient(w, t, doc, feat, grades, 0.01)
+    for k in range(14):
+        step = np.zeros(14)
+        step[k] = 1e-5
+        up, down = (loss_and_gradient(w + s * step[:12], t + s * step[12:], doc, feat, grades, 0.01)[0] for s in (1, -1))
+        assert gradient[k] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_the_fit_is_a_minimum_and_finds_the_weights():
+    g = np.random.default_rng(10)
+    true, rows = np.array([2.5, 1.5, 0.0, -1.5]), [g.choice(4, g.integers(0, 5), replace=False) for _ in range(6000)]
+    x = np.array([true[r].sum() for r in rows]) + g.logistic(size=6000)
+    grades = (x > 1.0).astype(int) + (x > 3.0)
+    w, theta = fit_cumulative_link(rows, grades, 4)
+    assert np.abs(w - true).max() < 0.25 and theta == pytest.approx((1.0, 3.0), abs=0.25)
+
+
+def test_severity_does_not_grow_with_the_number_of_clean_words(spark):
+    docs = [(i, f"nasty{i % 3} word and more words of a text number{i}") for i in range(60)] + [(100 + i, " ".join(f"plain{(i * k) % 40}x" for k in range(5, 60))) for i in range(80)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    model = train(rows, spark.createDataFrame([(i, int(i < 100)) for i, _ in docs], "doc_id long, toxic int"))
+    assert not any(w.startswith("#") for w in model.weights)
+    one = model.above("nasty1 word").sum()
+    assert model.above("nasty1 word " + " ".join(f"unseen{k}" for k in range(500))).sum() == pytest.approx(one)
+
+
 def test_toxicity_edges(spark, edge, empty, rows):
     none = spark.createDataFrame([], "doc_id long, toxic int, extra string")
     some = spark.createDataFrame([(4, 0), (9, 1), (9, 0), (None, 1), (12, None)], "doc_id long, toxic int")

@@ -4,15 +4,16 @@ Grades are ordered: 0 clean, 1 toxic, 2 severely toxic.  One weight vector is
 shared by both thresholds: P(grade > k) = sigmoid(w.x - theta_k) with
 theta_0 < theta_1; expected severity is the sum of P(grade > k).
 
-Labels say only whether a document is toxic.  Of the toxic ones, those with
-above the median of telling features are grade 2, the others grade 1.
+Labels say only whether a document is toxic.  Of the toxic ones, those whose three
+most telling features together speak more clearly than the median's are grade 2,
+the others grade 1; so a grade does not grow with the number of words.
 
 Training uses a bounded sample of labelled rows (``sample_bound``, expected
 number at most, drawn by a hash of doc_id).  The features of a document are its
-distinct words (runs of letters, lower case); beginnings of four to seven letters
-that one, two or three of them share; and the order of magnitude of their number.
+distinct words (runs of letters, lower case), and beginnings of four to seven
+letters that one, two or three of them share; nothing tells its length.
 Those kept are the ``max_features`` that speak most clearly for toxic documents
-in the sample, and all sizes.  The feature counts are a Spark
+in the sample.  The feature counts are a Spark
 aggregation; only kept features and the sample's sparse rows (both bounded) reach
 the driver, where the few thousand weights are fitted.  Every document is scored.
 """
@@ -35,16 +36,19 @@ from .common import documents, slices
 SAMPLE_BOUND, MAX_FEATURES, MIN_DOCUMENTS = 12_000, 4096, 3
 #: Least z-score of a feature's log odds for it to be kept.
 MIN_Z = 3.0
-REJECT_AT = 0.5
+#: Telling features that decide the grade of a toxic document.
+STRONGEST = 3
+#: Least P(grade > 0) of a document that is toxic: below one half, as toxic documents are far fewer than clean ones in the sample.
+REJECT_AT = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features_of(text: str) -> set[str]:
-    """Words as they are, beginnings as ``begin*`` to ``begin***`` by how many words have them, and ``#n`` for up to 2**n words."""
+    """Words as they are, and beginnings as ``begin*`` to ``begin***`` by how many words have them."""
     words = set(_WORD.findall(text.lower()))
     begins = Counter(w[:k] for w in words for k in (4, 5, 6, 7) if len(w) > k)
-    return words | {b + "*" * k for b, n in begins.items() for k in range(1, min(n, 3) + 1)} | {f"#{len(words).bit_length()}"}
+    return words | {b + "*" * k for b, n in begins.items() for k in range(1, min(n, 3) + 1)}
 
 
 @dataclass
@@ -66,11 +70,27 @@ class OrdinalModel:
         begins = Counter(b for w in words for b in (w[:4], w[:5], w[:6], w[:7]) if b in known and len(b) < len(w))
         # a short word repeats in its own slices, but those are no shorter than it
         found = words | {b + "*" * k for b, n in begins.items() for k in range(1, min(n, 3) + 1)}
-        found.add(f"#{len(words).bit_length()}")
         x = sum(map(self.weights.__getitem__, self.weights.keys() & found))
         return 1 / (1 + np.exp(np.array(self.thresholds) - x))
 
 
+def loss_and_gradient(w: np.ndarray, t: np.ndarray, doc: np.ndarray, feat: np.ndarray, grades: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with its penalty, and its gradient by the weights and by theta_0 and the root of the step to theta_1."""
+    n = len(grades)
+    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -35, 35)))
+    x = np.bincount(doc, w[feat], n)
+    theta = np.array([t[0], t[0] + t[1] ** 2 + 1e-3])
+    p = sigmoid(x[:, None] - theta)  # P(grade > k)
+    slope = p * (1 - p)
+    prob = np.where(grades == 0, 1 - p[:, 0], np.where(grades == 1, p[:, 0] - p[:, 1], p[:, 1])).clip(1e-12)
+    # derivative of the log probability by (x - theta_k)
+    g0 = np.where(grades == 0, -slope[:, 0], np.where(grades == 1, slope[:, 0], 0)) / prob
+    g1 = np.where(grades == 1, -slope[:, 1], np.where(grades == 2, slope[:, 1], 0)) / prob
+    gx = (g0 + g1) / n
+    gradient = np.concatenate([-np.bincount(feat, gx[doc], len(w)) + l2 * w, [np.sum(gx), np.sum(g1) / n * 2 * t[1]]])
+    return float(-np.log(prob).mean() + l2 * (w**2).sum() / 2), gradient
+
+
 def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, n_features: int, l2: float = 2e-4, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, tuple[float, float]]:
     """Maximum likelihood of a three-grade proportional odds model by Adam on the whole sample; rows hold feature numbers."""
     n = len(rows)
@@ -78,18 +98,8 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, n_features:
     doc, feat = np.repeat(np.arange(n), size), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     w, t = np.zeros(n_features), np.array([2.0, 1.0])  # theta_0, and the root of the step to theta_1
     state = [np.zeros(n_features + 2) for _ in range(2)]
-    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -35, 35)))
     for step in range(1, steps + 1):
-        x = np.bincount(doc, w[feat], n)
-        theta = np.array([t[0], t[0] + t[1] ** 2 + 1e-3])
-        p = sigmoid(x[:, None] - theta)  # P(grade > k)
-        slope = p * (1 - p)
-        prob = np.where(grades == 0, 1 - p[:, 0], np.where(grades == 1, p[:, 0] - p[:, 1], p[:, 1])).clip(1e-12)
-        # derivative of the log probability by (x - theta_k)
-        g0 = np.where(grades == 0, -slope[:, 0], np.where(grades == 1, slope[:, 0], 0)) / prob
-        g1 = np.where(grades == 1, -slope[:, 1], np.where(grades == 2, slope[:, 1], 0)) / prob
-        gx = (g0 + g1) / n
-        grad = np.concatenate([-np.bincount(feat, gx[doc], n_features) + l2 * w, [np.sum(gx), np.sum(g1) / n * 2 * t[1]]])
+        _, grad = loss_and_gradient(w, t, doc, feat, grades, l2)
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.999 * state[1] + 0.001 * grad**2
         move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
@@ -123,17 +133,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_bound: int = SAMPLE_BOUND,
         odds = lambda n, total: F.log((n + half) / (F.lit(total) - n + half))
         counts = words.select((F.col("toxic") > 0).alias("toxic"), F.explode("words").alias("word")).groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
         z = (odds(F.col("t"), toxic) - odds(F.col("c"), clean)) / F.sqrt(1 / (F.col("t") + half) + 1 / (F.col("c") + half))
-        sizes = counts.filter(F.col("word").startswith("#")).select("word")  # at most one for each power of two
-        best = counts.filter((F.col("t") + F.col("c") >= MIN_DOCUMENTS) & (z >= MIN_Z) & ~F.col("word").startswith("#")).select("word", z.alias("z")).orderBy(F.desc("z"), "word").limit(max_features)
-        vocabulary = [r["word"] for r in best.collect()] + sorted(r["word"] for r in sizes.collect())
+        best = counts.filter((F.col("t") + F.col("c") >= MIN_DOCUMENTS) & (z >= MIN_Z)).select("word", z.alias("z")).orderBy(F.desc("z"), "word").limit(max_features).collect()
+        vocabulary, telling = [r["word"] for r in best], np.array([r["z"] for r in best])
         number = {w: i for i, w in enumerate(vocabulary)}
         kept = words.select("toxic", F.array_intersect("words", F.lit(vocabulary) if vocabulary else F.array().cast("array<string>")).alias("words"))
         rows = kept.groupBy((F.col("toxic") > 0).alias("toxic"), F.array_sort("words").alias("words")).count().collect()
     finally:
         words.unpersist()
     per_doc = [(np.array([number[w] for w in r["words"]], np.int64), bool(r["toxic"])) for r in sorted(rows, key=lambda r: (r["toxic"], r["words"])) for _ in range(r["count"])]
-    middle = np.median([len(f) for f, t in per_doc if t])
-    grades = np.array([0 if not t else 1 + (len(f) > middle) for f, t in per_doc])
+    strength = np.array([np.sort(telling[f])[-STRONGEST:].sum() for f, _ in per_doc])
+    toxic_rows = np.array([t for _, t in per_doc])
+    grades = np.where(toxic_rows, 1 + (strength > np.median(strength[toxic_rows])), 0)
     weights, thresholds = fit_cumulative_link([f for f, _ in per_doc], grades, len(vocabulary))
     return OrdinalModel(dict(zip(vocabulary, weights.tolist())), thresholds)
 
@@ -142,7 +152,7 @@ def _score(model: OrdinalModel, reject_at: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             p = np.array([model.above(t) for t in b.column("text").to_pylist()]).reshape(-1, 2)
-            grade = np.where(p[:, 1] >= 0.5, 2, np.where(p[:, 0] >= 0.5, 1, 0))
+            grade = np.where(p[:, 0] < reject_at, 0, np.where(p[:, 1] >= 0.5, 2, 1))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(grade, pa.int32()), pa.array(p[:, 0] >= reject_at)], ["doc_id", "severity", "p_toxic", "grade", "rejected"])
 
     return run
