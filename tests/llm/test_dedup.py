@@ -25,7 +25,12 @@ def brute_exact(rows):
     for (i, t), h in zip(rows, sha):
         groups[h].append((-len(t), i is None, i))
     keep = {h: min(g, key=lambda x: (x[0], x[1], x[2] or 0))[2] for h, g in groups.items()}
-    return [(i, keep[h], len(groups[h]), i == keep[h], h) for (i, _), h in zip(rows, sha)]
+    out, left = [], set(groups)
+    for (i, t), h in sorted(zip(rows, sha), key=lambda x: -len(x[0][1])):
+        stays = h in left and i == keep[h]
+        left -= {h} if stays else set()
+        out.append((i, keep[h], len(groups[h]), stays, h))
+    return out
 
 
 @pytest.mark.parametrize("segment", [1, 8192])

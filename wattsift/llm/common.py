@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -16,14 +17,16 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder
-    is made and set as checkpoint folder.
+    Only where a session on one machine names none (as in tests) a temporary folder
+    is made and set as checkpoint folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     spark_dir = spark.sparkContext.getCheckpointDir()
     if spark_dir is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wattsift-"))
         spark_dir = spark.sparkContext.getCheckpointDir()
     return spark_dir.rstrip("/")

@@ -14,8 +14,8 @@ joined back on the digest; that join may be split by adaptive execution.
 
 Defined results: null text counts as empty; all empty texts are one group; a
 null doc_id loses against any other in a tie; repeated rows are copies of each
-other, and the result keeps one row for each input row; an empty input gives an
-empty result; other columns of the input are ignored.
+other, the result has one row for each input row, and one row of each group is
+kept, also of rows that are equal in all; an empty input gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .common import ASCII_SPACE, documents, materialize
 SEGMENT = 8192
 
 _LAST = (1 << 63) - 1  # in place of a null doc_id: pandas would turn a column with nulls into floats
-_INDEX = "seg long, n long, pilots binary, digests binary, winner_id binary, winner_chars binary, copies binary"
-_VERDICT = "digest binary, keep_id long, group_size long"
+_INDEX = "seg long, n long, pilots binary, digests binary, winner_id binary, winner_chars binary, winner_row binary, copies binary"
+_VERDICT = "digest binary, keep_id long, keep_row long, group_size long"
 
 
 def _words(digests: list[bytes]) -> np.ndarray:
@@ -89,7 +89,7 @@ def _build_segment(group: pd.DataFrame) -> pd.DataFrame:
     column = lambda name: group[name].to_numpy(np.int64)[at].tobytes()
     return pd.DataFrame([{
         "seg": group["seg"].iloc[0], "n": len(group), "pilots": pilots.tobytes(), "digests": keys[at].tobytes(),
-        "winner_id": column("winner_id"), "winner_chars": column("winner_chars"), "copies": column("copies"),
+        "winner_id": column("winner_id"), "winner_chars": column("winner_chars"), "winner_row": column("winner_row"), "copies": column("copies"),
     }])
 
 
@@ -99,18 +99,18 @@ def _look_up(incoming: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     if len(index):
         row = index.iloc[0]
         digests = np.frombuffer(row["digests"], "<u8").reshape(-1, 4)
-        ids, chars, copies = (np.frombuffer(row[c], np.int64).copy() for c in ("winner_id", "winner_chars", "copies"))
+        ids, chars, places, copies = (np.frombuffer(row[c], np.int64).copy() for c in ("winner_id", "winner_chars", "winner_row", "copies"))
         if len(incoming):
             keys = _words(incoming["digest"].tolist())
             slot = find_slots(keys, np.frombuffer(row["pilots"], np.int32))
             new = ~(digests[slot] == keys).all(axis=1)
             s, own = slot[~new], incoming[~new]
-            i, n = own["winner_id"].to_numpy(np.int64), own["winner_chars"].to_numpy(np.int64)
-            wins = (n > chars[s]) | ((n == chars[s]) & (i < ids[s]))
-            ids[s], copies[s] = np.where(wins, i, ids[s]), copies[s] + own["copies"].to_numpy(np.int64)
-        out.append(pd.DataFrame({"digest": [x.tobytes() for x in digests], "keep_id": ids, "group_size": copies}))
+            i, n, at = (own[c].to_numpy(np.int64) for c in ("winner_id", "winner_chars", "winner_row"))
+            wins = (n > chars[s]) | ((n == chars[s]) & (i < ids[s])) | ((n == chars[s]) & (i == ids[s]) & (at < places[s]))
+            ids[s], places[s], copies[s] = np.where(wins, i, ids[s]), np.where(wins, at, places[s]), copies[s] + own["copies"].to_numpy(np.int64)
+        out.append(pd.DataFrame({"digest": [x.tobytes() for x in digests], "keep_id": ids, "keep_row": places, "group_size": copies}))
     rest = incoming[new]
-    out.append(pd.DataFrame({"digest": rest["digest"], "keep_id": rest["winner_id"].to_numpy(np.int64), "group_size": rest["copies"]}))
+    out.append(pd.DataFrame({"digest": rest["digest"], "keep_id": rest["winner_id"].to_numpy(np.int64), "keep_row": rest["winner_row"], "group_size": rest["copies"]}))
     found = pd.concat(out, ignore_index=True)
     found["keep_id"] = found["keep_id"].astype("Int64").mask(found["keep_id"] == _LAST)
     return found
@@ -121,16 +121,16 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_cp, digest) of each row of (doc_id, text), written to the shared folder."""
+    """(doc_id, row, n_cp, digest) of each row of (doc_id, text), written to the shared folder; ``row`` is a number of its own."""
     text = F.col("text")
-    return materialize(docs.select("doc_id", F.length(text).cast("long").alias("n_cp"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest")), "digests")
+    return materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.length(text).cast("long").alias("n_cp"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest")), "digests")
 
 
 def groups(rows: DataFrame, segments: int) -> DataFrame:
     """A row for each distinct digest, with its winner and its copies."""
-    best = F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
+    best = F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
     return rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).select(
-        F.pmod(F.xxhash64("digest"), F.lit(segments)).alias("seg"), "digest", F.coalesce("best.id", F.lit(_LAST)).alias("winner_id"), (-F.col("best.less")).alias("winner_chars"), "copies"
+        F.pmod(F.xxhash64("digest"), F.lit(segments)).alias("seg"), "digest", F.coalesce("best.id", F.lit(_LAST)).alias("winner_id"), (-F.col("best.less")).alias("winner_chars"), F.col("best.row").alias("winner_row"), "copies"
     )
 
 
@@ -152,4 +152,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = build_index(rows.filter(old), segments)
     verdict = groups(rows.filter(~old), segments).groupBy("seg").cogroup(index.groupBy("seg")).applyInPandas(_look_up, _VERDICT)
     joined = rows.join(verdict, "digest")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -76,8 +76,8 @@ ORACLE_SQL = {
             SELECT doc_id, length(coalesce(text, '')) AS n,
                    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h
             FROM documents)
-        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, h AS text_sha256
-        FROM (SELECT doc_id, h,
+        SELECT doc_id, keep_id, group_size, place = 1 AS kept, h AS text_sha256
+        FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST) AS place,
                      first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
                      count(*) OVER (PARTITION BY h) AS group_size
               FROM d)""",
