@@ -25,6 +25,7 @@ def rule_conditions() -> dict[str, Column]:
 
 
 def rule_texts() -> dict[str, Column]:
+    # The sentences that describe each rule's hit.
     c, text = F.col, F.format_string
     return {
         "R1": text("R1: racha de %d períodos consecutivos con consumo cero (umbral %d), suministro en estado %s", c("zero_consumption_streak"), F.lit(K.R1_STREAK), c("estado")),

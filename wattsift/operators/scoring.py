@@ -64,6 +64,7 @@ def factor_values() -> dict[str, Column]:
 
 
 def factor_reasons() -> dict[str, Column]:
+    # The sentences that explain each factor.
     c, text = F.col, F.format_string
     f5, f6 = c("pct_change_prev_period"), c("pct_change_yoy")
     first = f6.isNull() | (F.abs(f5) >= F.abs(f6))
