@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import crc
 
 from wattsift.llm.packing import best_fit_decreasing, pack, padded_length
@@ -50,7 +51,8 @@ def test_outliers_are_exceptions():
 def test_token_blocks(edge, rows, docs, doc_rows, segment_ids, table):
     edge, rows = (edge, rows) if table == "edge" else (docs, doc_rows)
     encode, at, want = library(WORD_BPE), 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    tie = lambda t: int(np.array(xxhash.xxh64_intdigest(t.encode(), 42), np.uint64).view(np.int64))
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1]))):
         ids = [*encode(t), 1]
         want.append((i, at, len(ids), crc(ids)))
         at += len(ids)

@@ -147,16 +147,18 @@ def _read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([docs, pa.array(starts + b.column("before")[i].as_py()), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, byte_level: bool = False, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, byte_level: bool = False, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, shards: int | None = None) -> DataFrame:
     """Encode every text, append ``end_id``, write the files in ascending doc_id order, and return them as a table.
 
-    ``path`` is the place of the tokenizer's vocabulary.  Ties in doc_id are
-    ordered by text; null doc_ids come first; null text is empty (only the end
-    id); an empty input writes no segment.
+    ``path`` is the place of the tokenizer's vocabulary, ``shards`` the number of
+    tasks and files (default: the session's shuffle partitions).  Ties in doc_id
+    are ordered by the hash of the text, so that many rows of one id, or without
+    one, are dealt over several tasks; null doc_ids come first; null text is empty
+    (only the end id); an empty input writes no segment.
     """
-    rows = documents(docs, id_col, text_col)
-    shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = documents(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    shards = shards or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     return materialize(dealt.mapInArrow(_write_segments(path or vocabulary(WORD_BPE), byte_level, end_id, segment_ids), _SEGMENTS), "token-blocks")
 
 
