@@ -195,6 +195,18 @@ def _build(head_share: float):
     return run
 
 
+def _frequent(least: float):
+    """The words of each shard that are frequent among all: at most 1 / head_share in all shards together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, counts in zip(b.column("head_words"), b.column("head_counts")):
+                w, n = np.frombuffer(words.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(w[n >= least].view(np.int64)), pa.array(n[n >= least].astype(np.int64))], ["word", "n"])
+
+    return run
+
+
 def _successors(contexts: np.ndarray):
     """For each shard, in how many of its words each of the given (ascending) contexts was seen."""
 
@@ -232,12 +244,8 @@ def train(docs: DataFrame, shards: int, head_share: float = HEAD_SHARE, weight:
     model = materialize(pieces.groupBy("shard").applyInArrow(_build(head_share), _MODEL), "ngram-trie")
     n_docs = docs.count()
     tokens, words = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    rows = model.select("head_words", "head_counts").toLocalIterator()
-    frequent = [np.zeros((2, 0), np.uint64)]
-    for r in rows:  # at most 1 / head_share words of a shard, and of these only the frequent ones of all stay
-        w, n = np.frombuffer(r["head_words"], "<u8"), np.frombuffer(r["head_counts"], "<i8")
-        frequent.append(np.stack([w, n.astype(np.uint64)])[:, n >= head_share * tokens])
-    found = np.concatenate(frequent, axis=1)
+    rows = model.select("head_words", "head_counts").mapInArrow(_frequent(head_share * tokens), "word long, n long").collect()
+    found = np.array([(r["word"], r["n"]) for r in rows], np.int64).reshape(-1, 2).T.view(np.uint64)
     found = found[:, found[0] != _END]
     contexts = np.r_[context_of(found[0]), context_of(np.array([_START]))]
     counts = np.r_[found[1].astype(np.int64), n_docs]
