@@ -172,3 +172,42 @@ def test_similar_groups_are_of_exact_similarity(spark):
                 want[i + 1] = i
     found = {r["doc_id"]: r["group_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), radius=64).collect()}
     assert {k: v for k, v in found.items() if k != v} == want
+
+
+def brute_similar(rows, similarity=0.8):
+    """{doc_id: group_id} by the Jaccard similarity of all pairs of five-word shingle sets."""
+    sets = []
+    for i, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", w) if x]
+        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))))
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = defaultdict(list)
+    for k, (_, s) in enumerate(sets):
+        for g in s:
+            holders[g].append(k)
+    pairs = {(a, b) for own in holders.values() for n, a in enumerate(own) for b in own[n + 1 :]}
+    for a, b in pairs:
+        (i, x), (j, y) = sets[a], sets[b]
+        both = len(x & y)
+        if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+            low, high = sorted((find(i), find(j)))
+            root[high] = low
+    groups = defaultdict(list)
+    for i in root:
+        groups[find(i)].append(i)
+    return {i: g for g, own in groups.items() if len(own) > 1 for i in own}
+
+
+@pytest.mark.parametrize("block, dealt", [(4, 16), (2048, 1024)])
+def test_similar_groups_all_documents(docs, doc_rows, block, dealt):
+    """The same groups as of all pairs, with blocks compared whole and in parts."""
+    others = lambda groups: {i: g for i, g in groups.items() if i != g}
+    found = {r["doc_id"]: r["group_id"] for r in similar_groups(docs, block=block, dealt=dealt).collect()}
+    assert others(found) == others(brute_similar(doc_rows))
