@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import centroids, collocations, url_filter
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
@@ -57,6 +58,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_token_blocks": op2_token_blocks,
@@ -68,6 +81,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_url_filter": op11_url_filter,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -81,4 +97,7 @@ ORACLE_SQL = {
                      first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
                      count(*) OVER (PARTITION BY h) AS group_size
               FROM d)""",
+    "op11_url_filter": url_filter.SQL,
+    "op12_centroid_clustering": centroids.SQL,
+    "op13_collocations": collocations.SQL,
 }
