@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattsift import constants as K
 from wattsift.functions import scalar
-from wattsift.operators import duplicates, forest, imports, process, ranking, scoring, sinks, validation
+from wattsift.operators import duplicates, forest, imports, process, ranking, ranks, scoring, sinks, validation
 from wattsift.sources import json_import, synthetic, tables, wide_csv
 
 D = date
@@ -255,7 +255,7 @@ def test_order_statistics(spark):
     g = np.random.default_rng(4)
     values = {"a": [*g.integers(0, 9, 60).astype(float).tolist(), None], "b": [*g.normal(size=60).tolist(), None]}
     rows = spark.createDataFrame([("k" if i % 3 else "m", values["a"][i], values["b"][i]) for i in range(61)], "g string, a double, b double")
-    found = {r.g: r for r in forest.order_statistics(rows, ["g"], ["a", "b"], {"p1": 0.03, "p2": 0.5, "p3": 1.0}).collect()}
+    found = {r.g: r for r in ranks.order_statistics(rows, ["g"], ["a", "b"], {"p1": 0.03, "p2": 0.5, "p3": 1.0}).collect()}
     for key in ("k", "m"):
         for c in "ab":
             own = [v for i, v in enumerate(values[c]) if v is not None and (i % 3 > 0) == (key == "k")]

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from wattsift import constants as K
 from wattsift.functions.scalar import risk_class
+from wattsift.operators.ranks import imputed_statistics, order_statistics
 from wattsift.sources.shared import cut
 
 #: The model's columns, in order.
@@ -43,35 +44,20 @@ def numeric(vectors: DataFrame) -> DataFrame:
     return vectors.select("suministro", "lote", "alcance", *(value(c).alias(c) for c in COLUMNS))
 
 
-def order_statistics(rows: DataFrame, keys: list[str], columns: list[str], shares: dict[str, float]) -> DataFrame:
-    """For each key: (column_name) as in ``shares``, the value at that share of each column, interpolated as the exact percentile is.
-
-    Equal values are counted before any shuffle.  Ranks are running sums in a
-    window by key and column, which streams and spills; nothing is held whole.
-    """
-    cells = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*keys, "x.c", "x.v").filter("v IS NOT NULL")
-    counts = cells.groupBy(*keys, "c", "v").agg(F.count(F.lit(1)).alias("k"))
-    by = W.partitionBy(*keys, "c").orderBy("v")
-    ranked = counts.select(*keys, "c", "v", F.sum("k").over(by).alias("hi"), "k", F.sum("k").over(W.partitionBy(*keys, "c")).alias("n"))
-    at = {s: F.lit(p) * (F.col("n") - 1) for s, p in shares.items()}
-    pick = lambda i: F.max(F.when((F.col("hi") - F.col("k") <= i) & (i < F.col("hi")), F.col("v")))
-    found = ranked.groupBy(*keys, "c").agg(F.max("n").alias("n"), *(pick(f(x)).alias(f"{s}_{side}") for s, x in at.items() for side, f in (("low", F.floor), ("high", F.ceil))))
-    value = lambda s: F.col(f"{s}_low") + (F.col(f"{s}_high") - F.col(f"{s}_low")) * (at[s] - F.floor(at[s]))
-    found = found.select(*keys, "c", *(value(s).alias(s) for s in shares))
-    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("c") == c, F.col(s))).alias(f"{c}_{s}") for c in columns for s in shares))
-
-
-def imputed(matrix: DataFrame) -> DataFrame:
+def imputed(matrix: DataFrame, ranges: int | None = None) -> DataFrame:
     """Nulls take the median of (batch, scope), or zero if the whole column is null."""
-    medians = order_statistics(matrix, ["lote", "alcance"], COLUMNS, {"_q2": 0.5})
+    medians = order_statistics(matrix, ["lote", "alcance"], COLUMNS, {"_q2": 0.5}, ranges)
     return matrix.join(medians, ["lote", "alcance"], "left").select("suministro", "lote", "alcance", *(F.coalesce(c, f"{c}__q2", F.lit(0.0)).alias(c) for c in COLUMNS))
 
 
-def robust_scaled(matrix: DataFrame) -> DataFrame:
-    """(x - median) / (q3 - q1) by (batch, scope); a range of zero counts as one."""
-    stats = order_statistics(matrix, ["lote", "alcance"], COLUMNS, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+def robust_scaled(matrix: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Nulls filled as by ``imputed``, then (x - median) / (q3 - q1) by (batch, scope); a range of zero counts as one.
+
+    Medians and quartiles of the filled columns come from one counting of the values.
+    """
+    stats = imputed_statistics(matrix, ["lote", "alcance"], COLUMNS, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, ranges)
     spread = lambda c: F.coalesce(F.nullif(F.col(f"{c}__q3") - F.col(f"{c}__q1"), F.lit(0.0)), F.lit(1.0))
-    return matrix.join(stats, ["lote", "alcance"]).select("suministro", "lote", "alcance", *(((F.col(c) - F.col(f"{c}__q2")) / spread(c)).alias(c) for c in COLUMNS))
+    return matrix.join(stats, ["lote", "alcance"]).select("suministro", "lote", "alcance", *(((F.coalesce(c, f"{c}_fill") - F.col(f"{c}__q2")) / spread(c)).alias(c) for c in COLUMNS))
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -185,8 +171,7 @@ def ml_scores(vectors: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -> D
     """(suministro, lote, alcance, decision, ml_score, clasificacion_ml): 0 to 100 within the batch."""
     from wattsift.operators.scoring import inverted_min_max
 
-    filled = cut(imputed(cut(numeric(with_scope(vectors)), "matrix")), "imputed")
-    matrix = cut(robust_scaled(filled), "scaled")
+    matrix = cut(robust_scaled(cut(numeric(with_scope(vectors)), "matrix")), "scaled")
     out = inverted_min_max(forest_scores(matrix, trees, seed), "decision", "__s").withColumn("ml_score", F.col("__s") * 100).drop("__s")
     return out.withColumn("clasificacion_ml", risk_class(F.col("ml_score")))
 

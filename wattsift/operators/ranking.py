@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattsift import constants as K
 from wattsift.functions.scalar import circle_radius, clamp, level
-from wattsift.operators.forest import order_statistics
+from wattsift.operators.ranks import order_statistics
 
 # Fixed value: shown for rows without a locality.
 NO_LOCALITY = "Sin localidad"

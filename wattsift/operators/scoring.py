@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wattsift import constants as K
 from wattsift.functions.scalar import clamp, criticality, half_up, level, ratio, risk_class
+from wattsift.operators.ranks import running_counts, value_counts
 
 
 def with_iee(vectors: DataFrame) -> DataFrame:
@@ -25,18 +25,12 @@ def batch_scales(vectors: DataFrame) -> DataFrame:
     return vectors.join(ends, "lote").withColumns({"iee_norm": iee, "avg_norm": avg}).drop("__i0", "__i1", "__a0", "__a1")
 
 
-def exposure_percentile(vectors: DataFrame) -> DataFrame:
-    """Adds avg_percentil: percent rank of mean consumption within the batch, 50 for a single supply.
-
-    Ranks come from counts of equal values, so a batch's window sees distinct values only.
-    """
-    values = vectors.groupBy("lote", "avg_consumption").agg(F.count(F.lit(1)).alias("__m"))
-    below = F.sum("__m").over(W.partitionBy("lote").orderBy("avg_consumption")) - F.col("__m")
-    ranked = values.select("lote", "avg_consumption", below.alias("__below"))
-    total = values.groupBy("lote").agg(F.sum("__m").alias("__n"))
-    out = vectors.join(ranked, ["lote", "avg_consumption"]).join(total, "lote")
-    share = F.when(F.col("__n") == 1, 50.0).otherwise(F.col("__below") / F.nullif(F.col("__n") - 1, F.lit(0)) * 100)
-    return out.withColumn("avg_percentil", share).drop("__below", "__n")
+def exposure_percentile(vectors: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Adds avg_percentil: percent rank of mean consumption within the batch, 50 for a single supply."""
+    counted = running_counts(value_counts(vectors, ["lote"], "avg_consumption"), ["lote"], "avg_consumption", ranges).drop("k")
+    out = vectors.join(counted, ["lote", "avg_consumption"])
+    share = F.when(F.col("n") == 1, 50.0).otherwise(F.col("below") / F.nullif(F.col("n") - 1, F.lit(0)) * 100)
+    return out.withColumn("avg_percentil", share).drop("below", "n")
 
 
 def inverted_min_max(rows: DataFrame, column: str, out: str) -> DataFrame:

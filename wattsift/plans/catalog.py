@@ -623,7 +623,7 @@ def impute_matrix(spark, d):
 @registered(query([*sql.SPARSE_VECTORS, _MATRIX], """SELECT suministro, lote, round((prior_anomaly_count - q[2]) / CASE WHEN q[3] = q[1] THEN 1.0 ELSE q[3] - q[1] END, 6) + 0.0 AS prior_anomaly_count FROM (
   SELECT *, quantile_cont(prior_anomaly_count, [0.25, 0.5, 0.75]) OVER (PARTITION BY lote) AS q FROM m)"""))
 def robust_scaled(spark, d):
-    return rounded(forest.robust_scaled(forest.imputed(_matrix(spark, d))).select("suministro", "lote", "prior_anomaly_count"))
+    return rounded(forest.robust_scaled(_matrix(spark, d)).select("suministro", "lote", "prior_anomaly_count"))
 
 
 @registered()
