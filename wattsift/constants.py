@@ -77,4 +77,3 @@ FACTOR_LABELS = {
     "consumo_promedio": "Consumo promedio",
     "categoria_tarifaria": "Categoría tarifaria",
 }
-ADDRESS_BYTES = 8192

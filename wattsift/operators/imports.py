@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wattsift.constants import ADDRESS_BYTES
-from wattsift.functions.scalar import daily_mean, positive_integer_reason, numeric_reason, iso_date
+from wattsift.functions.scalar import daily_mean, iso_date, positive_integer_reason
+from wattsift.operators import constraints
 
 OUTCOMES = ("created", "updated", "unchanged", "restored", "rejected")
 
@@ -22,20 +23,8 @@ def reasons(*each: Column) -> Column:
     return F.filter(F.array(*each), lambda r: r.isNotNull())
 
 
-def too_long(x: Column, most: int, field: str) -> Column:
-    return F.when(F.length(F.trim(x)) > most, f"{field}: más de {most} caracteres")
-
-
 def blank(x: Column, field: str) -> Column:
-    return F.when(F.coalesce(F.trim(x), F.lit("")) == "", f"{field}: vacío")
-
-
-def not_one_of(x: Column, values: list[str], field: str) -> Column:
-    return F.when(x.isNull() | ~x.isin(*values), f"{field}: valor no permitido")
-
-
-def outside(x: Column, low: float, high: float, field: str) -> Column:
-    return F.when(~x.between(low, high), f"{field}: fuera de rango")
+    return F.when(F.coalesce(constraints.stripped(x), F.lit("")) == "", f"{field}: vacío")
 
 
 def merge_outcomes(stored: DataFrame, incoming: DataFrame, keys: str | list[str], compare: list[str], three_state: tuple[str, ...] = ()) -> DataFrame:
@@ -93,51 +82,53 @@ def look_up(records: DataFrame, directory: DataFrame, keys: str | list[str], fou
 
 
 def _trimmed(records: DataFrame, *names: str) -> DataFrame:
-    return records.withColumns({n: F.trim(n) for n in names})
+    return records.withColumns({n: constraints.stripped(F.col(n)) for n in names})
 
 
-def _judged(records: DataFrame, *each: Column) -> DataFrame:
-    """motivos: what a lookup found missing, else all reasons of the record itself."""
-    return records.withColumn("motivos", F.when(F.col("motivo").isNotNull(), F.array("motivo")).otherwise(reasons(*each))).drop("motivo")
+def _judged(records: DataFrame, rules: tuple[constraints.Rule, ...], *more: Column) -> DataFrame:
+    """motivos: what a lookup found missing, else all reasons of the record itself; values in their stored form."""
+    each = reasons(*constraints.all_reasons(rules), *more)
+    judged = records.withColumn("motivos", F.when(F.col("motivo").isNotNull(), F.array("motivo")).otherwise(each)).drop("motivo")
+    return judged.withColumns(constraints.stored_forms(rules))
 
 
-def too_many_bytes(x: Column, most: int, field: str) -> Column:
-    """For structured values: their size as JSON text."""
-    return F.when(F.octet_length(F.to_json(x)) > most, f"{field}: más de {most} bytes")
+def _as_json(rows: DataFrame, column: str) -> DataFrame:
+    """A structured column as JSON text; text stays."""
+    return rows if rows.schema[column].dataType == T.StringType() else rows.withColumn(column, F.to_json(column))
 
 
 def import_clients(stored: DataFrame, records: DataFrame) -> DataFrame:
-    """Outcomes of clients (numero_cliente, nombre, estado, documento, localidad, barrio, direccion struct, posicion)."""
-    c = F.col
-    known = _trimmed(records, "numero_cliente").withColumn("motivo", F.lit(None).cast("string"))
-    judged = _judged(known, blank(c("numero_cliente"), "numero_cliente"), blank(c("nombre"), "nombre"), too_long(c("nombre"), 150, "nombre"), not_one_of(c("estado"), ["Activo", "Inactivo"], "estado"), too_many_bytes(c("direccion"), ADDRESS_BYTES, "direccion"))
-    return merge_outcomes(stored, judged, "numero_cliente", ["nombre", "estado", "documento", "localidad", "barrio", "direccion"])
+    """Outcomes of clients (numero_cliente, nombre, estado, documento, localidad, barrio, direccion as JSON text or struct, posicion).
+
+    An omitted estado becomes Activo; addresses are compared by content.
+    """
+    known = _as_json(records, "direccion").withColumn("motivo", F.lit(None).cast("string"))
+    held = _as_json(stored, "direccion").withColumn("direccion", F.coalesce(constraints.json_text(F.col("direccion")), "direccion"))
+    return merge_outcomes(held, _judged(known, constraints.CLIENT), "numero_cliente", [r.field for r in constraints.CLIENT[1:]])
 
 
 def import_supplies(stored: DataFrame, records: DataFrame, clients: DataFrame, categories: DataFrame) -> DataFrame:
-    """Outcomes of supplies; ``clients`` is (numero_cliente, id), ``categories`` (categoria_tarifaria, id)."""
+    """Outcomes of supplies; ``clients`` is (numero_cliente, id), ``categories`` (categoria_tarifaria, id).
+
+    An omitted estado becomes Activo, any other text up to its limit stays; numbers
+    that can't be read reject their record alone, and places are compared as numbers.
+    """
     c = F.col
-    known = _trimmed(records, "numero_suministro", "numero_cliente", "categoria_tarifaria")
+    known = _trimmed(records, "numero_cliente", "categoria_tarifaria")
     known = known.withColumn("motivo", blank(c("numero_cliente"), "numero_cliente"))
     known = look_up(known, clients, "numero_cliente", "cliente", "cliente inexistente")
     known = known.withColumn("motivo", F.coalesce("motivo", blank(c("categoria_tarifaria"), "categoria_tarifaria")))
     known = look_up(known, categories, "categoria_tarifaria", "categoria", "categoria tarifaria inexistente")
-    judged = _judged(
-        known, blank(c("numero_suministro"), "numero_suministro"), not_one_of(c("estado"), ["Activo", "Baja"], "estado"), F.when(iso_date(c("fecha_alta")).isNull(), "fecha_alta: inválida"),
-        outside(c("latitud").cast("double"), -90, 90, "latitud"), outside(c("longitud").cast("double"), -180, 180, "longitud"),
-    )
-    return merge_outcomes(stored, judged, "numero_suministro", ["cliente", "categoria", "estado", "fecha_alta", "localidad", "barrio", "medidor", "latitud", "longitud"])
+    place = lambda rows: rows.withColumns({x: c(x).try_cast("double") for x in ("latitud", "longitud")})
+    judged = place(_judged(known, constraints.SUPPLY))
+    return merge_outcomes(place(stored), judged, "numero_suministro", ["cliente", "categoria", "estado", "fecha_alta", "localidad", "barrio", "medidor", "latitud", "longitud"])
 
 
 def import_readings(stored: DataFrame, records: DataFrame, supplies: DataFrame) -> DataFrame:
     """Outcomes of readings by (suministro, fecha_lectura); ``supplies`` is (numero_suministro, id)."""
-    c = F.col
-    known = _trimmed(records, "numero_suministro").withColumn("motivo", blank(F.trim("numero_suministro"), "numero_suministro"))
+    known = _trimmed(records, "numero_suministro").withColumn("motivo", blank(F.col("numero_suministro"), "numero_suministro"))
     known = look_up(known, supplies, "numero_suministro", "suministro", "suministro inexistente")
-    judged = _judged(
-        known, F.when(iso_date(c("fecha_lectura")).isNull(), "fecha_lectura: inválida"), numeric_reason(c("lectura_anterior"), "lectura_anterior"), numeric_reason(c("lectura_actual"), "lectura_actual"),
-        positive_integer_reason(c("dias_facturados"), "dias_facturados"),
-    )
+    judged = _judged(known, constraints.READING)
     return merge_outcomes(stored, judged, ["suministro", "fecha_lectura"], ["lectura_anterior", "lectura_actual", "dias_facturados"])
 
 
@@ -145,7 +136,7 @@ def import_batches(stored: DataFrame, records: DataFrame) -> DataFrame:
     """Outcomes of batches; nombre and cantidad_registros may be absent, and an explicit null number is refused.  The state is never touched."""
     c = F.col
     known = _trimmed(records, "codigo_lote").withColumn("motivo", F.when(c("cantidad_registros_present") & c("cantidad_registros").isNull(), "cantidad_registros: null explícito"))
-    judged = _judged(known, blank(c("codigo_lote"), "codigo_lote"), F.when(c("cantidad_registros_present"), positive_integer_reason(c("cantidad_registros"), "cantidad_registros", 0)))
+    judged = _judged(known, (), blank(c("codigo_lote"), "codigo_lote"), F.when(c("cantidad_registros_present"), positive_integer_reason(c("cantidad_registros"), "cantidad_registros", 0)))
     out = merge_outcomes(stored, judged, "codigo_lote", ["nombre", "cantidad_registros"], ("nombre", "cantidad_registros"))
     return out.withColumn("cantidad_registros", F.when(c("outcome") != "rejected", F.coalesce("cantidad_registros", F.lit("0"))).otherwise(c("cantidad_registros")))
 
@@ -158,18 +149,15 @@ def import_consumption(stored: DataFrame, records: DataFrame, supplies: DataFram
     stored reading, null clears it; an absent daily mean is computed from the record.
     """
     c = F.col
-    known = _trimmed(records, "numero_suministro", "codigo_lote", "fecha_lectura").withColumn("motivo", blank(F.trim("numero_suministro"), "numero_suministro"))
+    known = _trimmed(records, "numero_suministro", "codigo_lote", "fecha_lectura").withColumn("motivo", blank(F.col("numero_suministro"), "numero_suministro"))
     known = look_up(known, supplies, "numero_suministro", "suministro", "suministro inexistente")
     known = known.withColumn("motivo", F.coalesce("motivo", blank(c("codigo_lote"), "codigo_lote")))
     known = look_up(known, batches, "codigo_lote", "lote", "lote inexistente")
     known = known.withColumn("motivo", F.coalesce("motivo", F.when(c("fecha_lectura").isNotNull() & iso_date(c("fecha_lectura")).isNull(), "fecha_lectura: inválida")))
     known = look_up(known, readings, ["suministro", "fecha_lectura"], "lectura", "lectura inexistente", c("fecha_lectura").isNotNull())
-    begin, end = iso_date(c("fecha_inicio")), iso_date(c("fecha_fin"))
-    judged = _judged(
-        known, F.when(begin.isNull(), "fecha_inicio: inválida"), F.when(end.isNull(), "fecha_fin: inválida"), F.when(end < begin, "fecha_fin: anterior a fecha_inicio"),
-        numeric_reason(c("kwh"), "kwh"), positive_integer_reason(c("dias_facturados"), "dias_facturados"),
-    )
-    mean = daily_mean(c("kwh").cast("double"), c("dias_facturados").cast("int")).cast("string")
+    begin, end = (iso_date(constraints.stripped(c(x))) for x in ("fecha_inicio", "fecha_fin"))
+    judged = _judged(known, constraints.BILL, F.when(end < begin, "fecha_fin: anterior a fecha_inicio"))
+    mean = daily_mean(c("kwh").try_cast("double"), c("dias_facturados").try_cast("int")).cast("string")
     judged = judged.withColumn("consumo_promedio_diario", F.when(c("consumo_promedio_diario_present"), c("consumo_promedio_diario")).otherwise(F.when(F.size("motivos") == 0, mean)))
     judged = judged.withColumn("lectura_present", c("fecha_lectura_present"))
     return merge_outcomes(stored, judged, ["suministro", "fecha_inicio", "fecha_fin"], ["lote", "lectura", "dias_facturados", "kwh", "consumo_promedio_diario"], ("lectura",))

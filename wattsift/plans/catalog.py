@@ -466,54 +466,61 @@ def key_lookup_rejects(spark, d):
 
 
 def _client_import(spark, d):
-    c = tables.table(spark, d, "customer")
-    k = F.col("c_custkey")
+    """Stored clients, and records with names, states, documents and addresses that keep or break their rules."""
+    c, k = tables.table(spark, d, "customer"), F.col("c_custkey")
+    name, none = F.col("c_mktsegment"), F.lit(None).cast("string")
     estado = F.when(F.col("c_acctbal") < 0, "Inactivo").otherwise("Activo")
-    stored = c.filter(k % 3 != 0).select(F.col("c_name").alias("numero_cliente"), F.col("c_mktsegment").alias("nombre"), estado.alias("estado"), (k % 7 == 0).alias("eliminado"))
-    base = c.filter(k % 2 == 0).select(F.col("c_name").alias("numero_cliente"), F.when(k % 41 == 0, " ").when(k % 5 == 0, F.concat(F.col("c_mktsegment"), F.lit(" S.A."))).otherwise(F.col("c_mktsegment")).alias("nombre"), estado.alias("estado"), k.alias("posicion"))
-    again = c.filter(k % 10 == 0).select(F.col("c_name").alias("numero_cliente"), F.concat(F.col("c_mktsegment"), F.when(k % 20 == 0, " S.A.").otherwise(" S.R.L.")).alias("nombre"), estado.alias("estado"), (k + 1_000_000_000).alias("posicion"))
-    incoming = base.unionByName(again)
-    why = imports.reasons(imports.blank(F.col("nombre"), "nombre"), imports.too_long(F.col("nombre"), 150, "nombre"), imports.not_one_of(F.col("estado"), ["Activo", "Inactivo"], "estado"))
-    return stored, incoming.withColumn("motivos", why)
+    stored = c.filter(k % 3 != 0).select(F.col("c_name").alias("numero_cliente"), name.alias("nombre"), estado.alias("estado"), none.alias("documento"), none.alias("localidad"), none.alias("barrio"), F.lit('{"calle": "x"}').alias("direccion"), (k % 7 == 0).alias("eliminado"))
+    nombre = F.when(k % 41 == 0, " ").when(k % 47 == 0, F.repeat(F.lit("n"), 151)).when(k % 5 == 0, F.concat(name, F.lit(" S.A."))).when(k % 14 == 0, F.concat(F.lit(" "), name, F.lit(" "))).otherwise(name)
+    calle = lambda n: F.concat(F.lit('{"calle":"'), F.repeat(F.lit("é"), n), F.lit('"}'))
+    direccion = F.when(k % 67 == 0, calle(1364)).when(k % 71 == 0, calle(1363)).otherwise('{"calle":"x"}')
+    record = lambda rows, nombre, estado, documento, direccion, at: rows.select(F.col("c_name").alias("numero_cliente"), nombre.alias("nombre"), estado.alias("estado"), documento.alias("documento"), none.alias("localidad"), none.alias("barrio"), direccion.alias("direccion"), at.alias("posicion"))
+    given = F.when(k % 4 == 0, none).when(k % 53 == 0, " ").when(k % 59 == 0, "Otro").otherwise(estado)
+    base = record(c.filter(k % 2 == 0), nombre, given, F.when(k % 61 == 0, F.repeat(F.lit("9"), 21)), direccion, k)
+    again = record(c.filter(k % 10 == 0), F.concat(name, F.when(k % 20 == 0, " S.A.").otherwise(" S.R.L.")), estado, none, F.lit('{ "calle" : "x" }'), k + 1_000_000_000)
+    return stored, imports.import_clients(stored, base.unionByName(again))
 
 
 _CLIENT_IMPORT = """
 stored AS (SELECT c_name AS numero_cliente, c_mktsegment AS nombre, CASE WHEN c_acctbal < 0 THEN 'Inactivo' ELSE 'Activo' END AS estado, c_custkey % 7 = 0 AS eliminado FROM customer WHERE c_custkey % 3 <> 0),
-incoming AS (
-  SELECT c_name AS numero_cliente, CASE WHEN c_custkey % 41 = 0 THEN ' ' WHEN c_custkey % 5 = 0 THEN c_mktsegment || ' S.A.' ELSE c_mktsegment END AS nombre, CASE WHEN c_acctbal < 0 THEN 'Inactivo' ELSE 'Activo' END AS estado, c_custkey AS posicion FROM customer WHERE c_custkey % 2 = 0
-  UNION ALL SELECT c_name, c_mktsegment || CASE WHEN c_custkey % 20 = 0 THEN ' S.A.' ELSE ' S.R.L.' END, CASE WHEN c_acctbal < 0 THEN 'Inactivo' ELSE 'Activo' END, c_custkey + 1000000000 FROM customer WHERE c_custkey % 10 = 0),
+given AS (
+  SELECT c_name AS numero_cliente, CASE WHEN c_custkey % 41 = 0 THEN ' ' WHEN c_custkey % 47 = 0 THEN repeat('n', 151) WHEN c_custkey % 5 = 0 THEN c_mktsegment || ' S.A.' ELSE c_mktsegment END AS nombre,
+         CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 53 = 0 THEN ' ' WHEN c_custkey % 59 = 0 THEN 'Otro' WHEN c_acctbal < 0 THEN 'Inactivo' ELSE 'Activo' END AS estado,
+         CASE WHEN c_custkey % 61 = 0 THEN 21 ELSE 0 END AS documento, CASE WHEN c_custkey % 67 = 0 THEN 1364 WHEN c_custkey % 71 = 0 THEN 1363 END AS calle, c_custkey AS posicion FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT c_name, c_mktsegment || CASE WHEN c_custkey % 20 = 0 THEN ' S.A.' ELSE ' S.R.L.' END, CASE WHEN c_acctbal < 0 THEN 'Inactivo' ELSE 'Activo' END, 0, NULL, c_custkey + 1000000000 FROM customer WHERE c_custkey % 10 = 0),
+judged AS (SELECT *, trim(nombre) = '' OR length(nombre) > 150 OR coalesce(estado NOT IN ('Activo', 'Inactivo'), false) OR documento > 20 OR coalesce(13 + 6 * calle > 8192, false) AS bad FROM given),
+incoming AS (SELECT numero_cliente, nombre, coalesce(estado, 'Activo') AS estado, coalesce(calle, 0) AS calle, posicion FROM judged WHERE NOT bad),
 seq AS (
-  SELECT *, lag(eliminado) OVER w AS was_gone, lag(nombre) OVER w AS pn, lag(estado) OVER w AS pe FROM (
-    SELECT numero_cliente, -1 AS posicion, nombre, estado, eliminado FROM stored UNION ALL SELECT numero_cliente, posicion, nombre, estado, false FROM incoming WHERE trim(nombre) <> '')
+  SELECT *, lag(eliminado) OVER w AS was_gone, lag(nombre) OVER w AS pn, lag(estado) OVER w AS pe, lag(calle) OVER w AS pc FROM (
+    SELECT numero_cliente, -1 AS posicion, nombre, estado, 0 AS calle, eliminado FROM stored UNION ALL SELECT numero_cliente, posicion, nombre, estado, calle, false FROM incoming)
   WINDOW w AS (PARTITION BY numero_cliente ORDER BY posicion)),
 outc AS (
-  SELECT numero_cliente, posicion, CASE WHEN was_gone IS NULL THEN 'created' WHEN was_gone THEN 'restored' WHEN nombre IS NOT DISTINCT FROM pn AND estado IS NOT DISTINCT FROM pe THEN 'unchanged' ELSE 'updated' END AS outcome FROM seq WHERE posicion >= 0
-  UNION ALL SELECT numero_cliente, posicion, 'rejected' FROM incoming WHERE trim(nombre) = '')"""
+  SELECT numero_cliente, posicion, CASE WHEN was_gone IS NULL THEN 'created' WHEN was_gone THEN 'restored' WHEN nombre = pn AND estado = pe AND calle = pc THEN 'unchanged' ELSE 'updated' END AS outcome FROM seq WHERE posicion >= 0
+  UNION ALL SELECT numero_cliente, posicion, 'rejected' FROM judged WHERE bad)"""
 
 
 @registered(query([_CLIENT_IMPORT], "SELECT numero_cliente, posicion, outcome FROM outc"))
 def merge_clients(spark, d):
-    return imports.merge_outcomes(*_client_import(spark, d), "numero_cliente", ["nombre", "estado"]).select("numero_cliente", "posicion", "outcome")
+    return _client_import(spark, d)[1].select("numero_cliente", "posicion", "outcome")
 
 
 @registered(query([_CLIENT_IMPORT], "SELECT " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in imports.OUTCOMES) + " FROM outc"))
 def merge_client_counts(spark, d):
-    return imports.import_counts(imports.merge_outcomes(*_client_import(spark, d), "numero_cliente", ["nombre", "estado"]))
+    return imports.import_counts(_client_import(spark, d)[1])
 
 
 @registered(query([_CLIENT_IMPORT], """SELECT coalesce(s.numero_cliente, n.numero_cliente) AS numero_cliente, CASE WHEN n.numero_cliente IS NOT NULL THEN n.nombre ELSE s.nombre END AS nombre,
   CASE WHEN n.numero_cliente IS NOT NULL THEN n.estado ELSE s.estado END AS estado, n.numero_cliente IS NULL AND coalesce(s.eliminado, false) AS eliminado
-  FROM stored s FULL JOIN (SELECT numero_cliente, arg_max(nombre, posicion) AS nombre, arg_max(estado, posicion) AS estado FROM incoming WHERE trim(nombre) <> '' GROUP BY 1) n ON s.numero_cliente = n.numero_cliente"""))
+  FROM stored s FULL JOIN (SELECT numero_cliente, arg_max(nombre, posicion) AS nombre, arg_max(estado, posicion) AS estado FROM incoming GROUP BY 1) n ON s.numero_cliente = n.numero_cliente"""))
 def merge_clients_table(spark, d):
-    stored, incoming = _client_import(spark, d)
-    return imports.merged(stored, imports.merge_outcomes(stored, incoming, "numero_cliente", ["nombre", "estado"]), "numero_cliente", ["nombre", "estado"])
+    return imports.merged(*_client_import(spark, d), "numero_cliente", ["nombre", "estado"])
 
 
 def _supply_import(spark, d):
     """Supplies of suppliers, with clients and categories of which some are missing."""
     s, k = tables.table(spark, d, "supplier"), F.col("s_suppkey")
     text = lambda c: c.cast("string")
-    common = lambda rows, barrio: rows.select(F.col("s_name").alias("numero_suministro"), F.when(k % 13 == 0, " ").otherwise(F.concat(F.lit("C"), text(k % 9))).alias("numero_cliente"), F.concat(F.lit("T"), text(k % 5)).alias("categoria_tarifaria"), F.when(k % 17 == 0, "?").otherwise("Activo").alias("estado"), F.lit("2020-01-31").alias("fecha_alta"), F.lit("Norte").alias("localidad"), barrio.alias("barrio"), F.lit(None).cast("string").alias("medidor"), F.lit("-34.5").alias("latitud"), F.when(k % 19 == 0, "-190").otherwise("-58").alias("longitud"), k.alias("posicion"))
+    common = lambda rows, barrio: rows.select(F.col("s_name").alias("numero_suministro"), F.when(k % 13 == 0, " ").otherwise(F.concat(F.lit("C"), text(k % 9))).alias("numero_cliente"), F.concat(F.lit("T"), text(k % 5)).alias("categoria_tarifaria"), F.when(k % 17 == 0, " ").when(k % 8 == 0, " Suspendido ").when(k % 3 != 0, "Activo").alias("estado"), F.lit("2020-01-31").alias("fecha_alta"), F.when(k % 31 == 0, F.repeat(F.lit("l"), 101)).otherwise("Norte").alias("localidad"), barrio.alias("barrio"), F.when(k % 29 == 0, F.repeat(F.lit("m"), 21)).alias("medidor"), F.when(k % 23 == 0, "abc").otherwise("-34.50").alias("latitud"), F.when(k % 19 == 0, "-190").otherwise("-58").alias("longitud"), k.alias("posicion"))
     clients = spark.range(8).select(F.concat(F.lit("C"), text(F.col("id"))).alias("numero_cliente"), F.col("id"))
     categories = spark.range(4).select(F.concat(F.lit("T"), text(F.col("id"))).alias("categoria_tarifaria"), F.col("id"))
     incoming = common(s, F.when(k % 4 == 0, "nuevo").otherwise("viejo")).unionByName(common(s.filter(k % 6 == 0), F.lit("viejo")).withColumn("posicion", F.col("posicion") + 1_000_000_000))
@@ -524,10 +531,10 @@ def _supply_import(spark, d):
 @registered("""WITH x AS (
     SELECT s_suppkey AS k, s_name AS n, s_suppkey AS posicion, CASE WHEN s_suppkey % 4 = 0 THEN 'nuevo' ELSE 'viejo' END AS barrio FROM supplier
     UNION ALL SELECT s_suppkey, s_name, s_suppkey + 1000000000, 'viejo' FROM supplier WHERE s_suppkey % 6 = 0),
-  y AS (SELECT *, k % 13 = 0 OR k % 9 = 8 OR k % 5 = 4 OR k % 17 = 0 OR k % 19 = 0 AS bad FROM x),
+  y AS (SELECT *, k % 8 = 0 AS suspendido, k % 13 = 0 OR k % 9 = 8 OR k % 5 = 4 OR k % 17 = 0 OR k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0 OR k % 31 = 0 AS bad FROM x),
   z AS (SELECT *, lag(barrio) OVER (PARTITION BY n, bad ORDER BY posicion) AS before FROM y)
   SELECT n AS numero_suministro, posicion, CASE WHEN bad THEN 'rejected' WHEN before IS NOT NULL THEN CASE WHEN before = barrio THEN 'unchanged' ELSE 'updated' END
-    WHEN k % 3 = 0 THEN 'created' WHEN k % 7 = 0 THEN 'restored' WHEN barrio = 'viejo' THEN 'unchanged' ELSE 'updated' END AS outcome FROM z""")
+    WHEN k % 3 = 0 THEN 'created' WHEN k % 7 = 0 THEN 'restored' WHEN barrio = 'viejo' AND NOT suspendido THEN 'unchanged' ELSE 'updated' END AS outcome FROM z""")
 def merge_supplies(spark, d):
     return _supply_import(spark, d).select("numero_suministro", "posicion", "outcome")
 
@@ -545,22 +552,29 @@ def merge_batches(spark, d):
 
 
 def _consumption_import(spark, d):
-    rows = tables.consumption(spark, d)
-    code = F.col("suministro") + scalar.month_index(F.col("inicio"))
-    key = F.concat_ws("|", F.col("suministro").cast("string"), F.col("inicio").cast("string"))
+    """Bills by number of supply and code of batch, some with bad numbers or means, or of batches that are not there."""
+    rows = tables.consumption(spark, d).withColumns({"inicio": F.col("inicio").cast("date"), "code": F.col("suministro") + scalar.month_index(F.col("inicio"))})
+    code, text = F.col("code"), lambda c: F.col(c).cast("string")
+    key = lambda: (F.col("suministro"), text("inicio").alias("fecha_inicio"), text("fin").alias("fecha_fin"))
     mean = scalar.daily_mean(F.col("kwh"), F.col("dias")).cast("string")
-    stored = rows.filter(code % 4 != 0).select(key.alias("clave"), F.col("kwh").cast("string").alias("kwh"), mean.alias("media"), (code % 9 == 0).alias("eliminado"))
-    kwh = F.when(code % 6 == 0, F.col("kwh") + 1).otherwise(F.col("kwh"))
-    incoming = rows.filter(code % 2 == 0).select(key.alias("clave"), F.when(code % 22 == 0, "-1").otherwise(kwh.cast("string")).alias("kwh"), scalar.daily_mean(kwh, F.col("dias")).cast("string").alias("media"), code.cast("long").alias("posicion"))
-    return stored, incoming.withColumn("motivos", imports.reasons(scalar.numeric_reason(F.col("kwh"), "kwh")))
+    stored = rows.filter(code % 4 != 0).select(*key(), "lote", F.lit(None).cast("long").alias("lectura"), text("dias").alias("dias_facturados"), text("kwh").alias("kwh"), mean.alias("consumo_promedio_diario"), (code % 9 == 0).alias("eliminado"))
+    kwh = F.when(code % 22 == 0, F.lit("-1")).otherwise(F.when(code % 6 == 0, F.col("kwh") + 1).otherwise(F.col("kwh")).cast("string"))
+    incoming = rows.filter(code % 2 == 0).select(
+        F.concat(F.lit(" S"), text("suministro")).alias("numero_suministro"), *key()[1:], F.when(code % 26 == 0, "?").otherwise(F.col("lote")).alias("codigo_lote"), text("dias").alias("dias_facturados"), kwh.alias("kwh"),
+        F.when(code % 34 == 0, "abc").alias("consumo_promedio_diario"), (code % 34 == 0).alias("consumo_promedio_diario_present"), F.lit(None).cast("string").alias("fecha_lectura"), F.lit(False).alias("fecha_lectura_present"), code.cast("long").alias("posicion"),
+    )
+    supplies = tables.supplies(spark, d).select(F.concat(F.lit("S"), text("suministro")).alias("numero_suministro"), F.col("suministro").alias("id"))
+    batches = rows.select(F.col("lote").alias("codigo_lote"), F.col("lote").alias("id")).distinct()
+    readings = spark.createDataFrame([], "suministro long, fecha_lectura string, id long")
+    return imports.import_consumption(stored, incoming, supplies, batches, readings)
 
 
-@registered(query([BASE["dense"]], """, x AS (SELECT *, suministro + year(inicio) * 12 + month(inicio) AS code FROM cons)
-  SELECT count(*) FILTER (code % 22 <> 0 AND code % 4 = 0) AS created, count(*) FILTER (code % 22 <> 0 AND code % 4 <> 0 AND code % 9 <> 0 AND code % 6 = 0) AS updated,
-         count(*) FILTER (code % 22 <> 0 AND code % 4 <> 0 AND code % 9 <> 0 AND code % 6 <> 0) AS unchanged, count(*) FILTER (code % 22 <> 0 AND code % 4 <> 0 AND code % 9 = 0) AS restored,
-         count(*) FILTER (code % 22 = 0) AS rejected FROM x WHERE code % 2 = 0""").replace("\n, x AS", ", x AS"))
+@registered(query([BASE["dense"]], """, x AS (SELECT *, suministro + year(inicio) * 12 + month(inicio) AS code, code % 22 = 0 OR code % 26 = 0 OR code % 34 = 0 AS bad FROM cons)
+  SELECT count(*) FILTER (NOT bad AND code % 4 = 0) AS created, count(*) FILTER (NOT bad AND code % 4 <> 0 AND code % 9 <> 0 AND code % 6 = 0) AS updated,
+         count(*) FILTER (NOT bad AND code % 4 <> 0 AND code % 9 <> 0 AND code % 6 <> 0) AS unchanged, count(*) FILTER (NOT bad AND code % 4 <> 0 AND code % 9 = 0) AS restored,
+         count(*) FILTER (bad) AS rejected FROM x WHERE code % 2 = 0""").replace("\n, x AS", ", x AS"))
 def merge_consumption(spark, d):
-    return imports.import_counts(imports.merge_outcomes(*_consumption_import(spark, d), "clave", ["kwh", "media"]))
+    return imports.import_counts(_consumption_import(spark, d))
 
 
 @registered(query([BASE["dense"]], "SELECT suministro, inicio, CAST(round(CAST(kwh AS DECIMAL(12,3)) / dias, 3) AS DOUBLE) AS media FROM cons"))
