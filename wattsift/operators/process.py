@@ -1,19 +1,21 @@
 """Processing batches: state, gate, validation, duplicates, features to scores, report, and publication.
 
 Checks, features, cohorts and rules of all batches are one plan.  Only the memory
-of earlier anomalies makes batches depend on each other, so the model and the
-index run batch by batch, in order; each batch's results are written before the
-next begins, which also cuts the lineage.  The memory is a running count by
-supply, so a batch costs what its own rows cost.
+of earlier anomalies makes batches depend on each other, and only those that
+share a supply.  So batches are put in levels: those of one level share no supply
+and run as one plan, after all earlier batches they share one with.  A level's
+results are written before the next begins, which also cuts the lineage.  The
+memory is a running count by supply, so a level costs what its own rows cost.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattsift import constants as K
-from wattsift.operators import cohort, duplicates, features, forest, ranking, rules, scoring, sinks, validation
+from wattsift.operators import cohort, duplicates, features, forest, ranking, report, rules, scoring, sinks, validation
 from wattsift.sources.shared import cut
 
 PENDING, RUNNING, DONE, FAILED = "Pendiente", "Procesando", "Procesado", "Error"
@@ -66,14 +68,18 @@ def cleaned_vectors(consumption: DataFrame, supplies: DataFrame, excluded: DataF
 
 
 def scored(vector_rows: DataFrame, ml: DataFrame | None = None, reasons: bool = False) -> DataFrame:
-    """IEE, scales and IRE; without ``ml`` the model's score counts as zero and earlier anomalies are those of the rules."""
-    rows = vector_rows if "prior_anomaly_count" in vector_rows.columns else rules.prior_anomalies(vector_rows)
+    """IEE, scales and IRE; without ``ml`` the model's score counts as zero.
+
+    Where the vectors have no prior_anomaly_count, it is counted here: the rules'
+    hits and, with ``ml``, the model's own anomalies in earlier batches.
+    """
+    rows = vector_rows if "prior_anomaly_count" in vector_rows.columns else rules.prior_anomalies(vector_rows, ml)
     rows = rules.with_hit_count(rows)
     if ml is None:
         rows = rows.withColumn("ml_score", F.lit(0.0)).withColumn("clasificacion_ml", F.lit("Normal"))
     else:
-        rows = rows.join(ml.select("suministro", "lote", "ml_score", "clasificacion_ml"), ["suministro", "lote"])
-    rows = rows.withColumn("n_anomalias", F.col("n_reglas") + F.when((F.col("clasificacion_ml") == K.CLASSES[-1][1]) & (F.col("n_reglas") == 0), 1).otherwise(0))
+        rows = rows.join(ml.select("suministro", "lote", "ml_score", "clasificacion_ml", *(c for c in ml.columns if c == "alcance")), ["suministro", "lote"])
+    rows = rows.withColumn("n_anomalias", rules.anomaly_count(F.col("clasificacion_ml")))
     rows = scoring.batch_scales(scoring.with_iee(rows))
     return scoring.with_ire(scoring.exposure_percentile(rows) if reasons else rows, reasons)
 
@@ -116,14 +122,6 @@ def run_report(batches: DataFrame, consumption: DataFrame, checked: DataFrame, c
     return out
 
 
-def top_of_batches(scored_rows: DataFrame, n: int = 10, factors: int = 3) -> DataFrame:
-    """The n supplies of greatest index of each batch, with the factors that contribute most."""
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("lote").orderBy(F.desc("ire"), "numero"))
-    return ranking.top_factors(scored_rows, factors).withColumn("puesto", place).filter(F.col("puesto") <= n)
-
-
 _ANOMALIES = "suministro bigint, lote string, regla string, tipo string, severidad string, descripcion string"
 
 
@@ -131,44 +129,111 @@ def _counts(found: DataFrame) -> DataFrame:
     return found.groupBy("suministro").agg(F.count(F.lit(1)).alias("n"))
 
 
-def process_batches(vector_rows: DataFrame, batches: list[str], path: str, states: dict[str, str], valid: dict[str, bool] | None = None, trees: int = K.TREES, gate: DataFrame | None = None, recount: DataFrame | None = None) -> dict[str, str]:
-    """Score the batches in order, with all anomalies so far as memory, and publish results and anomalies under ``path``.
+def levels(rows: DataFrame, names: list[str]) -> list[list[str]]:
+    """The batches in levels, each in the order given: those of one share no supply of (suministro, lote), and each comes after all earlier ones it shares one with.
+
+    A supply links each of its batches to the next one only, which is enough; what
+    reaches the driver are distinct pairs of the named batches.
+    """
+    place = rows.sparkSession.createDataFrame(list(enumerate(names)), "lugar int, lote string")
+    own = rows.join(F.broadcast(place), "lote").select("suministro", "lugar").distinct()
+    before = F.lag("lugar").over(W.partitionBy("suministro").orderBy("lugar"))
+    links = own.select(before.alias("a"), F.col("lugar").alias("b")).filter("a IS NOT NULL").distinct().collect()
+    at = [0] * len(names)
+    for a, b in sorted((r["a"], r["b"]) for r in links):  # all links into a come before those out of it
+        at[b] = max(at[b], at[a] + 1)
+    return [[n for n, k in zip(names, at) if k == level] for level in range(max(at, default=-1) + 1)]
+
+
+def _started(names: list[str], states: dict[str, str]) -> dict[str, str]:
+    """The states with all named batches running; nothing has started if one of them can't."""
+    for n in names:
+        if n not in states:
+            raise UnknownBatch(n)
+    return {n: change_state(states[n], RUNNING) for n in names}
+
+
+def process_batches(vector_rows: DataFrame, batches: list[str], path: str, states: dict[str, str], valid: dict[str, bool] | None = None, trees: int = K.TREES, gate: DataFrame | None = None, recount: DataFrame | None = None, more=None) -> dict[str, str]:
+    """Score the batches level by level, with all anomalies so far as memory, and publish results and anomalies under ``path``.
 
     ``states`` are the batches' current states; the result has the new ones.  A
     batch below the valid share is scored all the same and ends as failed.  With
     ``gate`` (``validation.completeness``) an incomplete batch is refused; with
     ``recount`` too (active rows counted again, after the rows were read), one
-    whose number has changed.  A batch's results, anomalies and report become
-    visible together; a retry sees its own earlier anomalies and replaces them,
-    also by none.
+    whose number has changed; then none of the batches starts.  A level's tables
+    become visible together, batch by batch; a retry sees its own earlier anomalies
+    and replaces them, also by none.  ``more(names, results)`` gives further tables to publish with them.
     """
     spark = vector_rows.sparkSession
-    out = dict(states)
-    published = sinks.published(spark, path, "anomalias")
-    published = spark.createDataFrame([], _ANOMALIES) if published is None else published.select("suministro", "lote", "regla", "tipo", "severidad", "descripcion")
-    memory = cut(_counts(published), "memory")
+    running = _started(batches, states)
     for batch in batches:
-        if batch not in out:
-            raise UnknownBatch(batch)
-        started = change_state(out[batch], RUNNING)
         if gate is not None:
             require_complete(gate, batch)
             if recount is not None:
                 require_unchanged(gate, recount, batch)
-        out[batch] = started
+    out = states | running
+    published = sinks.published(spark, path, "anomalias")
+    published = spark.createDataFrame([], _ANOMALIES) if published is None else published.select("suministro", "lote", "regla", "tipo", "severidad", "descripcion")
+    memory = cut(_counts(published), "memory")
+    for names in levels(vector_rows, batches):
+        of_level = lambda df, names=names: df.filter(F.col("lote").isin(names))
         prior = memory.withColumnRenamed("n", "prior_anomaly_count")
-        rows = vector_rows.filter(F.col("lote") == batch).join(prior, "suministro", "left").withColumn("prior_anomaly_count", F.coalesce("prior_anomaly_count", F.lit(0)))
-        rows = cut(rows, "batch")
+        rows = of_level(vector_rows).drop("prior_anomaly_count").join(prior, "suministro", "left").withColumn("prior_anomaly_count", F.coalesce("prior_anomaly_count", F.lit(0)))
+        rows = cut(rows, "level")
         result = cut(scored(rows, forest.ml_scores(rows, trees), reasons=True), "scored")
         found = cut(anomalies(result), "anomalies")
         kept = result.select("suministro", "lote", "numero", "localidad", "barrio", "categoria", "latitud", "longitud", "ml_score", "iee", "ire", "nivel", "clasificacion", "n_anomalias", F.to_json("factores").alias("observaciones"))
-        sinks.publish(spark, path, batch, {"resultados": kept, "anomalias": found, "vectores": sinks.feature_vectors(rows).withColumn("resultado", F.concat_ws("|", F.lit(batch), F.col("suministro").cast("string")))})
-        earlier = _counts(published.filter(F.col("lote") == batch)).select("suministro", (-F.col("n")).alias("n"))
+        stored = sinks.feature_vectors(rows).withColumn("resultado", F.concat_ws("|", "lote", F.col("suministro").cast("string")))
+        sinks.publish(spark, path, names, {"resultados": kept, "anomalias": found, "vectores": stored} | (more(names, result) if more else {}))
+        earlier = _counts(of_level(published)).select("suministro", (-F.col("n")).alias("n"))
         memory = cut(memory.unionByName(earlier).unionByName(_counts(found)).groupBy("suministro").agg(F.sum("n").alias("n")).filter("n > 0"), "memory")
-        out[batch] = change_state(RUNNING, DONE if (valid or {}).get(batch, True) else FAILED)
+        out |= {n: change_state(RUNNING, DONE if (valid or {}).get(n, True) else FAILED) for n in names}
     return out
 
 
+def process(consumption: DataFrame, supplies: DataFrame, readings: DataFrame, batches: DataFrame, names: list[str], path: str, deleted_categories: DataFrame | None = None, trees: int = K.TREES) -> dict[str, str]:
+    """All stages from raw tables to published runs, for the named batches in their order; returns their new states.
+
+    ``consumption`` is (suministro, inicio, fin, dias, kwh, lote) of all batches,
+    ``batches`` (lote, declarados, estado).  In turn: every batch is known, may
+    start, and is complete; the whole history of its supplies is read once and
+    written, and its rows are as many as the gate counted; checks, exclusions and
+    conflicted periods; vectors; then model, index, anomalies and report, level by
+    level.  Published with each batch: resultados, anomalias, vectores, hallazgos,
+    exclusiones, conflictos and informes (``report.run_documents``).  If anything is
+    refused, nothing has changed.  A batch of which too few supplies are valid ends
+    as failed and can be processed again.
+    """
+    named = lambda df: df.filter(F.col("lote").isin(names))
+    states = {r["lote"]: r["estado"] for r in named(batches.select("lote", "estado")).collect()}
+    _started(names, states)
+    gate = {r["lote"]: r for r in validation.completeness(named(batches), named(consumption)).collect()}
+    for n in names:
+        if not gate[n]["completo"]:
+            raise IncompleteBatch(gate[n]["motivo"])
+    own = named(consumption).select("suministro").distinct()
+    rows = cut(consumption.join(own, "suministro", "left_semi"), "history")
+    counted = {r["lote"]: r["activos"] for r in named(rows).groupBy("lote").agg(F.count(F.lit(1)).alias("activos")).collect()}
+    for n in names:
+        if counted.get(n, 0) != gate[n]["activos"]:
+            raise BatchConflict(f"{n} has changed")
+    checked = cut(named(check(rows, supplies, readings, deleted_categories)), "checked")
+    found = cut(validation.findings(checked), "findings")
+    conflicts = cut(duplicates.conflicted_periods(rows), "conflicts")
+    excluded = cut(validation.exclusions(found), "excluded")
+    valid = {r["lote"]: r["cumple"] for r in validation.validation_report(checked, found).select("lote", "cumple").collect()}
+    vector_rows = cut(named(cleaned_vectors(rows, supplies, excluded, conflicts)), "vectors")
+    near = duplicates.near_duplicate_readings(readings.select("suministro", F.lit("").alias("tipo"), F.col("lectura_actual").alias("valor"), F.col("inicio").alias("lectura"), F.col("inicio").alias("fecha")))
+
+    def more(level: list[str], result: DataFrame) -> dict[str, DataFrame]:
+        of_level = lambda df: df.filter(F.col("lote").isin(level))
+        documents = report.run_documents(batches, rows, of_level(checked), of_level(conflicts), result, near, level)
+        return {"hallazgos": of_level(found), "exclusiones": of_level(excluded), "conflictos": of_level(conflicts), "informes": documents}
+
+    out = process_batches(vector_rows, names, path, states, valid, trees, more=more)
+    return {n: out[n] for n in names}
+
+
 def require_complete(gate: DataFrame, batch: str) -> None:
     row = gate.filter(F.col("lote") == batch).first()
     if row is None:

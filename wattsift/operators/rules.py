@@ -56,9 +56,17 @@ def rules_summary(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("lote").agg(*(F.count_if(c).alias(r.lower()) for r, c in fires.items()), F.count_if(sum((c.cast("int") for c in fires.values()), F.lit(0)) > 0).alias("con_hits"))
 
 
-def prior_anomalies(vectors: DataFrame) -> DataFrame:
-    """Adds prior_anomaly_count: rule hits of the supply in earlier batches (rules alone, without the model's)."""
+def anomaly_count(clasificacion: Column) -> Column:
+    """All anomalies of a row with n_reglas: the rules' hits, or the model's own where it is critical and no rule fires."""
+    return F.col("n_reglas") + F.when((clasificacion == K.CLASSES[-1][1]) & (F.col("n_reglas") == 0), 1).otherwise(0)
+
+
+def prior_anomalies(vectors: DataFrame, ml: DataFrame | None = None) -> DataFrame:
+    """Adds prior_anomaly_count: anomalies of the supply in earlier batches, of the rules and, with ``ml`` (suministro, lote, clasificacion_ml), of the model."""
     from pyspark.sql import Window as W
 
     before = W.partitionBy("suministro").orderBy("inicio").rowsBetween(W.unboundedPreceding, -1)
-    return with_hit_count(vectors).withColumn("prior_anomaly_count", F.coalesce(F.sum("n_reglas").over(before), F.lit(0))).drop("n_reglas")
+    rows = with_hit_count(vectors)
+    if ml is not None:
+        rows = rows.join(ml.select("suministro", "lote", F.col("clasificacion_ml").alias("__class")), ["suministro", "lote"], "left").withColumn("n_reglas", anomaly_count(F.coalesce("__class", F.lit("")))).drop("__class")
+    return rows.withColumn("prior_anomaly_count", F.coalesce(F.sum("n_reglas").over(before), F.lit(0))).drop("n_reglas")

@@ -40,16 +40,18 @@ def write_batches(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def publish(spark: SparkSession, path: str, batch: str, tables: dict[str, DataFrame]) -> str:
-    """Write a batch's tables as a new run, then make all of them visible at once by one row of ``publicaciones``.
+def publish(spark: SparkSession, path: str, batches: str | list[str], tables: dict[str, DataFrame]) -> str:
+    """Write the tables of one or more batches as a new run, then make all of them visible at once by rows of ``publicaciones``.
 
     Nothing is replaced: readers of the run before keep their files, a run that
     fails half way is never seen, and a table without rows replaces one with rows.
+    In a run of several batches a row belongs to the batch in its column lote.
     """
+    batches = [batches] if isinstance(batches, str) else batches
     run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name, rows in tables.items():
         rows.write.parquet(f"{path}/{name}/corrida={run}")
-    spark.createDataFrame([(batch, run)], "lote string, corrida string").coalesce(1).write.mode("append").parquet(f"{path}/publicaciones")
+    spark.createDataFrame([(b, run, len(batches)) for b in batches], "lote string, corrida string, lotes int").coalesce(1).write.mode("append").parquet(f"{path}/publicaciones")
     return run
 
 
@@ -61,8 +63,10 @@ def published(spark: SparkSession, path: str, name: str) -> DataFrame | None:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    latest = runs.groupBy("lote").agg(F.max("corrida").alias("corrida")).select("corrida")
-    return spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}").join(latest, "corrida", "left_semi").drop("corrida")
+    latest = runs.groupBy("lote").agg(F.max_by(F.struct("corrida", "lotes"), "corrida").alias("r")).select(F.col("lote").alias("__lote"), F.col("r.corrida").alias("__corrida"), F.col("r.lotes").alias("__lotes"))
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
+    of_latest = (rows["corrida"] == latest["__corrida"]) & ((latest["__lotes"] == 1) | (rows["lote"] == latest["__lote"]))
+    return rows.join(latest, of_latest, "left_semi").drop("corrida")
 
 
 def upsert_rejecting(old: DataFrame, new: DataFrame, key: str, unique: list[str], order: str) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattsift import constants as K
 from wattsift.functions import scalar
-from wattsift.operators import duplicates, features, forest, imports, process, ranking, rules, scoring, sinks, validation
+from wattsift.operators import duplicates, features, forest, imports, process, ranking, report, rules, scoring, sinks, validation
 from wattsift.plans import sql
 from wattsift.plans.sql import BASE, query
 from wattsift.sources import json_import, synthetic, tables, wide_csv
@@ -276,9 +276,66 @@ def processed_risk_index(spark, d):
 def run_report(spark, d):
     vectors, checked, conflicts = _cleaned(spark, d)
     rows = tables.billed_with_faults(spark, d)
-    batches = rows.groupBy("lote").agg(F.count(F.lit(1)).alias("n")).select("lote", F.when(F.length("lote") == 11, F.col("n") + 3).otherwise(F.col("n")).alias("declarados"))
     scored = cut(process.scored(vectors), "scored")
-    return rounded(process.run_report(batches, rows, checked, conflicts, scored, cut(process.anomalies(scored), "anomalies")), 4)
+    return rounded(process.run_report(_declared(rows), rows, checked, conflicts, scored, cut(process.anomalies(scored), "anomalies")), 4)
+
+
+def _predictions(vectors: DataFrame) -> DataFrame:
+    """Stored predictions of a model for the vectors: a formula over supply and month, so that SQL can follow what depends on them."""
+    score = (F.col("suministro") * 37 + scalar.month_index(F.col("inicio"))) * 13 % 1000 / 10
+    return vectors.select("suministro", "lote", F.lit("global").alias("alcance"), score.alias("ml_score"), scalar.risk_class(score).alias("clasificacion_ml"))
+
+
+def _model_scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results with predictions, checked rows, conflicts) of the bills with faults."""
+    vectors, checked, conflicts = _cleaned(spark, d)
+    return cut(process.scored(vectors, _predictions(vectors), reasons=True), "scored"), checked, conflicts
+
+
+@registered(query(sql.MODEL_PLAN, "SELECT suministro, numero, lote, round(ml_score, 6) AS ml_score, CAST(prior_anomaly_count AS BIGINT) AS prior_anomaly_count, round(ire_crudo, 6) AS ire_crudo, ire, nivel, clasificacion, n_anomalias FROM res"))
+def risk_index_with_predictions(spark, d):
+    """All stages with a model's stored predictions; its own anomalies are remembered like the rules'."""
+    return rounded(_model_scored(spark, d)[0].select("suministro", "numero", "lote", "ml_score", "prior_anomaly_count", "ire_crudo", "ire", "nivel", "clasificacion", "n_anomalias"))
+
+
+@registered(query(sql.MODEL_PLAN, "SELECT suministro, lote, 'ML' AS regla, 'Patrón Irregular' AS tipo, 'Crítica' AS severidad, printf('Patrón irregular según el modelo de IA (score %.1f/100)', ml_score) AS descripcion FROM res WHERE ml_score > 70 AND n_reglas = 0"))
+def model_anomalies(spark, d):
+    return process.anomalies(_model_scored(spark, d)[0]).filter("regla = 'ML'")
+
+
+@registered(query(sql.MODEL_PLAN, "SELECT lote, k AS puesto, suministro, numero, ire, nivel FROM (SELECT *, row_number() OVER (PARTITION BY lote ORDER BY ire DESC, numero, suministro) AS k FROM res) WHERE k <= 10"))
+def top_risk_of_batches(spark, d):
+    return report.top_ire(_model_scored(spark, d)[0]).select("lote", F.col("puesto").cast("long").alias("puesto"), "suministro", "numero", "ire", "nivel")
+
+
+@registered(query(sql.MODEL_PLAN, "SELECT lote, k AS puesto, suministro, numero, round(ml_score, 6) AS ml_score FROM (SELECT *, row_number() OVER (PARTITION BY lote ORDER BY ml_score DESC, numero, suministro) AS k FROM res) WHERE k <= 10"))
+def top_model_scores(spark, d):
+    return rounded(report.top_ml(_model_scored(spark, d)[0]).select("lote", F.col("puesto").cast("long").alias("puesto"), "suministro", "numero", "ml_score"))
+
+
+@registered(query(sql.SCORE_PLAN, f"SELECT lote, k AS puesto, suministro, numero, {r('iee')} FROM (SELECT *, row_number() OVER (PARTITION BY lote ORDER BY iee DESC, numero, suministro) AS k FROM impact WHERE iee > 0) WHERE k <= 5"))
+def top_iee_of_batches(spark, d):
+    return rounded(report.top_iee(_impact(spark, d)).select("lote", F.col("puesto").cast("long").alias("puesto"), "suministro", "numero", "iee"))
+
+
+@registered(query([BASE["faulty"], sql._GATE.split("val AS")[0].rstrip().rstrip(",")], """SELECT p.lote, p.otro AS relacionado, declarados, activos, activos - declarados AS diferencia FROM (SELECT DISTINCT a.lote, b.lote AS otro FROM cons a JOIN cons b USING (suministro) WHERE a.lote <> b.lote) p
+  JOIN gate g ON g.lote = p.otro WHERE declarados <> 0 AND declarados <> activos"""))
+def related_drift(spark, d):
+    rows = tables.billed_with_faults(spark, d)
+    return report.related_drift(_declared(rows), rows)
+
+
+def _declared(rows: DataFrame) -> DataFrame:
+    """The batches of rows with their declared numbers, too great for those of corrections."""
+    return rows.groupBy("lote").agg(F.count(F.lit(1)).alias("n")).select("lote", F.when(F.length("lote") == 11, F.col("n") + 3).otherwise(F.col("n")).alias("declarados"))
+
+
+@registered(sql.DOCUMENTS)
+def run_documents(spark, d):
+    """Every value of the report's document of each batch as a row."""
+    scored, checked, conflicts = _model_scored(spark, d)
+    rows = tables.billed_with_faults(spark, d)
+    return report.flat(cut(report.run_documents(_declared(rows), rows, checked, conflicts, scored), "documents"))
 
 
 @registered(query([BASE["peri"]], """SELECT periodo, suministro, inicio, fin FROM peri WHERE periodo NOT IN (

@@ -168,3 +168,58 @@ val AS (
   FROM chk LEFT JOIN found ON found.lote = chk.lote AND found.suministro = chk.suministro AND chequeo <> 'V1' GROUP BY chk.lote)"""
 
 REPORT = query([*CLEAN_PLAN, RULES, SCORES, _GATE], f"SELECT lote, seccion, clave, round(valor, 4) + 0.0 AS valor FROM ({_sections()})")
+
+#: Stored predictions of a model, a formula over supply and month; its own anomalies count like the rules'.
+_WITH_ML = """
+predicted AS (SELECT *, CAST((suministro * 37 + year(inicio) * 12 + month(inicio)) * 13 % 1000 AS DOUBLE) / 10 AS ml_score FROM vec)"""
+RULES_ML = _WITH_ML + "," + RULES.replace("FROM vec)", "FROM predicted)").replace("FROM counted)", "FROM all_counted)").replace("sum(n_reglas)", "sum(n_todas)").replace(
+    "prior AS (", "all_counted AS (SELECT *, n_reglas + CASE WHEN ml_score > 70 AND n_reglas = 0 THEN 1 ELSE 0 END AS n_todas FROM counted),\nprior AS ("
+)
+SCORES_ML = SCORES.replace("CAST((coalesce(v_hist", "CAST((ml_score * 30 + coalesce(v_hist").replace("CAST(n_reglas AS INTEGER) AS n_anomalias", "CAST(n_todas AS INTEGER) AS n_anomalias")
+FACTORS_ML = FACTORS.replace("SELECT suministro, lote, 'historial_consumos' AS factor", "SELECT suministro, lote, 'score_ia' AS factor, ml_score * 30 / 92 AS v FROM facs UNION ALL SELECT suministro, lote, 'historial_consumos'")
+MODEL_PLAN = [*CLEAN_PLAN, RULES_ML, SCORES_ML]
+#: The fixed names of the report, as its maps and lists hold them.
+_TYPES = ("Persistencia Anómala", "Caída Brusca", "Incremento Brusco", "Consumo Muy Bajo", "Consumo Muy Alto", "Desvío Estadístico")
+_LEVELS = ("Muy Bajo", "Bajo", "Medio", "Alto", "Crítico")
+
+
+def _documents() -> str:
+    """Every value of the documents as (lote, seccion, campo, valor)."""
+    number = lambda e: f"CAST(CAST(round(CAST({e} AS DOUBLE), 4) AS DECIMAL(38, 4)) AS VARCHAR)"
+    out = []
+
+    def single(section: str, source: str, **fields: str) -> None:
+        out.extend(f"SELECT lote, '{section}' AS seccion, '{name.replace('__', '.')}' AS campo, {number(e)} AS valor FROM {source}" for name, e in fields.items())
+
+    def entries(section: str, prefix: str, source: str, numbers: dict[str, str], texts: dict[str, str]) -> None:
+        fields = {k: number(e) for k, e in numbers.items()} | texts
+        out.extend(f"SELECT lote, '{section}', '{prefix}.' || k || '.{name}', {e} FROM {source}" for name, e in fields.items())
+
+    single("informe", "val", total_suministros="suministros", suministros_excluidos="excluidos", fraccion_valida="1 - excluidos / suministros", umbral_cumplido="CAST((suministros - excluidos) * 100 >= suministros * 95 AS INTEGER)")
+    single("informe", "(SELECT val.lote, count(found.lote) AS n FROM val LEFT JOIN found ON found.lote = val.lote GROUP BY val.lote)", hallazgos="n")
+    single("duplicidades", "(SELECT val.lote, count(conf.lote) AS n, count(DISTINCT conf.suministro) AS s FROM val LEFT JOIN conf ON conf.lote = val.lote GROUP BY val.lote)", periodos_conflictivos="n", suministros_conflictivos="s", lecturas_near_duplicate="0")
+    drift = "(SELECT p.lote, p.otro, g.declarados, g.activos, row_number() OVER (PARTITION BY p.lote ORDER BY p.otro) AS k FROM (SELECT DISTINCT a.lote, b.lote AS otro FROM cons a JOIN cons b USING (suministro) WHERE a.lote <> b.lote) p JOIN gate g ON g.lote = p.otro WHERE g.declarados <> 0 AND g.declarados <> g.activos)"
+    entries("duplicidades", "drift_lotes", drift, {"cantidad_registros": "declarados", "consumos_activos": "activos", "diferencia": "activos - declarados"}, {"lote": "otro"})
+    sums = {
+        "features": {"suministros_con_vector": "count(r.lote)", "cold_starts": "count(*) FILTER (is_cold_start)", "con_periodos_conflictivos": "count(*) FILTER (has_conflicted_periods)", "indicadores.zscore_extremos": "count(*) FILTER (abs(zscore_self) >= 3)", "indicadores.iqr_outliers": "count(*) FILTER (iqr_outlier_flag)", "indicadores.percentile_extremos": "count(*) FILTER (percentile_peer >= 0.99)"},
+        "reglas": {"suministros_evaluados": "count(r.lote)", "suministros_con_hits": "count(*) FILTER (n_reglas > 0)"} | {f"hits_por_regla.R{i}": f"count(*) FILTER (r{i})" for i in range(1, 7)},
+        "ml": {"suministros_scored": "count(r.lote)"},
+        "ire": {"suministros_evaluados": "count(r.lote)"} | {f"conteo_por_nivel.{n}": f"count(*) FILTER (nivel = '{n}')" for n in _LEVELS} | {f"anomalias_por_tipo.{n}": f"count(*) FILTER (r{i + 1})" for i, n in enumerate(_TYPES)} | {"anomalias_por_tipo.Patrón Irregular": "count(*) FILTER (ml_score > 70 AND n_reglas = 0)"},
+        "iee": {"total_kwh_estimado": "coalesce(sum(iee), 0.0)", "suministros_con_iee": "count(*) FILTER (iee > 0)"},
+    }
+    out.extend(f"SELECT v.lote, '{s}', '{k}', {number(e)} FROM val v LEFT JOIN res r ON r.lote = v.lote GROUP BY v.lote" for s, fields in sums.items() for k, e in fields.items())
+    for section, column in (("ml", "ml_score"), ("ire", "ire")):
+        out.extend(f"SELECT lote, '{section}', 'distribucion.{k}', {number(e)} FROM res GROUP BY lote" for k, e in (("minimo", f"min({column})"), ("p50", f"quantile_cont({column}, 0.5)"), ("p95", f"quantile_cont({column}, 0.95)"), ("maximo", f"max({column})")))
+    fits = "(SELECT lote, 1 AS k, 'global' AS scope, 'isolation-forest-global' AS modelo, 'v1-' || substr(lote, 1, 16) || '-' || substr(sha256(lote), 1, 8) AS version, count(*) AS n FROM res GROUP BY lote)"
+    entries("ml", "modelos", fits, {"suministros_entrenados": "n"}, {"scope": "scope", "modelo": "modelo", "version": "version"})
+    best = lambda column, n, where="true": f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lote ORDER BY {column} DESC, numero, suministro) AS k FROM res WHERE {where}) WHERE k <= {n})"
+    critical = "CASE WHEN ml_score <= 20 THEN 'Normal' WHEN ml_score <= 40 THEN 'Atención' WHEN ml_score <= 70 THEN 'Alto Riesgo' ELSE 'Crítico' END"
+    entries("ml", "top_10", best("ml_score", 10), {"suministro": "suministro", "ml_score": "ml_score"}, {"numero": "numero", "clasificacion": critical})
+    entries("ire", "top_10", best("ire", 10), {"suministro": "suministro", "ire": "ire"}, {"numero": "numero", "nivel": "nivel", "clasificacion": "clasificacion"})
+    factors = f"(SELECT b.lote, b.k || '.top_factores.' || row_number() OVER (PARTITION BY b.lote, b.k ORDER BY round(v, 6) DESC, factor DESC) AS k, row_number() OVER (PARTITION BY b.lote, b.k ORDER BY round(v, 6) DESC, factor DESC) AS j, factor, v FROM {best('ire', 10)} b JOIN factors f ON f.suministro = b.suministro AND f.lote = b.lote QUALIFY j <= 3)"
+    entries("ire", "top_10", factors, {"contribution": "round(v, 6)"}, {"factor": "factor"})
+    entries("iee", "top_5", best("iee", 5, "iee > 0"), {"suministro": "suministro", "iee_kwh": "iee"}, {"numero": "numero"})
+    return " UNION ALL ".join(out)
+
+
+DOCUMENTS = query([*MODEL_PLAN, FACTORS_ML, _GATE], f"SELECT lote, seccion, campo, valor FROM ({_documents()})")
