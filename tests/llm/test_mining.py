@@ -184,10 +184,11 @@ def brute_collocations(rows, least, top, share):
     return out
 
 
+#: Small parts everywhere; and keys of so few bits that different phrases share them.
 TINY = {"bits": 1 << 18, "shard": 5, "rows_at_most": 8, "chunk": 400, "held": 20}
 
 
-@pytest.mark.parametrize("sizes", [{}, TINY])
+@pytest.mark.parametrize("sizes", [{}, TINY, {"width": 7}, {**TINY, "width": 5}])
 def test_collocations(spark, sizes):
     r = random.Random(4)
     words = ["new", "York", "city", "of", "the", "Élan", "vital", "ÉLAN", "x\x01y", "a", "b", "\x1f", "你好", "state"]

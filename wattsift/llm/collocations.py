@@ -6,18 +6,21 @@ all the shorter phrases in it do.
 1. Scans.  One scan counts the 64-bit hashes of words, the next those of word
    pairs whose words passed, the third those of three and four words whose pairs
    passed.  Tasks count before the shuffle.  Hashes with ``least`` counts or more
-   are marked in one bitmap of BITS bits, the only thing that is broadcast; its
-   size is fixed.  Two phrases on one bit only let more candidates through.
-2. Candidates.  A last scan keeps the phrases all of whose parts are marked, and
-   counts them by their words.  They are dealt into shards by hash; in a shard, a
-   minimal perfect hash gives each candidate a slot, which holds its words.
-3. Counts.  Mappers, at most ROWS counted phrases each, look up slots, verify the
-   stored words and bincount into an array of the shard's slots; the arrays are
-   summed as a tree of FAN_IN.
+   are the candidates; they are written, and marked in one bitmap of BITS bits,
+   the only thing that is broadcast; its size is fixed.  Two phrases on one bit
+   only let more candidates through.
+2. Slots.  Candidates are dealt into shards by hash; in a shard, a minimal perfect
+   hash gives each a slot, which holds its key.
+3. Counts.  A last scan keeps the phrases all of whose parts are marked, and sends
+   each shard one block of keys, counts and words for each task.  Mappers look up
+   the blocks' slots, verify the stored keys, and bincount into an array of the
+   shard's slots; the arrays are summed as a tree of FAN_IN.  A second 64-bit hash
+   tells phrases of one key apart: those that don't get the slot are counted aside.
 4. Cuts.  Each candidate asks the shards of both parts of each of its cuts, which
    read the counts by slot.  Shards that many ask are copied for more tasks.
 
-No count is approximate, and no phrase with ``least`` occurrences is lost.
+No count is approximate, and no phrase with ``least`` occurrences is lost.  Two
+phrases are the same if their hashes of 128 bits are.
 
 Defined results: null texts are empty, null languages are ``und``; rows repeat as
 often as they stand there; phrases don't reach over separators; equal scores are
@@ -28,13 +31,13 @@ parts of some CHUNK bytes, cut at separators.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -45,9 +48,11 @@ from .exact_dedup import build_perfect_hash, find_slots
 LONGEST, LEAST, TOP, CONTAINED = 4, 30, 2000, 80
 #: Bits of the marks: 16 MB.
 BITS = 1 << 27
-#: Candidates in a shard on average, rows of a mapper or reader at most, arrays that are summed at once.
-SHARD, ROWS, FAN_IN = 1 << 15, 1 << 17, 16
-#: Bytes of text that a task cuts into words at once; hashes that it holds before it sends them on.
+#: Candidates in a shard, keys that a mapper or reader gets, about; arrays that are summed at once.
+SHARD, ROWS, FAN_IN = 1 << 15, 1 << 18, 16
+#: Bits of a key; fewer only in tests, where phrases then share keys.
+WIDTH = 64
+#: Bytes of text that a task cuts into words at once; hashes that it holds before it sends them on, and a quarter as many phrases.
 CHUNK, HELD = 8 << 20, 2 << 20
 
 _BOUNDARY = b"."  # a separator, so no word
@@ -101,10 +106,13 @@ def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _hashes(lang: str, words: list[bytes], ids: np.ndarray, marks: np.ndarray | None, known: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, starts, hashes) for the phrases of n words, n up to ``longest``, whose parts of up to ``known`` words are all marked."""
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    of_word = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+def _word_hashes(lang: str, words: list[bytes], lane: int, width: int) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang.encode(), lane)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64) & np.uint64((1 << (width if lane == 0 else 64)) - 1)
+
+
+def _hashes(of_word: np.ndarray, ids: np.ndarray, marks: np.ndarray | None, known: int, longest: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, starts, keys) for the phrases of n words, n up to ``longest``, whose parts of up to ``known`` words are all marked."""
     starts = np.flatnonzero(ids != 0)
     h = of_word[ids[starts]]
     yield 1, starts, h
@@ -114,7 +122,7 @@ def _hashes(lang: str, words: list[bytes], ids: np.ndarray, marks: np.ndarray |
         ok[starts] = n - 1 > known or (word_ok[ids[starts]] if n == 2 else _marked(marks, h))
         both = ok[starts] & ok[starts + 1]
         starts = starts[both]
-        h = _mixed(h[both], of_word[ids[starts + n - 1]])
+        h = _mixed(h[both], of_word[ids[starts + n - 1]]) & np.uint64((1 << width) - 1)
         yield n, starts, h
 
 
@@ -126,17 +134,21 @@ def _counted(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.nda
     return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
-def _hash_counts(lengths: tuple[int, ...], marks, chunk: int, held_at_most: int):
+def _hash_counts(lengths: tuple[int, ...], marks, chunk: int, held_at_most: int, width: int):
+    """Counts of the keys of phrases of these lengths; with words, also of all words of each language."""
+
     def of(batches):
         own = np.frombuffer(marks.value, np.uint8) if marks is not None else None
-        hashes, counts, held = [], [], 0
+        hashes, counts, held, totals = [], [], 0, defaultdict(int)
 
         def rows(h, n):
             for at in range(0, len(h), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["h", "n"])
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(h[part]), pa.string()), pa.array(h[part].view(np.int64)), pa.array(n[part])], ["lang", "h", "n"])
 
         for lang, words, ids in _read(batches, chunk):
-            for n, _, h in _hashes(lang, words, ids, own, min(lengths) - 1, max(lengths)):
+            totals[lang] += int((ids != 0).sum())
+            for n, _, h in _hashes(_word_hashes(lang, words, 0, width), ids, own, min(lengths) - 1, max(lengths), width):
                 if n in lengths:
                     values, times = np.unique(h, return_counts=True)
                     hashes.append(values), counts.append(times.astype(np.int64))
@@ -149,6 +161,8 @@ def _hash_counts(lengths: tuple[int, ...], marks, chunk: int, held_at_most: int)
                     hashes, counts, held = [], [], 0
         if hashes:
             yield from rows(*_counted(hashes, counts))
+        if 1 in lengths and totals:
+            yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(totals.values(), pa.int64())], ["lang", "h", "n"])
 
     return of
 
@@ -160,93 +174,213 @@ def _bitmap(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([block], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
-def _mark(texts: DataFrame, lengths: tuple[int, ...], marks: bytearray, least: int, chunk: int, held: int) -> None:
-    """Mark the hashes of phrases of these lengths that occur often enough, all of whose parts are marked."""
+def _mark(texts: DataFrame, lengths: tuple[int, ...], marks: bytearray, least: int, chunk: int, held: int, width: int) -> DataFrame:
+    """(lang, h, n): the keys of phrases of these lengths that occur often enough, all of whose parts are marked; marked now, too.
+
+    Rows with lang count all words of a language.
+    """
     known = texts.sparkSession.sparkContext.broadcast(bytes(marks)) if min(lengths) > 1 else None
-    heavy = texts.mapInArrow(_hash_counts(lengths, known, chunk, held), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    bit = heavy.select(F.col("h").bitwiseAND(F.lit(8 * len(marks) - 1)).alias("bit")).distinct()
+    counts = texts.mapInArrow(_hash_counts(lengths, known, chunk, held, width), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    heavy = materialize(counts.filter((F.col("n") >= least) | F.col("lang").isNotNull()), "often")
+    bit = heavy.filter("lang IS NULL").select(F.col("h").bitwiseAND(F.lit(8 * len(marks) - 1)).alias("bit")).distinct()
     blocks = bit.select(F.shiftright("bit", 18).alias("block"), F.col("bit").bitwiseAND(F.lit((1 << 18) - 1)).alias("at")).groupBy("block").applyInArrow(_bitmap, "block long, bits binary")
     all_marks = np.frombuffer(marks, np.uint8)
     for r in blocks.toLocalIterator():  # len(marks) bytes in all
         at = r["block"] << 15
         own = np.frombuffer(r["bits"], np.uint8)[: len(marks) - at]
         all_marks[at : at + len(own)] |= own
+    return heavy
 
 
-def _phrase_counts(marks, longest: int, chunk: int):
+_BLOCK = "shard int, part int, lang string, h binary, g binary, n binary, ends binary, text binary"
+
+
+def _blocks(marks, shards: int, parts: int, longest: int, chunk: int, held_at_most: int, width: int):
+    """The phrases of marked parts of a task: for each shard and language a block of keys, second hashes, counts and words."""
+
     def of(batches):
-        own = np.frombuffer(marks.value, np.uint8)
+        own, held = np.frombuffer(marks.value, np.uint8), {}
         for lang, words, ids in _read(batches, chunk):
-            text = [w.decode() for w in words]
-            phrases, sizes, counts = [""], [0], [int((ids != 0).sum())]
-            codes = ids  # a number for each phrase of n - 1 words, by start
-            for n, starts, h in _hashes(lang, words, ids, own, longest, longest):
-                passed = starts[_marked(own, h)]
-                code = ids[passed] if n == 1 else codes[passed] * len(words) + ids[passed + n - 1]
+            h_word, g_word = (_word_hashes(lang, words, lane, width) for lane in (0, 1))
+            line = b" ".join(words[i] for i in ids.tolist())
+            size = np.array([len(w) + 1 for w in words])[ids]
+            begin = np.cumsum(size) - size
+            codes, known = ids, held.setdefault(lang, ({}, [], []))  # a number for each phrase of n - 1 words, by start
+            for n, starts, h in _hashes(h_word, ids, own, longest, longest, width):
+                passed = _marked(own, h)
+                starts, h = starts[passed], h[passed]
+                code = ids[starts] if n == 1 else codes[starts] * len(words) + ids[starts + n - 1]
                 _, first, dense = np.unique(code, return_index=True, return_inverse=True)
                 codes = np.zeros(len(ids), np.int64)
-                codes[passed] = dense
-                phrases += [" ".join(text[i] for i in ids[s : s + n]) for s in passed[first]]
-                sizes += [n] * len(first)
-                counts += np.bincount(dense, minlength=len(first)).tolist()
-            for at in range(0, len(phrases), 1 << 14):
-                part = slice(at, at + (1 << 14))
-                k = len(phrases[part])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array(phrases[part]), pa.array(sizes[part], pa.int32()), pa.array(counts[part], pa.int64())], ["lang", "phrase", "words", "n"])
+                codes[starts] = dense
+                at, times = starts[first], np.bincount(dense, minlength=len(first))
+                g = g_word[ids[at]]
+                for k in range(1, n):
+                    g = _mixed(g, g_word[ids[at + k]])
+                ends = begin[at + n - 1] + size[at + n - 1] - 1
+                place, sums, texts = known
+                for a, b, x, i, e in zip(h[first].tolist(), g.tolist(), times.tolist(), begin[at].tolist(), ends.tolist()):
+                    k = place.setdefault(a << 64 | b, len(sums))
+                    if k < len(sums):
+                        sums[k] += x
+                    else:
+                        sums.append(x)
+                        texts.append(line[i:e])
+            if sum(len(sums) for _, sums, _ in held.values()) > held_at_most:
+                yield from sent(held)
+                held = {}
+        yield from sent(held)
+
+    def sent(held):
+        part = (TaskContext.get().partitionId() if TaskContext.get() else 0) % parts
+        for lang, (place, sums, texts) in held.items():
+            if not sums:
+                continue
+            h, g = np.array([k >> 64 for k in place], np.uint64), np.array([k & (1 << 64) - 1 for k in place], np.uint64)
+            n = np.array(sums, np.int64)
+            shard = (h % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s in range(shards):
+                i = order[cuts[s] : cuts[s + 1]]
+                if len(i):
+                    own = [texts[k] for k in i.tolist()]
+                    row = {"shard": s, "part": part, "lang": lang, "h": h[i].tobytes(), "g": g[i].tobytes(), "n": n[i].tobytes(), "ends": np.cumsum([len(x) for x in own]).astype(np.int64).tobytes(), "text": b"".join(own)}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("lang", pa.string()), *((c, pa.binary()) for c in ("h", "g", "n", "ends", "text"))]))
 
     return of
 
 
-def _keys(langs: list[str], phrases: list[str]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.sha256(f"{len(x)} {x} {p}".encode()).digest() for x, p in zip(langs, phrases)), "<u8").reshape(-1, 4)
+def _lanes(h: np.ndarray) -> np.ndarray:
+    """Keys as the perfect hash wants them."""
+    second = _mixed(h, np.full(len(h), 1, np.uint64))
+    return np.stack([_mixed(h, np.full(len(h), 2, np.uint64)), second, _mixed(second, h), h], axis=1)
 
 
 def _build(table: pa.Table) -> pa.Table:
-    langs, phrases = table.column("lang").to_pylist(), table.column("phrase").to_pylist()
-    pilots, slots = build_perfect_hash(_keys(langs, phrases))
-    at = np.argsort(slots)
+    h = table.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    pilots, slots = build_perfect_hash(_lanes(h))
+    return pa.table({"shard": table.column("shard")[:1], "pilots": pa.array([pilots.tobytes()], pa.binary()), "keys": pa.array([h[np.argsort(slots)].tobytes()], pa.binary())})
+
+
+def _slots(h: np.ndarray, index: pa.Table) -> np.ndarray:
+    """The slot of each key; -1 where the slot holds another."""
+    slots = find_slots(_lanes(h), np.frombuffer(index.column("pilots")[0].as_py(), np.int32))
+    return np.where(np.frombuffer(index.column("keys")[0].as_py(), np.uint64)[slots] == h, slots, -1)
+
+
+_ASIDE = pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())]))
+_COUNTS = "shard int, part int, g binary, n binary, langs array<string>, phrases array<string>, aside array<struct<h: long, g: long, n: long, lang: string, phrase: string>>"
+
+
+def _in_slots(shard: int, part: int, size: int, slots: np.ndarray, h: np.ndarray, g: np.ndarray, n: np.ndarray, langs: list[str], phrases: list[str], aside: dict) -> pa.Table:
+    """One row of counts by slot: of several second hashes in a slot the smallest has it, the others go aside."""
+    least = np.full(size, np.iinfo(np.uint64).max)
+    np.minimum.at(least, slots, g)
+    has = g == least[slots]
+    halves = [np.bincount(slots[has], weights=x[has], minlength=size).astype(np.int64) for x in (n & 0xFFFFFFFF, n >> 32)]  # each exact: below 2**53
+    named = np.full(size, -1, np.int64)
+    named[slots[has]] = np.flatnonzero(has)
+    for i in np.flatnonzero(~has).tolist():
+        x = aside.setdefault((int(h[i]), int(g[i])), [0, langs[i], phrases[i]])
+        x[0] += int(n[i])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rest = [{"h": signed(a), "g": signed(b), "n": x, "lang": lang, "phrase": p} for (a, b), (x, lang, p) in aside.items()]
     return pa.table({
-        "shard": table.column("shard")[:1], "pilots": pa.array([pilots.tobytes()], pa.binary()),
-        "langs": pa.array([[langs[i] for i in at]], pa.list_(pa.string())), "phrases": pa.array([[phrases[i] for i in at]], pa.list_(pa.string())),
+        "shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "g": pa.array([least.tobytes()], pa.binary()), "n": pa.array([(halves[0] + (halves[1] << 32)).tobytes()], pa.binary()),
+        "langs": pa.array([[langs[i] if i >= 0 else None for i in named.tolist()]], pa.list_(pa.string())), "phrases": pa.array([[phrases[i] if i >= 0 else None for i in named.tolist()]], pa.list_(pa.string())), "aside": pa.array([rest], _ASIDE),
     })
 
 
-def _slots(rows: pa.Table, index: pa.Table, phrase: str) -> np.ndarray:
-    """The slot of each row's phrase; -1 where the slot stores other words."""
-    langs, phrases = rows.column("lang").to_pylist(), rows.column(phrase).to_pylist()
-    slots = find_slots(_keys(langs, phrases), np.frombuffer(index.column("pilots")[0].as_py(), np.int32))
-    stored_lang, stored = index.column("langs")[0].as_py(), index.column("phrases")[0].as_py()
-    same = [stored[s] == p and stored_lang[s] == x for s, p, x in zip(slots.tolist(), phrases, langs)]
-    return np.where(np.array(same, bool), slots, -1)
-
-
-def _bincount(rows: pa.Table, index: pa.Table) -> pa.Table:
-    slots = _slots(rows, index, "phrase")
-    n, size = rows.column("n").to_numpy()[slots >= 0], len(index.column("phrases")[0])
-    halves = [np.bincount(slots[slots >= 0], weights=x, minlength=size).astype(np.int64) for x in (n & 0xFFFFFFFF, n >> 32)]  # each exact: below 2**53
-    return pa.table({"shard": index.column("shard")[:1], "part": index.column("part")[:1], "counts": pa.array([(halves[0] + (halves[1] << 32)).tobytes()], pa.binary())})
+def _bincount(blocks: pa.Table, index: pa.Table) -> pa.Table:
+    join = lambda c, kind: np.frombuffer(b"".join(blocks.column(c).to_pylist()), kind)
+    h, g, n = join("h", np.uint64), join("g", np.uint64), join("n", np.int64)
+    slots = _slots(h, index)
+    member = np.flatnonzero(slots >= 0)
+    langs, phrases = [], []
+    for lang, ends, text in zip(blocks.column("lang").to_pylist(), blocks.column("ends").to_pylist(), blocks.column("text").to_pylist()):
+        ends = np.frombuffer(ends, np.int64).tolist()
+        langs += [lang] * len(ends)
+        phrases += [text[a:b].decode() for a, b in zip([0, *ends], ends)]
+    if len(member) < len(h):
+        langs, phrases = [langs[i] for i in member.tolist()], [phrases[i] for i in member.tolist()]
+    size = len(index.column("keys")[0].as_py()) // 8
+    return _in_slots(index.column("shard")[0].as_py(), index.column("part")[0].as_py(), size, slots[member], h[member], g[member], n[member], langs, phrases, {})
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"shard": table.column("shard")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    """Arrays of one shard, added slot by slot."""
+    g = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("g").to_pylist()])
+    n = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("n").to_pylist()])
+    size = len(g) // table.num_rows
+    langs, phrases = ([x for part in table.column(c).to_pylist() for x in part] for c in ("langs", "phrases"))
+    aside: dict = {}
+    for x in (x for part in table.column("aside").to_pylist() for x in part):
+        aside.setdefault((x["h"] % (1 << 64), x["g"] % (1 << 64)), [0, x["lang"], x["phrase"]])[0] += x["n"]
+    used = np.flatnonzero(n > 0)
+    keys = np.frombuffer(table.column("keys")[0].as_py(), np.uint64)
+    out = _in_slots(table.column("shard")[0].as_py(), table.column("part")[0].as_py(), size, used % size, keys[used % size], g[used], n[used], [langs[i] for i in used.tolist()], [phrases[i] for i in used.tolist()], aside)
+    return out.append_column("keys", table.column("keys")[:1])
 
 
 def _often(least: int):
+    """(lang, phrase, a) of the phrases of an index that occur often enough, in slots and aside."""
+
     def of(batches):
         for batch in slices(batches, 1):
             if batch.num_rows:
-                counts = np.frombuffer(batch.column(2)[0].as_py(), np.int64)
-                own = pa.array(np.flatnonzero(counts >= least))
-                yield pa.RecordBatch.from_arrays([batch.column(0).flatten().take(own), batch.column(1).flatten().take(own), pa.array(counts).take(own)], ["lang", "phrase", "a"])
+                row = batch.to_pylist()[0]
+                n = np.frombuffer(row["n"], np.int64)
+                found = [(row["langs"][i], row["phrases"][i], int(n[i])) for i in np.flatnonzero(n >= least).tolist()]
+                found += [(x["lang"], x["phrase"], x["n"]) for x in row["aside"] if x["n"] >= least]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "a"])
+
+    return of
+
+
+def _questions(shards: int, width: int):
+    """(shard, lang, phrase, a, cut, first, h, g): the keys of both parts of each cut of each phrase."""
+
+    def of(batches):
+        for batch in slices(batches, 4096):
+            out = []
+            lanes: dict[str, tuple[dict, dict]] = {}
+
+            def key(lang, words):
+                known = lanes.setdefault(lang, ({}, {}))
+                values = []
+                for lane, seen in enumerate(known):
+                    new = [w for w in words if w not in seen]
+                    seen.update(zip(new, _word_hashes(lang, [w.encode() for w in new], lane, width)))
+                    x = np.array([seen[words[0]]], np.uint64)
+                    for w in words[1:]:
+                        x = _mixed(x, np.array([seen[w]], np.uint64))
+                        x = x & np.uint64((1 << width) - 1) if lane == 0 else x
+                    values.append(int(x[0]))
+                return values
+
+            for lang, phrase, a in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words = phrase.split(" ")
+                for k in range(1, len(words)):
+                    for first, piece in ((True, words[:k]), (False, words[k:])):
+                        h, g = key(lang, piece)
+                        out.append((h % shards, lang, phrase, a, k, first, np.uint64(h).astype(np.int64), np.uint64(g).astype(np.int64)))
+            if out:
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["shard", "lang", "phrase", "a", "cut", "first", "h", "g"])
 
     return of
 
 
 def _cut_counts(rows: pa.Table, index: pa.Table) -> pa.Table:
-    slots = _slots(rows, index, "piece")
-    counts = np.frombuffer(index.column("counts")[0].as_py(), np.int64)[slots]
-    return rows.select(["lang", "phrase", "a", "cut", "first"]).append_column("f", pa.array(np.where(slots >= 0, counts, 0)))
+    h, g = (rows.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("h", "g"))
+    stored, counts = np.frombuffer(index.column("g")[0].as_py(), np.uint64), np.frombuffer(index.column("n")[0].as_py(), np.int64)
+    slots = _slots(h, index)
+    f = np.where((slots >= 0) & (stored[slots] == g), counts[slots], 0)
+    aside = {(x["h"], x["g"]): x["n"] for x in index.column("aside")[0].as_py()}
+    if aside:
+        f = f + np.array([aside.get((int(a), int(b)), 0) for a, b in zip(h.view(np.int64), g.view(np.int64))], np.int64)
+    return rows.select(["lang", "phrase", "a", "cut", "first"]).append_column("f", pa.array(f, pa.int64()))
 
 
 def _dealt(rows: DataFrame, index: DataFrame, rows_at_most: int):
@@ -257,22 +391,27 @@ def _dealt(rows: DataFrame, index: DataFrame, rows_at_most: int):
     return salted.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part"))
 
 
-def phrase_index(found: DataFrame, shard: int, rows_at_most: int) -> DataFrame:
-    """(shard, pilots, langs, phrases, counts): the candidates' perfect hashes and their counts by slot, written to the shared folder."""
-    keys = found.select("lang", "phrase").distinct()
-    shards = max(1, -(-keys.count() // shard))
-    number = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int")
-    index = materialize(keys.withColumn("shard", number).groupBy("shard").applyInArrow(_build, "shard int, pilots binary, langs array<string>, phrases array<string>"), "phrase-slots")
-    rows = found.select("lang", "phrase", "n").withColumn("shard", number)
-    counts = materialize(_dealt(rows, index, rows_at_most).applyInArrow(_bincount, "shard int, part int, counts binary"), "phrase-counts")
-    most = counts.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
-    while most:
-        counts = counts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("shard", "part").applyInArrow(_summed, "shard int, part int, counts binary")
-        most //= FAN_IN
-    return materialize(index.join(counts.drop("part"), "shard"), "phrase-index").withColumn("shards", F.lit(shards))
+def phrase_index(texts: DataFrame, heavy: DataFrame, marks, longest: int, chunk: int, held: int, shard: int, rows_at_most: int, width: int) -> tuple[DataFrame, int]:
+    """The candidates' perfect hashes with their counts and words by slot, a row for each shard, written to the shared folder; and the number of shards."""
+    tasks = texts.rdd.getNumPartitions()
+    candidates, sent = heavy.agg(F.countDistinct("h"), F.coalesce(F.sum(F.least("n", F.lit(tasks))), F.lit(0))).first()
+    shards = max(1, -(-candidates // shard))
+    parts = max(1, -(-sent // (shards * rows_at_most)))  # what a shard gets doesn't grow with the input, as the shards do
+    # the hash is unsigned here as in the blocks
+    of = F.pmod(F.pmod("h", F.lit(shards)) + F.when(F.col("h") < 0, F.lit((1 << 64) % shards)).otherwise(0), F.lit(shards)).cast("int")
+    index = materialize(heavy.select("h").distinct().select(of.alias("shard"), "h").groupBy("shard").applyInArrow(_build, "shard int, pilots binary, keys binary"), "phrase-slots")
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    blocks = texts.mapInArrow(_blocks(marks, shards, parts, longest, chunk, held // 4, width), _BLOCK)
+    counts = blocks.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_bincount, _COUNTS)
+    counts = materialize(counts, "phrase-counts")
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        with_keys = counts.join(index.select("shard", "keys"), "shard").withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        counts = with_keys.groupBy("shard", "part").applyInArrow(_summed, f"{_COUNTS}, keys binary").drop("keys")
+    return materialize(index.join(counts.drop("part"), "shard"), "phrase-index"), shards
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, contained: int = CONTAINED, longest: int = LONGEST, bits: int = BITS, shard: int = SHARD, rows_at_most: int = ROWS, chunk: int = CHUNK, held: int = HELD) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, contained: int = CONTAINED, longest: int = LONGEST, bits: int = BITS, shard: int = SHARD, rows_at_most: int = ROWS, chunk: int = CHUNK, held: int = HELD, width: int = WIDTH) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     a, l and r count the phrase and the two parts of its weakest cut, n all words
@@ -280,21 +419,17 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(F.col(f"`{text_col}`").cast("string")).cast("binary").alias("text"))
     marks = bytearray(bits // 8)
-    _mark(texts, (1,), marks, least, chunk, held)
-    _mark(texts, (2,), marks, least, chunk, held)
-    _mark(texts, tuple(range(3, longest + 1)), marks, least, chunk, held)
+    scans = [_mark(texts, lengths, marks, least, chunk, held, width) for lengths in ((1,), (2,), tuple(range(3, longest + 1)))]
+    totals = scans[0].filter("lang IS NOT NULL").select("lang", "n")
+    heavy = scans[0].unionByName(scans[1]).unionByName(scans[2]).filter("lang IS NULL").groupBy("h").agg(F.sum("n").alias("n"))
     known = texts.sparkSession.sparkContext.broadcast(bytes(marks))
-    found = materialize(texts.mapInArrow(_phrase_counts(known, longest, chunk), "lang string, phrase string, words int, n long"), "phrases")
-    totals = found.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    index = phrase_index(found.filter("words > 0"), shard, rows_at_most)
+    index, shards = phrase_index(texts, heavy, known, longest, chunk, held, shard, rows_at_most, width)
 
-    counted = index.select("langs", "phrases", "counts").mapInArrow(_often(least), "lang string, phrase string, a long")
+    counted = index.select("n", "langs", "phrases", "aside").mapInArrow(_often(least), "lang string, phrase string, a long")
     often = materialize(counted.withColumn("w", F.split("phrase", " ")).filter(F.size("w") > 1), "candidates")
+    asked = often.select("lang", "phrase", "a").mapInArrow(_questions(shards, width), "shard int, lang string, phrase string, a long, cut int, first boolean, h long, g long")
+    cuts = _dealt(materialize(asked, "cuts"), index, rows_at_most).applyInArrow(_cut_counts, "lang string, phrase string, a long, cut int, first boolean, f long")
     join = lambda start, size: f"array_join(slice(w, {start}, {size}), ' ')"
-    asked = often.select("lang", "phrase", "a", F.explode(F.expr(f"flatten(transform(sequence(1, size(w) - 1), k -> array(struct(k as cut, true as first, {join('1', 'k')} as piece), struct(k as cut, false as first, {join('k + 1', 'size(w) - k')} as piece))))")).alias("x"))
-    shards = index.select("shards").first()
-    asked = asked.select("lang", "phrase", "a", "x.cut", "x.first", "x.piece", F.pmod(F.xxhash64("lang", F.col("x.piece")), F.lit(shards[0] if shards else 1)).cast("int").alias("shard"))
-    cuts = _dealt(asked, index.drop("shards"), rows_at_most).applyInArrow(_cut_counts, "lang string, phrase string, a long, cut int, first boolean, f long")
     inside = often.filter("size(w) > 2").select("lang", F.col("a").alias("longer"), F.explode(F.expr(f"flatten(transform(sequence(2, size(w) - 1), n -> transform(sequence(1, size(w) - n + 1), i -> {join('i', 'n')})))")).alias("phrase"))
     none = F.lit(None)
     rows = cuts.select("lang", "phrase", "a", "cut", "first", "f", none.cast("long").alias("longer")).union(inside.select("lang", "phrase", none.cast("long"), none.cast("int"), none.cast("boolean"), none.cast("long"), "longer"))

@@ -47,6 +47,8 @@ ORDER, LEAST_SHARE, SYMBOLS = 5, 2e-5, 256
 HELD_OUT = "3"
 #: Scores beyond this many milli-nats a symbol count as this many in the calibration, so its histogram has a bounded number of bins.
 WIDEST = 4000
+#: Distinct URLs that a task cuts into strings, about.
+URLS_A_TASK = 4000
 #: Symbols before and after each URL.
 START, END = "\x02", "\x03"
 
@@ -142,6 +144,7 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, i
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
     judged = rows.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), F.translate(F.concat("host", "path"), START + END, "").alias("u"))
     distinct = materialize(judged.select("u", (F.col("says") == "allow").alias("accepted")).distinct(), "urls")
+    distinct = distinct.repartition(max(1, -(-distinct.count() // URLS_A_TASK)), "u")  # each URL becomes some 300 rows
     held = F.sha2("u", 256) < HELD_OUT
     model, every = markov_models(distinct.filter(F.col("accepted").isNotNull() & ~held), order, least_share)
     scored = materialize(url_scores(distinct.filter(F.col("accepted").isNull() | held), model, every, order), "url-scores")
