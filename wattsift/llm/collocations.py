@@ -52,7 +52,7 @@ BITS = 1 << 27
 SHARD, ROWS, FAN_IN = 1 << 15, 1 << 18, 16
 #: Bits of a key; fewer only in tests, where phrases then share keys.
 WIDTH = 64
-#: Bytes of text that a task cuts into words at once; hashes that it holds before it sends them on, and a quarter as many phrases.
+#: Bytes of text that a task cuts into words at once; hashes that it holds before it sends them on.
 CHUNK, HELD = 8 << 20, 2 << 20
 
 _BOUNDARY = b"."  # a separator, so no word
@@ -70,8 +70,8 @@ def _parts(text: bytes, chunk: int) -> Iterator[bytes]:
     yield text
 
 
-def _read(batches, chunk: int) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """(language, its words, numbers of the words in order); number 0 is a boundary."""
+def _read(batches, chunk: int) -> Iterator[tuple[str, list[bytes], np.ndarray, bytes]]:
+    """(language, its words, numbers of the words in order, the words in order with a space between); number 0 is a boundary."""
     held, size = defaultdict(list), 0
 
     def numbered():
@@ -79,8 +79,11 @@ def _read(batches, chunk: int) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
             number = defaultdict()
             number.default_factory = number.__len__
             number[_BOUNDARY]
-            ids = np.fromiter(map(number.__getitem__, b" . ".join(texts).replace(b".", b" . ").split()), np.int64)
-            yield lang, list(number), ids
+            tokens = b" . ".join(texts).replace(b".", b" . ").split()
+            ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+            line = b" ".join(tokens)
+            del tokens
+            yield lang, list(number), ids, line
         held.clear()
 
     for batch in slices(batches):
@@ -146,7 +149,7 @@ def _hash_counts(lengths: tuple[int, ...], marks, chunk: int, held_at_most: int,
                 part = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(h[part]), pa.string()), pa.array(h[part].view(np.int64)), pa.array(n[part])], ["lang", "h", "n"])
 
-        for lang, words, ids in _read(batches, chunk):
+        for lang, words, ids, _ in _read(batches, chunk):
             totals[lang] += int((ids != 0).sum())
             for n, _, h in _hashes(_word_hashes(lang, words, 0, width), ids, own, min(lengths) - 1, max(lengths), width):
                 if n in lengths:
@@ -199,58 +202,68 @@ def _blocks(marks, shards: int, parts: int, longest: int, chunk: int, held_at_mo
     """The phrases of marked parts of a task: for each shard and language a block of keys, second hashes, counts and words."""
 
     def of(batches):
-        own, held = np.frombuffer(marks.value, np.uint8), {}
-        for lang, words, ids in _read(batches, chunk):
+        own, held, size = np.frombuffer(marks.value, np.uint8), defaultdict(list), 0
+        for lang, words, ids, line in _read(batches, chunk):
             h_word, g_word = (_word_hashes(lang, words, lane, width) for lane in (0, 1))
-            line = b" ".join(words[i] for i in ids.tolist())
-            size = np.array([len(w) + 1 for w in words])[ids]
-            begin = np.cumsum(size) - size
-            codes, known = ids, held.setdefault(lang, ({}, [], []))  # a number for each phrase of n - 1 words, by start
+            length = np.array([len(w) + 1 for w in words])[ids]
+            begin = np.cumsum(length) - length
+            codes = ids  # a number for each phrase of n - 1 words, by start
             for n, starts, h in _hashes(h_word, ids, own, longest, longest, width):
                 passed = _marked(own, h)
                 starts, h = starts[passed], h[passed]
-                code = ids[starts] if n == 1 else codes[starts] * len(words) + ids[starts + n - 1]
-                _, first, dense = np.unique(code, return_index=True, return_inverse=True)
+                first, dense, times = _numbered(ids[starts], len(words)) if n == 1 else _distinct(codes[starts] * len(words) + ids[starts + n - 1])
                 codes = np.zeros(len(ids), np.int64)
                 codes[starts] = dense
-                at, times = starts[first], np.bincount(dense, minlength=len(first))
+                at = starts[first]
                 g = g_word[ids[at]]
                 for k in range(1, n):
                     g = _mixed(g, g_word[ids[at + k]])
-                ends = begin[at + n - 1] + size[at + n - 1] - 1
-                place, sums, texts = known
-                for a, b, x, i, e in zip(h[first].tolist(), g.tolist(), times.tolist(), begin[at].tolist(), ends.tolist()):
-                    k = place.setdefault(a << 64 | b, len(sums))
-                    if k < len(sums):
-                        sums[k] += x
-                    else:
-                        sums.append(x)
-                        texts.append(line[i:e])
-            if sum(len(sums) for _, sums, _ in held.values()) > held_at_most:
+                held[lang].append((h[first], g, times, line, begin[at], begin[at + n - 1] + length[at + n - 1] - 1))
+                size += len(first)
+            if size > held_at_most:
                 yield from sent(held)
-                held = {}
+                held, size = defaultdict(list), 0
         yield from sent(held)
 
     def sent(held):
         part = (TaskContext.get().partitionId() if TaskContext.get() else 0) % parts
-        for lang, (place, sums, texts) in held.items():
-            if not sums:
-                continue
-            h, g = np.array([k >> 64 for k in place], np.uint64), np.array([k & (1 << 64) - 1 for k in place], np.uint64)
-            n = np.array(sums, np.int64)
+        for lang, known in held.items():
+            h, g, n, begin, end = (np.concatenate([x[c] for x in known]) for c in (0, 1, 2, 4, 5))
+            source = np.repeat(np.arange(len(known)), [len(x[0]) for x in known])
             shard = (h % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
+            order = np.lexsort((g, h, shard))
+            first = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]) if len(order) else order
+            n = np.add.reduceat(n[order], first) if len(order) else n
+            order = order[first]
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in range(shards):
                 i = order[cuts[s] : cuts[s + 1]]
                 if len(i):
-                    own = [texts[k] for k in i.tolist()]
-                    row = {"shard": s, "part": part, "lang": lang, "h": h[i].tobytes(), "g": g[i].tobytes(), "n": n[i].tobytes(), "ends": np.cumsum([len(x) for x in own]).astype(np.int64).tobytes(), "text": b"".join(own)}
+                    texts = [known[k][3][a:b] for k, a, b in zip(source[i].tolist(), begin[i].tolist(), end[i].tolist())]
+                    row = {"shard": s, "part": part, "lang": lang, "h": h[i].tobytes(), "g": g[i].tobytes(), "n": n[cuts[s] : cuts[s + 1]].tobytes(), "ends": np.cumsum(end[i] - begin[i]).tobytes(), "text": b"".join(texts)}
                     yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("lang", pa.string()), *((c, pa.binary()) for c in ("h", "g", "n", "ends", "text"))]))
 
     return of
 
 
+def _numbered(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_distinct``, for numbers below ``size``."""
+    times, last = np.bincount(code, minlength=size), np.zeros(size, np.int64)
+    last[code] = np.arange(len(code))
+    seen = times > 0
+    return last[seen], (np.cumsum(seen) - 1)[code], times[seen]
+
+
+def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each distinct value, the number of each row's value, and how often each occurs."""
+    order = np.argsort(code, kind="stable")
+    ordered = code[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(code) else np.zeros(0, bool)
+    dense = np.empty(len(code), np.int64)
+    dense[order] = np.cumsum(new) - 1
+    return order[new], dense, np.bincount(dense, minlength=int(new.sum()))
+
+
 def _lanes(h: np.ndarray) -> np.ndarray:
     """Keys as the perfect hash wants them."""
     second = _mixed(h, np.full(len(h), 1, np.uint64))
@@ -401,7 +414,7 @@ def phrase_index(texts: DataFrame, heavy: DataFrame, marks, longest: int, chunk:
     of = F.pmod(F.pmod("h", F.lit(shards)) + F.when(F.col("h") < 0, F.lit((1 << 64) % shards)).otherwise(0), F.lit(shards)).cast("int")
     index = materialize(heavy.select("h").distinct().select(of.alias("shard"), "h").groupBy("shard").applyInArrow(_build, "shard int, pilots binary, keys binary"), "phrase-slots")
     copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    blocks = texts.mapInArrow(_blocks(marks, shards, parts, longest, chunk, held // 4, width), _BLOCK)
+    blocks = texts.mapInArrow(_blocks(marks, shards, parts, longest, chunk, held, width), _BLOCK)
     counts = blocks.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_bincount, _COUNTS)
     counts = materialize(counts, "phrase-counts")
     while parts > 1:
