@@ -322,6 +322,39 @@ def test_main_text_of_layouts(page):
     assert main_text("<html><body><nav><a href=/>Home</a></nav>" + page.format(ARTICLE) + "</body></html>") == PLAIN
 
 
+LONG = "".join(f"<p>Sentence {k} of this box is long, longer than the article, and says nothing of it at all.</p>" for k in range(40))
+SHORT, SHORT_TEXT = "<h1>News</h1><p>A short article of one paragraph, and no more than that.</p>", "News A short article of one paragraph, and no more than that."
+
+
+@pytest.mark.parametrize("words", [1, 4, 40])
+@pytest.mark.parametrize("name", ["cookies", "cookie-banner", "CookieConsent", "gdpr_notice", "newsletter-signup", "sidebar-left", "comments", "ad-slot top", "promoBox"])
+def test_boxes_go_however_large(name, words):
+    """A box is left out for its name, whether it is a small part of the page's text or most of it."""
+    box = "".join(f"<p>Sentence {k} of this box is long, longer than the article, and says nothing of it at all.</p>" for k in range(words))
+    for article in (SHORT, f"<article>{SHORT}</article>", f'<div class="page">{SHORT}</div>'):
+        for page in (f'<div class="{name}">{box}</div>{article}', f'{article}<section id="{name.split()[0]}"><div>{box}</div></section>'):
+            assert main_text(f"<html><body><ul class=menu><li><a href=/>Home</a></ul>{page}</body></html>") == SHORT_TEXT
+
+
+@pytest.mark.parametrize("page", ['<form id="aspnetForm"><div class="cookie-banner">{1}</div>{0}</form><p>Imprint</p>', '<div class="widget"><form>{0}</form><div class="newsletter-signup">{1}</div></div>', '<div class="cookie-banner">{1}</div><aside><article>{0}</article></aside>', "<aside>{1}</aside><main>{0}<aside>{1}</aside></main><footer>{1}</footer>"])
+def test_wrappers_stay_and_boxes_within_them_go(page):
+    assert main_text("<html><body>" + page.format(ARTICLE, LONG) + "</body></html>") == PLAIN
+
+
+def test_lists_of_links_under_a_heading_stay():
+    links = '<{0}><li><a href="/a">A first source of this text</a></li><li><a href="/b">Another source of it</a></li></{0}>'
+    for kind in ("ol", "ul"):
+        page = f"<article>{ARTICLE}<h2>References</h2>\n{links.format(kind)}</article>"
+        assert main_text(f"<html><body>{page}</body></html>") == f"{PLAIN} References A first source of this text Another source of it"
+
+
+def test_wrappers_in_wrappers_take_time_in_proportion():
+    began = time.perf_counter()
+    assert main_text("<form>" * 3000 + ARTICLE).startswith("Paragraph 0")
+    assert main_text("<div class=widget><p>x</p>" * 3000 + ARTICLE) is not None
+    assert time.perf_counter() - began < 5
+
+
 def test_densities_are_those_of_the_definition():
     from wattsift.llm.main_text import Node, measure
 

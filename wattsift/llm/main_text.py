@@ -9,12 +9,18 @@ subtree below that node counts as main text too.
 
 An ``article`` or ``main`` around the main block is taken with it if the block
 holds at least half of its characters.  Lists, tables and sections within the
-block that are mostly links, two or more, are left out.
+block that are mostly links, two or more, are left out, but not those under a
+heading of their own.
 
 Elements that are never article text (scripts, navigation and so on) are left out
-of the tree by tag and role.  Forms, footers, side bars and the like, and elements
-that a whole class or id names so (adverts, comments of readers), are left out
-too, unless they hold a large share of the page's text: then the densities decide.
+of the tree by tag and role.  Others are suspects: forms, footers, side bars and
+the like by tag or role, and elements whose class or id names them so, as a whole
+(adverts, comments of readers) or in a part (``cookie-banner``).  However large,
+suspects beside an article element go, those around one stay, and those within it
+go unless nothing but links is left.  Where there is none, all go at first; a suspect comes back only if nothing but links is left, or
+if it is one by tag, role or a loose name and its greatest density sum exceeds
+that of all that is left: then it is a wrapper around the page's text.  Suspects
+within it are judged in the same way.  No share of the page decides.
 """
 
 from __future__ import annotations
@@ -48,13 +54,19 @@ CLOSES = {
 _P_STOPS = frozenset("html body table td th caption button object article section main div li ul ol dd dl blockquote aside nav header footer form fieldset figure details".split())
 _ROLES = frozenset("navigation search alert menu menubar toolbar".split())
 _SOFT_ROLES = frozenset("banner contentinfo complementary dialog form".split())
-#: Share of the page's text from which on an element is not left out for its class or id, and for its tag or role.
-LARGE, MOST = 0.2, 0.5
+#: How surely an element is no article text: a wrapper may have such a tag, role or name; or its name leaves no doubt.
+LOOSE, SURE = 1, 2
+#: Wrappers within wrappers that are looked into; within further ones the densities decide.
+DEEPEST = 32
 _WORDS = re.compile(
     r"(?<!\S)(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|"
     r"newsletter|subscri\w*|sign-?up|log-?in|comments?|comment-?list|disqus\w*|respond|replies|reply|discussion|social|share|sharing|related|recommend\w*|widget\w*|pagination|pager|toolbar|skip-?link)(?!\S)",
     re.I,
 )
+#: Names, whole or as a part of a name, that leave no doubt; unless another part is one of a layout.
+_SURE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion sidebar sidebars breadcrumb breadcrumbs cookie cookies consent gdpr newsletter subscribe subscription signup disqus comments commentlist popup pager pagination footer navbar masthead skiplink".split())
+_LAYOUT = frozenset("no has with without open closed layout wrap wrapper container content article post page main body entry story text site section column row grid".split())
+_PART = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])")
 #: Every alternative is possessive and ends at the page's end at the latest, so a page is read once whatever it holds.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)(?:>|\Z)", re.S)
 _ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
@@ -64,7 +76,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?
 class Node:
     __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "skip", "named")
 
-    def __init__(self, tag: str, parent: "Node | None", skip: bool, named: float = 0.0):
+    def __init__(self, tag: str, parent: "Node | None", skip: bool, named: int = 0):
         self.tag, self.parent, self.skip, self.named = tag, parent, skip, named
         self.children: list = []  # nodes, and texts as strings
 
@@ -78,15 +90,19 @@ def _left_out(tag: str, attributes: str) -> bool:
     return "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in _ROLES or "display:none" in found.get("style", "").replace(" ", "").lower()
 
 
-def _named(tag: str, attributes: str, inside: bool) -> float:
-    """The share of the page's text below which an element is left out: for its tag or role, or for a whole class, or its id, that names no article text."""
-    soft = MOST if tag in SOFT and not (tag == "header" and inside) else 0.0
+def _named(tag: str, attributes: str, inside: bool) -> int:
+    """How surely an element's tag, role, class or id says that it is no article text: 0, LOOSE or SURE."""
+    soft = LOOSE if tag in SOFT and not (tag == "header" and inside) else 0
     if not attributes or tag in CONTENT or tag in HEADINGS:
         return soft
     found = _attributes(attributes)
-    if any(_WORDS.search(found[k]) for k in ("class", "id") if k in found):
-        return max(soft, LARGE)
-    return MOST if found.get("role", "").lower() in _SOFT_ROLES else soft
+    for name in (x for k in ("class", "id") if k in found for x in found[k].split()):
+        parts = {x.lower() for x in _PART.split(name) if x} | {name.lower().replace("-", "").replace("_", "")}
+        if parts & _SURE and not parts & _LAYOUT:
+            return SURE
+        if _WORDS.search(name):
+            soft = LOOSE
+    return soft or (LOOSE if found.get("role", "").lower() in _SOFT_ROLES else 0)
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -162,48 +178,89 @@ def _chars(text: str) -> int:
     return len("".join(html.unescape(text).split())) if text and not text.isspace() else 0
 
 
+def _suspects(scope: Node) -> list[Node]:
+    """The outermost elements below ``scope`` that may be no article text."""
+    out, stack = [], [scope]
+    while stack:
+        n = stack.pop()
+        for c in n.children:
+            if not isinstance(c, str) and not c.skip:
+                (out if c.named else stack).append(c)
+    return out
+
+
 def leave_out_named(root: Node) -> None:
-    """Skip the elements named as no article text that hold less than a large share of the page's text, or stand beside its article."""
-    order, stack, named = [], [root], []
+    """Skip the suspects that are no wrappers of the page's text."""
+    order, stack = [], [root]
     while stack:
         n = stack.pop()
         order.append(n)
         stack += [c for c in n.children if not isinstance(c, str) and not c.skip]
-        if n.named:
-            named.append(n)
-    if not named:
+    if not any(n.named for n in order):
         return
     for n in reversed(order):
         n.chars = sum(_chars(c) if isinstance(c, str) else 0 if c.skip else c.chars for c in n.children)
-    article = lambda n: n.tag in ("article", "main") and n.chars > 0
-    inside, around = set(), set()
-    for n in order:  # parents before children
-        if n.parent is not None and (article(n.parent) or id(n.parent) in inside):
-            inside.add(id(n))
-    for n in reversed(order):
-        if n.parent is not None and (article(n) or id(n) in around):
+    scopes, around = [], set()
+    for n in reversed(order):  # children before parents
+        if n.tag in ("article", "main") and n.chars and id(n) not in around:
+            scopes.append(n)
+        if n.parent is not None and (id(n) in around or scopes and scopes[-1] is n):
             around.add(id(n.parent))
-    for n in named:
-        beside = bool(around) and id(n) not in around and id(n) not in inside
-        n.skip = beside or n.chars < n.named * root.chars
+    if scopes:
+        inside = {id(n) for n in scopes}
+        for n in order:
+            if n.parent is not None and id(n.parent) in inside:
+                inside.add(id(n))
+            elif n.named and id(n) not in inside:
+                n.skip = id(n) not in around
+            if id(n) in around:
+                n.named = 0
+    for scope in scopes or [root]:
+        for _ in range(DEEPEST):
+            found = _suspects(scope)
+            if not found:
+                break
+            for n in found:
+                n.skip = True
+            densities(scope)
+            plain, total = scope.chars - scope.link_chars, scope.best.total
+            wrappers = []
+            for n in found:
+                if n.named == LOOSE or not plain:
+                    densities(n)
+                    if n.chars and (not plain or not scopes and n.best.total > total):
+                        wrappers.append(n)
+            if any(n.named == LOOSE for n in wrappers):
+                wrappers = [n for n in wrappers if n.named == LOOSE]
+            if not wrappers:
+                break
+            scope = max(wrappers, key=lambda n: n.best.total)
+            scope.skip, scope.named = False, 0
 
 
 def measure(root: Node) -> list[Node]:
-    """Fill in counts, densities and density sums; the kept nodes, children before parents."""
+    """Fill in counts, densities and density sums of what is kept; the kept nodes, children before parents."""
     leave_out_named(root)
+    order = densities(root)
+    for n in order:
+        n.children = [c for c in n.children if isinstance(c, str) or not c.skip]
+    return order
+
+
+def densities(root: Node) -> list[Node]:
+    """Counts, densities and density sums of the nodes below ``root`` that are not skipped; these nodes, children before parents."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
-        n.children = [c for c in n.children if isinstance(c, str) or not c.skip]
         order.append(n)
-        stack += [c for c in n.children if not isinstance(c, str)]
+        stack += [c for c in n.children if not isinstance(c, str) and not c.skip]
     order.reverse()
     for n in order:
         n.chars = n.tags = n.link_chars = n.link_tags = 0
         for c in n.children:
             if isinstance(c, str):
                 n.chars += _chars(c)
-            else:
+            elif not c.skip:
                 n.chars, n.tags = n.chars + c.chars, n.tags + c.tags + 1
                 n.link_chars, n.link_tags = n.link_chars + c.link_chars, n.link_tags + c.link_tags + (c.tag == "a")
         if n.tag == "a":
@@ -217,12 +274,23 @@ def measure(root: Node) -> list[Node]:
             base = math.log(n.chars / max(plain, 1) * n.link_chars + share * n.chars + math.e)
             rest = n.chars / max(n.link_chars, 1) * max(n.tags, 1) / max(n.link_tags, 1)
             n.density = n.chars / max(n.tags, 1) * max(0.0, math.log(rest) / math.log(base) if base > 1.0000001 else math.log(rest))
-        own = [c for c in n.children if not isinstance(c, str)]
+        own = [c for c in n.children if not isinstance(c, str) and not c.skip]
         n.total = sum(c.density for c in own) if own else n.density
         n.best = max([n, *(c.best for c in own)], key=lambda x: x.total)
     return order
 
 
+def _headed(n: Node) -> bool:
+    """A heading stands right before the element."""
+    before = None
+    for c in n.parent.children:
+        if c is n:
+            break
+        if not isinstance(c, str) or c.strip():
+            before = c
+    return before is not None and not isinstance(before, str) and before.tag in HEADINGS
+
+
 def _select(root: Node) -> tuple[set[int], set[int]]:
     """(nodes whose subtree is main text, nodes within these that are not)."""
     body = next((c for c in root.children if not isinstance(c, str) and c.tag == "body"), root)
@@ -236,7 +304,7 @@ def _select(root: Node) -> tuple[set[int], set[int]]:
     stack = [block]
     while stack:
         n = stack.pop()
-        if n is not block and n.tag in LISTS and n.link_tags > 1 and 2 * n.link_chars > n.chars:
+        if n is not block and n.tag in LISTS and n.link_tags > 1 and 2 * n.link_chars > n.chars and not _headed(n):
             links.add(id(n))
         else:
             stack += [c for c in n.children if not isinstance(c, str) and c.tag in BLOCKS]
