@@ -223,11 +223,12 @@ def process(consumption: DataFrame, supplies: DataFrame, readings: DataFrame, ba
     excluded = cut(validation.exclusions(found), "excluded")
     valid = {r["lote"]: r["cumple"] for r in validation.validation_report(checked, found).select("lote", "cumple").collect()}
     vector_rows = cut(named(cleaned_vectors(rows, supplies, excluded, conflicts)), "vectors")
+    drifts = cut(report.related_drift(batches, consumption, names), "drifts")
     near = duplicates.near_duplicate_readings(readings.select("suministro", F.lit("").alias("tipo"), F.col("lectura_actual").alias("valor"), F.col("inicio").alias("lectura"), F.col("inicio").alias("fecha")))
 
     def more(level: list[str], result: DataFrame) -> dict[str, DataFrame]:
         of_level = lambda df: df.filter(F.col("lote").isin(level))
-        documents = report.run_documents(batches, rows, of_level(checked), of_level(conflicts), result, near, level)
+        documents = report.run_documents(of_level(drifts), of_level(checked), of_level(conflicts), result, near)
         return {"hallazgos": of_level(found), "exclusiones": of_level(excluded), "conflictos": of_level(conflicts), "informes": documents}
 
     out = process_batches(vector_rows, names, path, states, valid, trees, more=more)

@@ -89,10 +89,10 @@ def _of_results(scored: DataFrame) -> DataFrame:
     )
 
 
-def run_documents(batches: DataFrame, consumption: DataFrame, checked: DataFrame, conflicts: DataFrame, scored: DataFrame, near: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+def run_documents(drifts: DataFrame, checked: DataFrame, conflicts: DataFrame, scored: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(lote, informe, duplicidades, features, reglas, ml, ire, iee), a row for each batch that was checked.
 
-    ``scored`` are the results with the vectors' columns and the model's alcance,
+    ``drifts`` are as from ``related_drift``, ``scored`` the results with the vectors' columns and the model's alcance,
     ml_score and clasificacion_ml; ``near`` are repeated readings (suministro, ...).
     Lists are empty and distributions null for a batch without results.
     """
@@ -100,8 +100,7 @@ def run_documents(batches: DataFrame, consumption: DataFrame, checked: DataFrame
     report = validation.validation_report(checked, found)
     hits = found.groupBy("lote").agg(F.count(F.lit(1)).alias("hallazgos"))
     doubled = conflicts.groupBy("lote").agg(F.count(F.lit(1)).alias("periodos"), F.countDistinct("suministro").alias("conflictivos"))
-    drifts = related_drift(batches, consumption, names).withColumn("puesto", F.col("relacionado"))
-    drifts = _list(drifts, "drift", "struct<lote:string,cantidad_registros:bigint,consumos_activos:bigint,diferencia:bigint>", F.col("relacionado"), F.col("declarados"), F.col("activos"), F.col("diferencia"))
+    drifts = _list(drifts.withColumn("puesto", F.col("relacionado")), "drift", "struct<lote:string,cantidad_registros:bigint,consumos_activos:bigint,diferencia:bigint>", F.col("relacionado"), F.col("declarados"), F.col("activos"), F.col("diferencia"))
     totals = _of_results(scored)
     spread = order_statistics(scored, ["lote"], ["ml_score", "ire"], {"min": 0.0, "p50": 0.5, "p95": 0.95, "max": 1.0})
     person = "suministro:bigint,numero:string"

@@ -335,7 +335,7 @@ def run_documents(spark, d):
     """Every value of the report's document of each batch as a row."""
     scored, checked, conflicts = _model_scored(spark, d)
     rows = tables.billed_with_faults(spark, d)
-    return report.flat(cut(report.run_documents(_declared(rows), rows, checked, conflicts, scored), "documents"))
+    return report.flat(cut(report.run_documents(report.related_drift(_declared(rows), rows), checked, conflicts, scored), "documents"))
 
 
 @registered(query([BASE["peri"]], """SELECT periodo, suministro, inicio, fin FROM peri WHERE periodo NOT IN (
