@@ -53,7 +53,7 @@ SHARD, ROWS, FAN_IN = 1 << 15, 1 << 18, 16
 #: Bits of a key; fewer only in tests, where phrases then share keys.
 WIDTH = 64
 #: Bytes of text that a task cuts into words at once; hashes that it holds before it sends them on.
-CHUNK, HELD = 8 << 20, 2 << 20
+CHUNK, HELD = 4 << 20, 1 << 20
 
 _BOUNDARY = b"."  # a separator, so no word
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
