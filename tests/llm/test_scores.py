@@ -301,6 +301,29 @@ def test_every_string_near_a_sensitive_word_is_measured():
     assert found(f"secret {'and other words ' * 30}{key}") == []
 
 
+def test_secrets_take_time_in_proportion():
+    """Many hex lines behind a sensitive word, and one very long string; what base spans touch is never novel."""
+    r = random.Random(8)
+    lines = ["".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(16_000)]
+    long = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(200_000))
+    began = time.perf_counter()
+    text = "secret\n" + "\n".join(lines)
+    assert novel_spans(text, base_spans(text)) == []
+    assert novel_spans(f"auth token: see {long}", []) == [(16, 3, 200_016)]
+    assert time.perf_counter() - began < 15
+    spans = [(0, 0, 4), (2, 1, 50), (60, 2, 70)]
+    found = lambda s, e: any(s < x[2] and x[0] < e for x in spans)
+    key = "kJ8s9Qz2LpX7vB4n"
+    free = 0
+    for at in range(0, 80, 3):
+        text = "secret".ljust(90)
+        text = text[:at] + f" {key} " + text[at:] + " secret"
+        novel = (at + 1, 3, at + 17) in novel_spans(text, spans)
+        free += novel
+        assert not (novel and found(at + 1, at + 17)), at
+    assert free
+
+
 def test_main_text_takes_time_in_proportion():
     text = "<article><p>A first paragraph of some length, with words enough to be found.</p></article>"
     for tail in ("<a " + '"' * 10_000, "<a data-x=" + "\"'" * 10_000, '<a x=">"' * 10_000, "<a " * 10_000, "<!" * 10_000, "<!-- " * 10_000, "<a x='" * 9_999, "</" * 10_000, "<p =" + "= " * 10_000):

@@ -22,6 +22,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -53,6 +54,8 @@ NOVELTY = 0.9
 DRAWS = 5
 #: Words of identifiers that the dictionary takes from the documents.
 DICTIONARY_WORDS = 4096
+#: Characters of a candidate that are measured at once.
+PIECE = 2048
 #: What the compressor knows beforehand: words of code and of configuration.
 DICTIONARY = (
     "import from return class public private static final void function const export default module require include "
@@ -86,13 +89,18 @@ def novelty(before: str, candidate: str, after: str, dictionary: str = DICTIONAR
     """Marginal compressed bytes of the candidate in its surroundings, for each byte that a random string of its kind takes there (at most its own bytes).
 
     In long surroundings the compressor packs any letters into some six bits, random ones too.
+    A long candidate is measured in pieces, so that the time stays in proportion to its length.
     """
     packed = _compressor(dictionary).compress
     around = (before + "\n" + after + "\n").encode()
     least = len(packed(around))
     of = lambda x: len(packed(around + x.encode())) - least
-    usual = sum(of(random_like(candidate, k)) for k in range(DRAWS)) / DRAWS
-    return of(candidate) / max(1, min(len(candidate.encode()), usual))
+    own = most = 0.0
+    for at in range(0, len(candidate), PIECE):
+        piece = candidate[at : at + PIECE]
+        usual = sum(of(random_like(piece, k)) for k in range(DRAWS)) / DRAWS
+        own, most = own + of(piece), most + max(1, min(len(piece.encode()), usual))
+    return own / most
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -130,10 +138,12 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: str = D
     signs = [m.span() for m in _SENSITIVE.finditer(text)]
     if not signs:
         return out
+    begins, ends = [x[0] for x in base], list(accumulate((x[2] for x in base), max))  # base spans are sorted by their begin
     for s, e in near_runs(text, signs):
         word = text[s:e]
         mixed = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
-        if mixed and not any(s < x[2] and x[0] < e for x in base) and novelty(text[max(0, s - AROUND) : s], word, text[e : e + AROUND], dictionary) >= least:
+        before = bisect_left(begins, e)  # base spans that begin before the candidate ends
+        if mixed and not (before and ends[before - 1] > s) and novelty(text[max(0, s - AROUND) : s], word, text[e : e + AROUND], dictionary) >= least:
             out.append((s, 3, e))
     return out
 
