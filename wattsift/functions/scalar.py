@@ -113,3 +113,14 @@ def numeric_reason(x: Column, field: str) -> Column:
 def positive_integer_reason(x: Column, field: str, least: int = 1) -> Column:
     value = x.try_cast("long")
     return F.when(x.isNull(), f"{field}: falta").when(~x.rlike(r"^\s*\d+\s*$") | value.isNull(), f"{field}: no es un entero").when((value < least) | (value > 2147483647), f"{field}: fuera de rango")
+
+
+def json_value(x: Column) -> Column:
+    """A JSON text as a VARIANT; null unless the whole text is one value without repeated keys.
+
+    The parser stops behind the first value, so the text is put into an object
+    before a key that it can't contain.
+    """
+    mark = F.md5(x.cast("binary"))
+    whole = F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit(',"'), mark, F.lit('":0}')))
+    return F.when(F.startswith(F.to_json(whole), F.concat(F.lit('{"'), mark, F.lit('":0,"v":'))), F.try_variant_get(whole, "$.v", "variant"))

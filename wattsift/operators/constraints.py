@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wattsift.functions.scalar import iso_date, numeric_reason, positive_integer_reason
+from wattsift.functions.scalar import iso_date, json_value, numeric_reason, positive_integer_reason
 
 REQUIRED, OPTIONAL = "required", "optional"
 
@@ -62,7 +62,7 @@ def stripped(x: Column) -> Column:
 
 def json_text(x: Column) -> Column:
     """A JSON text in one form, with sorted keys and without spaces; null if it is none or repeats a key."""
-    return F.to_json(F.try_parse_json(x))
+    return F.to_json(json_value(x))
 
 
 def json_bytes(x: Column, most: int) -> Column:

@@ -7,6 +7,7 @@ long history is spread over its buckets; a pair is kept in one bucket only.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattsift import constants as K
@@ -31,9 +32,17 @@ def overlap_pairs(periods: DataFrame, bucket_days: int = BUCKET_DAYS) -> DataFra
 
 
 def conflicted_periods(consumption: DataFrame) -> DataFrame:
-    """(suministro, inicio, lote) of the billed periods that share a day with another of their supply."""
-    periods = consumption.select("suministro", F.struct("inicio", "lote").alias("periodo"), "inicio", "fin")
-    return overlap_pairs(periods).select("suministro", "periodo.inicio", "periodo.lote").distinct()
+    """(suministro, inicio, lote) of the billed periods that share a day with another of their supply.
+
+    A sweep instead of pairs: in the order of their beginnings, a period is marked
+    if one before it ends no earlier than it begins, or the next one begins no later
+    than it ends.  Rows of one (inicio, lote) are one period, as long as the longest.
+    """
+    periods = consumption.filter("fin >= inicio").groupBy("suministro", "inicio", "lote").agg(F.max("fin").alias("fin"))
+    by = W.partitionBy("suministro").orderBy("inicio", "fin", "lote")
+    last_end = F.max("fin").over(by.rowsBetween(W.unboundedPreceding, -1))
+    marked = periods.select("suministro", "inicio", "lote", (F.coalesce(last_end >= F.col("inicio"), F.lit(False)) | F.coalesce(F.lead("inicio").over(by) <= F.col("fin"), F.lit(False))).alias("__hit"))
+    return marked.filter("__hit").drop("__hit")
 
 
 def near_duplicate_readings(readings: DataFrame, days: int = K.NEAR_DUPLICATE_DAYS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattsift import constants as K
-from wattsift.functions.scalar import clamp, criticality, half_up, level, ratio, risk_class
+from wattsift.functions.scalar import clamp, criticality, half_up, json_value, level, ratio, risk_class
 from wattsift.operators.ranks import running_counts, value_counts
 
 
@@ -98,7 +98,16 @@ def factors_json(scored: DataFrame) -> DataFrame:
 
 
 def read_factors(rows: DataFrame, column: str = "observaciones") -> DataFrame:
-    """Adds factores from JSON: malformed text gives none, entries without a factor or contribution are passed over."""
-    parsed = F.from_json(column, "array<struct<factor:string,contribution:double,reason:string>>")
-    good = F.filter(parsed, lambda f: f["factor"].isNotNull() & f["contribution"].isNotNull())
+    """Adds factores from JSON, entry by entry.
+
+    Text that is no JSON or no list gives none; an entry that is no object, lacks one
+    of the three keys, or whose contribution is no number is passed over alone; a
+    null reason stays.
+    """
+    entries = F.try_variant_get(json_value(F.col(column)), "$", "array<variant>")
+    keys = lambda e: F.json_object_keys(F.to_json(e))
+    whole = F.filter(entries, lambda e: F.coalesce(F.size(F.array_intersect(keys(e), F.array(*map(F.lit, ("factor", "contribution", "reason"))))) == 3, F.lit(False)))
+    value = lambda e, k, t: F.try_variant_get(e, f"$.{k}", t)
+    parsed = F.transform(whole, lambda e: F.struct(value(e, "factor", "string").alias("factor"), value(e, "contribution", "double").alias("contribution"), value(e, "reason", "string").alias("reason")))
+    good = F.filter(parsed, lambda f: f["contribution"].isNotNull())
     return rows.withColumn("factores", F.coalesce(good, F.array().cast("array<struct<factor:string,contribution:double,reason:string>>")))

@@ -11,10 +11,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wattsift.sources.shared import cut
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows with new ones in the place of equal keys; old rows without a new one stay."""
-    return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Old rows with new ones in the place of equal keys; old rows without a new one stay.
+
+    Of several new rows of a key the last by ``order`` stays, without it any one.
+    """
+    columns = [c for c in old.columns if c not in keys]
+    one = F.max_by(F.struct(*columns), order) if order else F.any_value(F.struct(*columns))
+    last = new.groupBy(*keys).agg(one.alias("n")).select(*keys, *(F.col(f"n.{c}").alias(c) for c in columns))
+    return old.join(last.select(*keys), keys, "left_anti").select(*old.columns).unionByName(last.select(*old.columns))
+
+
+def numbered(rows: DataFrame, column: str, first: int = 1) -> DataFrame:
+    """Adds dense numbers from ``first``: each task numbers its own rows, and the counts of the tasks before are added.
+
+    The rows are written first, so that numbers stay what they are if a task runs again.
+    """
+    placed = cut(rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place")), "numbered")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each task
+    offsets = sizes.select("__part", "__first", before.alias("__before"))
+    out = placed.join(F.broadcast(offsets), "__part")
+    return out.select(*rows.columns, (F.col("__before") + F.col("__place") - F.col("__first") + first).alias(column))
+
+
+def upsert_with_ids(stored: DataFrame, new: DataFrame, keys: list[str], row_id: str = "id") -> DataFrame:
+    """The stored table, whose rows have ids, with ``new`` by key: rows met again keep their id and take the new values, others get the next ids.
+
+    Stored rows that are not given again stay.  ``new`` has each key once.
+    """
+    columns = [c for c in stored.columns if c not in (*keys, row_id)]
+    known = stored.select(*keys, row_id)
+    found = new.select(*keys, *columns).join(known, keys, "left")
+    again, fresh = found.filter(F.col(row_id).isNotNull()), found.filter(F.col(row_id).isNull()).drop(row_id)
+    last = stored.agg(F.coalesce(F.max(row_id), F.lit(0))).first()[0]
+    untouched = stored.join(new.select(*keys), keys, "left_anti")
+    return untouched.select(*stored.columns).unionByName(again.select(*stored.columns)).unionByName(numbered(fresh, row_id, last + 1).select(*stored.columns))
+
+
+def backfill(vectors: DataFrame, results: DataFrame, keys: list[str], column: str, row_id: str = "id") -> DataFrame:
+    """Vectors with the id of their result; those without one keep what they have."""
+    ids = results.select(*keys, F.col(row_id).alias("__id"))
+    return vectors.join(ids, keys, "left").withColumn(column, F.coalesce("__id", column)).drop("__id")
 
 
 def replace_batch(old: DataFrame, new: DataFrame, batches: DataFrame, now) -> DataFrame:
@@ -69,6 +110,21 @@ def published(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     return rows.join(latest, of_latest, "left_semi").drop("corrida")
 
 
+def published_by_key(spark: SparkSession, path: str, name: str, keys: list[str]) -> DataFrame | None:
+    """A table's rows of all published runs, of each key the latest: a row that a later run of its batch doesn't give again stays."""
+    try:
+        runs = spark.read.parquet(f"{path}/publicaciones")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    shown = runs.select(F.col("lote").alias("__lote"), F.col("corrida").alias("__corrida"), F.col("lotes").alias("__lotes"))
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
+    seen = rows.join(shown, (rows["corrida"] == shown["__corrida"]) & ((shown["__lotes"] == 1) | (rows["lote"] == shown["__lote"])), "left_semi")
+    values = [c for c in rows.columns if c not in (*keys, "corrida")]
+    return seen.groupBy(*keys).agg(F.max_by(F.struct(*values), "corrida").alias("v")).select(*keys, *(F.col(f"v.{c}").alias(c) for c in values))
+
+
 def upsert_rejecting(old: DataFrame, new: DataFrame, key: str, unique: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """(table, rejected): ``upsert`` by ``key``, but of rows with different keys and equal ``unique`` columns only the first stays.
 

@@ -388,6 +388,20 @@ def factors_read_back(spark, d):
     return scoring.factor_rows(scoring.read_factors(scoring.factors_json(_scored(spark, d, reasons=True))))
 
 
+@registered("""SELECT event_id, 'a' AS factor, CAST(event_id % 100 AS DOUBLE) / 4 AS contribution, CASE WHEN event_id % 7 = 1 THEN NULL ELSE 'r' END AS reason FROM events WHERE event_id % 7 IN (0, 1, 2)
+  UNION ALL SELECT event_id, 'b', 1.5, 'x, "y"' FROM events WHERE event_id % 7 IN (0, 3)""")
+def factors_parsed(spark, d):
+    """Factors from JSON texts some of which are broken, in whole or in one entry."""
+    e, n = tables.table(spark, d, "events"), F.col("event_id")
+    a = lambda reason: F.concat(F.lit('{"factor":"a","contribution":'), (n % 100 / 4).cast("string"), F.lit(f"{reason}}}"))
+    b = F.lit('{"reason":"x, \\"y\\"","contribution":1.5,"factor":"b"}')
+    listed = lambda *x: F.concat(F.lit("["), F.concat_ws(",", *x), F.lit("]"))
+    text = F.when(n % 7 == 0, listed(a(',"reason":"r"'), b)).when(n % 7 == 1, listed(F.lit("1"), a(',"reason":null'), F.lit("[2]"))).when(n % 7 == 2, listed(F.lit("null"), a(',"reason":"r"'), F.lit('{"factor":"z"}')))
+    text = text.when(n % 7 == 3, listed(a(""), b, F.lit('{"factor":"c","contribution":"many","reason":"r"}'))).when(n % 7 == 4, F.concat(listed(b), F.lit("]"))).when(n % 7 == 5, b)
+    rows = scoring.read_factors(e.select("event_id", text.alias("observaciones")))
+    return rows.select("event_id", F.explode("factores").alias("f")).select("event_id", "f.*")
+
+
 @registered(query(sql.SCORE_PLAN, f"SELECT * FROM (SELECT suministro, numero, lote, ire, nivel, clasificacion, {r('iee')}, n_anomalias FROM res ORDER BY ire DESC, numero, lote LIMIT 50 OFFSET 50)"))
 def ranking_page(spark, d):
     return rounded(ranking.ranking_page(_scored(spark, d).select("suministro", "numero", "lote", "ire", "nivel", "clasificacion", "iee", "n_anomalias"), limit=50, offset=50))
@@ -646,6 +660,17 @@ def sink_upsert(spark, d):
     return sinks.upsert(rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("N").alias("estado")).distinct(), ["o_orderkey"])
 
 
+@registered("""SELECT CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'again' ELSE 'new' END ELSE 'stored' END AS estado, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS clave,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END) OVER () + row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) END AS id FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+def sink_upsert_ids(spark, d):
+    """Results by key: met again they keep their id, new ones get the next ids without a gap (in any order), and those not given again stay."""
+    orders = tables.table(spark, d, "orders").select("o_orderkey")
+    stored = orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("stored").alias("estado"), F.col("o_orderkey").alias("id"))
+    new = orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "again").otherwise("new").alias("estado"))
+    out = sinks.upsert_with_ids(stored, new, ["o_orderkey"])
+    return out.select("estado", F.when(F.col("estado") != "new", F.col("o_orderkey")).alias("clave"), "id")
+
+
 @registered(query([BASE["dense"]], """SELECT suministro, lote, kwh, lote IN ('LOTE-1995-01', 'LOTE-1995-02') AS eliminado FROM cons
   UNION ALL SELECT suministro, lote, kwh * 2, false FROM cons WHERE lote = 'LOTE-1995-01'"""))
 def sink_replace_batch(spark, d):
