@@ -7,9 +7,13 @@ weighted Jaccard similarity, by the multiplicity of shingles, of at least the
 threshold with the item.
 
 1. Windows.  A window as similar as that lacks at most a known number of the
-   item's shingles, so it holds one of the item's first few ("prefix").  One scan
-   finds the prefix shingles in the documents; around each hit, windows with
-   enough of the item's shingles go on.  All others are below the threshold.
+   item's shingles, so it holds one of any few more of them ("prefix": those that
+   the fewest items have).  One scan finds the prefix shingles in the documents;
+   hits are (text, item, place) only.  The texts with hits are read again, once for
+   equal ones, and the stretches around hits of one item are cut out as one.  In
+   these, places are joined with the item's shingles, and windows with enough of
+   them go on.  All others are below the threshold.  The work grows with the texts
+   and with the windows that go on, in any length of either.
 2. SimHash.  Each such window gets a 64-bit fingerprint of its shingles.
 3. Multi-index Hamming blocks.  Fingerprints are cut into 8 blocks.  Two within
    ``radius`` bits agree in one block up to radius / 8 bits; items are indexed
@@ -24,6 +28,7 @@ differ by (about 10 bits, deviation 3).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
@@ -46,20 +51,25 @@ def simhash() -> Column:
 
 
 def weighted_jaccard(a: str, b: str) -> Column:
-    """Sum of least over sum of greatest multiplicities of two array columns."""
+    """Sum of least over sum of greatest multiplicities of two array columns; shingles that repeat in both are counted, all others intersected."""
     times = lambda x: f"size(filter({x}, y -> y = h))"
-    both = F.expr(f"aggregate(array_distinct({a}), 0, (n, h) -> n + least({times(a)}, {times(b)}))")
+    again = lambda x: f"array_distinct(filter(arrays_zip(array_sort({x}), slice(array_sort({x}), 2, size({x}))), z -> z['0'] = z['1']).`0`)"
+    both = F.expr(f"size(array_intersect({a}, {b})) + if(size(array_distinct({a})) = size({a}) or size(array_distinct({b})) = size({b}), 0, aggregate(array_intersect({again(a)}, {again(b)}), 0, (n, h) -> n + least({times(a)}, {times(b)}) - 1))")
     return both / (F.size(a) + F.size(b) - both)
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, item, m, prefix): shingles of each item, and how many first ones a similar window cannot all lack.
+    """(item_id, i, item, m, prefix): shingles of each item, those of the fewest items first, and how many of them a similar window cannot all lack.
 
-    Items without a shingle can contaminate nothing and are left out.
+    Items without a shingle can contaminate nothing and are left out; i tells two
+    items of one id apart.
     """
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), shingle_hashes(text_of(f"`{text_col}`"), shingle).alias("item")).filter(F.size("item") > 0).distinct()
+    own = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), shingle_hashes(text_of(f"`{text_col}`"), shingle).alias("item")).filter(F.size("item") > 0).distinct()
+    each = own.select("item_id", F.xxhash64("item_id", "item").alias("i"), F.explode("item").alias("h"))
+    shared = each.groupBy("h").agg(F.count_distinct("i").alias("df"))
+    items = each.join(shared, "h").groupBy("item_id", "i").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("all")).select("item_id", "i", F.col("all.h").alias("item"))
     # J >= t with a window of at most m shingles needs t * m common shingles at least; with m of them, 2 t m / (1 + t)
-    return items.select("item_id", "item", F.size("item").alias("m"), (F.size("item") - F.ceil(F.size("item") * threshold - 1e-9) + 1).cast("int").alias("prefix"))
+    return items.select("item_id", "i", "item", F.size("item").alias("m"), (F.size("item") - F.ceil(F.size("item") * threshold - 1e-9) + 1).cast("int").alias("prefix"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
@@ -73,27 +83,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = materialize(benchmark_items(benchmark, shingle=shingle, threshold=threshold), "benchmark-items")
     n_items, total, prefixes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("prefix"), F.lit(0))).first()
     small = lambda df, numbers: F.broadcast(df) if numbers <= broadcast_numbers else df
-    items = items.withColumn("i", F.xxhash64("item_id", "item"))  # two items of one id are told apart
     first = items.select("i", "m", F.explode(F.array_distinct(F.slice("item", 1, F.col("prefix")))).alias("h"))
-    texts = small(items.select("i", "item"), total + n_items)
+    text = text_of(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u"))  # t and u: the text in 128 bits
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), shingle_hashes(text_of(f"`{text_col}`"), shingle).alias("shingles"))
-    places = rows.select("doc_id", "shingles", F.posexplode("shingles").alias("pos", "h"))
-    hits = places.join(small(first, 3 * prefixes), "h").select("doc_id", "i", "m", "pos", F.size("shingles").alias("n"), "shingles")
-    # shingles around the hit: all windows of the item's size that hold it
+    places = rows.select("t", "u", shingle_hashes(F.col("text"), shingle).alias("shingles")).select("t", "u", F.size("shingles").alias("n"), F.posexplode("shingles").alias("pos", "h"))
+    hits = places.join(small(first, 3 * prefixes), "h").select("t", "u", "n", "i", "m", "pos").distinct()
+    # stretches: all windows of the item's size that hold a hit; those that overlap are one
     size = F.least("m", "n")
-    low = F.greatest(F.lit(0), F.col("pos") - size + 1)
-    high = F.least(F.col("n"), F.col("pos") + size)
-    near = hits.select("doc_id", "n", "i", "m", size.alias("size"), low.alias("low"), F.slice("shingles", low + 1, high - low).alias("near")).dropDuplicates(["doc_id", "n", "i", "low", "near"])
-    # windows with enough of the item's shingles: their number slides along, and only starts of such windows are kept
+    low, high = F.greatest(F.lit(0), F.col("pos") - size + 1), F.least(F.col("n"), F.col("pos") + size)
+    by = W.partitionBy("t", "u", "i").orderBy("pos")
+    spread = hits.select("t", "u", "n", "i", "m", "pos", size.alias("size"), low.alias("low"), high.alias("high"))
+    apart = spread.withColumn("new", F.coalesce((F.col("low") > F.max("high").over(by.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1)))
+    part = apart.withColumn("part", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    stretches = part.groupBy("t", "u", "n", "i", "m", "size", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    wanted = materialize(stretches.groupBy("t", "u").agg(F.collect_list(F.struct("n", "i", "m", "size", "low", "high")).alias("cuts")), "stretches")
+    texts = wanted.count()
+    keys = wanted.select("t", "u")
+    again = rows.join(small(keys, 4 * texts), ["t", "u"], "left_semi").groupBy("t", "u").agg(F.first("text").alias("text"))
+    held = again.join(wanted, ["t", "u"]).select("t", "u", "cuts", shingle_hashes(F.col("text"), shingle).alias("shingles"))
+    sliced = held.select("t", "u", F.explode(F.expr("transform(cuts, c -> struct(c as c, slice(shingles, c.low + 1, c.high - c.low) as near))")).alias("x"))
+    near = materialize(sliced.select("t", "u", "x.c.*", "x.near"), "near")
+    # windows with enough of the item's shingles: running counts at both ends
+    one = ["t", "u", "i", "low"]
+    members = items.select("i", F.explode(F.array_distinct("item")).alias("h"), F.lit(1).alias("own"))
+    flags = near.select(*one, "size", "m", F.posexplode("near").alias("k", "h")).join(small(members, 3 * total), ["i", "h"], "left").select(*one, "size", "m", "k", F.coalesce("own", F.lit(0)).alias("own"))
+    so_far = flags.withColumn("sum", F.sum("own").over(W.partitionBy(*one).orderBy("k").rowsBetween(W.unboundedPreceding, 0)))
+    ends = F.explode(F.array(F.struct(F.col("k").alias("s"), (F.col("own") - F.col("sum")).alias("x")), F.struct((F.col("k") - F.col("size") + 1).alias("s"), F.col("sum").alias("x"))))
     need = F.ceil((F.col("m") + F.col("size")) * (threshold / (1 + threshold)) - 1e-9)
-    counts = near.join(texts, "i").select("doc_id", "n", "low", "size", "near", need.alias("need"), F.transform("near", lambda h: F.array_contains("item", h).cast("int")).alias("f"))
-    slide = """aggregate(sequence(0, size(near) - 1), named_struct('c', 0, 's', cast(array() as array<int>)), (a, k) -> named_struct(
-        'c', a.c + get(f, k) - if(k >= size, get(f, k - size), 0),
-        's', if(k + 1 >= size and a.c + get(f, k) - if(k >= size, get(f, k - size), 0) >= need, array_append(a.s, k + 1 - size), a.s))).s"""
-    windows = counts.select("doc_id", "n", "low", "size", "near", F.explode(F.expr(slide)).alias("s"))
-    windows = windows.select("doc_id", "n", (F.col("low") + F.col("s")).alias("start"), "size", F.slice("near", F.col("s") + 1, F.col("size")).alias("__w"))
-    windows = windows.dropDuplicates(["doc_id", "n", "start", "size", "__w"])
+    counted = so_far.select(*one, "size", "m", ends.alias("e")).groupBy(*one, "size", "m", "e.s").agg(F.count(F.lit(1)).alias("ends"), F.sum("e.x").alias("inside"))
+    starts = counted.filter((F.col("ends") == 2) & (F.col("inside") >= need)).groupBy(*one).agg(F.collect_list("s").alias("starts"))
+    cut = near.join(starts, one).select("t", "u", "n", "low", "size", F.explode(F.expr("transform(starts, s -> struct(s as s, slice(near, s + 1, size) as w))")).alias("x"))
+    windows = cut.select("t", "u", "n", (F.col("low") + F.col("x.s")).alias("start"), "size", F.col("x.w").alias("__w")).dropDuplicates(["t", "u", "start", "size"])
     marked = windows.select("*", simhash().alias("fp"))
 
     spread = _flips(64 // BLOCKS, radius // BLOCKS)
@@ -103,14 +124,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     index = index.select("i", "item_id", "m", "item_fp", "block", F.explode(F.array(*(F.col("v").bitwiseXOR(F.lit(x)) for x in spread))).alias("value"))
     # a short document is one window of its own size, also for greater items: up to those of which it could hold enough
     sizes = F.sequence("size", F.when(F.col("size") == F.col("n"), F.floor(F.col("size") / threshold + 1e-9).cast("int")).otherwise(F.col("size")))
-    asked = marked.select("doc_id", "start", "__w", "fp", F.explode(sizes).alias("m")).select("doc_id", "start", "__w", "fp", "m", block.alias("block", "value"))
+    window = ["t", "u", "start", "size"]
+    prints_of = materialize(marked, "windows")
+    asked = prints_of.select(*window, "fp", F.explode(sizes).alias("m")).select(*window, "fp", "m", block.alias("block", "value"))
     pairs = asked.join(small(index, 6 * n_items * len(spread) * BLOCKS), ["m", "block", "value"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    pairs = pairs.select("doc_id", "i", "item_id", "start", "__w", distance.alias("distance")).filter(F.col("distance") <= radius)
-    pairs = pairs.dropDuplicates(["doc_id", "i", "start", "__w"])
-    exact = pairs.join(texts, "i").select("doc_id", "item_id", "start", "distance", weighted_jaccard("__w", "item").alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
+    pairs = pairs.select(*window, "i", "item_id", distance.alias("distance")).filter(F.col("distance") <= radius).distinct()
+    exact = pairs.join(prints_of.select(*window, "__w"), window).join(small(items.select("i", "item"), total + n_items), "i")
+    exact = exact.select("t", "u", "item_id", "start", "distance", weighted_jaccard("__w", "item").alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("first"), (-F.col("distance")).alias("close")))
-    return exact.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.first")).alias("start"), (-F.col("b.close")).alias("distance"))
+    found = materialize(exact.groupBy("t", "u", "item_id").agg(best.alias("b")), "contaminated")
+    ids = rows.select("doc_id", "t", "u").join(small(found, 8 * found.count()), ["t", "u"])
+    return ids.groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.first")).alias("start"), (-F.col("b.close")).alias("distance"))
 
 
 def _flips(width: int, radius: int) -> list[int]:
