@@ -14,13 +14,13 @@ all the shorter phrases in it do.
 3. Counts.  A last scan keeps the phrases all of whose parts are marked, and sends
    each shard one block of keys, counts and words for each task.  Mappers look up
    the blocks' slots, verify the stored keys, and bincount into an array of the
-   shard's slots; the arrays are summed as a tree of FAN_IN.  A second 64-bit hash
-   tells phrases of one key apart: those that don't get the slot are counted aside.
+   shard's slots; the arrays are summed as a tree of FAN_IN.  A second hash of 32
+   bits tells phrases of one key apart: those that don't get the slot are counted aside.
 4. Cuts.  Each candidate asks the shards of both parts of each of its cuts, which
    read the counts by slot.  Shards that many ask are copied for more tasks.
 
 No count is approximate, and no phrase with ``least`` occurrences is lost.  Two
-phrases are the same if their hashes of 128 bits are.
+phrases are the same if their hashes of 96 bits are.
 
 Defined results: null texts are empty, null languages are ``und``; rows repeat as
 often as they stand there; phrases don't reach over separators; equal scores are
@@ -50,11 +50,14 @@ LONGEST, LEAST, TOP, CONTAINED = 4, 30, 2000, 80
 BITS = 1 << 27
 #: Candidates in a shard, keys that a mapper or reader gets, about; arrays that are summed at once.
 SHARD, ROWS, FAN_IN = 1 << 15, 1 << 18, 16
+#: Splits of the input that a task reads: the more text a task has, the fewer counts it sends.
+SPLITS = 2
 #: Bits of a key; fewer only in tests, where phrases then share keys.
 WIDTH = 64
 #: Bytes of text that a task cuts into words at once; hashes that it holds before it sends them on.
 CHUNK, HELD = 4 << 20, 1 << 20
 
+_KEY, _SECOND = (1 << 64) - 1, (1 << 32) - 1
 _BOUNDARY = b"."  # a separator, so no word
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
 
@@ -195,7 +198,16 @@ def _mark(texts: DataFrame, lengths: tuple[int, ...], marks: bytearray, least: i
     return heavy
 
 
-_BLOCK = "shard int, part int, lang string, h binary, g binary, n binary, ends binary, text binary"
+_BLOCK = "shard int, part int, lang string, h binary, g binary, n binary, sizes binary, text binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as many bytes as the greatest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // count}").astype(np.int64) if count else np.zeros(0, np.int64)
 
 
 def _blocks(marks, shards: int, parts: int, longest: int, chunk: int, held_at_most: int, width: int):
@@ -218,6 +230,7 @@ def _blocks(marks, shards: int, parts: int, longest: int, chunk: int, held_at_mo
                 g = g_word[ids[at]]
                 for k in range(1, n):
                     g = _mixed(g, g_word[ids[at + k]])
+                g &= np.uint64(_SECOND)
                 held[lang].append((h[first], g, times, line, begin[at], begin[at + n - 1] + length[at + n - 1] - 1))
                 size += len(first)
             if size > held_at_most:
@@ -240,8 +253,8 @@ def _blocks(marks, shards: int, parts: int, longest: int, chunk: int, held_at_mo
                 i = order[cuts[s] : cuts[s + 1]]
                 if len(i):
                     texts = [known[k][3][a:b] for k, a, b in zip(source[i].tolist(), begin[i].tolist(), end[i].tolist())]
-                    row = {"shard": s, "part": part, "lang": lang, "h": h[i].tobytes(), "g": g[i].tobytes(), "n": n[cuts[s] : cuts[s + 1]].tobytes(), "ends": np.cumsum(end[i] - begin[i]).tobytes(), "text": b"".join(texts)}
-                    yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("lang", pa.string()), *((c, pa.binary()) for c in ("h", "g", "n", "ends", "text"))]))
+                    row = {"shard": s, "part": part, "lang": lang, "h": h[i].tobytes(), "g": g[i].astype(np.uint32).tobytes(), "n": _packed(n[cuts[s] : cuts[s + 1]]), "sizes": _packed(end[i] - begin[i]), "text": b"".join(texts)}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("lang", pa.string()), *((c, pa.binary()) for c in ("h", "g", "n", "sizes", "text"))]))
 
     return of
 
@@ -307,12 +320,14 @@ def _in_slots(shard: int, part: int, size: int, slots: np.ndarray, h: np.ndarray
 
 def _bincount(blocks: pa.Table, index: pa.Table) -> pa.Table:
     join = lambda c, kind: np.frombuffer(b"".join(blocks.column(c).to_pylist()), kind)
-    h, g, n = join("h", np.uint64), join("g", np.uint64), join("n", np.int64)
+    h, g = join("h", np.uint64), join("g", np.uint32).astype(np.uint64)
+    lengths = [len(x) // 8 for x in blocks.column("h").to_pylist()]
+    n = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x, k) for x, k in zip(blocks.column("n").to_pylist(), lengths))])
     slots = _slots(h, index)
     member = np.flatnonzero(slots >= 0)
     langs, phrases = [], []
-    for lang, ends, text in zip(blocks.column("lang").to_pylist(), blocks.column("ends").to_pylist(), blocks.column("text").to_pylist()):
-        ends = np.frombuffer(ends, np.int64).tolist()
+    for lang, sizes, text, k in zip(blocks.column("lang").to_pylist(), blocks.column("sizes").to_pylist(), blocks.column("text").to_pylist(), lengths):
+        ends = np.cumsum(_unpacked(sizes, k)).tolist()
         langs += [lang] * len(ends)
         phrases += [text[a:b].decode() for a, b in zip([0, *ends], ends)]
     if len(member) < len(h):
@@ -369,7 +384,7 @@ def _questions(shards: int, width: int):
                     for w in words[1:]:
                         x = _mixed(x, np.array([seen[w]], np.uint64))
                         x = x & np.uint64((1 << width) - 1) if lane == 0 else x
-                    values.append(int(x[0]))
+                    values.append(int(x[0]) & (_SECOND if lane else _KEY))
                 return values
 
             for lang, phrase, a in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -431,6 +446,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     of the language; ``bits`` is a power of two and 2**18 at least.
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(F.col(f"`{text_col}`").cast("string")).cast("binary").alias("text"))
+    texts = texts.coalesce(max(1, -(-texts.rdd.getNumPartitions() // SPLITS)))
     marks = bytearray(bits // 8)
     scans = [_mark(texts, lengths, marks, least, chunk, held, width) for lengths in ((1,), (2,), tuple(range(3, longest + 1)))]
     totals = scans[0].filter("lang IS NOT NULL").select("lang", "n")
