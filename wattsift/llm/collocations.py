@@ -50,8 +50,6 @@ LONGEST, LEAST, TOP, CONTAINED = 4, 30, 2000, 80
 BITS = 1 << 27
 #: Candidates in a shard, keys that a mapper or reader gets, about; arrays that are summed at once.
 SHARD, ROWS, FAN_IN = 1 << 15, 1 << 18, 16
-#: Splits of the input that a task reads: the more text a task has, the fewer counts it sends.
-SPLITS = 2
 #: Bits of a key; fewer only in tests, where phrases then share keys.
 WIDTH = 64
 #: Bytes of text that a task cuts into words at once; hashes that it holds before it sends them on.
@@ -446,7 +444,6 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     of the language; ``bits`` is a power of two and 2**18 at least.
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(F.col(f"`{text_col}`").cast("string")).cast("binary").alias("text"))
-    texts = texts.coalesce(max(1, -(-texts.rdd.getNumPartitions() // SPLITS)))
     marks = bytearray(bits // 8)
     scans = [_mark(texts, lengths, marks, least, chunk, held, width) for lengths in ((1,), (2,), tuple(range(3, longest + 1)))]
     totals = scans[0].filter("lang IS NOT NULL").select("lang", "n")
