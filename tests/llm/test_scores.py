@@ -265,6 +265,24 @@ def test_contamination_in_very_long_texts(spark):
     assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in found] == [(1, 7, 1.0)]
 
 
+@pytest.mark.parametrize("bound", [0, 4_000_000])
+def test_contamination_by_long_items_takes_time_in_proportion(spark, bound):
+    """Items of a thousand words and more, one that repeats its words, and texts of thirty thousand, with and without broadcasts."""
+    r = random.Random(12)
+    word = lambda a, n: [f"{a}{k}" for k in range(n)]
+    changed = lambda w, share: " ".join(x if r.random() > share else f"other{r.randint(0, 10**6)}" for x in w)
+    long, song = word("q", 1000), [f"la{k % 7}" for k in range(900)]
+    items = [(1, " ".join(long)), (2, " ".join(word("z", 1500))), (3, " ".join(word("z", 1400) + word("y", 100))), (4, " ".join(song)), (5, "which of the following is " + " ".join(word("v", 40))), (6, "which of the following is " + " ".join(word("u", 40)))]
+    texts = [
+        (1, " ".join(word("x", 15_000)) + " " + changed(long, 0.01) + " " + " ".join(word("w", 15_000))), (2, changed(word("z", 1500), 0.01) + " " + " ".join(word("x", 30_000))), (3, " ".join(song * 30)), (4, changed(long, 0.2) + " " + " ".join(word("x", 5000))),
+        (5, "which of the following is " * 2000 + " ".join(word("u", 40))), (6, " ".join(long[:400] + word("x", 900) + long[400:])), (7, " ".join(song[:700])),
+    ]
+    began = time.perf_counter()
+    found = contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_numbers=bound).collect()
+    assert time.perf_counter() - began < 60
+    assert {(x["doc_id"], x["item_id"]) for x in found} == quick_contamination(texts, items)
+
+
 def test_contamination_empty(spark, edge, empty):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert contamination(empty, items).count() == contamination(edge, items.limit(0)).count() == 0

@@ -102,8 +102,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     keys = wanted.select("t", "u")
     again = rows.join(small(keys, 4 * texts), ["t", "u"], "left_semi").groupBy("t", "u").agg(F.first("text").alias("text"))
     held = again.join(wanted, ["t", "u"]).select("t", "u", "cuts", shingle_hashes(F.col("text"), shingle).alias("shingles"))
-    sliced = held.select("t", "u", F.explode(F.expr("transform(cuts, c -> struct(c as c, slice(shingles, c.low + 1, c.high - c.low) as near))")).alias("x"))
-    near = materialize(sliced.select("t", "u", "x.c.*", "x.near"), "near")
+    # in pieces that hold the windows of ``size`` starts each, so that no row is longer than two windows
+    pieces = "flatten(transform(cuts, c -> transform(sequence(0, cast(greatest(0, c.high - c.low - c.size) div c.size as int)), p -> struct(c.n as n, c.i as i, c.m as m, c.size as size, c.low + p * c.size as low, slice(shingles, c.low + p * c.size + 1, least(2 * c.size - 1, c.high - c.low - p * c.size)) as near))))"
+    near = materialize(held.select("t", "u", F.explode(F.expr(pieces)).alias("x")).select("t", "u", "x.*"), "near")
     # windows with enough of the item's shingles: running counts at both ends
     one = ["t", "u", "i", "low"]
     members = items.select("i", F.explode(F.array_distinct("item")).alias("h"), F.lit(1).alias("own"))
@@ -113,9 +114,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     need = F.ceil((F.col("m") + F.col("size")) * (threshold / (1 + threshold)) - 1e-9)
     counted = so_far.select(*one, "size", "m", ends.alias("e")).groupBy(*one, "size", "m", "e.s").agg(F.count(F.lit(1)).alias("ends"), F.sum("e.x").alias("inside"))
     starts = counted.filter((F.col("ends") == 2) & (F.col("inside") >= need)).groupBy(*one).agg(F.collect_list("s").alias("starts"))
-    cut = near.join(starts, one).select("t", "u", "n", "low", "size", F.explode(F.expr("transform(starts, s -> struct(s as s, slice(near, s + 1, size) as w))")).alias("x"))
-    windows = cut.select("t", "u", "n", (F.col("low") + F.col("x.s")).alias("start"), "size", F.col("x.w").alias("__w")).dropDuplicates(["t", "u", "start", "size"])
-    marked = windows.select("*", simhash().alias("fp"))
+    cut = near.join(starts, one).select("t", "u", "n", "low", "size", "near", F.explode("starts").alias("s"))
+    content = F.array_sort(F.slice("near", F.col("s") + 1, F.col("size")))
+    # windows of one text with the same shingles are one, at the first place
+    windows = cut.select("t", "u", "n", "size", (F.col("low") + F.col("s")).alias("start"), content.alias("__w")).groupBy("t", "u", "n", "size", "__w").agg(F.min("start").alias("start"))
+    marked = windows.select("t", "u", "n", "start", "size", "__w", simhash().alias("fp"))
 
     spread = _flips(64 // BLOCKS, radius // BLOCKS)
     block = F.posexplode(F.array(*(F.shiftrightunsigned("fp", 64 // BLOCKS * k).bitwiseAND(F.lit((1 << 64 // BLOCKS) - 1)) for k in range(BLOCKS))))
