@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,10 @@ SHARD, ROWS, FAN_IN = 1 << 15, 1 << 18, 16
 WIDTH = 64
 #: Bytes of text that a task cuts into words at once; hashes that it holds before it sends them on.
 CHUNK, HELD = 4 << 20, 1 << 20
+#: Words of a language that a task remembers, about.
+WORDS = 1 << 18
 
-_KEY, _SECOND = (1 << 64) - 1, (1 << 32) - 1
+_SECOND = (1 << 32) - 1
 _BOUNDARY = b"."  # a separator, so no word
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
 
@@ -71,21 +74,47 @@ def _parts(text: bytes, chunk: int) -> Iterator[bytes]:
     yield text
 
 
-def _read(batches, chunk: int) -> Iterator[tuple[str, list[bytes], np.ndarray, bytes]]:
-    """(language, its words, numbers of the words in order, the words in order with a space between); number 0 is a boundary."""
-    held, size = defaultdict(list), 0
+class Vocabulary:
+    """Numbers of a language's words in the order they come, 0 for a boundary, and what is computed of each word once."""
+
+    def __init__(self, lang: str, width: int):
+        self.number: defaultdict = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number[_BOUNDARY]
+        self.words: list[bytes] = []
+        seeds = [xxhash.xxh64_intdigest(lang.encode(), lane) for lane in (0, 1)]
+        self.of = [lambda w: xxhash.xxh64_intdigest(w, seeds[0]) & ((1 << width) - 1), lambda w: xxhash.xxh64_intdigest(w, seeds[1]), len]
+        self.known = [np.zeros(0, np.uint64) for _ in self.of]
+
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        self.words.extend(islice(self.number, len(self.words), None))
+        return ids
+
+    def values(self, which: int) -> np.ndarray:
+        """Of each word its key (0), its second hash (1) or its length in bytes (2)."""
+        known = self.known[which]
+        if len(known) < len(self.words):
+            known = self.known[which] = np.concatenate([known, np.array(list(map(self.of[which], self.words[len(known) :])), np.uint64)])
+        return known
+
+
+def _read(batches, chunk: int, width: int) -> Iterator[tuple[str, Vocabulary, np.ndarray, bytes]]:
+    """(language, its vocabulary, numbers of the words in order, the words in order with a space between)."""
+    held, size, known = defaultdict(list), 0, {}
 
     def numbered():
         for lang, texts in held.items():
-            number = defaultdict()
-            number.default_factory = number.__len__
-            number[_BOUNDARY]
+            vocabulary = known.get(lang)
+            if vocabulary is None or len(vocabulary.words) > WORDS:
+                vocabulary = known[lang] = Vocabulary(lang, width)
             tokens = b" . ".join(texts).replace(b".", b" . ").split()
-            ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-            line = b" ".join(tokens)
+            ids, line = vocabulary.numbers(tokens), b" ".join(tokens)
             del tokens
-            yield lang, list(number), ids, line
+            yield lang, vocabulary, ids, line
         held.clear()
+        if sum(len(v.words) for v in known.values()) > 2 * WORDS:
+            known.clear()
 
     for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -110,11 +139,6 @@ def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _word_hashes(lang: str, words: list[bytes], lane: int, width: int) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode(), lane)
-    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64) & np.uint64((1 << (width if lane == 0 else 64)) - 1)
-
-
 def _hashes(of_word: np.ndarray, ids: np.ndarray, marks: np.ndarray | None, known: int, longest: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(n, starts, keys) for the phrases of n words, n up to ``longest``, whose parts of up to ``known`` words are all marked."""
     starts = np.flatnonzero(ids != 0)
@@ -150,9 +174,9 @@ def _hash_counts(lengths: tuple[int, ...], marks, chunk: int, held_at_most: int,
                 part = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(h[part]), pa.string()), pa.array(h[part].view(np.int64)), pa.array(n[part])], ["lang", "h", "n"])
 
-        for lang, words, ids, _ in _read(batches, chunk):
+        for lang, words, ids, _ in _read(batches, chunk, width):
             totals[lang] += int((ids != 0).sum())
-            for n, _, h in _hashes(_word_hashes(lang, words, 0, width), ids, own, min(lengths) - 1, max(lengths), width):
+            for n, _, h in _hashes(words.values(0), ids, own, min(lengths) - 1, max(lengths), width):
                 if n in lengths:
                     values, times = np.unique(h, return_counts=True)
                     hashes.append(values), counts.append(times.astype(np.int64))
@@ -213,15 +237,14 @@ def _blocks(marks, shards: int, parts: int, longest: int, chunk: int, held_at_mo
 
     def of(batches):
         own, held, size = np.frombuffer(marks.value, np.uint8), defaultdict(list), 0
-        for lang, words, ids, line in _read(batches, chunk):
-            h_word, g_word = (_word_hashes(lang, words, lane, width) for lane in (0, 1))
-            length = np.array([len(w) + 1 for w in words])[ids]
+        for lang, words, ids, line in _read(batches, chunk, width):
+            h_word, g_word, length = words.values(0), words.values(1), words.values(2).astype(np.int64)[ids] + 1
             begin = np.cumsum(length) - length
             codes = ids  # a number for each phrase of n - 1 words, by start
             for n, starts, h in _hashes(h_word, ids, own, longest, longest, width):
                 passed = _marked(own, h)
                 starts, h = starts[passed], h[passed]
-                first, dense, times = _numbered(ids[starts], len(words)) if n == 1 else _distinct(codes[starts] * len(words) + ids[starts + n - 1])
+                first, dense, times = _numbered(ids[starts], len(h_word)) if n == 1 else _distinct(codes[starts] * len(h_word) + ids[starts + n - 1])
                 codes = np.zeros(len(ids), np.int64)
                 codes[starts] = dense
                 at = starts[first]
@@ -364,36 +387,36 @@ def _often(least: int):
     return of
 
 
+def _keys(of_words: np.ndarray, width: int) -> np.ndarray:
+    """The keys of phrases from their words' values, a row for each phrase."""
+    x = of_words[:, 0]
+    for k in range(1, of_words.shape[1]):
+        x = _mixed(x, of_words[:, k]) & np.uint64((1 << width) - 1)
+    return x
+
+
 def _questions(shards: int, width: int):
     """(shard, lang, phrase, a, cut, first, h, g): the keys of both parts of each cut of each phrase."""
 
     def of(batches):
         for batch in slices(batches, 4096):
             out = []
-            lanes: dict[str, tuple[dict, dict]] = {}
-
-            def key(lang, words):
-                known = lanes.setdefault(lang, ({}, {}))
-                values = []
-                for lane, seen in enumerate(known):
-                    new = [w for w in words if w not in seen]
-                    seen.update(zip(new, _word_hashes(lang, [w.encode() for w in new], lane, width)))
-                    x = np.array([seen[words[0]]], np.uint64)
-                    for w in words[1:]:
-                        x = _mixed(x, np.array([seen[w]], np.uint64))
-                        x = x & np.uint64((1 << width) - 1) if lane == 0 else x
-                    values.append(int(x[0]) & (_SECOND if lane else _KEY))
-                return values
-
+            pieces = defaultdict(list)  # by language and number of words
             for lang, phrase, a in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = phrase.split(" ")
+                words = phrase.encode().split(b" ")
                 for k in range(1, len(words)):
                     for first, piece in ((True, words[:k]), (False, words[k:])):
-                        h, g = key(lang, piece)
-                        out.append((h % shards, lang, phrase, a, k, first, np.uint64(h).astype(np.int64), np.uint64(g).astype(np.int64)))
+                        pieces[lang, len(piece)].append((len(out), piece))
+                        out.append((lang, phrase, a, k, first))
+            h, g = np.zeros(len(out), np.uint64), np.zeros(len(out), np.uint64)
+            for (lang, n), asked in pieces.items():
+                words = Vocabulary(lang, width)
+                ids = words.numbers([w for _, piece in asked for w in piece]).reshape(-1, n)
+                at = np.array([i for i, _ in asked])
+                h[at], g[at] = _keys(words.values(0)[ids], width), _keys(words.values(1)[ids], 64) & np.uint64(_SECOND)
             if out:
-                kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["shard", "lang", "phrase", "a", "cut", "first", "h", "g"])
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(shards)).astype(np.int32)), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], ["shard", "lang", "phrase", "a", "cut", "first", "h", "g"])
 
     return of
 
