@@ -117,7 +117,7 @@ def test_levels_give_what_batches_in_turn_give(spark, tmp_path, monkeypatch):
     assert published == [["A1", "B1"], ["A2", "B2"], ["A3", "B3"], ["X"]]
     for n in NAMES:
         assert run(spark, given, [n], alone) == {n: process.DONE}
-    for name in ("resultados", "anomalias", "vectores", "hallazgos", "exclusiones", "conflictos", "informes"):
+    for name in ("resultados", "ire", "impactos", "anomalias", "vectores", "hallazgos", "exclusiones", "conflictos", "informes"):
         assert rows_of(spark, together, name) == rows_of(spark, alone, name), name
     assert sinks.published(spark, together, "anomalias").count() > 3
     prior = {json.loads(r.features)["prior_anomaly_count"] for r in sinks.published(spark, together, "vectores").filter("lote = 'X'").collect()}
@@ -136,8 +136,24 @@ def test_levels_give_what_batches_in_turn_give(spark, tmp_path, monkeypatch):
         assert all(len(x.top_factores) <= 3 for x in doc.ire.top_10)
 
 
+def test_categories_with_models_of_their_own(spark):
+    """A category of a thousand supplies has its own model, the others share one; scores are on one scale within the batch."""
+    from wattsift.operators import forest
+
+    n = K.MODEL_MIN_PER_CATEGORY
+    rows = spark.range(n + 60).select(F.col("id").alias("suministro"), F.lit("L").alias("lote"), F.when(F.col("id") < n, "Residencial").when(F.col("id") % 2 == 0, "Comercial").otherwise("Industrial").alias("categoria"))
+    own = {"avg_consumption": F.when(F.col("suministro").isin(7, n + 5), 9e5).otherwise(F.col("suministro") % 11).cast("double"), "max_consumption": (F.col("suministro") % 7).cast("double")}
+    rows = rows.select("*", *(own.get(c, F.lit(False) if c in forest.FLAGS else F.lit(None).cast("double")).alias(c) for c in forest.COLUMNS))
+    scores = forest.ml_scores(rows, trees=30).cache()
+    assert {r.alcance: r["count"] for r in scores.groupBy("alcance").count().collect()} == {"Residencial": n, "global": 60}
+    best = {r.suministro for r in scores.orderBy(F.desc("ml_score")).limit(2).collect()}
+    assert best == {7, n + 5}
+    ends = scores.agg(F.min("ml_score"), F.max("ml_score")).first()
+    assert (round(ends[0], 9), round(ends[1], 9)) == (0, 100)
+
+
 def test_the_greatest_few_are_limited_before_the_shuffle(spark):
-    rows = spark.range(1000).select(F.lit("L").alias("lote"), F.col("id").alias("suministro"), F.col("id").cast("string").alias("numero"), (F.col("id") % 97).cast("double").alias("iee")).repartition(8)
+    rows = spark.range(1000).select(F.when(F.col("id") >= 0, "L").alias("lote"), F.col("id").alias("suministro"), F.col("id").cast("string").alias("numero"), (F.col("id") % 97).cast("double").alias("iee")).repartition(8)
     best = report.top_iee(rows)
     assert [(r.suministro, r.iee) for r in best.orderBy("puesto").collect()] == sorted(((i, float(i % 97)) for i in range(1000)), key=lambda x: (-x[1], str(x[0])))[:5]
     steps = [x for x in best._jdf.queryExecution().executedPlan().toString().splitlines() if "WindowGroupLimit" in x or "hashpartitioning(lote" in x]

@@ -29,6 +29,7 @@ RULES = {
 }
 ML_ANOMALY = ("Patrón Irregular", "Crítica")
 ACTIVE = "Activo"
+IMPACT_UNIT = "kWh"
 
 # The anomaly model.
 MODEL_MIN_PER_CATEGORY = 1000

@@ -32,10 +32,10 @@ FLAGS = ("is_cold_start", "has_conflicted_periods", "iqr_outlier_flag")
 POOL, SCORE_ROWS = 8192, 50_000
 
 
-def with_scope(vectors: DataFrame) -> DataFrame:
-    """Adds alcance: the category if it has enough supplies in the batch, else global."""
+def with_scope(vectors: DataFrame, least: int = K.MODEL_MIN_PER_CATEGORY) -> DataFrame:
+    """Adds alcance: the category if it has ``least`` supplies in the batch, else global."""
     sizes = vectors.groupBy("lote", "categoria").agg(F.count(F.lit(1)).alias("__n"))
-    return vectors.join(sizes, ["lote", "categoria"]).withColumn("alcance", F.when(F.col("__n") >= K.MODEL_MIN_PER_CATEGORY, F.col("categoria")).otherwise("global")).drop("__n")
+    return vectors.join(sizes, ["lote", "categoria"]).withColumn("alcance", F.when(F.col("__n") >= least, F.col("categoria")).otherwise("global")).drop("__n")
 
 
 def numeric(vectors: DataFrame) -> DataFrame:
@@ -167,11 +167,11 @@ def forest_scores(matrix: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -
     return scored.join(offset, ["lote", "alcance"]).select("suministro", "lote", "alcance", (F.col("score") - F.col("__o")).alias("decision"))
 
 
-def ml_scores(vectors: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -> DataFrame:
+def ml_scores(vectors: DataFrame, trees: int = K.TREES, seed: int = K.SEED, least: int = K.MODEL_MIN_PER_CATEGORY) -> DataFrame:
     """(suministro, lote, alcance, decision, ml_score, clasificacion_ml): 0 to 100 within the batch."""
     from wattsift.operators.scoring import inverted_min_max
 
-    matrix = cut(robust_scaled(cut(numeric(with_scope(vectors)), "matrix")), "scaled")
+    matrix = cut(robust_scaled(cut(numeric(with_scope(vectors, least)), "matrix")), "scaled")
     out = inverted_min_max(forest_scores(matrix, trees, seed), "decision", "__s").withColumn("ml_score", F.col("__s") * 100).drop("__s")
     return out.withColumn("clasificacion_ml", risk_class(F.col("ml_score")))
 

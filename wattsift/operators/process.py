@@ -184,7 +184,7 @@ def process_batches(vector_rows: DataFrame, batches: list[str], path: str, state
         found = cut(anomalies(result), "anomalies")
         kept = result.select("suministro", "lote", "numero", "localidad", "barrio", "categoria", "latitud", "longitud", "ml_score", "iee", "ire", "nivel", "clasificacion", "n_anomalias", F.to_json("factores").alias("observaciones"))
         stored = sinks.feature_vectors(rows).withColumn("resultado", F.concat_ws("|", "lote", F.col("suministro").cast("string")))
-        sinks.publish(spark, path, names, {"resultados": kept, "anomalias": found, "vectores": stored} | (more(names, result) if more else {}))
+        sinks.publish(spark, path, names, {"resultados": kept, "anomalias": found, "vectores": stored, "ire": scoring.index_rows(result), "impactos": scoring.impact_rows(result)} | (more(names, result) if more else {}))
         earlier = _counts(of_level(published)).select("suministro", (-F.col("n")).alias("n"))
         memory = cut(memory.unionByName(earlier).unionByName(_counts(found)).groupBy("suministro").agg(F.sum("n").alias("n")).filter("n > 0"), "memory")
         out |= {n: change_state(RUNNING, DONE if (valid or {}).get(n, True) else FAILED) for n in names}
@@ -199,7 +199,7 @@ def process(consumption: DataFrame, supplies: DataFrame, readings: DataFrame, ba
     start, and is complete; the whole history of its supplies is read once and
     written, and its rows are as many as the gate counted; checks, exclusions and
     conflicted periods; vectors; then model, index, anomalies and report, level by
-    level.  Published with each batch: resultados, anomalias, vectores, hallazgos,
+    level.  Published with each batch: resultados, ire, impactos, anomalias, vectores, hallazgos,
     exclusiones, conflictos and informes (``report.run_documents``).  If anything is
     refused, nothing has changed.  A batch of which too few supplies are valid ends
     as failed and can be processed again.

@@ -111,7 +111,20 @@ def anomalies_by_type(hits: DataFrame) -> DataFrame:
 
 
 def with_anomaly_lists(results: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Adds anomalias, a list aggregated by (suministro, lote) before the join; empty if none."""
+    """Adds anomalias, a list in the order of detection (the rules', then the model's), aggregated by (suministro, lote) before the join; empty if none."""
     shape = "array<struct<tipo:string,severidad:string,descripcion:string>>"
-    lists = anomalies.groupBy("suministro", "lote").agg(F.array_sort(F.collect_list(F.struct("tipo", "severidad", "descripcion"))).cast(shape).alias("anomalias"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, K.RULES)), F.col("regla")), F.lit(0)), F.lit(len(K.RULES) + 1))
+    each = F.collect_list(F.struct(place.alias("orden"), F.struct("tipo", "severidad", "descripcion").alias("a")))
+    lists = anomalies.groupBy("suministro", "lote").agg(F.transform(F.array_sort(each), lambda x: x["a"]).cast(shape).alias("anomalias"))
     return results.join(lists, ["suministro", "lote"], "left").withColumn("anomalias", F.coalesce("anomalias", F.array().cast(shape)))
+
+
+def active(rows: DataFrame, deleted_at: str = "deleted_at") -> DataFrame:
+    """Rows that are not marked as deleted."""
+    return rows.filter(F.col(deleted_at).isNull()).drop(deleted_at)
+
+
+def with_impact(results: DataFrame, impacts: DataFrame) -> DataFrame:
+    """Adds iee from stored estimates (suministro, lote, valor, moneda): those in kWh only, null without one."""
+    own = impacts.filter(F.col("moneda") == K.IMPACT_UNIT).select("suministro", "lote", F.col("valor").alias("iee"))
+    return results.drop("iee").join(own, ["suministro", "lote"], "left")

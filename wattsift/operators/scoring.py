@@ -86,6 +86,16 @@ def with_ire(vectors: DataFrame, reasons: bool = False) -> DataFrame:
     return out.withColumns({"nivel": level(F.col("ire")), "clasificacion": risk_class(F.col("ire"))})
 
 
+def index_rows(scored: DataFrame) -> DataFrame:
+    """(suministro, lote, valor, nivel): the index as it is stored."""
+    return scored.select("suministro", "lote", F.col("ire").alias("valor"), "nivel")
+
+
+def impact_rows(scored: DataFrame) -> DataFrame:
+    """(suministro, lote, valor, moneda): the estimates as they are stored; a cold start has none."""
+    return scored.filter(F.col("iee").isNotNull()).select("suministro", "lote", F.round("iee", 2).alias("valor"), F.lit(K.IMPACT_UNIT).alias("moneda"))
+
+
 def factor_rows(scored: DataFrame) -> DataFrame:
     """A row for each contributing factor."""
     return scored.select("suministro", "lote", F.posexplode("factores").alias("orden", "f")).select("suministro", "lote", "orden", "f.factor", "f.contribution", "f.reason")

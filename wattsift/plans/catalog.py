@@ -481,21 +481,35 @@ def anomalies_by_type(spark, d):
     return ranking.anomalies_by_type(rules.rule_hits(_vectors(spark, d)))
 
 
-@registered(query(sql.SCORE_PLAN, """SELECT suministro, lote, ire, concat_ws(', ', CASE WHEN r2 THEN 'Caída Brusca' END, CASE WHEN r5 THEN 'Consumo Muy Alto' END, CASE WHEN r4 THEN 'Consumo Muy Bajo' END,
-  CASE WHEN r6 THEN 'Desvío Estadístico' END, CASE WHEN r3 THEN 'Incremento Brusco' END, CASE WHEN r1 THEN 'Persistencia Anómala' END) AS anomalias FROM res"""))
+@registered(query(sql.SCORE_PLAN, """SELECT suministro, lote, ire, concat_ws(', ', CASE WHEN r1 THEN 'Persistencia Anómala' END, CASE WHEN r2 THEN 'Caída Brusca' END, CASE WHEN r3 THEN 'Incremento Brusco' END,
+  CASE WHEN r4 THEN 'Consumo Muy Bajo' END, CASE WHEN r5 THEN 'Consumo Muy Alto' END, CASE WHEN r6 THEN 'Desvío Estadístico' END) AS anomalias FROM res"""))
 def results_with_anomalies(spark, d):
     scored = _scored(spark, d)
     out = ranking.with_anomaly_lists(scored, rules.rule_hits(scored))
     return out.select("suministro", "lote", "ire", F.array_join(F.transform("anomalias", lambda a: a["tipo"]), ", ").alias("anomalias"))
 
 
+@registered(query(sql.SCORE_PLAN, """SELECT suministro, lote, ire, CASE WHEN suministro % 5 <> 0 THEN round(iee, 2) + 0.0 END AS iee FROM impact JOIN (SELECT suministro, lote, ire FROM res) USING (suministro, lote)"""))
+def results_with_impact(spark, d):
+    """Results with their stored estimates, of which some are in another unit."""
+    scored = cut(_scored(spark, d).select("suministro", "lote", "ire", "iee"), "scored")
+    stored = scoring.impact_rows(scored).withColumn("moneda", F.when(F.col("suministro") % 5 == 0, "ARS").otherwise(F.col("moneda")))
+    return rounded(ranking.with_impact(scored, stored).select("suministro", "lote", "ire", "iee"), 2)
+
+
+@registered(query([*sql.SPARSE_VECTORS, "sized AS (SELECT lote, categoria, suministro, count(*) OVER (PARTITION BY lote, categoria) AS n FROM vec)"], "SELECT lote, CASE WHEN n >= 18 THEN categoria ELSE 'global' END AS alcance, count(*) AS suministros FROM sized GROUP BY 1, 2"))
+def model_scopes(spark, d):
+    """Models of a batch where a category of 18 supplies has one of its own."""
+    return forest.with_scope(_vectors(spark, d), least=18).groupBy("lote", "alcance").agg(F.count(F.lit(1)).alias("suministros"))
+
+
 # --- lists and lookups -------------------------------------------------------------
 
 
 @registered("SELECT * FROM (SELECT c_name AS numero_cliente, c_mktsegment AS segmento FROM customer WHERE c_acctbal >= 0 ORDER BY c_name LIMIT 50 OFFSET 100)")
 def list_clients(spark, d):
-    active = tables.table(spark, d, "customer").filter("c_acctbal >= 0").select(F.col("c_name").alias("numero_cliente"), F.col("c_mktsegment").alias("segmento"))
-    return ranking.page(active, [F.asc("numero_cliente")], 50, 100)
+    clients = tables.table(spark, d, "customer").select(F.col("c_name").alias("numero_cliente"), F.col("c_mktsegment").alias("segmento"), F.when(F.col("c_acctbal") < 0, F.lit("2024-01-01").cast("date")).alias("deleted_at"))
+    return ranking.page(ranking.active(clients), [F.asc("numero_cliente")], 50, 100)
 
 
 @registered(query([BASE["sumin"]], "SELECT * FROM (SELECT suministro, numero, estado, localidad FROM sumin WHERE categoria = 'Industrial' ORDER BY numero LIMIT 50)"))
