@@ -135,11 +135,11 @@ def run_documents(drifts: DataFrame, checked: DataFrame, conflicts: DataFrame, s
 
 
 def flat(documents: DataFrame) -> DataFrame:
-    """(lote, seccion, campo, valor): every value of the documents as a row, numbers with four decimals, list entries numbered from 1."""
+    """(lote, seccion, campo, valor): every value of the documents as a row, numbers with six decimals, list entries numbered from 1."""
     from pyspark.sql import types as T
 
     def leaves(x: Column, kind: T.DataType, path: Column) -> Column:
-        text = lambda c, t: F.round(c.cast("double"), 4).cast("decimal(38,4)").cast("string") if isinstance(t, (T.NumericType, T.BooleanType)) else c
+        text = lambda c, t: F.round(c.cast("double"), 6).cast("decimal(38,6)").cast("string") if isinstance(t, (T.NumericType, T.BooleanType)) else c
         one = lambda p, v: F.struct(p.alias("campo"), v.alias("valor"))
         joined = lambda p, name: F.concat(p, F.when(p == "", "").otherwise("."), name)
         if isinstance(kind, T.StructType):

@@ -185,7 +185,7 @@ _LEVELS = ("Muy Bajo", "Bajo", "Medio", "Alto", "Crítico")
 
 def _documents() -> str:
     """Every value of the documents as (lote, seccion, campo, valor)."""
-    number = lambda e: f"CAST(CAST(round(CAST({e} AS DOUBLE), 4) AS DECIMAL(38, 4)) AS VARCHAR)"
+    number = lambda e: f"CAST(CAST(round(CAST({e} AS DOUBLE), 6) AS DECIMAL(38, 6)) AS VARCHAR)"
     out = []
 
     def single(section: str, source: str, **fields: str) -> None:
