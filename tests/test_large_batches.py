@@ -25,7 +25,7 @@ def _rows(con, sql):
     return sorted(con.execute(sql).fetchall())
 
 
-@pytest.mark.parametrize("name", ["impute_matrix"])
+@pytest.mark.parametrize("name", ["impute_matrix", "robust_scaled"])
 def test_one_scope_as_in_the_sql(name, spark, wide_dir, tmp_path):
     con = duckdb.connect()
     for t in ("nation", "supplier", "lineitem"):
