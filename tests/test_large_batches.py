@@ -47,3 +47,13 @@ def test_scopes_of_their_own_are_imputed_apart(spark, wide_dir, tmp_path):
     ours = _rows(con, f"SELECT suministro, lote, alcance, {', '.join(f'round({c}, 9) + 0.0' for c in columns)} FROM '{tmp_path}/ours/*.parquet'")
     assert ours == _rows(con, f"SELECT suministro, lote, alcance, {filled} FROM '{tmp_path}/matrix/*.parquet'")
     assert vectors.select("alcance").distinct().count() == 2 and vectors.filter(F.col("alcance") != "global").count() > 1000
+
+
+def _times(df, word: str) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count(word)
+
+
+def test_addresses_are_parsed_once(spark, sf_dir):
+    """Of the records' addresses nothing is left to parse in the merge's branches; the stored ones are parsed in one place."""
+    for name in ("merge_clients", "merge_client_counts"):
+        assert _times(entry.queries()[name](spark, sf_dir), "parseJson") <= 3

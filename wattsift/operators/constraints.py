@@ -79,20 +79,25 @@ def json_bytes(x: Column, most: int) -> Column:
     return F.when(F.octet_length(x) > most, F.octet_length(x)).otherwise(F.octet_length(x) + spaces + escaped)
 
 
-def stored_form(rule: Rule) -> Column:
+def stored_form(rule: Rule, formed: bool = False) -> Column:
     """The value as it is stored: stripped, in one form, with its default."""
     x = F.col(rule.field)
     if rule.kind == "date":
         x = F.coalesce(iso_date(stripped(x)).cast("string"), x)
     elif rule.kind == "json":
-        x = F.coalesce(json_text(x), x)
+        x = F.coalesce(F.col(f"__form_{rule.field}") if formed else json_text(x), x)
     elif rule.stripped:
         x = stripped(x)
     return F.coalesce(x, F.lit(rule.default)) if rule.default is not None else x
 
 
-def _broken(rule: Rule) -> list[tuple[Column, str]]:
-    """(condition, what it breaks) for a value that is not null, in order."""
+def json_forms(rules: tuple[Rule, ...]) -> dict[str, Column]:
+    """The JSON fields in one form, by the name of a helper column: parsed once, however often it is looked at."""
+    return {f"__form_{r.field}": json_text(F.col(r.field)) for r in rules if r.kind == "json"}
+
+
+def _broken(rule: Rule, formed: bool = False) -> list[tuple[Column, str]]:
+    """(condition, what it breaks) for a value that is not null, in order; ``formed``: the record has ``json_forms``."""
     x, n = F.col(rule.field), rule.field
     if rule.kind == "date":
         return [(iso_date(stripped(x)).isNull(), f"{n}: inválida")]
@@ -100,7 +105,8 @@ def _broken(rule: Rule) -> list[tuple[Column, str]]:
         value = x.try_cast("double")
         return [(value.isNull(), f"{n}: no es un número"), (~value.between(*rule.limit), f"{n}: fuera de rango")]
     if rule.kind == "json":
-        return [(~F.coalesce(json_text(x).startswith("{"), F.lit(False)), f"{n}: no es un objeto"), (json_bytes(json_text(x), rule.limit) > rule.limit, f"{n}: más de {rule.limit} bytes")]
+        form = F.col(f"__form_{n}") if formed else json_text(x)
+        return [(~F.coalesce(form.startswith("{"), F.lit(False)), f"{n}: no es un objeto"), (json_bytes(form, rule.limit) > rule.limit, f"{n}: más de {rule.limit} bytes")]
     out = [(stripped(x) == "", f"{n}: vacío")] if rule.blank or rule.absent == REQUIRED else []
     if rule.values:
         out.append((~x.isin(*rule.values), f"{n}: valor no permitido"))
@@ -109,20 +115,20 @@ def _broken(rule: Rule) -> list[tuple[Column, str]]:
     return out
 
 
-def reason(rule: Rule) -> Column:
+def reason(rule: Rule, formed: bool = False) -> Column:
     """Why a record's value breaks the rule, or null."""
     if rule.kind in ("quantity", "count"):
         text = (numeric_reason if rule.kind == "quantity" else positive_integer_reason)(F.col(rule.field), rule.field)
         return text if rule.absent == REQUIRED else F.when(F.col(rule.field).isNotNull(), text)
     out = F.when(F.col(rule.field).isNull(), F.lit(f"{rule.field}: vacío" if rule.kind == "text" else f"{rule.field}: falta") if rule.absent == REQUIRED else F.lit(None).cast("string"))
-    for condition, text in _broken(rule):
+    for condition, text in _broken(rule, formed):
         out = out.when(condition, text)
     return out
 
 
-def all_reasons(rules: tuple[Rule, ...]) -> list[Column]:
-    return [reason(r) for r in rules]
+def all_reasons(rules: tuple[Rule, ...], formed: bool = False) -> list[Column]:
+    return [reason(r, formed) for r in rules]
 
 
-def stored_forms(rules: tuple[Rule, ...]) -> dict[str, Column]:
-    return {r.field: stored_form(r) for r in rules if r.stripped or r.default is not None or r.kind in ("date", "json")}
+def stored_forms(rules: tuple[Rule, ...], formed: bool = False) -> dict[str, Column]:
+    return {r.field: stored_form(r, formed) for r in rules if r.stripped or r.default is not None or r.kind in ("date", "json")}

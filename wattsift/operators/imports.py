@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from wattsift.functions.scalar import daily_mean, iso_date, positive_integer_reason
 from wattsift.operators import constraints
+from wattsift.sources.shared import cut
 
 OUTCOMES = ("created", "updated", "unchanged", "restored", "rejected")
 
@@ -86,10 +87,16 @@ def _trimmed(records: DataFrame, *names: str) -> DataFrame:
 
 
 def _judged(records: DataFrame, rules: tuple[constraints.Rule, ...], *more: Column) -> DataFrame:
-    """motivos: what a lookup found missing, else all reasons of the record itself; values in their stored form."""
-    each = reasons(*constraints.all_reasons(rules), *more)
-    judged = records.withColumn("motivos", F.when(F.col("motivo").isNotNull(), F.array("motivo")).otherwise(each)).drop("motivo")
-    return judged.withColumns(constraints.stored_forms(rules))
+    """motivos: what a lookup found missing, else all reasons of the record itself; values in their stored form.
+
+    JSON fields are parsed first and written, as the valid and the rejected records are two branches and a filter
+    on motivos would parse them again for each place that looks at them.
+    """
+    forms = constraints.json_forms(rules)
+    formed = cut(records.withColumns(forms), "formed") if forms else records
+    each = reasons(*constraints.all_reasons(rules, formed=True), *more)
+    judged = formed.withColumn("motivos", F.when(F.col("motivo").isNotNull(), F.array("motivo")).otherwise(each)).drop("motivo")
+    return judged.withColumns(constraints.stored_forms(rules, formed=True)).drop(*forms)
 
 
 def _as_json(rows: DataFrame, column: str) -> DataFrame:
