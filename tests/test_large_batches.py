@@ -1,6 +1,7 @@
 """Batches in which a category has a thousand supplies and more."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,29 @@ def test_addresses_are_parsed_once(spark, sf_dir):
     """Of the records' addresses nothing is left to parse in the merge's branches; the stored ones are parsed in one place."""
     for name in ("merge_clients", "merge_client_counts"):
         assert _times(entry.queries()[name](spark, sf_dir), "parseJson") <= 3
+
+
+def test_rows_are_scaled_where_they_are(spark, wide_dir):
+    """Statistics go to the rows: no plan shuffles the matrix to join what is known of its scopes."""
+    vectors = catalog.cut(catalog.rules.prior_anomalies(catalog._vectors(spark, wide_dir)), "vectors")
+    scaled = forest.robust_scaled(forest.numeric(forest.with_scope(vectors)))
+    assert scaled._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2 == _times(scaled, "strategy=broadcast")
+
+
+@pytest.mark.parametrize("size", [1, 2, 40, 5000])
+def test_scores_are_those_of_a_plain_walk(size, monkeypatch):
+    monkeypatch.setattr(forest, "CHUNK", 64)
+    x = np.random.default_rng(size).integers(0, 9, (size, 4)) / 8.0
+    grown = forest.fit_forest(x, trees=7, sample=32)
+    paths = []
+    for row in x[:200]:
+        total = 0.0
+        for f, s, v in zip(grown.feature, grown.split, grown.value):
+            i = 0
+            while f[i] >= 0:
+                i = 2 * i + 1 + int(row[f[i]] >= s[i])
+            total += v[i]
+        paths.append(total)
+    norm = float(forest.average_path(grown.size))
+    want = -np.power(2.0, -np.array(paths) / 7 / norm) if norm else np.full(len(paths), -0.5)
+    assert (forest.score_samples(grown, x[:200]) == want).all()

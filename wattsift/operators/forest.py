@@ -5,6 +5,9 @@ pooled as "global".  Missing values take the scope's median; columns are scaled
 by median and interquartile range.  Trees are grown on a bounded pool of rows,
 chosen by a hash of the supply so that partitioning does not matter; every row is
 scored, in tasks of bounded size.
+
+What is known of a batch and scope (sizes, statistics, offsets) is a row for each
+and is broadcast, so that the rows themselves are shuffled once, to be scored.
 """
 
 from __future__ import annotations
@@ -28,14 +31,14 @@ COLUMNS = sorted((
     "is_cold_start", "has_conflicted_periods", "zscore_self", "percentile_peer", "iqr_outlier_flag",
 ))
 FLAGS = ("is_cold_start", "has_conflicted_periods", "iqr_outlier_flag")
-#: Rows of a scope from which its trees draw their samples, at most, and rows that one task scores, about.
-POOL, SCORE_ROWS = 8192, 50_000
+#: Rows of a scope from which its trees draw their samples, at most, rows that one task scores, about, and rows that go through a tree together.
+POOL, SCORE_ROWS, CHUNK = 8192, 50_000, 8192
 
 
 def with_scope(vectors: DataFrame, least: int = K.MODEL_MIN_PER_CATEGORY) -> DataFrame:
     """Adds alcance: the category if it has ``least`` supplies in the batch, else global."""
     sizes = vectors.groupBy("lote", "categoria").agg(F.count(F.lit(1)).alias("__n"))
-    return vectors.join(sizes, ["lote", "categoria"]).withColumn("alcance", F.when(F.col("__n") >= least, F.col("categoria")).otherwise("global")).drop("__n")
+    return vectors.join(F.broadcast(sizes), ["lote", "categoria"]).withColumn("alcance", F.when(F.col("__n") >= least, F.col("categoria")).otherwise("global")).drop("__n")
 
 
 def numeric(vectors: DataFrame) -> DataFrame:
@@ -54,10 +57,17 @@ def robust_scaled(matrix: DataFrame, ranges: int | None = None) -> DataFrame:
     """Nulls filled as by ``imputed``, then (x - median) / (q3 - q1) by (batch, scope); a range of zero counts as one.
 
     Medians and quartiles of the filled columns come from one counting of the values.
+    A row's columns are scaled as an array: as 21 expressions over 84 statistics they
+    are too long a method for the JVM to compile.
     """
     stats = imputed_statistics(matrix, ["lote", "alcance"], COLUMNS, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, ranges)
     spread = lambda c: F.coalesce(F.nullif(F.col(f"{c}__q3") - F.col(f"{c}__q1"), F.lit(0.0)), F.lit(1.0))
-    return matrix.join(stats, ["lote", "alcance"]).select("suministro", "lote", "alcance", *(((F.coalesce(c, f"{c}_fill") - F.col(f"{c}__q2")) / spread(c)).alias(c) for c in COLUMNS))
+    listed = lambda of, name: F.array(*map(of, COLUMNS)).alias(name)
+    stats = stats.select("lote", "alcance", listed(lambda c: F.col(f"{c}_fill"), "__fill"), listed(lambda c: F.col(f"{c}__q2"), "__middle"), listed(spread, "__spread"))
+    at = lambda name, i: F.get(F.col(name), i)
+    scaled = F.transform(listed(F.col, "x"), lambda x, i: (F.coalesce(x, at("__fill", i)) - at("__middle", i)) / at("__spread", i))
+    rows = matrix.join(F.broadcast(cut(stats, "statistics")), ["lote", "alcance"]).select("suministro", "lote", "alcance", scaled.alias("__scaled"))
+    return rows.select("suministro", "lote", "alcance", *(F.get("__scaled", F.lit(i)).alias(c) for i, c in enumerate(COLUMNS)))
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -120,30 +130,53 @@ def fit_forest(pool: np.ndarray, trees: int = K.TREES, sample: int = K.TREE_SAMP
     return Forest(feature.reshape(trees, nodes), split.reshape(trees, nodes), value.reshape(trees, nodes), size)
 
 
+def _carried_down(forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns, splits and values with each leaf's value at all places below it, so that every path is as long as the tree is deep."""
+    inner, value = forest.feature >= 0, forest.value.copy()
+    nodes = inner.shape[1]
+    first = 0
+    while 2 * first + 1 < nodes:
+        level = np.arange(first, 2 * first + 1)
+        for child in (2 * level + 1, 2 * level + 2):
+            value[:, child] = np.where(inner[:, level], value[:, child], value[:, level])
+        first = 2 * first + 1
+    return np.maximum(forest.feature, 0).astype(np.intp), forest.split, value
+
+
 def score_samples(forest: Forest, rows: np.ndarray) -> np.ndarray:
     """Minus the anomaly score: lower is stranger, from -1 to 0."""
     norm = float(average_path(forest.size))
     if not norm:
         return np.full(len(rows), -0.5)
-    total, me = np.zeros(len(rows)), np.arange(len(rows))
-    for feature, split, value in zip(forest.feature, forest.split, forest.value):
-        at = np.zeros(len(rows), np.int64)
-        while True:
-            f = feature[at].astype(np.int64)
-            inner = f >= 0
-            if not inner.any():
-                break
-            at = np.where(inner, 2 * at + 1 + (rows[me, np.maximum(f, 0)] >= split[at]), at)
-        total += value[at]
-    return -np.power(2.0, -total / len(forest.feature) / norm)
+    features, splits, values = _carried_down(forest)
+    depth = (features.shape[1] + 1).bit_length() - 2
+    total = np.zeros(len(rows))
+    for begin in range(0, len(rows), CHUNK):
+        part = np.asfortranarray(rows[begin : begin + CHUNK])
+        n, flat, out = len(part), part.ravel("F"), total[begin : begin + CHUNK]
+        me, at, cell = np.arange(n), np.empty(n, np.intp), np.empty(n, np.intp)
+        x, border, right = np.empty(n), np.empty(n), np.empty(n, bool)
+        for feature, start, split, value in zip(features, features * n, splits, values):
+            np.greater_equal(part[:, feature[0]], split[0], out=right)
+            np.add(right, 1, out=at)
+            for _ in range(depth - 1):  # places are within bounds; "clip" spares numpy a copy
+                np.add(np.take(start, at, out=cell, mode="clip"), me, out=cell)
+                np.take(flat, cell, out=x, mode="clip")
+                np.take(split, at, out=border, mode="clip")
+                np.greater_equal(x, border, out=right)
+                np.add(at, at, out=at)
+                np.add(at, 1, out=at)
+                np.add(at, right, out=at)
+            out += value[at]
+    return -np.power(2.0, -total / len(features) / norm)
 
 
 def forest_scores(matrix: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -> DataFrame:
     """(suministro, lote, alcance, decision) from scaled columns without nulls; decision below zero marks the contaminated share."""
     order = F.xxhash64(F.lit(seed), "suministro")
-    sizes = matrix.groupBy("lote", "alcance").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = cut(matrix.groupBy("lote", "alcance").agg(F.count(F.lit(1)).alias("__n")), "sizes")
     # of a large scope only rows below a bound of the hash, about two pools, are put in order
-    drawn = matrix.join(sizes, ["lote", "alcance"]).filter((F.col("__n") <= 4 * POOL) | (order / float(1 << 64) + 0.5 < 2 * POOL / F.col("__n"))).drop("__n")
+    drawn = matrix.join(F.broadcast(sizes), ["lote", "alcance"]).filter((F.col("__n") <= 4 * POOL) | (order / float(1 << 64) + 0.5 < 2 * POOL / F.col("__n"))).drop("__n")
     pool = drawn.withColumn("__r", F.row_number().over(W.partitionBy("lote", "alcance").orderBy(order, "suministro"))).filter(F.col("__r") <= POOL)
 
     def train(key, group: pd.DataFrame) -> pd.DataFrame:
@@ -151,9 +184,9 @@ def forest_scores(matrix: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -
         return pd.DataFrame({"lote": [key[0]], "alcance": [key[1]], "nodes": [fit_forest(rows, trees, seed=seed).to_bytes()]})
 
     forests = pool.groupBy("lote", "alcance").applyInPandas(train, "lote string, alcance string, nodes binary")
-    counts = matrix.groupBy("lote", "alcance").agg(F.ceil(F.count(F.lit(1)) / SCORE_ROWS).cast("int").alias("parts"))
-    dealt = matrix.join(counts, ["lote", "alcance"]).withColumn("part", F.pmod(F.xxhash64("suministro"), F.col("parts")).cast("int")).drop("parts")
-    copies = forests.join(counts.withColumnRenamed("parts", "__parts"), ["lote", "alcance"]).select("lote", "alcance", "nodes", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("part"))
+    counts = sizes.select("lote", "alcance", F.ceil(F.col("__n") / SCORE_ROWS).cast("int").alias("parts"))
+    dealt = matrix.join(F.broadcast(counts), ["lote", "alcance"]).withColumn("part", F.pmod(F.xxhash64("suministro"), F.col("parts")).cast("int")).drop("parts")
+    copies = forests.join(F.broadcast(counts.withColumnRenamed("parts", "__parts")), ["lote", "alcance"]).select("lote", "alcance", "nodes", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("part"))
 
     def score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
@@ -164,14 +197,14 @@ def forest_scores(matrix: DataFrame, trees: int = K.TREES, seed: int = K.SEED) -
     scored = dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(score, T.StructType([*(matrix.schema[c] for c in ("suministro", "lote", "alcance")), T.StructField("score", T.DoubleType())]))
     scored = cut(scored, "forest-scores")  # it is read twice, and its plan holds the training
     offset = order_statistics(scored, ["lote", "alcance"], ["score"], {"_o": K.CONTAMINATION}).withColumnRenamed("score__o", "__o")
-    return scored.join(offset, ["lote", "alcance"]).select("suministro", "lote", "alcance", (F.col("score") - F.col("__o")).alias("decision"))
+    return scored.join(F.broadcast(offset), ["lote", "alcance"]).select("suministro", "lote", "alcance", (F.col("score") - F.col("__o")).alias("decision"))
 
 
 def ml_scores(vectors: DataFrame, trees: int = K.TREES, seed: int = K.SEED, least: int = K.MODEL_MIN_PER_CATEGORY) -> DataFrame:
-    """(suministro, lote, alcance, decision, ml_score, clasificacion_ml): 0 to 100 within the batch."""
+    """(suministro, lote, alcance, decision, ml_score, clasificacion_ml): 0 to 100 within the batch; ``vectors`` are read several times, so they should be written."""
     from wattsift.operators.scoring import inverted_min_max
 
-    matrix = cut(robust_scaled(cut(numeric(with_scope(vectors, least)), "matrix")), "scaled")
+    matrix = robust_scaled(numeric(with_scope(vectors, least)))
     out = inverted_min_max(forest_scores(matrix, trees, seed), "decision", "__s").withColumn("ml_score", F.col("__s") * 100).drop("__s")
     return out.withColumn("clasificacion_ml", risk_class(F.col("ml_score")))
 
