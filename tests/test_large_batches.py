@@ -84,3 +84,10 @@ def test_scores_are_those_of_a_plain_walk(size, monkeypatch):
     norm = float(forest.average_path(grown.size))
     want = -np.power(2.0, -np.array(paths) / 7 / norm) if norm else np.full(len(paths), -0.5)
     assert (forest.score_samples(grown, x[:200]) == want).all()
+
+
+def test_model_scores_are_computed_once(spark, wide_dir):
+    """Scales and percentiles start from the rows with their scores, not from what the scores come from."""
+    vectors = catalog.cut(catalog.rules.prior_anomalies(catalog._vectors(spark, wide_dir)), "vectors")
+    scored = catalog.process.scored(vectors, catalog._predictions(vectors), reasons=True)
+    assert all("/modelled-" in f or "/ranges-" in f for f in scored.inputFiles())
