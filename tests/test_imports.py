@@ -74,6 +74,12 @@ def test_addresses_are_objects_compared_by_content(spark):
     assert [same[i].outcome for i in range(2)] == ["unchanged", "updated"]
 
 
+def test_nothing_may_follow_an_address(spark):
+    texts = ['{"a":1},"w":2', '{"a":1}, "z":{}', '{"a":1},"b":2', '{"a":1},{"b":2}', '{"a":1}]', '{"a":1}},{"b":2', '{"a":1} x', "", ' {"a":1} ']
+    found = outcomes(spark, CLIENT, [{"direccion": a} for a in texts], clients(spark))
+    assert [found[i].outcome for i in range(len(texts))] == ["rejected"] * 8 + ["created"] and found[8].direccion == '{"a":1}'
+
+
 @pytest.mark.parametrize("field, most", [("numero_suministro", 30), ("localidad", 100), ("barrio", 100), ("estado", 15), ("medidor", 20)])
 def test_supply_lengths(spark, field, most):
     found = outcomes(spark, SUPPLY, [{field: "x" * most}, {field: "x" * (most + 1)}, {field: f" {'x' * (most - 1)}y "}], supplies(spark))

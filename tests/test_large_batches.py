@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wattsift.operators import forest
+from wattsift.operators import forest, imports
 from wattsift.plans import catalog
 
 
@@ -60,6 +60,20 @@ def test_addresses_are_parsed_once(spark, sf_dir):
         assert _times(entry.queries()[name](spark, sf_dir), "parseJson") <= 3
 
 
+def test_records_are_judged_once_and_by_many_tasks(spark, sf_dir, monkeypatch):
+    """Records of one row group are dealt before they are parsed, and the merge's branches measure no address again."""
+    written = []
+    monkeypatch.setattr(imports, "cut", lambda df, name: written.append(catalog.cut(df, name)) or written[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few records would come to one task
+    try:
+        merged = entry.queries()["merge_clients"](spark, sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shares = [r["count"] for r in written[0].groupBy(F.input_file_name()).count().collect()]
+    assert max(shares) < 0.5 * sum(shares)
+    assert _times(merged, "regexp_replace") == 0
+
+
 def test_rows_are_scaled_where_they_are(spark, wide_dir):
     """Statistics go to the rows: no plan shuffles the matrix to join what is known of its scopes."""
     vectors = catalog.cut(catalog.rules.prior_anomalies(catalog._vectors(spark, wide_dir)), "vectors")

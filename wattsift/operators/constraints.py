@@ -106,7 +106,9 @@ def _broken(rule: Rule, formed: bool = False) -> list[tuple[Column, str]]:
         return [(value.isNull(), f"{n}: no es un número"), (~value.between(*rule.limit), f"{n}: fuera de rango")]
     if rule.kind == "json":
         form = F.col(f"__form_{n}") if formed else json_text(x)
-        return [(~F.coalesce(form.startswith("{"), F.lit(False)), f"{n}: no es un objeto"), (json_bytes(form, rule.limit) > rule.limit, f"{n}: más de {rule.limit} bytes")]
+        # a byte is measured as six at most (DEL, escaped), so shorter texts keep the limit whatever they hold
+        long = (6 * F.octet_length(form) > rule.limit) & (json_bytes(form, rule.limit) > rule.limit)
+        return [(~F.coalesce(form.startswith("{"), F.lit(False)), f"{n}: no es un objeto"), (long, f"{n}: más de {rule.limit} bytes")]
     out = [(stripped(x) == "", f"{n}: vacío")] if rule.blank or rule.absent == REQUIRED else []
     if rule.values:
         out.append((~x.isin(*rule.values), f"{n}: valor no permitido"))

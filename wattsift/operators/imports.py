@@ -89,14 +89,16 @@ def _trimmed(records: DataFrame, *names: str) -> DataFrame:
 def _judged(records: DataFrame, rules: tuple[constraints.Rule, ...], *more: Column) -> DataFrame:
     """motivos: what a lookup found missing, else all reasons of the record itself; values in their stored form.
 
-    JSON fields are parsed first and written, as the valid and the rejected records are two branches and a filter
-    on motivos would parse them again for each place that looks at them.
+    Records with JSON fields are dealt to the tasks by position before they are parsed, as a file's row group is one
+    task however many records it has.  They are written as judged, since the valid and the rejected ones are two
+    branches and a filter on motivos would parse and measure them again for each place that looks at them.
     """
     forms = constraints.json_forms(rules)
-    formed = cut(records.withColumns(forms), "formed") if forms else records
+    formed = records.repartition("posicion").withColumns(forms) if forms else records
     each = reasons(*constraints.all_reasons(rules, formed=True), *more)
     judged = formed.withColumn("motivos", F.when(F.col("motivo").isNotNull(), F.array("motivo")).otherwise(each)).drop("motivo")
-    return judged.withColumns(constraints.stored_forms(rules, formed=True)).drop(*forms)
+    judged = judged.withColumns(constraints.stored_forms(rules, formed=True)).drop(*forms)
+    return cut(judged, "judged") if forms else judged
 
 
 def _as_json(rows: DataFrame, column: str) -> DataFrame:
@@ -110,7 +112,7 @@ def import_clients(stored: DataFrame, records: DataFrame) -> DataFrame:
     An omitted estado becomes Activo; addresses are compared by content.
     """
     known = _as_json(records, "direccion").withColumn("motivo", F.lit(None).cast("string"))
-    held = _as_json(stored, "direccion").withColumn("direccion", F.coalesce(constraints.json_text(F.col("direccion")), "direccion"))
+    held = _as_json(stored.repartition("numero_cliente"), "direccion").withColumn("direccion", F.coalesce(constraints.json_text(F.col("direccion")), "direccion"))
     return merge_outcomes(held, _judged(known, constraints.CLIENT), "numero_cliente", [r.field for r in constraints.CLIENT[1:]])
 
 
